@@ -20,6 +20,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from copyfold.llm.common import broadcast_object
+
 #: Mean number of keys that share a displacement.
 KEYS_PER_BUCKET = 4
 #: Entries and longest key of a worker's memo.
@@ -176,11 +178,10 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, with_i
     each; further columns aren't read. The vocabulary is read and hashed once,
     on the driver, and broadcast: its size is that of its file, whatever the data.
     """
-    spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(Vocabulary.from_file(vocabulary_path))
+    vocabulary = broadcast_object(docs.sparkSession, Vocabulary.from_file(vocabulary_path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value, pattern)
+        encoder = Encoder(vocabulary(), pattern)
         fields = list(SCHEMA)[: 5 if with_ids else 4]
         rows, held = [], 0
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_object(spark, value):
+    """A function that returns ``value`` on any executor; its class travels with it. For objects of a bounded size."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(packed.value)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column) -> DataFrame:
     """Give each row the columns of its group, however uneven the groups are.
 

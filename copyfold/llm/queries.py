@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from copyfold.llm import bpe, mixing, quality_cnn, sharding, trie_dedup
+from copyfold.llm import bpe, minhash, mixing, quality_cnn, sharding, trie_dedup
 from copyfold.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_jump_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_cnn(spark, sf_dir):
     return quality_cnn.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,7 +38,7 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op4_source_mixing, op5_exact_dedup, op6_jump_sharding, op8_quality_cnn, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op4_source_mixing, op5_exact_dedup, op6_jump_sharding, op7_minhash_dedup, op8_quality_cnn, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
     "op4_source_mixing": r"""
@@ -73,5 +77,13 @@ w(doc_id, n, state, b, j) AS (
 s AS (SELECT doc_id, max(b) FILTER (n = 24 AND j >= n)::INT AS shard, max(b) FILTER (n = 25 AND j >= n)::INT AS grown_shard FROM w GROUP BY doc_id)
 SELECT d.doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY d.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
 FROM d JOIN s ON d.doc_id IS NOT DISTINCT FROM s.doc_id
+""",
+    "op7_minhash_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM d),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, p.b FROM r JOIN p ON p.a = r.reached)
+SELECT r.doc_id, any_value(len(s.g))::BIGINT AS n_shingles, min(reached) AS component_id, r.doc_id = min(reached) AS kept FROM r JOIN s USING (doc_id) GROUP BY r.doc_id
 """,
 }

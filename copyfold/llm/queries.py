@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from copyfold.llm import bpe, minhash, mixing, quality_cnn, sharding, trie_dedup
+from copyfold.llm import bpe, licenses, minhash, mixing, quality_cnn, sharding, trie_dedup
 from copyfold.llm.common import table
 
 
+def op2_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark, sf_dir):
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -38,7 +42,7 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op4_source_mixing, op5_exact_dedup, op6_jump_sharding, op7_minhash_dedup, op8_quality_cnn, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op4_source_mixing, op5_exact_dedup, op6_jump_sharding, op7_minhash_dedup, op8_quality_cnn, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
     "op4_source_mixing": r"""
@@ -86,4 +90,16 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.d
 r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, p.b FROM r JOIN p ON p.a = r.reached)
 SELECT r.doc_id, any_value(len(s.g))::BIGINT AS n_shingles, min(reached) AS component_id, r.doc_id = min(reached) AS kept FROM r JOIN s USING (doc_id) GROUP BY r.doc_id
 """,
+    "op2_license_scan": r"""
+WITH t(label, words) AS (SELECT label, list_distinct(string_split(text, ' ')) FROM (VALUES %s) v(label, text)),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w, row_number() OVER () AS r FROM documents),
+b AS (SELECT r, unnest(list_transform(range(0, greatest(len(w), 1), 24), lambda i: list_distinct(w[i + 1:i + 48]))) AS x FROM d),
+h AS (SELECT r, list_distinct(list(label)) AS labels, max(len(list_intersect(x, words)) / len(words)) AS score FROM b, t WHERE len(list_intersect(x, words)) >= ceil(0.8 * len(words) - 1e-9) GROUP BY r),
+p AS (SELECT *, list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i:i + 3] = ['under', 'the', 'mit', 'license'] THEN {'i': i - 1, 'l': 'mit'}
+        WHEN w[i:i + 3] = ['apache', 'license', 'version', '2'] THEN {'i': i - 1, 'l': 'apache-2'} WHEN w[i:i + 2] = ['cc', 'by', 'nc'] THEN {'i': i - 1, 'l': 'cc-by-nc'} END), lambda z: z IS NOT NULL) AS z FROM d),
+q AS (SELECT *, list_sort(list_distinct(list_transform(z, lambda y: y.l))) AS base FROM p)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(z)::BIGINT AS n_base, list_min(list_transform(z, lambda y: y.i))::BIGINT AS first_word, list_max(list_transform(z, lambda y: y.i))::BIGINT AS last_word,
+       coalesce(array_to_string(base, ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM q LEFT JOIN h USING (r)
+""" % ", ".join(f"('{label}', '{text}')" for label, text in licenses.TEMPLATES),
 }

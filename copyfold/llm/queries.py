@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from copyfold.llm import bpe, licenses, minhash, mixing, quality_cnn, sharding, trie_dedup
+from copyfold.llm import bpe, html_crf, licenses, minhash, mixing, quality_cnn, sharding, trie_dedup
 from copyfold.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op8_quality_cnn(spark, sf_dir):
     return quality_cnn.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_html_crf(spark, sf_dir):
+    return html_crf.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 #: The vocabulary file of the queries; operators take any path.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -42,7 +46,7 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_source_mixing, op5_exact_dedup, op6_jump_sharding, op7_minhash_dedup, op8_quality_cnn, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op4_source_mixing, op5_exact_dedup, op6_jump_sharding, op7_minhash_dedup, op8_quality_cnn, op9_html_crf, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
     "op4_source_mixing": r"""

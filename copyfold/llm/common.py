@@ -19,23 +19,39 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's shared checkpoint folder and cut its lineage there.
+def shared_folder(spark) -> str:
+    """The session's checkpoint folder, that driver and executors share.
 
-    The folder is what ``spark.checkpoint.dir`` names. Only a local session
-    without that setting gets a temporary folder of its own.
+    It is what ``spark.checkpoint.dir`` names. Only a local session without that setting gets a temporary folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="copyfold-checkpoints-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and cut its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def single_spaces(text: Column) -> Column:
+    """A text with each run of [\\x20\\x09-\\x0D] as one space; null: empty.
+
+    Most texts have no such runs once tabs and line ends are spaces, so only the others go through a pattern.
+    """
+    out = F.coalesce(text, F.lit(""))
+    for space in "\t\n\x0b\x0c\r":
+        out = F.replace(out, F.lit(space), F.lit(" "))
+    return F.when(F.contains(out, F.lit("  ")), F.regexp_replace(out, " {2,}", " ")).otherwise(out)
+
+
 def broadcast_object(spark, value):
     """A function that returns ``value`` on any executor; its class travels with it. For objects of a bounded size."""
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))

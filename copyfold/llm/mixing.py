@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from copyfold.llm.common import checkpointed
+from copyfold.llm.common import checkpointed, single_spaces
 
 #: Production parameters.
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 11
 #: Bits of a document's hash, and of its part by which documents are first summed.
-HASH_BITS, BUCKET_BITS = 60, 16
+HASH_BITS, BUCKET_BITS = 60, 12
 #: Up to so many sources are broadcast; more are joined by shuffling.
 BROADCAST_SOURCES = 50_000
 #: Ways into which the rows of a source are dealt for that shuffle.
@@ -26,8 +26,9 @@ LANES = 64
 
 def n_words(text: Column) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in a text; null: 0."""
-    gaps = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
-    return F.when(gaps == "", F.lit(0)).otherwise(F.length(gaps) - F.length(F.replace(gaps, F.lit(" "), F.lit(""))) + 1).cast("bigint")
+    words = F.trim(single_spaces(text))
+    gaps = F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit("")))
+    return F.when(words == "", F.lit(0)).otherwise(gaps + 1).cast("bigint")
 
 
 def ticket(seed: int) -> Column:
@@ -71,11 +72,10 @@ def sample_ends(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """Per source: ``last``, the highest ticket in its sample (-1: none).
 
     A ticket is in the sample if its words end nearer to the part asked for than
-    they begin. Words are summed by ticket, then by bucket of tickets, before any
-    row moves; only the bucket in which a part ends is gone through by ticket.
+    they begin. ``sizes`` has one row for each source and ticket; words are summed
+    by bucket of tickets, and only the bucket in which a part ends is gone through by ticket.
     """
-    tickets = sizes.groupBy("source", "ticket").agg(F.sum("size").alias("words"))
-    tickets = tickets.withColumn("bucket", F.shiftright("ticket", HASH_BITS - BUCKET_BITS))
+    tickets = sizes.withColumnRenamed("size", "words").withColumn("bucket", F.shiftright("ticket", HASH_BITS - BUCKET_BITS))
     buckets = tickets.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
@@ -115,13 +115,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: floa
     ``docs`` that clash with the new ones are replaced.
     """
     own = [c for c in docs.columns if c not in ("size", "ticket", "source_size", "target", "copies")]
-    rows = docs.select(*own).withColumn("size", n_words(F.col("text"))).withColumn("ticket", ticket(seed))
-    sizes = rows.select("source", "ticket", "size")
+    rows = docs.select(*own, n_words(F.col("text")).alias("size"))
+    return mix_sized(rows, weights, share, max_epochs, seed).select(*own, "size", "source_size", "target", "copies")
+
+
+def mix_sized(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """``rows`` (doc_id, source, size) with ticket, source_size, target and copies; see mix."""
+    rows = rows.withColumn("ticket", ticket(seed))
+    sizes = checkpointed(rows.groupBy("source", "ticket").agg(F.sum("size").alias("size")))
     sources = checkpointed(source_targets(sizes, weights, share, max_epochs))
     sources = checkpointed(sample_ends(sizes, sources).drop("weight", "asked", "part"))
     out = join_sources(rows, sources)
-    out = out.withColumn("copies", F.col("whole") + (F.col("ticket") <= F.col("last")).cast("bigint"))
-    return out.select(*own, "size", "source_size", "target", "copies")
+    return out.withColumn("copies", F.col("whole") + (F.col("ticket") <= F.col("last")).cast("bigint"))
 
 
 def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:

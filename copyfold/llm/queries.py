@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from copyfold.llm import bpe, html_crf, licenses, minhash, mixing, quality_cnn, sharding, trie_dedup
-from copyfold.llm.common import table
+from copyfold.llm.common import checkpointed, table
 
 
 def op2_license_scan(spark, sf_dir):
@@ -14,7 +14,8 @@ def op2_license_scan(spark, sf_dir):
 
 
 def op4_source_mixing(spark, sf_dir):
-    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = table(spark, sf_dir, "documents")
+    out = mixing.mix_sized(checkpointed(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

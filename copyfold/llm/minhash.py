@@ -29,8 +29,8 @@ from copyfold.llm.components import connected_components
 
 HASHES, ROWS = 240, 6
 BANDS = HASHES // ROWS
-#: Words of a shingle; a link's least similarity in percent.
-SHINGLE, PERCENT = 4, 80
+#: Words of a shingle, unless a caller says otherwise; a link's least similarity in percent.
+SHINGLE, PERCENT = 5, 80
 #: Most sketch bits in which a candidate pair may differ: 24 are expected at 0.8, and 50 lie 5.5 deviations above.
 SKETCH_BITS = 50
 #: Shingles whose hashes are taken at once; rows of an output batch.
@@ -42,7 +42,7 @@ _OFFSET = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 _WORD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: bytes, n: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles of ``n`` words."""
     return np.unique(fold_words(word_hashes(text), n))
 
@@ -70,43 +70,51 @@ def sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-SIGNED = "doc_id bigint, n_shingles bigint, class binary, keys array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
-
-
-def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set size, class (a digest of the set), bucket keys and sketch of each text; no keys for an empty set."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, BATCH_ROWS):
-            batch = whole.slice(at, BATCH_ROWS)
-            sizes, classes, keys, counts, sketches = [], [], [], [0], []
-            for text in batch.column(1):
-                found = shingle_set((text.as_py() or "").encode())
-                sizes.append(len(found))
-                classes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                if len(found):
-                    least = minima(found)
-                    keys.append(band_keys(least).view(np.int64))
-                    sketches.append(sketch(least))
-                else:
-                    sketches.append(np.zeros(4, np.int64))
-                counts.append(BANDS if len(found) else 0)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(flat))
-            words = np.array(sketches).reshape(-1, 4)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), lists, *(pa.array(words[:, i]) for i in range(4))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "keys", "s0", "s1", "s2", "s3"])
-
-
-def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+SIGNED = "doc_id bigint, mark bigint, n_shingles bigint, class binary, keys array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+
+
+def signer(n: int):
+    """Set size, class (a digest of the set), bucket keys and sketch of each text by its ``n``-word shingles; no keys for an empty set."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                sizes, classes, keys, counts, sketches = [], [], [], [0], []
+                for text in batch.column(2):
+                    found = shingle_set((text.as_py() or "").encode(), n)
+                    sizes.append(len(found))
+                    classes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                    if len(found):
+                        least = minima(found)
+                        keys.append(band_keys(least).view(np.int64))
+                        sketches.append(sketch(least))
+                    else:
+                        sketches.append(np.zeros(4, np.int64))
+                    counts.append(BANDS if len(found) else 0)
+                flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(flat))
+                words = np.array(sketches).reshape(-1, 4)
+                columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), lists, *(pa.array(words[:, i]) for i in range(4))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_shingles", "class", "keys", "s0", "s1", "s2", "s3"])
+
+    return sign
+
+
+def set_maker(n: int):
     """Class and full set of each text."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, BATCH_ROWS // 4):
-            batch = whole.slice(at, BATCH_ROWS // 4)
-            sets = [shingle_set((text.as_py() or "").encode()) for text in batch.column(1)]
-            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
-            classes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), lists], names=["class", "shingles"])
+
+    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS // 4):
+                batch = whole.slice(at, BATCH_ROWS // 4)
+                sets = [shingle_set((text.as_py() or "").encode(), n) for text in batch.column(0)]
+                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+                classes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), lists], names=["class", "shingles"])
+
+    return full_sets
 
 
 #: What is known of a class in a bucket.
@@ -132,9 +140,9 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("_both") >= PERCENT * (F.size("_a") + F.size("_b") - F.col("_both"))).select("a", "b")
 
 
-def class_links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
+def class_links(docs: DataFrame, signed: DataFrame, shingle: int) -> DataFrame | None:
     """(node, root) for the classes that are linked with others; None if no two share a bucket."""
-    classes = signed.filter("n_shingles > 0").dropDuplicates(["class"])
+    classes = signed.filter("n_shingles > 0").drop("doc_id", "mark").dropDuplicates(["class"])
     spread = classes.select(*FACTS, F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = checkpointed(spread.join(shared, "key", "left_semi").select("key", F.struct(*FACTS).alias("x")))
@@ -145,8 +153,7 @@ def class_links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
     known = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
     if not ids.filter("doc_id IS NULL").isEmpty():
         known = known.unionByName(docs.filter("doc_id IS NULL"))
-    texts = known.selectExpr("cast(doc_id as bigint)", "text")
-    sets = checkpointed(texts.mapInArrow(full_sets, "class binary, shingles array<bigint>").join(wanted, "class", "left_semi").dropDuplicates(["class"]))
+    sets = checkpointed(known.select("text").mapInArrow(set_maker(shingle), "class binary, shingles array<bigint>").join(wanted, "class", "left_semi").dropDuplicates(["class"]))
 
     def leaders(rows: DataFrame, least: bool) -> DataFrame:
         pick = (F.min if least else F.max)("x")
@@ -173,31 +180,37 @@ def class_links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
     return connected_components(links)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def marked_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """near_duplicates with the further column mark, a hash of the row's text."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    signed = checkpointed(own.mapInArrow(signer(shingle), SIGNED))
+    roots = class_links(own, signed, shingle)
+    rows = signed.filter("n_shingles > 0").select("doc_id", "mark", "n_shingles", "class")
+    groups = rows.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    if roots is not None:
+        placed = groups.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        least = placed.groupBy("root").agg(F.min("component_id").alias("least"))
+        groups = placed.join(least, "root").select("class", F.col("least").alias("component_id"), "rows")
+    out = join_groups(rows, checkpointed(groups), "class", "rows", F.col("doc_id")).drop("class", "rows")
+    alone = signed.filter("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with its component of near-duplicates.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id that links
     lead to, its own included) and kept. Words are runs of [^\\x20\\x09-\\x0D], A-Z
-    folded; a text of fewer than SHINGLE words is one shingle. Texts without words, null
+    folded; a text of fewer than ``shingle`` words is one shingle. Texts without words, null
     ones too, are linked with nothing. Rows that repeat a doc_id are one node if
     their sets are equal. Null ids never become a component_id unless all ids
     of a component are null; kept then is true. Further columns are not read.
     """
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = checkpointed(own.mapInArrow(sign, SIGNED))
-    roots = class_links(own, signed)
-    rows = signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "class")
-    groups = rows.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
-    if roots is not None:
-        placed = groups.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        least = placed.groupBy("root").agg(F.min("component_id").alias("least"))
-        groups = placed.join(least, "root").select("class", F.col("least").alias("component_id"), "rows")
-    out = join_groups(rows, checkpointed(groups), "class", "rows", F.col("doc_id")).drop("class", "rows")
-    alone = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return marked_duplicates(docs, shingle).drop("mark")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs``, with all columns, that near_duplicates keeps."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    gone = marked_duplicates(docs, shingle).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark"))
+    match = docs["doc_id"].eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_mark"))
+    return docs.join(gone.distinct(), match, "left_anti")

@@ -5,14 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from copyfold.llm import bpe, html_crf, licenses, minhash, mixing, quality_cnn, sharding, trie_dedup
+from copyfold.llm import bpe, html_crf, licenses, minhash, mixing, ngram_lm, quality_cnn, search, sharding, trie_dedup
 from copyfold.llm.common import checkpointed, table
 
 
+def op1_topk_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_documents(docs, docs.filter("doc_id % 50 = 0"))
+
+
 def op2_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_stupid_backoff(spark, sf_dir):
+    out = ngram_lm.score_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_backed_off", F.round("score", 4).alias("score"), F.round("mean_score", 4).alias("mean_score"))
+
+
 def op4_source_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = mixing.mix_sized(checkpointed(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))))
@@ -28,7 +38,7 @@ def op6_jump_sharding(spark, sf_dir):
 
 
 def op7_minhash_dedup(spark, sf_dir):
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
 def op8_quality_cnn(spark, sf_dir):
@@ -47,7 +57,7 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_source_mixing, op5_exact_dedup, op6_jump_sharding, op7_minhash_dedup, op8_quality_cnn, op9_html_crf, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_stupid_backoff, op4_source_mixing, op5_exact_dedup, op6_jump_sharding, op7_minhash_dedup, op8_quality_cnn, op9_html_crf, op10_byte_bpe)}
 
 ORACLES: dict[str, str] = {
     "op4_source_mixing": r"""
@@ -107,4 +117,28 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(z)::BIGINT AS n_base, list_min(lis
        coalesce(array_to_string(base, ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM q LEFT JOIN h USING (r)
 """ % ", ".join(f"('{label}', '{text}')" for label, text in licenses.TEMPLATES),
+    "op3_stupid_backoff": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+t AS (SELECT r, i, w[i] AS w3, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS w23, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS w123, CASE WHEN i > 1 THEN w[i - 1] END AS w2, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS w12
+      FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+g AS (SELECT r, w3 AS x FROM t UNION ALL SELECT r, w23 FROM t WHERE i > 1 UNION ALL SELECT r, w123 FROM t WHERE i > 2),
+o AS (SELECT r, x, count(*) AS own FROM g GROUP BY ALL),
+c AS (SELECT r, x, sum(own) OVER (PARTITION BY x) - own AS n FROM o),
+e AS (SELECT t.r, least(i, 3) AS longest, c1.n AS c3, c2.n AS c23, c3.n AS c123, c4.n AS c2, c5.n AS c12, (SELECT sum(len(w)) FROM d) - len(d.w) AS n
+      FROM t JOIN d USING (r) JOIN c c1 ON c1.r = t.r AND c1.x = w3 LEFT JOIN c c2 ON c2.r = t.r AND c2.x = w23 LEFT JOIN c c3 ON c3.r = t.r AND c3.x = w123 LEFT JOIN c c4 ON c4.r = t.r AND c4.x = w2 LEFT JOIN c c5 ON c5.r = t.r AND c5.x = w12),
+s AS (SELECT r, CASE WHEN c123 > 0 THEN log10(c123 / c12) WHEN c23 > 0 THEN log10(c23 / c2) + (longest - 2) * log10(0.4) WHEN c3 > 0 THEN log10(c3 / n) + (longest - 1) * log10(0.4) ELSE log10(1 / greatest(n, 1)) + longest * log10(0.4) END AS s,
+             NOT coalesce((longest = 3 AND c123 > 0) OR (longest = 2 AND c23 > 0) OR (longest = 1 AND c3 > 0), false) AS gave FROM e)
+SELECT doc_id, any_value(len(w))::BIGINT AS n_words, coalesce(count(*) FILTER (gave), 0)::BIGINT AS n_backed_off, round(coalesce(sum(s), 0), 4) AS score, round(coalesce(avg(s), 0), 4) AS mean_score
+FROM d LEFT JOIN s USING (r) GROUP BY r, doc_id
+""",
+    "op1_topk_search": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+i AS (SELECT p.t, d.r, ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d.w) / mean)) AS impact FROM p JOIN f USING (t) JOIN d USING (r), n),
+s AS (SELECT q.r AS q, i.r, round(sum(impact), 6) AS score FROM d q JOIN p ON p.r = q.r JOIN i ON i.t = p.t WHERE q.doc_id % 50 = 0 GROUP BY q.r, i.r),
+k AS (SELECT q.doc_id AS query_id, d.doc_id, score, row_number() OVER (PARTITION BY s.q ORDER BY score DESC, d.doc_id NULLS FIRST)::INT AS rank FROM s JOIN d ON d.r = s.r JOIN d q ON q.r = s.q)
+SELECT query_id, rank, doc_id, score FROM k WHERE rank <= 10
+""",
 }

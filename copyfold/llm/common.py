@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copyfold.checkpoints import checkpointed, shared_folder  # noqa: F401
+
 #: Fewer rows than this never make a group hot.
 HOT_FLOOR = 1000
 #: At most this many groups can each hold more than 1/HOT_GROUPS of all rows.
@@ -19,28 +19,6 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark) -> str:
-    """The session's checkpoint folder, that driver and executors share.
-
-    It is what ``spark.checkpoint.dir`` names. Only a local session without that setting gets a temporary folder of its own.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="copyfold-checkpoints-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def single_spaces(text: Column) -> Column:
     """A text with each run of [\\x20\\x09-\\x0D] as one space; null: empty.
 

@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copyfold.llm.common import checkpointed, fold_words, join_groups, mix64, word_hashes
-from copyfold.llm.components import connected_components
+from copyfold.checkpoints import checkpointed
+from copyfold.llm.common import fold_words, join_groups, mix64, word_hashes
+from copyfold.operators.components import connected_components
 
 HASHES, ROWS = 240, 6
 BANDS = HASHES // ROWS

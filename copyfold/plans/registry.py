@@ -5,6 +5,365 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from copyfold.functions import fingerprints, scalars
+from copyfold.functions.dimensions import BACKUP_DIRS, BACKUP_EXTENSIONS, IMAGE_EXTENSIONS, PRESET_DIRS, PREVIEW_EXTENSIONS, type_table
+from copyfold.operators import exact, filters, index, keeper, logs, previews, simjoin
+from copyfold.options import ScanOptions
+from copyfold.plans import scan
+from copyfold.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# ---- parts of the SQL -------------------------------------------------------
+
+FILES = """WITH f AS (SELECT '/' || source || '/' || lang || '/' || CASE doc_id % 6 WHEN 0 THEN 'doc-' || doc_id || '.txt' WHEN 1 THEN 'doc-' || doc_id || ' copy.txt' WHEN 2 THEN 'doc-' || doc_id || '.txt.bak'
+  WHEN 3 THEN 'db-2023-01-05-' || doc_id || '.sql' WHEN 4 THEN '.doc-' || doc_id || '.txt' ELSE 'IMG_' || doc_id || '.jpg' END AS path,
+  strlen(text)::BIGINT AS size, (1700000000 + doc_id * 37 % 100000)::DOUBLE AS mtime, 1::BIGINT AS dev, doc_id AS ino, '/' || source AS source, text, sha256(text) AS full_hash FROM documents),
+n AS (SELECT *, regexp_extract(path, '[^/]*$') AS name, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.*[^.].*(\\.[^.]*)$', 1)) AS ext, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent FROM f)"""
+MEMBERS = FILES + """,
+m AS (SELECT full_hash AS group_id, * FROM n QUALIFY count(*) OVER (PARTITION BY size, full_hash) >= 2),
+c0 AS (SELECT *, CASE WHEN name LIKE '%~' OR ext IN ({ext}) THEN 0.6 ELSE 0 END + CASE WHEN regexp_matches(lower(name), '\\bbackup\\b|\\bbak\\b|\\bcopy\\b|copy of|\\bold\\b|\\barchive\\b|~$|\\bv[0-9]+\\b') THEN 0.4 ELSE 0 END
+  + CASE WHEN lower(regexp_extract(parent, '[^/]*$')) IN ({dirs}) THEN 0.4 ELSE 0 END + CASE WHEN regexp_matches(name, '2023-01-05') THEN 0.2 ELSE 0 END AS score, regexp_matches(name, '2023-01-05') AS dated FROM {src}),
+c AS (SELECT *, round(least(1, score), 6)::DOUBLE AS backup_confidence, score >= 0.5 AS is_backup, CASE WHEN dated THEN 1672876800 ELSE mtime END::DOUBLE AS effective_date FROM c0)"""
+MEMBERS = MEMBERS.replace("{ext}", ", ".join(f"'{e}'" for e in BACKUP_EXTENSIONS)).replace("{dirs}", ", ".join(f"'{d}'" for d in BACKUP_DIRS))
+GROUPED = MEMBERS.replace("{src}", "m") + """,
+b AS (SELECT * REPLACE (is_backup OR (dated AND count(*) FILTER (dated) OVER g >= 2) AS is_backup, CASE WHEN dated AND count(*) FILTER (dated) OVER g >= 2 THEN greatest(backup_confidence, 0.6) ELSE backup_confidence END AS backup_confidence),
+  bool_or(is_backup) OVER g OR count(*) FILTER (dated) OVER g >= 2 AS has_backups, row_number() OVER (PARTITION BY group_id ORDER BY effective_date DESC, path) = 1 AS newest FROM c WINDOW g AS (PARTITION BY group_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY CASE WHEN has_backups THEN floor(effective_date / 300) ELSE 0 END DESC, CASE WHEN has_backups AND is_backup THEN 0 ELSE 1 END DESC, size DESC,
+  regexp_matches(lower(name), 'copy of|\\bcopy\\b|\\(\\s*[0-9]+\\s*\\)|[-_ ](?:resized|small|thumb|thumbnail|edited?|dup(?:licate)?)\\b'), NOT (path LIKE '/src0/%'), mtime, length(path) - length(replace(path, '/', '')), path) = 1 AS keeper FROM b)"""
+SIGNATURES = """WITH own AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN CASE WHEN i = 64 THEN -9223372036854775808 ELSE (1::HUGEINT << (i - 1)::INT) END ELSE 0 END::HUGEINT))::BIGINT AS ph,
+  list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN (1::HUGEINT << (i - 1)::INT) ELSE 0 END::HUGEINT))::BIGINT AS dh FROM embeddings),
+w AS (SELECT id, id + 1000000 AS copy, ph, dh, ((7::HUGEINT << (id % 60)::INT)) AS p, ((1::HUGEINT << (id % 61)::INT)) AS d FROM own WHERE id % 5 = 0),
+s AS (SELECT id, ph, dh FROM own UNION ALL SELECT copy, xor(ph, p::BIGINT), xor(dh, d::BIGINT) FROM w),
+h AS (SELECT ph, dh, min(id) AS rep FROM s GROUP BY ph, dh),
+e AS (SELECT a.rep AS a, b.rep AS b, bit_count(xor(a.ph, b.ph))::BIGINT AS ph_distance, bit_count(xor(a.dh, b.dh))::BIGINT AS dh_distance, a.ph AS aph, b.ph AS bph FROM h a JOIN h b ON a.rep < b.rep WHERE bit_count(xor(a.ph, b.ph)) <= 8 AND bit_count(xor(a.dh, b.dh)) <= 8)"""
+WORDS = """WITH RECURSIVE t AS (SELECT doc_id AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\x0b]+'), lambda w: w <> ''))) AS tokens FROM documents),
+h AS (SELECT tokens, min(id) AS rep FROM t WHERE len(tokens) > 0 GROUP BY tokens),
+u AS (SELECT rep, len(tokens) AS n, unnest(tokens) AS w FROM h),
+e AS (SELECT a.rep AS a, b.rep AS b, count(*) / (a.n + b.n - count(*)) AS similarity FROM u a JOIN u b ON a.w = b.w AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.55)"""
+RUNS = """WITH r AS (SELECT max(event_id) AS seq, CASE WHEN user_id % 2 = 0 THEN 'simple' ELSE 'advanced' END AS tier, list_sort(list_distinct(list('/' || event_type))) AS sources, round(sum(value), 2) AS duration, count(*) AS total_files,
+  count(*) FILTER (event_type IN ('click', 'view')) AS total_hashed, count(*) FILTER (event_type = 'signup') AS total_reused, bool_or(event_type = 'error' AND value > 90) AS cancelled FROM events GROUP BY user_id, ts::DATE)"""
+OPTIONS = ScanOptions(roots=("/src0", "/src1"))
+
+
+def _digested(spark, sf_dir):
+    return exact.with_digests(A.document_files(spark, sf_dir, content=True))
+
+
+def _ranked(spark, sf_dir):
+    return scan.ranked(exact.collapse_inodes(exact.members(_digested(spark, sf_dir))), OPTIONS)
+
+
+# ---- exact groups -----------------------------------------------------------
+
+
+@query(FILES + " SELECT size, count(*) AS files FROM f GROUP BY size HAVING count(*) >= 2")
+def size_bucket(spark, sf_dir):
+    return exact.size_buckets(A.document_files(spark, sf_dir))
+
+
+@query(FILES + ", p AS (SELECT size, encode(text)[1:64] AS p, count(*) AS files FROM f GROUP BY ALL HAVING count(*) >= 2) SELECT size, files FROM p")
+def prefix_bucket(spark, sf_dir):
+    return exact.prefix_buckets(exact.with_digests(A.document_files(spark, sf_dir, content=True), 64)).select("size", "files")
+
+
+@query(FILES + " SELECT full_hash AS group_id, size, count(*) AS files FROM f GROUP BY ALL HAVING count(*) >= 2")
+def exact_groups(spark, sf_dir):
+    return exact.digest_groups(_digested(spark, sf_dir))
+
+
+@query(FILES + " SELECT full_hash AS group_id, path FROM f QUALIFY count(*) OVER (PARTITION BY text) >= 2")
+def byte_verify(spark, sf_dir):
+    files = A.document_files(spark, sf_dir, content=True)
+    return exact.verified(exact.members(exact.with_digests(files)).select("group_id", "path"), files)
+
+
+@query(FILES + """, g AS (SELECT full_hash AS group_id, ino // 2 AS ino, min(path) AS path FROM f WHERE full_hash IN (SELECT full_hash FROM f GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL)
+SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY group_id) >= 2""")
+def inode_collapse(spark, sf_dir):
+    found = exact.members(_digested(spark, sf_dir)).withColumn("ino", F.floor(F.col("ino") / 2))
+    return exact.collapse_inodes(found).select("group_id", "ino", "path")
+
+
+@query(GROUPED + """ SELECT group_id, 'exact' AS kind, count(*) AS files, max(path) FILTER (keeper) AS keeper, max(name) FILTER (keeper) AS title, coalesce(sum(size) FILTER (NOT keeper), 0)::BIGINT AS reclaimable, sum(size)::BIGINT AS occupied,
+array_to_string(list_sort(list_distinct(list(parent))), ',') AS folders, bool_or(has_backups) AS has_backups FROM k GROUP BY group_id""")
+def groups_view(spark, sf_dir):
+    return keeper.groups_view(_ranked(spark, sf_dir))
+
+
+@query(GROUPED + """ SELECT count(*) AS files, sum(CASE WHEN keeper THEN 0 ELSE size END)::BIGINT AS reclaimable_sum, sum(CASE WHEN keeper THEN 0 ELSE size END)::BIGINT AS reclaimable_distinct, sum(size)::BIGINT AS occupied, count(*) FILTER (keeper) AS groups,
+round(sum(CASE WHEN keeper THEN 0 ELSE size END) / sum(size), 6) AS freed_fraction FROM k""")
+def savings(spark, sf_dir):
+    return keeper.savings(_ranked(spark, sf_dir))
+
+
+@query(FILES + ", r(source) AS (VALUES ('/src0'), ('/src1'), ('/nowhere')) SELECT r.source, count(f.path) AS files, coalesce(sum(size), 0)::BIGINT AS bytes_scanned FROM r LEFT JOIN f USING (source) GROUP BY ALL")
+def per_source(spark, sf_dir):
+    return keeper.per_source(A.document_files(spark, sf_dir), ["/src0", "/src1", "/nowhere"])
+
+
+# ---- scope ------------------------------------------------------------------
+
+
+@query(FILES + " SELECT path FROM n WHERE name NOT LIKE '.%'")
+def filter_hidden(spark, sf_dir):
+    return filters.drop_hidden(A.document_files(spark, sf_dir)).select("path")
+
+
+@query(FILES + " SELECT path FROM n WHERE NOT (path LIKE '/src1/%' OR list_has_any(string_split(parent, '/'), ['de']) OR regexp_matches(name, '^db-.*7\\.sql$'))")
+def filter_exclusions(spark, sf_dir):
+    rows = A.document_files(spark, sf_dir)
+    taken = filters.excluded(None, ("db-*7.sql",)) | scalars.under(F.col("path"), "/src1") | F.arrays_overlap(F.split(scalars.dirname(F.col("path")), "/"), F.array(F.lit("de")))
+    return rows.filter(~taken).select("path")
+
+
+@query(FILES + f" SELECT path, size, ext, ext IN {IMAGE_EXTENSIONS} AS is_image FROM n WHERE size >= 500 AND ext <> '.bak' AND ext IN ('.txt', '.jpg', '.bak')")
+def filter_scope(spark, sf_dir):
+    return filters.in_scope(A.document_files(spark, sf_dir), 500, (".txt", ".JPG", ".bak"), (".BAK",)).select("path", "size", "ext", "is_image")
+
+
+@query(FILES + " SELECT path, (path LIKE '/src2/en/%') OR path = '/src3/en/IMG_23.jpg' AS ignored FROM n")
+def filter_ignored(spark, sf_dir):
+    return A.document_files(spark, sf_dir).select("path", filters.ignored(("/src3/en/IMG_23.jpg",), ("/src2/en/",)).alias("ignored"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(string_split(lang || ',.TXT , ' || upper(source) || ',,jpg', ','), lambda e: lower(trim(e))), lambda e: e <> ''), lambda e: CASE WHEN e LIKE '.%' THEN e ELSE '.' || e END))), ',') AS exts FROM documents")
+def ext_normalize(spark, sf_dir):
+    raw = F.split(F.concat("lang", F.lit(",.TXT , "), F.upper("source"), F.lit(",,jpg")), ",")
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.array_join(scalars.normalized_extensions(raw), ",").alias("exts"))
+
+
+@query(FILES + " SELECT path, CASE WHEN path LIKE '/src1/en/%' THEN '/src1/en' WHEN path LIKE '/src1/%' THEN '/src1' WHEN path LIKE '/src2/%' THEN '/src2' ELSE '/src0' END AS source FROM n")
+def source_of(spark, sf_dir):
+    return filters.with_source(A.document_files(spark, sf_dir).select("path"), ["/src0", "/src1", "/src1/en", "/src2"])
+
+
+# ---- backups and keepers ----------------------------------------------------
+
+
+@query(MEMBERS.replace("{src}", "n") + " SELECT path, backup_confidence, is_backup, effective_date FROM c")
+def backup_classify(spark, sf_dir):
+    return keeper.classify(A.document_files(spark, sf_dir)).select("path", "backup_confidence", "is_backup", "effective_date")
+
+
+@query(GROUPED + " SELECT group_id, path, is_backup, backup_confidence, has_backups, has_backups AND newest AS is_newest FROM b")
+def backup_group(spark, sf_dir):
+    return keeper.classify_groups(exact.members(_digested(spark, sf_dir))).select("group_id", "path", "is_backup", "backup_confidence", "has_backups", "is_newest")
+
+
+@query(GROUPED + " SELECT group_id, path, keeper FROM k")
+def keeper_rank(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("group_id", "path", "keeper")
+
+
+# ---- the index --------------------------------------------------------------
+
+INDEXED = FILES + ", i AS (SELECT path, dev, ino, size, mtime + CASE WHEN ino % 7 = 0 THEN 1 ELSE 0 END AS mtime, full_hash AS sha256, ino AS write_seq FROM f WHERE ino % 3 <> 0)"
+
+
+@query(INDEXED + " SELECT f.path, i.sha256 FROM f LEFT JOIN i ON f.path = i.path AND f.size = i.size AND f.mtime = i.mtime")
+def index_lookup(spark, sf_dir):
+    files = _digested(spark, sf_dir)
+    return index.lookup(files, A.index_snapshot(files)).select("path", "sha256")
+
+
+@query(INDEXED + """, x AS (SELECT f.*, i.sha256 FROM f LEFT JOIN i ON f.path = i.path AND f.size = i.size AND f.mtime = i.mtime QUALIFY count(*) OVER (PARTITION BY f.size) >= 2),
+y AS (SELECT *, CASE WHEN sha256 IS NOT NULL THEN 'reused' WHEN count(sha256) OVER (PARTITION BY size) > 0 OR count(*) FILTER (sha256 IS NULL) OVER (PARTITION BY size, text[1:65536]) >= 2 THEN 'hashed' ELSE 'prefix_only' END AS state FROM x)
+SELECT path, state, CASE WHEN state = 'prefix_only' THEN NULL ELSE full_hash END AS full_hash FROM y""")
+def incremental_exact(spark, sf_dir):
+    files = _digested(spark, sf_dir)
+    return index.incremental(files, A.index_snapshot(files)).select("path", "state", "full_hash")
+
+
+@query(INDEXED + """, e AS (SELECT *, row_number() OVER (ORDER BY ino) - 1 AS s FROM f WHERE ino % 2 = 0), j AS (SELECT coalesce(e.path, i.path) AS path, coalesce(e.mtime, i.mtime) AS mtime, coalesce(i.write_seq, e.s + 1 + (SELECT max(write_seq) FROM i)) AS write_seq FROM e FULL JOIN i ON e.path = i.path)
+SELECT path, mtime, write_seq FROM j ORDER BY write_seq DESC, path LIMIT 600""")
+def index_upsert(spark, sf_dir):
+    files = _digested(spark, sf_dir)
+    fresh = files.filter("ino % 2 = 0").select("path", "dev", "ino", "size", "mtime", F.col("full_hash").alias("sha256"), F.floor(F.col("ino") / 2).alias("write_seq"))
+    return index.upsert(A.index_snapshot(files), fresh, 600).select("path", "mtime", "write_seq")
+
+
+@query(INDEXED + " SELECT path, sha256 FROM i WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.path = i.path AND ext = '.bak')")
+def index_invalidate(spark, sf_dir):
+    files = _digested(spark, sf_dir)
+    acted = files.filter(scalars.extension(scalars.basename(F.col("path"))) == ".bak")
+    return index.invalidate(A.index_snapshot(files), acted).select("path", "sha256")
+
+
+# ---- similarity -------------------------------------------------------------
+
+
+@query(SIGNATURES + " SELECT a, b, ph_distance, dh_distance FROM e")
+def hamming_pairs(spark, sf_dir):
+    return simjoin.hamming_pairs(simjoin.hamming_classes(A.signatures(spark, sf_dir)))
+
+
+@query(SIGNATURES + " SELECT a, b, ph_distance, dh_distance FROM e WHERE (aph >> 48) & 65535 = (bph >> 48) & 65535")
+def hamming_pairs_bucketed(spark, sf_dir):
+    return simjoin.hamming_pairs_bucketed(simjoin.hamming_classes(A.signatures(spark, sf_dir)))
+
+
+CLUSTERED = ", r(a, b) AS (SELECT rep, rep FROM h UNION SELECT r.a, CASE WHEN e.a = r.b THEN e.b ELSE e.a END FROM r JOIN e ON e.a = r.b OR e.b = r.b), z AS (SELECT a AS rep, min(b) AS root FROM r GROUP BY a)"
+
+
+@query(SIGNATURES.replace("WITH own", "WITH RECURSIVE own") + CLUSTERED + " SELECT s.id, root AS cluster FROM s JOIN h USING (ph, dh) JOIN z USING (rep) QUALIFY count(*) OVER (PARTITION BY root) >= 2")
+def image_clusters(spark, sf_dir):
+    return scan.hamming_clusters(A.signatures(spark, sf_dir))
+
+
+@query(SIGNATURES.replace("WITH own", "WITH RECURSIVE own") + CLUSTERED + " SELECT x.root, max(bit_count(xor(p.ph, q.ph)))::BIGINT AS spread FROM z x JOIN z y ON x.root = y.root AND x.rep < y.rep JOIN h p ON p.rep = x.rep JOIN h q ON q.rep = y.rep GROUP BY x.root")
+def cluster_spread(spark, sf_dir):
+    signatures = A.signatures(spark, sf_dir)
+    classes = simjoin.hamming_classes(signatures)
+    clusters = scan.hamming_clusters(signatures).select(F.col("id").alias("node"), F.col("cluster").alias("root"))
+    return simjoin.spread(clusters, classes.select("rep", "ph"), scalars.hamming(F.col("x.ph"), F.col("y.ph")), F.max).withColumn("spread", F.col("spread").cast("bigint"))
+
+
+@query(WORDS + " SELECT a, b, round(similarity, 6) AS similarity FROM e")
+def jaccard_pairs(spark, sf_dir):
+    return simjoin.jaccard_pairs(simjoin.set_classes(A.word_sets(spark, sf_dir))).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(WORDS + CLUSTERED + " SELECT t.id, root AS cluster FROM t JOIN h USING (tokens) JOIN z USING (rep) QUALIFY count(*) OVER (PARTITION BY root) >= 2")
+def similar_clusters(spark, sf_dir):
+    return scan.set_clusters(A.word_sets(spark, sf_dir))
+
+
+@query(FILES + f" SELECT path FROM n WHERE ext NOT IN {IMAGE_EXTENSIONS} EXCEPT SELECT path FROM n QUALIFY count(*) OVER (PARTITION BY size, full_hash) >= 2")
+def advanced_remaining(spark, sf_dir):
+    files = filters.in_scope(_digested(spark, sf_dir), 0)
+    return files.filter(~F.col("is_image")).join(exact.members(files).select("path"), "path", "left_anti").select("path")
+
+
+@query()
+def all_groups(spark, sf_dir):
+    files = A.document_files(spark, sf_dir, content=True)
+    options = ScanOptions(roots=("/src0",), include_hidden=True, advanced_similar=True, fuzzy=False, exclusions=None)
+    return scan.all_groups(files, options).select("group_id", "kind", "path", "size", "keeper", "is_backup")
+
+
+@query()
+def anchor_sets(spark, sf_dir):
+    return fingerprints.with_anchors(A.document_files(spark, sf_dir, content=True)).select("path", F.size("anchors").alias("anchors"))
+
+
+@query()
+def fuzzy_groups(spark, sf_dir):
+    files = filters.in_scope(A.document_files(spark, sf_dir, content=True), 0)
+    return scan.fuzzy_members(files, files.limit(0), ScanOptions()).select("group_id", "path")
+
+
+# ---- logs, plans, previews --------------------------------------------------
+
+
+@query(RUNS + """ SELECT seq, tier, duration, total_files, total_hashed + total_reused AS fingerprinted, CASE WHEN total_hashed + total_reused > 0 THEN round_even(100.0 * total_reused / (total_hashed + total_reused), 0) ELSE 0 END::BIGINT AS cache_hit_pct,
+CASE WHEN duration > 0 THEN round(total_files / duration, 6) ELSE 0 END AS throughput FROM r ORDER BY seq DESC LIMIT 50""")
+def run_log(spark, sf_dir):
+    return logs.run_stats(A.event_runs(spark, sf_dir)).select("seq", "tier", "duration", "total_files", "fingerprinted", "cache_hit_pct", F.round("throughput", 6).alias("throughput"))
+
+
+@query(RUNS + """, x AS (SELECT a.seq, a.tier, a.duration, a.cancelled, arg_max(b.seq, b.seq) AS previous_seq, arg_max(b.duration, b.seq) AS previous_duration FROM r a LEFT JOIN r b ON a.tier = b.tier AND a.sources = b.sources AND b.seq < a.seq AND NOT b.cancelled GROUP BY ALL)
+SELECT *, CASE WHEN cancelled OR previous_seq IS NULL OR duration <= 0 OR previous_duration <= 0 THEN NULL WHEN duration <= previous_duration / 1.15 THEN 'faster' WHEN duration >= previous_duration * 1.15 THEN 'slower' ELSE 'same' END AS verdict FROM x""")
+def run_compare(spark, sf_dir):
+    return logs.compare_runs(A.event_runs(spark, sf_dir))
+
+
+@query(RUNS + " SELECT source, max(seq) AS seq, arg_max(duration, seq) AS duration FROM (SELECT seq, duration, unnest(sources) AS source FROM r) GROUP BY source")
+def last_run_per_source(spark, sf_dir):
+    return logs.last_run_per_source(A.event_runs(spark, sf_dir))
+
+
+@query("SELECT event_id AS before_bytes, epoch(ts)::DOUBLE AS \"when\", event_type AS action, round(value)::BIGINT AS freed, greatest(0, event_id - round(value)::BIGINT) AS after_bytes FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def action_log(spark, sf_dir):
+    actions = A.table(spark, sf_dir, "events").select(F.col("event_id").alias("before_bytes"), F.unix_micros(F.to_timestamp("ts")).alias("us"), F.col("event_type").alias("action"), F.round("value").cast("bigint").alias("freed"))
+    return logs.action_log(actions.withColumn("when", F.col("us") / 1e6)).drop("us")
+
+
+@query("SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'view') AS done, round(count(*) FILTER (event_type <> 'view') / count(*), 6) AS fraction FROM events GROUP BY user_id")
+def progress_ratio(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") != "view").alias("done"))
+    return e.withColumn("fraction", F.round(scalars.fraction(F.col("done"), F.col("total")), 6))
+
+
+@query(GROUPED + " SELECT group_id, path, size, 'trash' AS action, CASE WHEN path IN ('/', '/usr') THEN 'refused' ELSE 'trash' END AS status FROM k WHERE NOT keeper AND NOT (path LIKE '/src2/%')")
+def action_plan(spark, sf_dir):
+    return logs.action_plan(_ranked(spark, sf_dir), "trash", filters.ignored((), ("/src2",)))
+
+
+@query(GROUPED + ", l AS (SELECT a.size, CASE WHEN a.ino = b.ino THEN 'already_linked' ELSE 'link' END AS status FROM k a JOIN k b ON a.group_id = b.group_id AND b.keeper WHERE NOT a.keeper) SELECT 'link' AS action, status, count(*) AS files, sum(size)::BIGINT AS bytes FROM l GROUP BY status")
+def action_totals(spark, sf_dir):
+    return logs.plan_totals(logs.action_plan(_ranked(spark, sf_dir), "link"))
+
+
+_KINDS = " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in exts.split())}) THEN '{kind}'" for kind, exts in PREVIEW_EXTENSIONS.items())
+
+
+@query(FILES + f" SELECT path, CASE {_KINDS} WHEN size > 0 AND NOT contains(text[1:512], chr(0)) THEN 'text' ELSE 'meta' END AS kind FROM n")
+def preview_kind(spark, sf_dir):
+    return A.document_files(spark, sf_dir, content=True).select("path", logs.preview_kind(F.col("path"), F.col("content")).alias("kind"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[1:200], chr(10)) AS preview FROM documents WHERE strlen(text) <= 65536")
+def preview_text(spark, sf_dir):
+    docs = A.table(spark, sf_dir, "documents").filter(F.octet_length("text") <= 65536)
+    return docs.select("doc_id", logs.preview_text(F.col("text").cast("binary")).alias("preview"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
+def strip_markup(spark, sf_dir):
+    return A.table(spark, sf_dir, "pages").select("page_id", scalars.strip_markup(F.col("html")).alias("text"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'econ')")
+def glossary_search(spark, sf_dir):
+    parts = A.table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_name").alias("term"), F.col("p_type").alias("short"), F.col("p_brand").alias("body"), F.array().cast("array<string>").alias("aliases"))
+    return logs.search_glossary(parts, "  ECON ").select("p_partkey", "p_name")
+
+
+@query("SELECT p_brand AS category, min(p_partkey) AS first, count(*) AS entries FROM part GROUP BY p_brand")
+def glossary_categories(spark, sf_dir):
+    return logs.categories(A.table(spark, sf_dir, "part").select(F.col("p_brand").alias("category"), F.col("p_partkey").alias("pos")))
+
+
+@query(FILES + ", m(mount, device, line) AS (VALUES ('/', 'sda1', 0), ('/src1', 'sdb1', 1), ('/src1/en', 'sdc1', 2), ('/src1', 'sdd1', 3)) SELECT path, mount, device FROM n, m WHERE mount = '/' OR path = mount OR path LIKE mount || '/%' QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(mount) DESC, line DESC) = 1")
+def mount_lookup(spark, sf_dir):
+    mounts = spark.createDataFrame([("/", "sda1", 0), ("/src1", "sdb1", 1), ("/src1/en", "sdc1", 2), ("/src1", "sdd1", 3)], "mount string, device string, line int")
+    return logs.mount_of(A.document_files(spark, sf_dir).select("path"), mounts)
+
+
+@query(FILES + " SELECT ext, count(*) AS files, sum(size)::BIGINT AS bytes, CASE ext WHEN '.txt' THEN 'document' WHEN '.jpg' THEN 'image' END AS category FROM n GROUP BY ext")
+def type_breakdown(spark, sf_dir):
+    files = filters.in_scope(A.document_files(spark, sf_dir), 0).groupBy("ext").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    return files.join(F.broadcast(type_table(spark).select("ext", "category")), "ext", "left")
+
+
+@query()
+def human_sizes(spark, sf_dir):
+    files = A.document_files(spark, sf_dir)
+    return files.select("path", scalars.human_bytes(F.col("size")).alias("size_text"), logs.preview_meta(F.col("path"), F.col("size")).alias("meta"), scalars.duration(F.col("size") / 100.0).alias("duration"))
+
+
+@query(FILES + f" SELECT list_has_any(string_split(parent, '/'), {list(PRESET_DIRS['build'])}) AS hit, count(*) AS files FROM n GROUP BY ALL")
+def preset_hits(spark, sf_dir):
+    return A.document_files(spark, sf_dir).select(filters.excluded(("build",)).alias("hit")).groupBy("hit").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query()
+def office_preview(spark, sf_dir):
+    return previews.with_parsed(A.document_files(spark, sf_dir, content=True), previews.archive_text, "entries")

@@ -9,9 +9,10 @@ shares no bucket with a chance of (1 - 0.8^ROWS)^BANDS, about 5e-6.
 Within a bucket no pairs are spelled out: every member is compared with the
 bucket's first class, then, where a bucket still spans several components,
 with its last one; and only what is left in different components after both
-is compared with each other, in a join that a sketch of one bit for each minimum thins
-out. Links are confirmed on the full sets, so pairs of one component that
-weren't compared could not have changed a result.
+is compared with each other, in a join whose condition rules out nearly all pairs that
+aren't linked: by size, by a bitmap of the parities of the sets' hashes, which bounds how far two
+sets differ, and by a sketch of one bit for each minimum. Links are confirmed on the full
+sets, so pairs of one component that weren't compared could not have changed a result.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ BANDS = HASHES // ROWS
 SHINGLE, PERCENT = 5, 80
 #: Most sketch bits in which a candidate pair may differ: 24 are expected at 0.8, and 50 lie 5.5 deviations above.
 SKETCH_BITS = 50
+#: Bits of a set's parity bitmap; sets that differ in d elements have bitmaps that differ in d bits at most.
+PARITY_BITS = 1024
 #: Shingles whose hashes are taken at once; rows of an output batch.
 SLICE, BATCH_ROWS = 1024, 1024
 
@@ -71,66 +74,75 @@ def sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-SIGNED = "doc_id bigint, mark bigint, n_shingles bigint, class binary, keys array<bigint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of elements falls to each bit of a bitmap, in 64-bit words."""
+    counts = np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+SIGNED = "doc_id bigint, mark bigint, n_shingles bigint, class binary, keys array<bigint>"
 
 
 def signer(n: int):
-    """Set size, class (a digest of the set), bucket keys and sketch of each text by its ``n``-word shingles; no keys for an empty set."""
+    """Set size, class (a digest of the set) and bucket keys of each text by its ``n``-word shingles; no keys for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
-                sizes, classes, keys, counts, sketches = [], [], [], [0], []
+                sizes, classes, keys, counts = [], [], [], [0]
                 for text in batch.column(2):
                     found = shingle_set((text.as_py() or "").encode(), n)
                     sizes.append(len(found))
                     classes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     if len(found):
-                        least = minima(found)
-                        keys.append(band_keys(least).view(np.int64))
-                        sketches.append(sketch(least))
-                    else:
-                        sketches.append(np.zeros(4, np.int64))
+                        keys.append(band_keys(minima(found)).view(np.int64))
                     counts.append(BANDS if len(found) else 0)
                 flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(flat))
-                words = np.array(sketches).reshape(-1, 4)
-                columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), lists, *(pa.array(words[:, i]) for i in range(4))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_shingles", "class", "keys", "s0", "s1", "s2", "s3"])
+                columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_shingles", "class", "keys"])
 
     return sign
 
 
+SETS = "class binary, shingles array<bigint>, sketch array<bigint>, parity array<bigint>"
+
+
 def set_maker(n: int):
-    """Class and full set of each text."""
+    """Class, full set, sketch and parity bitmap of each text that has words."""
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS // 4):
-                batch = whole.slice(at, BATCH_ROWS // 4)
-                sets = [shingle_set((text.as_py() or "").encode(), n) for text in batch.column(0)]
-                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+                sets = [shingle_set((text.as_py() or "").encode(), n) for text in whole.slice(at, BATCH_ROWS // 4).column(0)]
+                sets = [s for s in sets if len(s)]
+                if not sets:
+                    continue
                 classes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), lists], names=["class", "shingles"])
+                parts = [[s.view(np.int64) for s in sets], [sketch(minima(s)) for s in sets], [parities(s) for s in sets]]
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, p)]), pa.int32()), pa.array(np.concatenate(p))) for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), *lists], names=["class", "shingles", "sketch", "parity"])
 
     return full_sets
 
 
-#: What is known of a class in a bucket.
-FACTS = ("class", "n_shingles", "s0", "s1", "s2", "s3")
+def _may_link(a: str, b: str):
+    """Whether sizes, parities and sketches allow a link between two structs of class, size, sketch and parity.
+
+    Sets of x and y elements with similarity of p percent or more differ in (x + y) * (100 - p) / (100 + p) elements at most.
+    """
+    small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
 
+    def differ(name: str, words: int):
+        return sum((F.bit_count(F.get(f"{a}.{name}", F.lit(i)).bitwiseXOR(F.get(f"{b}.{name}", F.lit(i)))) for i in range(words)), F.lit(0))
 
-def _may_link(a: str, b: str):
-    """Whether sizes and sketches allow a link between two structs of FACTS."""
-    small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-    differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)), F.lit(0))
-    return (100 * small >= PERCENT * large) & (differ <= SKETCH_BITS)
+    near = (100 + PERCENT) * differ("parity", PARITY_BITS // 64) <= (100 - PERCENT) * (small + large)
+    return (100 * small >= PERCENT * large) & near & (differ("sketch", 4) <= SKETCH_BITS)
 
 
-def _as_pairs(candidates: DataFrame) -> DataFrame:
-    return candidates.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+def _as_pairs(candidates: DataFrame, x: str, y: str) -> DataFrame:
+    return candidates.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -143,38 +155,39 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def class_links(docs: DataFrame, signed: DataFrame, shingle: int) -> DataFrame | None:
     """(node, root) for the classes that are linked with others; None if no two share a bucket."""
-    classes = signed.filter("n_shingles > 0").drop("doc_id", "mark").dropDuplicates(["class"])
-    spread = classes.select(*FACTS, F.explode("keys").alias("key"))
+    classes = signed.filter("n_shingles > 0").select("class", "keys").dropDuplicates(["class"])
+    spread = classes.select("class", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = checkpointed(spread.join(shared, "key", "left_semi").select("key", F.struct(*FACTS).alias("x")))
+    members = checkpointed(spread.join(shared, "key", "left_semi"))
     if members.isEmpty():
         return None
-    wanted = members.select("x.class").distinct()
-    ids = signed.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count_if(F.col("doc_id").isNull()).alias("no_id"))
-    known = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = members.select("class").distinct()
+    ids = checkpointed(signed.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
+    known = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     if not ids.filter("doc_id IS NULL").isEmpty():
-        known = known.unionByName(docs.filter("doc_id IS NULL"))
-    sets = checkpointed(known.select("text").mapInArrow(set_maker(shingle), "class binary, shingles array<bigint>").join(wanted, "class", "left_semi").dropDuplicates(["class"]))
+        known = known.unionByName(docs.filter("doc_id IS NULL").select("text"))
+    sets = checkpointed(known.mapInArrow(set_maker(shingle), SETS).join(wanted, "class", "left_semi").dropDuplicates(["class"]))
+    facts = sets.select("class", F.struct("class", F.size("shingles").alias("size"), "sketch", "parity").alias("x"))
 
-    def leaders(rows: DataFrame, least: bool) -> DataFrame:
-        pick = (F.min if least else F.max)("x")
-        return rows.join(rows.groupBy("key").agg(pick.alias("y")), "key").filter(F.col("x.class") != F.col("y.class"))
+    def leaders(rows: DataFrame, pick) -> DataFrame:
+        first = rows.groupBy("key").agg(pick("class").alias("lead"))
+        return _as_pairs(rows.join(first, "key").filter("class <> lead"), "class", "lead")
 
-    links = checkpointed(_linked(_as_pairs(leaders(members, True).filter(_may_link("x", "y"))), sets))
+    links = checkpointed(_linked(leaders(members, F.min), sets))
     for last in (False, True):
         roots = connected_components(links)
-        placed = members.withColumn("class", F.col("x.class")).join(roots.withColumnRenamed("node", "class"), "class", "left")
-        placed = placed.select("key", "x", F.coalesce("root", "class").alias("root"))
+        placed = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
         placed = checkpointed(placed.join(apart, "key", "left_semi"))
         if placed.isEmpty():
             return roots
         if last:
-            other = placed.select("key", F.col("x").alias("y"), F.col("root").alias("other"))
-            near = placed.join(other, (placed["key"] == other["key"]) & (placed["root"] < other["other"]) & _may_link("x", "y"))
+            full = placed.join(facts, "class").select("key", "root", "x")
+            other = full.select("key", F.col("root").alias("other"), F.col("x").alias("y"))
+            near = full.join(other, (full["key"] == other["key"]) & (full["root"] < other["other"]) & _may_link("x", "y"))
+            more = checkpointed(_linked(_as_pairs(near, "x.class", "y.class"), sets))
         else:
-            near = leaders(placed.select("key", "x"), False).filter(_may_link("x", "y"))
-        more = checkpointed(_linked(_as_pairs(near), sets))
+            more = checkpointed(_linked(leaders(placed.select("key", "class"), F.max), sets))
         if more.isEmpty() and last:
             return roots
         links = links.unionByName(more)

@@ -81,17 +81,22 @@ class Batch:
         return distinct, np.concatenate([[len(self.words)], count]), places, np.repeat(np.arange(len(self.ids)), self.lengths)
 
     def pack(self) -> bytes:
-        """The batch in bytes: distinct words, then the places of all words among them."""
-        distinct, places = np.unique(self.words, return_inverse=True)
+        """The batch in bytes, entropy-coded: distinct words, the most frequent first, then the places of all words among them."""
+        distinct, inverse, counts = np.unique(self.words, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        distinct, places = distinct[order], rank[inverse]
         head = np.array([len(self.ids), len(distinct), len(self.words)], np.int64)
         known = np.array([i is not None for i in self.ids], np.uint8)
         ids = np.array([i or 0 for i in self.ids], np.int64)
         low = places.astype("<u4").view(np.uint8).reshape(-1, 4)
         # one plane for each byte of the places: the high ones are nearly constant
-        return b"".join(x.tobytes() for x in (head, ids, known, self.lengths, distinct, low[:, 0], low[:, 1], low[:, 2], low[:, 3]))
+        return squeeze(b"".join(x.tobytes() for x in (head, ids, known, self.lengths, distinct, low[:, 0], low[:, 1], low[:, 2], low[:, 3])))
 
     @classmethod
     def unpack(cls, packed: bytes) -> Batch:
+        packed = unsqueeze(packed)
         docs, distinct, words = np.frombuffer(packed, np.int64, 3).tolist()
         at = 24
         ids = np.frombuffer(packed, np.int64, docs, at).tolist()
@@ -118,18 +123,28 @@ def batches_of(rows: Iterator[tuple[int | None, str | None]], size: int = BATCH_
         yield Batch(ids, list(map(len, parts)), np.concatenate(parts))
 
 
+def squeeze(raw: bytes) -> bytes:
+    """Entropy-coded bytes behind their length."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted integers as the bytes of their gaps, as many for each as the largest needs."""
-    gaps = np.diff(values, prepend=np.uint64(0))
+    """Sorted integers as the first of them and the bytes of the gaps, as many for each as the largest gap needs."""
+    gaps = np.diff(values)
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([width]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return bytes([width]) + values[:1].astype("<u8").tobytes() + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def unpack_sorted(packed: bytes) -> np.ndarray:
     width = packed[0]
-    raw = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
-    gaps = np.zeros((len(raw), 8), np.uint8)
-    gaps[:, :width] = raw
+    raw = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, width)
+    gaps = np.zeros((len(raw) + 1, 8), np.uint8)
+    gaps[0] = np.frombuffer(packed, np.uint8, 8, 1)
+    gaps[1:, :width] = raw
     return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
 
 
@@ -137,12 +152,12 @@ def pack_planes(values: np.ndarray) -> bytes:
     """Counts byte by byte: all lowest bytes, then all second ones, as far as the largest count needs."""
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
     raw = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + np.ascontiguousarray(raw.T).tobytes()
+    return bytes([width]) + squeeze(np.ascontiguousarray(raw.T).tobytes())
 
 
 def unpack_planes(packed: bytes) -> np.ndarray:
     width = packed[0]
-    planes = np.frombuffer(packed, np.uint8, offset=1).reshape(width, -1)
+    planes = np.frombuffer(unsqueeze(packed[1:]), np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.view("<i8").ravel()

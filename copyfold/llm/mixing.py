@@ -130,6 +130,7 @@ def mix_sized(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs
 
 
 def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken."""
-    out = mix(docs, **parameters).filter("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*docs.columns)
+    """The mix itself: each row of ``docs``, with all columns, as often as it is taken."""
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    out = mix_sized(rows, **parameters).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")

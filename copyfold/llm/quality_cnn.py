@@ -192,4 +192,5 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text is accepted."""
-    return score(docs, fit(docs, labels)).filter("predicted = 1").select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return score(rows, fit(docs, labels)).filter("predicted = 1").select("row.*")

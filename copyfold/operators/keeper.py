@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copyfold.functions.scalars import backup_score, basename, depth, embedded_date, is_derived, pixels, under
+from copyfold.functions.scalars import backup_score, basename, depth, dirname, embedded_date, is_derived, pixels, under
 
 #: Backups whose dates fall into one slot of so many seconds count as one generation.
 SLOT_SECONDS = 300
@@ -68,8 +68,6 @@ def rank(members: DataFrame, preferred: tuple[str, ...] = (), keep_newest: bool
 
 def groups_view(ranked: DataFrame) -> DataFrame:
     """One row for each group: count, keeper, title, reclaimable, occupied, folders."""
-    from copyfold.functions.scalars import dirname
-
     keeper = F.max(F.when(F.col("keeper"), F.col("path")))
     return ranked.groupBy("group_id", "kind").agg(
         F.count(F.lit(1)).alias("files"), keeper.alias("keeper"), F.coalesce(F.max(F.when(F.col("keeper"), basename(F.col("path")))), F.substring("group_id", 1, 12)).alias("title"),

@@ -6,9 +6,7 @@ representatives, and ``*_classes`` says which row is in which class.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyfold.functions.scalars import hamming
@@ -22,6 +20,8 @@ def hamming_classes(signatures: DataFrame) -> DataFrame:
 def _bands(column: str, n: int):
     """``n`` disjoint runs of the bits of a 64-bit word; two words within n - 1 bits agree in one of them."""
     edges = [64 * i // n for i in range(n + 1)]
+    if n == 1:
+        return F.array(column)
     return F.array(*[F.shiftrightunsigned(column, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])])
 
 

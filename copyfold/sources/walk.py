@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from copyfold.functions import dimensions as D
@@ -147,27 +148,23 @@ def same_bytes(a: str, b: str) -> bool | None:
 
 def with_file_digest(files: DataFrame, name: str, limit: int | None = None) -> DataFrame:
     """``files`` with the digest of each file's content (or prefix) in the column ``name``. Reads the executors' file system."""
-    at = files.columns.index("path")
+    at, names = files.columns.index("path"), [*files.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([file_digest(p, limit) for p in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*files.columns, name])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=names)
 
     return files.mapInArrow(run, T.StructType([*files.schema, T.StructField(name, T.StringType())]))
 
 
 def with_same_bytes(pairs: DataFrame) -> DataFrame:
     """``pairs`` (path, first) with the column same."""
-    x, y = pairs.columns.index("path"), pairs.columns.index("first")
+    x, y, names = pairs.columns.index("path"), pairs.columns.index("first"), [*pairs.columns, "same"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([same_bytes(a, b) for a, b in zip(batch.column(x).to_pylist(), batch.column(y).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*pairs.columns, "same"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=names)
 
     return pairs.mapInArrow(run, T.StructType([*pairs.schema, T.StructField("same", T.BooleanType())]))

@@ -13,6 +13,7 @@ from copyfold.operators import exact, filters, index, keeper, logs, previews, si
 from copyfold.options import ScanOptions
 from copyfold.plans import scan
 from copyfold.sources import adapters as A
+from copyfold.sources import walk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -364,6 +365,22 @@ def preset_hits(spark, sf_dir):
     return A.document_files(spark, sf_dir).select(filters.excluded(("build",)).alias("hit")).groupBy("hit").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query()
+def src_walk(spark, sf_dir):
+    found = walk.walk(spark, ScanOptions(roots=(sf_dir,)))
+    return found.select(scalars.basename(F.col("path")).alias("name"), "size")
+
+
+@query()
+def image_fp(spark, sf_dir):
+    return fingerprints.image_fingerprints(A.embedding_images(spark, sf_dir))
+
+
+@query()
+def exif(spark, sf_dir):
+    return previews.with_parsed(A.document_files(spark, sf_dir, content=True), lambda content: previews.exif_fields(content)[0], "taken")
+
+
 @query()
 def office_preview(spark, sf_dir):
     return previews.with_parsed(A.document_files(spark, sf_dir, content=True), previews.archive_text, "entries")

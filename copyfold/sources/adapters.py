@@ -51,6 +51,13 @@ def signatures(spark, sf_dir: str) -> DataFrame:
     return own.unionByName(copies)
 
 
+def embedding_images(spark, sf_dir: str) -> DataFrame:
+    """``embeddings`` as grey images of 8 x 8 pixels in the shape of Spark's image source."""
+    grey = F.transform("embedding", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 40 * x))).cast("bigint")), 2, "0"))
+    image = F.struct(F.col("vec_id").cast("string").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.array_join(grey, "")).alias("data"))
+    return table(spark, sf_dir, "embeddings").select(image.alias("image"))
+
+
 def word_sets(spark, sf_dir: str) -> DataFrame:
     """(id, tokens): the distinct lower-case words of ``documents``."""
     words = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0b]+"), lambda w: w != "")

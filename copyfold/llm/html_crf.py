@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from copyfold.llm.common import broadcast_object
 
 #: Training: labelled pages, passes over them, step size, seed.
-PAGES, PASSES, RATE, SEED = 360, 6, 0.3, 3
+PAGES, PASSES, RATE, SEED = 480, 6, 0.3, 3
 #: Paths whose scores a worker remembers; rows and characters of an output batch.
 MEMO_PATHS, BATCH_ROWS, BATCH_CHARS = 50_000, 1024, 4 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg textarea title math canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Tags that don't end the head; elements whose names say something of the page, not of its parts.
+HEAD, WHOLE = frozenset("html head base link meta title style script noscript template".split()), frozenset(("html", "body"))
 #: Open elements that a start tag ends, up to the nearest of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -121,29 +123,39 @@ def leaf_blocks(page: str) -> list[Block]:
                 pieces.append(" ")
             continue
         flush()
-        if name == "body":
+        if name not in HEAD:
             close({"head"})
         if name in ENDS:
             close(*ENDS[name])
         elif name not in ("li", "td", "th", "dd", "dt"):
             close({"p"}, {"button", "table", "article", "section", "aside", "div"})
         if name not in VOID and not m[3].endswith("/"):
-            names = " ".join(dict.fromkeys(_WORD.findall(" ".join(_NAMED.findall(m[3])).lower()))) if m[3] else ""
+            names = " ".join(dict.fromkeys(_WORD.findall(" ".join(_NAMED.findall(m[3])).lower()))) if m[3] and name not in WHOLE else ""
             path.append((name, names))
     flush()
     return [b for b in blocks if b.path[:1] != (("head", ""),) and not any(t == "head" for t, _ in b.path)]
 
 
+#: Elements that say what their content is for.
+SEMANTIC = frozenset("article main nav aside header footer form section dialog".split())
+
+
 def path_features(path: tuple) -> list[str]:
-    """Tags and names on the way to a block, the nearest tag, and whether they are inside an article."""
+    """Tags and names on the way to a block, the nearest tag and semantic element, and the names below the latter."""
     out = {f"tag={tag}" for tag, _ in path}
-    for _, names in path:
-        out.update(f"name={word}" for word in names.split())
+    nearest, below = "none", []
+    for tag, names in path:
+        words = names.split()
+        out.update(f"name={word}" for word in words)
+        if tag in SEMANTIC:
+            nearest, below = tag, words
+        else:
+            below = below + words
+    out.update(f"below={word}" for word in below)
+    out.update(f"{nearest}>{word}" for word in below)
     if path:
         out.add(f"own={path[-1][0]}")
-    tags = [tag for tag, _ in path]
-    inside = next((t for t in reversed(tags) if t in ("article", "main", "nav", "aside", "header", "footer", "form", "section", "dialog")), "none")
-    out.add(f"nearest={inside}")
+    out.add(f"nearest={nearest}")
     return sorted(out)
 
 
@@ -297,7 +309,7 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[list[Block],
 
     def comments() -> str:
         each = [rng.choice((f"<p>{sentence()}</p>", f"<p>{sentence()}</p><p>{sentence()}</p>", sentence(), f"<b>{words(1, 2)}</b>: {sentence()}")) for _ in range(rng.randint(1, 5))]
-        name = named("comments", "comment", "comment-list", "discussion", "responses", "replies", "disqus", "user-comments", "reader-comments", "respond", "feedback")
+        name = named("comments", "comment", "comment-list", "discussion", "responses", "replies", "disqus", "user-comments", "reader-comments", "respond", "feedback", "commentlist", "comments-area", "usercomments")
         inner = rng.choice(("".join(f"<div {named('comment', 'reply', 'response', 'post')}>{c}</div>" for c in each), "".join(f"<li>{c}</li>" for c in each), "".join(f"<article {named('comment', 'reply')}>{c}</article>" for c in each), "".join(each)))
         return f"<{(tag := rng.choice(('div', 'section', 'ol', 'ul', 'aside')))} {name}><h{(k := rng.choice('234'))}>{words(1, 3)}</h{k}>{inner}</{tag}>"
 
@@ -309,7 +321,7 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[list[Block],
                 f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<p>{text} <a href=/y>{words(1, 4)}</a> {words(1, 9)}</p>", f"<h2>{main(words(1, 6))}</h2>", f"<ul><li>{text}</li><li>{main(words(1, 9))}</li></ul>",
                 f"<blockquote>{text}</blockquote>", f"<blockquote><p>{text}</p></blockquote>", f"<table><tr><td>{main(words(1, 3))}</td><td>{text}</td></tr></table>", f"<pre>{text}</pre>", f"<div>{text}</div>", f"<section><h3>{main(words(1, 4))}</h3><p>{text}</p></section>", f"<figure><img src=a><figcaption>{text}</figcaption></figure>", f"<p>{main(words(1, 4))}</p>", f"<ol><li>{text}<li>{text}</ol>", f"<p><i>{text}</i><br>{words(3, 9)}</p>",
             ), (40, 12, 12, 6, 5, 3, 2, 2, 2, 1, 4, 3, 1, 4, 2, 3))[0])
-            if rng.random() < 0.06:
+            if rng.random() < 0.13:
                 out.append(rng.choice((advert, notice, form, sidebar))())
         if rng.random() < 0.12:
             line = rng.choice(("All rights reserved.", "Copyright 2021 " + words(1, 3), sentence(3, 9) + " All rights reserved.", words(2, 9) + " cookie " + sentence(3, 9), words(1, 5) + " | " + words(1, 5)))

@@ -168,6 +168,13 @@ def test_extraction(field):
     assert html_crf.main_text(PAGE, field) == "Title & more\nFirst bold text goes on.\nSecond <one> here, and it is long enough.\nA point of it.\nAnother point."
 
 
+def test_head_left_open_and_names_of_the_whole_page(field):
+    page = '<html class="no-sidebar"><head><title>no</title><body class="article-page has-sidebar comment"><nav><a href=/>Menu</a></nav><article><h1>A title</h1><p>Some text of it, long enough to be read.</p></article></body>'
+    assert html_crf.main_text(page, field) == "A title\nSome text of it, long enough to be read."
+    assert html_crf.main_text("<head><title>no</title><p>Some text of it, long enough.", field) in ("Some text of it, long enough.", "")
+    assert [b.text for b in html_crf.leaf_blocks("<head><title>no</title><p>Some text.")] == ["Some text."]
+
+
 def test_pages_query(spark, tmp_path, field):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<article><p>" + "word " * 40000 + "</p></article>"), (1, "u", PAGE), (4, "v", "plain text only"), (5, "w", "<p>cut &am"), (6, "w", "<article><p>a tag is cut<a hre")]
     spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, text string").write.parquet(f"{tmp_path}/pages.parquet")

@@ -218,9 +218,10 @@ def test_search(spark, edge_dir):
 def test_search_prunes_without_loss(spark, monkeypatch):
     from copyfold.llm import search
 
-    monkeypatch.setattr(search, "SHARD_DOCS", 150)
+    monkeypatch.setattr(search, "SHARD_DOCS", 70)
     monkeypatch.setattr(search, "BLOCK", 8)
     monkeypatch.setattr(search, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(search, "FIRST_SHARDS", 1)
     rows = [(i, " ".join(f"w{int((i * 2654435761 + k * 40503) % 1000 ** ((k % 3 + 1) / 3))}" for k in range(5 + i % 30))) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
     found = sorted(tuple(r) for r in search.top_documents(docs, docs.filter("doc_id % 50 = 0"), 7).collect())

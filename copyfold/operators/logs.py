@@ -109,8 +109,8 @@ def preview_kind(path: Column, head: Column) -> Column:
 
 
 def preview_text(content: Column, lines: int = 200, limit: int = 65536) -> Column:
-    """The first lines of the first bytes of a text."""
-    text = F.decode(F.substring(content, 1, limit), "UTF-8")
+    """The first lines of the first bytes of a text; bytes that are no UTF-8, as a character cut at the limit, are replaced."""
+    text = F.make_valid_utf8(F.substring(content, 1, limit).cast("string"))
     return F.array_join(F.slice(F.split(text, "\n", -1), 1, lines), "\n")
 
 

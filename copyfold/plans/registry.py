@@ -322,7 +322,7 @@ def preview_kind(spark, sf_dir):
 
 @query("SELECT doc_id, array_to_string(string_split(text, chr(10))[1:200], chr(10)) AS preview FROM documents WHERE strlen(text) <= 65536")
 def preview_text(spark, sf_dir):
-    docs = A.table(spark, sf_dir, "documents").filter(F.octet_length("text") <= 65536)
+    docs = A.table(spark, sf_dir, "documents")
     return docs.select("doc_id", logs.preview_text(F.col("text").cast("binary")).alias("preview"))
 
 

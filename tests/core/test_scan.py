@@ -15,7 +15,7 @@ from copyfold.functions import fingerprints as prints
 from copyfold.operators import exact, filters, index, keeper, logs, simjoin
 from copyfold.operators.components import connected_components
 from copyfold.options import ScanOptions
-from copyfold.plans import scan
+from copyfold.plans import registry, scan
 from copyfold.sources import walk
 from copyfold.streaming.arrivals import IndexStream
 
@@ -230,6 +230,13 @@ def test_plans_and_logs(spark, tmp_path):
     assert [r["category"] for r in logs.categories(glossary).collect()] == ["A", "B"]
 
 
+def test_text_preview_of_every_document(spark, tmp_path):
+    texts = ["", "one\ntwo", "\n".join(map(str, range(300))), "x" * 70_000, "x" * 65_535 + "é" * 9, "x" * 65_534 + "€\nrest", "x" * 65_533 + "😀", "ab\n" * 40_000, "é" * 32_768]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["preview"] for r in registry.QUERIES["preview_text"](spark, str(tmp_path)).collect()}
+    assert found == {i: "\n".join(t.encode()[:65536].decode("utf-8", "replace").split("\n")[:200]) for i, t in enumerate(texts)}
+
+
 def test_the_rest_does_not_need_the_llm_part():
     import ast
     from pathlib import Path

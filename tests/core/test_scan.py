@@ -113,6 +113,36 @@ def test_locality_digest():
     assert prints.locality_digest(b"x" * 100) is None and prints.locality_digest(b"x" * 1000) is None
 
 
+def fuzzy_roots(digests, distance):
+    """Least name of the component of each of the named digests, by comparing all pairs; single ones are left out."""
+    root = {n: n for n in digests}
+    for a, b in combinations(sorted(digests), 2):
+        if prints.digest_distance(digests[a], digests[b]) <= distance and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {n: low if r == high else r for n, r in root.items()}
+    return {n: r for n, r in root.items() if list(root.values()).count(r) > 1}
+
+
+@pytest.mark.parametrize("block", [7, 50, 32768])
+def test_fuzzy_links_are_brute_force(spark, block):
+    rng = random.Random(11)
+    digests = {f"far{i}": bytes(rng.randrange(4) for _ in range(128)) for i in range(20)}
+    for n, base in enumerate(list(digests.values())):
+        for m, steps in enumerate((0, 16, 31, 32, 33, 40)):
+            near = bytearray(base)
+            for at in rng.sample(range(128), steps):
+                near[at] += 1 if near[at] < 3 else -1
+            digests[f"near{n}-{m}"] = bytes(near)
+    spread = bytearray(digests["far0"])
+    for at in range(0, 128, 8):  # one step in each run of eight codes
+        spread[at] += 1 if spread[at] < 3 else -1
+    turned = bytes(3 - c if at < 6 else c for at, c in enumerate(b"\x00" * 6 + digests["far1"][6:]))
+    digests |= {"spread": bytes(spread), "low": b"\x00" * 6 + digests["far1"][6:], "turned": turned, "flat": b"\x01" * 128}
+    links = scan.fuzzy_links(spark.createDataFrame(list(digests.items()), "path string, digest binary"), 80, block)
+    found = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    assert found == fuzzy_roots(digests, 80) and found["spread"] == found["far0"]
+
+
 def png(grey):
     """A grey image as PNG bytes."""
     h, w = grey.shape

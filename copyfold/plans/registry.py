@@ -255,7 +255,7 @@ def advanced_remaining(spark, sf_dir):
 @query()
 def all_groups(spark, sf_dir):
     files = A.document_files(spark, sf_dir, content=True)
-    options = ScanOptions(roots=("/src0",), include_hidden=True, advanced_similar=True, fuzzy=False, exclusions=None)
+    options = ScanOptions(roots=("/src0",), include_hidden=True, advanced_similar=True, exclusions=None)
     return scan.all_groups(files, options).select("group_id", "kind", "path", "size", "keeper", "is_backup")
 
 

@@ -16,7 +16,7 @@ from copyfold.operators import exact, filters, index, keeper, logs, simjoin
 from copyfold.operators.components import connected_components
 from copyfold.options import ScanOptions
 from copyfold.plans import registry, scan
-from copyfold.sources import walk
+from copyfold.sources import adapters, walk
 from copyfold.streaming.arrivals import IndexStream
 
 FILE = "path string, size bigint, mtime double, dev bigint, ino bigint, source string"
@@ -103,6 +103,30 @@ def test_advanced_scan(spark, tmp_path):
     assert {os.path.basename(r["path"]) for r in out} == {"doc1.dat", "doc2.dat"} and {r["kind"] for r in out} == {"similar"}
 
 
+def test_all_groups_query_is_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    big, near, part = text(340_000), text(3000), text(3000)
+    texts = ["same " * 100, "same " * 100, big, big[:9000] + "an edit" + big[9000:], near, near[:500] + "edited" + near[540:], part, part + text(1500), text(3000), "short", ""]
+    rows = [(i + i // 5, t, "en", "src0") for i, t in enumerate(texts)]  # no ids of images
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    content = {r["path"]: bytes(r["content"]) for r in adapters.document_files(spark, str(tmp_path), content=True).collect()}
+    assert max(map(len, content.values())) > prints.ANCHOR_SIZES[1]
+    hashes = {p: hashlib.sha256(c).hexdigest() for p, c in content.items() if c}
+    want = {("exact", p, h) for p, h in hashes.items() if list(hashes.values()).count(h) > 1}
+    rest = {p: content[p] for p in hashes if not any(p == w[1] for w in want)}
+    fuzzy = fuzzy_roots({p: d for p, c in rest.items() if (d := prints.locality_digest(c))}, 80)
+    sets = {p: set(prints.anchors(c)) for p, c in rest.items() if p not in fuzzy and 64 <= len(c) <= 2 << 20}
+    for a, b in combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.55:
+            want |= {("similar", a, a), ("similar", b, a)}
+    want |= {("similar", p, r) for p, r in fuzzy.items()}
+    out = registry.QUERIES["all_groups"](spark, str(tmp_path)).collect()
+    assert {(r["kind"], r["path"], r["group_id"]) for r in out} == want and len(out) == len(want)
+    assert any(len(content[p]) > 2 << 20 for _, p, _ in want) and sum(r["keeper"] for r in out) == len({w[2] for w in want})
+
+
 def test_locality_digest():
     rng = random.Random(6)
     text = " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randrange(50)) for _ in range(800)).encode()

@@ -197,7 +197,7 @@ SELECT path, mtime, write_seq FROM j ORDER BY write_seq DESC, path LIMIT 600""")
 def index_upsert(spark, sf_dir):
     files = _digested(spark, sf_dir)
     fresh = files.filter("ino % 2 = 0").select("path", "dev", "ino", "size", "mtime", F.col("full_hash").alias("sha256"), F.floor(F.col("ino") / 2).alias("write_seq"))
-    return index.upsert(A.index_snapshot(files), fresh, 600).select("path", "mtime", "write_seq")
+    return index.upsert(A.index_snapshot(files), fresh, index.CONTENT_CAP).select("path", "mtime", "write_seq")
 
 
 @query(INDEXED + " SELECT path, sha256 FROM i WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.path = i.path AND ext = '.bak')")

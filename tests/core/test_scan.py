@@ -256,6 +256,24 @@ def test_index_lifecycle(spark, tmp_path):
     assert index.invalidate(entries, files.filter("path = 'a'")).select("path").collect() == [("b",)]
 
 
+def test_index_upsert_query_keeps_the_whole_index(spark, tmp_path):
+    rows = [(i, f"text {i}", "en", "src0") for i in range(1200)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    files = {r["ino"]: (r["path"], r["mtime"]) for r in adapters.document_files(spark, str(tmp_path)).collect()}
+    last = max(i for i in files if i % 3)
+    want = {(p, m + (i % 7 == 0) * (i % 2), i if i % 3 else i // 2 + last + 1) for i, (p, m) in files.items() if i % 3 or i % 2 == 0}
+    found = registry.QUERIES["index_upsert"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want) == 1000
+
+
+def test_index_upsert_drops_the_first_written(spark):
+    row = lambda path, mtime, seq: (path, 1, 1, 5, mtime, "h", seq)
+    old = spark.createDataFrame([row("a", 1.0, 0), row("b", 1.0, 1), row("c", 1.0, 2)], index_schema())
+    new = spark.createDataFrame([row("a", 2.0, 0), row("d", 2.0, 1), row("c", 2.0, 2)], index_schema())
+    kept = [(r["path"], r["mtime"], r["write_seq"]) for r in index.upsert(old, new, 3).collect()]
+    assert kept == [("d", 2.0, 4), ("c", 2.0, 2), ("b", 1.0, 1)]
+
+
 def index_schema():
     from copyfold.schema import CONTENT_INDEX
 

@@ -229,6 +229,38 @@ def test_search_prunes_without_loss(spark, monkeypatch):
     assert [r[:3] for r in found] == [r[:3] for r in want]
 
 
+def test_search_never_reads_a_skipped_block():
+    import numpy as np
+
+    from copyfold.llm import search
+
+    one, two = np.array([1], np.uint64), np.array([2], np.uint64)
+    n = 8 * search.BLOCK
+    words = [np.concatenate([np.repeat(one, 9 if i < 64 else 1), two if i < 80 else one[:0], np.array([1000 + i], np.uint64)]) for i in range(n)]
+    shard = search.Shard.of(list(range(n)), words)
+    dfs = np.diff(shard.starts).astype(float)
+    plain = search.Searcher(shard, dfs, n, 3.0)
+    query = np.array([1, 2], np.uint64)
+    docs, scores = plain.search(query, 10, 0.0)
+    threshold = np.sort(scores)[-10]
+    for poisoned in range(2, 8):
+        searcher = search.Searcher(shard, dfs, n, 3.0)
+        at = np.flatnonzero(shard.docs // search.BLOCK == poisoned)
+        searcher.impacts[at], searcher.dense[poisoned * search.BLOCK : (poisoned + 1) * search.BLOCK] = np.nan, np.nan
+        found, new = searcher.search(query, 10, threshold)
+        assert set(found) == set(docs[scores >= threshold]) and np.isfinite(new).all() and searcher.touched < searcher.listed
+
+
+def test_search_of_repeated_queries_and_no_rows(spark):
+    from copyfold.llm import search
+
+    docs = spark.createDataFrame([(i, "same words here" if i % 2 else f"other {i}") for i in range(60)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(None, "same words"), (None, "same words"), (7, "SAME words words"), (8, None), (9, "unheard")], "doc_id bigint, text string")
+    found = [tuple(r) for r in search.top_documents(docs, asked, 3).collect()]
+    assert sorted((str(q), r, d) for q, r, d, _ in found) == sorted((q, r, d) for q in ("None", "None", "7") for r, d in ((1, 1), (2, 3), (3, 5)))
+    assert search.top_documents(docs.limit(0), asked, 3).count() == 0 and search.top_documents(docs, asked.limit(0), 3).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES))
 def test_empty_tables_give_no_rows(spark, empty_dir, name):
     assert queries.QUERIES[name](spark, empty_dir).collect() == []

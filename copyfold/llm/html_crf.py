@@ -3,9 +3,10 @@
 A page is read into leaf blocks: runs of text between block-level tags, each
 with the path of its open elements. Features of the path (tags, and words of
 class, id and role) and of the text score each block as main text or not;
-transitions tie neighbours; Viterbi decodes the page as a whole. The weights are
+transitions tie neighbours; Viterbi decodes the page as a whole. Features of shape (lengths, links, how much of the
+page is in the boxes around a block) tell text where names don't. The weights are
 trained by maximum likelihood on labelled pages, which ``labelled_pages``
-writes from layouts in common use.
+writes from layouts in common use, a part of them with opaque or foreign names.
 """
 
 from __future__ import annotations
@@ -22,13 +23,21 @@ from pyspark.sql import DataFrame
 from copyfold.llm.common import broadcast_object
 
 #: Training: labelled pages, passes over them, step size, seed.
-PAGES, PASSES, RATE, SEED = 480, 6, 0.3, 3
+PAGES, PASSES, RATE, SEED = 960, 6, 0.3, 3
+#: Share of the training pages whose names say nothing of their parts.
+DISGUISED = 0.5
+#: Open elements around a block that its features look at, the nearest ones.
+PATH = 48
 #: Paths whose scores a worker remembers; rows and characters of an output batch.
 MEMO_PATHS, BATCH_ROWS, BATCH_CHARS = 50_000, 1024, 4 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg textarea title math canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements without markup inside, or with none of the page's text.
+RAW = ("script", "style", "template", "iframe", "svg", "textarea", "title")
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label map mark math merror mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder"
+    " munderover nobr object output picture q rb rp rt ruby s samp semantics slot small span strike strong sub sup time tt u var video wbr".split()
+)
 #: Tags that don't end the head; elements whose names say something of the page, not of its parts.
 HEAD, WHOLE = frozenset("html head base link meta title style script noscript template".split()), frozenset(("html", "body"))
 #: Open elements that a start tag ends, up to the nearest of the second set.
@@ -41,47 +50,85 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+_P_ENDS = ({"p"}, {"button", "table", "article", "section", "aside", "div"})
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)(>|\Z)""", re.S)
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[^\W\d_]+")
+_ENDS_RAW = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
+# a drawing that is left open ends where the page's own markup goes on
+_ENDS_RAW["svg"] = re.compile(r"</svg\b[^>]*(?:>|\Z)|(?=<(?:article|aside|blockquote|body|div|d[dlt]|footer|h[1-6]|header|img|li|main|menu|nav|ol|p|pre|section|table|ul)[\s/>])", re.I)
+_TAG_START = re.compile(r"<[a-zA-Z/!]")
+
+
+class Node:
+    """An open element, linked to the one around it, with the text in its blocks."""
+
+    __slots__ = ("tag", "names", "parent", "in_head", "words", "linked", "chars", "blocks")
+
+    def __init__(self, tag: str, names: str, parent: Node | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.in_head = tag == "head" or (parent is not None and parent.in_head)
+        self.words = self.linked = self.chars = self.blocks = 0
+
+    def path(self) -> tuple:
+        """(tag, names) of the nearest PATH open elements, this one last."""
+        out, node = [], self
+        while node is not None and len(out) < PATH:
+            if node.parent is not None:
+                out.append((node.tag, node.names))
+            node = node.parent
+        return tuple(reversed(out))
 
 
 class Block:
-    """A leaf block: its text, the characters of it inside links, and its path of (tag, names)."""
+    """A leaf block: its text, the characters of it inside links, its words and the element around it."""
 
-    __slots__ = ("text", "linked", "path")
+    __slots__ = ("text", "linked", "words", "node")
 
-    def __init__(self, text: str, linked: int, path: tuple):
-        self.text, self.linked, self.path = text, linked, path
+    def __init__(self, text: str, linked: int, node: Node):
+        self.text, self.linked, self.words, self.node = text, linked, text.count(" ") + 1, node
+
+    @property
+    def path(self) -> tuple:
+        return self.node.path()
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The blocks of a page that have text, in page order.
+    """The blocks of a page that have text, in page order, in time linear in the page's length and depth.
 
-    Scripts, styles and other raw elements have none. Tags that are left open
+    Scripts, styles and other raw elements have none. Raw elements that close
+    themselves are empty; of one that is never closed only the tag is passed over, and of a
+    script or style what stands before the next tag. Tags that are left open
     end with an ancestor or the page; end tags without a start are passed over, and so is a tag that the page's end cuts.
     """
     blocks: list[Block] = []
-    path: list[tuple[str, str]] = []
+    top = Node("", "", None)
+    path: list[Node] = []
+    open_at: dict[str, list[int]] = {}
     pieces: list[str] = []
     state = [0, 0]  # open links, characters inside links
+    unclosed: set[str] = set()
 
     def flush() -> None:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                blocks.append(Block(text, state[1], tuple(p for p in path if p[0] not in INLINE)))
+                node = path[-1] if path else top
+                if not node.in_head:
+                    blocks.append(Block(text, state[1], node))
             pieces.clear()
         state[1] = 0
 
-    def close(tags, until=frozenset()) -> None:
-        for i in range(len(path) - 1, -1, -1):
-            if path[i][0] in tags:
-                flush()
-                del path[i:]
-                return
-            if path[i][0] in until:
-                return
+    def nearest(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
+
+    def close(tags, until=()) -> None:
+        i = nearest(tags)
+        if i >= 0 and i > nearest(until):
+            flush()
+            for node in path[i:]:
+                open_at[node.tag].pop()
+            del path[i:]
 
     def say(raw: str) -> None:
         if raw:
@@ -108,63 +155,89 @@ def leaf_blocks(page: str) -> list[Block]:
             if name == "a":
                 state[0] = 0
             elif name not in INLINE:
-                if name == "p" and not any(t == "p" for t, _ in path):
+                if name == "p" and not open_at.get("p"):
                     flush()
-                close({name})
+                close((name,))
             continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else n
+        if name in _ENDS_RAW:
+            if m[3].endswith("/"):
+                continue
+            end = None if name in unclosed else _ENDS_RAW[name].search(page, at)
+            if end is not None:
+                at = end.end()
+            else:
+                unclosed.add(name)
+                if name in ("script", "style"):
+                    following = _TAG_START.search(page, at)
+                    at = following.start() if following else n
             continue
         if name == "a":
             state[0] = 1
         if name in INLINE:
-            if name in ("br", "img", "wbr") and name != "wbr":
+            if name in ("br", "img"):
                 pieces.append(" ")
             continue
         flush()
         if name not in HEAD:
-            close({"head"})
+            close(("head",))
         if name in ENDS:
             close(*ENDS[name])
-        elif name not in ("li", "td", "th", "dd", "dt"):
-            close({"p"}, {"button", "table", "article", "section", "aside", "div"})
+        else:
+            close(*_P_ENDS)
         if name not in VOID and not m[3].endswith("/"):
             names = " ".join(dict.fromkeys(_WORD.findall(" ".join(_NAMED.findall(m[3])).lower()))) if m[3] and name not in WHOLE else ""
-            path.append((name, names))
+            open_at.setdefault(name, []).append(len(path))
+            path.append(Node(name, names, path[-1] if path else top))
     flush()
-    return [b for b in blocks if b.path[:1] != (("head", ""),) and not any(t == "head" for t, _ in b.path)]
+    for block in blocks:
+        box = block.node
+        for _ in range(3):
+            if box is None:
+                break
+            box.words, box.linked, box.chars, box.blocks = box.words + block.words, box.linked + block.linked, box.chars + len(block.text), box.blocks + 1
+            box = box.parent
+    return blocks
 
 
 #: Elements that say what their content is for.
-SEMANTIC = frozenset("article main nav aside header footer form section dialog".split())
+SEMANTIC = frozenset("article main nav aside header footer form section dialog noscript".split())
 
 
 def path_features(path: tuple) -> list[str]:
     """Tags and names on the way to a block, the nearest tag and semantic element, and the names below the latter."""
     out = {f"tag={tag}" for tag, _ in path}
-    nearest, below = "none", []
+    around, below = "none", []
     for tag, names in path:
         words = names.split()
         out.update(f"name={word}" for word in words)
         if tag in SEMANTIC:
-            nearest, below = tag, words
+            around, below = tag, words
         else:
             below = below + words
     out.update(f"below={word}" for word in below)
-    out.update(f"{nearest}>{word}" for word in below)
+    out.update(f"{around}>{word}" for word in below)
     if path:
         out.add(f"own={path[-1][0]}")
-    out.add(f"nearest={nearest}")
+    out.add(f"nearest={around}")
     return sorted(out)
 
 
-def text_features(block: Block, i: int, n: int) -> list[str]:
-    """Length, links, punctuation and place of a block."""
-    text = block.text
-    words = text.count(" ") + 1
-    out = [f"words={min(words.bit_length(), 7)}", f"linked={min(4, 5 * block.linked // max(1, len(text)))}"]
-    if text[-1] in ".!?…\"”»":
+def _shape(block: Block) -> str:
+    """Length and share of links of a block, coarsely."""
+    return f"{min(block.words.bit_length(), 7) // 2},{min(2, 3 * block.linked // max(1, len(block.text)))}"
+
+
+def text_features(blocks: list[Block], i: int, words: int) -> list[str]:
+    """Length, links, punctuation and place of a block, its neighbours, and the boxes around it; ``words`` is the page's number.
+
+    None of them depends on a language or on names.
+    """
+    block, n = blocks[i], len(blocks)
+    text, node = block.text, block.node
+    linked = min(4, 5 * block.linked // max(1, len(text)))
+    out = [f"words={min(block.words.bit_length(), 7)}", f"linked={linked}"]
+    ends = text[-1] in ".!?…\"”»。！？"
+    if ends:
         out.append("sentence")
     if "©" in text or "opyright" in text or "all rights" in text.lower():
         out.append("rights")
@@ -173,6 +246,15 @@ def text_features(block: Block, i: int, n: int) -> list[str]:
     if "cookie" in text.lower():
         out.append("cookie")
     out.append("first" if i == 0 else "last" if i == n - 1 else f"at={4 * i // n}")
+    out.append(f"before={_shape(blocks[i - 1])}" if i else "before=none")
+    out.append(f"after={_shape(blocks[i + 1])}" if i < n - 1 else "after=none")
+    own, box, hull = node.tag, node.parent or node, (node.parent.parent if node.parent else None) or node.parent or node
+    for name, around in (("box", box), ("hull", hull)):
+        share = 8 * around.words // max(1, words)
+        out.append(f"{name}={share}")
+        out.append(f"{name} links={min(4, 5 * around.linked // max(1, around.chars))}")
+        out.append(f"{name} blocks={min(around.blocks.bit_length(), 4)}")
+    out.append(f"{own},{int(ends)},{min(linked, 1)},{min(4, 8 * box.words // max(1, words))}")
     return out
 
 
@@ -186,15 +268,16 @@ class ChainField:
 
     def emissions(self, blocks: list[Block]) -> list[float]:
         """For each block, how much more label 1 scores than label 0."""
-        out, n, get = [], len(blocks), self.weights.get
+        out, get, words = [], self.weights.get, sum(b.words for b in blocks)
         for i, block in enumerate(blocks):
-            score = self._memo.get(block.path)
+            path = block.path
+            score = self._memo.get(path)
             if score is None:
-                score = sum(get(f, 0.0) for f in path_features(block.path))
+                score = sum(get(f, 0.0) for f in path_features(path))
                 if len(self._memo) >= MEMO_PATHS:
                     self._memo.clear()
-                self._memo[block.path] = score
-            out.append(score + sum(get(f, 0.0) for f in text_features(block, i, n)))
+                self._memo[path] = score
+            out.append(score + sum(get(f, 0.0) for f in text_features(blocks, i, words)))
         return out
 
     def decode(self, blocks: list[Block]) -> list[int]:
@@ -223,7 +306,8 @@ class ChainField:
         rows = []
         for blocks, labels in pages:
             if blocks:
-                feats = [path_features(b.path) + text_features(b, i, len(blocks)) for i, b in enumerate(blocks)]
+                words = sum(b.words for b in blocks)
+                feats = [path_features(b.path) + text_features(blocks, i, words) for i, b in enumerate(blocks)]
                 rows.append((feats, labels))
         for _ in range(passes):
             rng.shuffle(rows)
@@ -264,10 +348,50 @@ def _marginals(e: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 #: Marks main text in the pages that labelled_pages writes.
 MARK = "\x02"
+#: Names that sites in other languages give the parts of a page, by the English one.
+FOREIGN = {
+    "menu": ("menue", "menú", "menü", "navigazione", "navegacion", "hauptmenue"),
+    "nav": ("navegacao", "navi", "navigation", "navegación"),
+    "header": ("kopf", "kopfzeile", "entete", "cabecera", "cabeçalho", "intestazione", "encabezado"),
+    "footer": ("fuss", "fusszeile", "pied", "pie", "rodape", "rodapé", "piede", "fußzeile"),
+    "sidebar": ("seitenleiste", "barra", "colonne", "lateral", "seite"),
+    "related": ("verwandt", "relacionados", "connexes", "correlati", "weitere"),
+    "comments": ("kommentare", "commentaires", "comentarios", "comentários", "commenti", "reacties", "leserbriefe", "kommentarer"),
+    "comment": ("kommentar", "commentaire", "comentario", "comentário", "commento", "reactie"),
+    "reply": ("antwort", "reponse", "respuesta", "resposta", "risposta"),
+    "advert": ("werbung", "anzeige", "publicidad", "publicite", "pubblicita", "publicidade"),
+    "ad": ("anzeigen", "pub", "anuncio"),
+    "newsletter": ("rundbrief", "boletin", "infolettre", "boletim"),
+    "search": ("suche", "recherche", "buscar", "busca", "ricerca"),
+    "notice": ("hinweis", "aviso", "avis", "avviso"),
+    "article": ("artikel", "articulo", "artigo", "articolo", "artículo", "beitrag"),
+    "content": ("inhalt", "contenu", "contenido", "conteudo", "contenuto"),
+    "text": ("texte", "texto", "testo", "fliesstext"),
+}
+
+
+def _disguised(page: str, rng: random.Random) -> str:
+    """The page with class names and ids that say nothing, or say it in other languages, and mostly without semantic tags."""
+    foreign, opaque = rng.random() < 0.65, {}
 
+    def name(word: str) -> str:
+        if foreign:
+            return rng.choice(FOREIGN[word]) if word in FOREIGN else word
+        return opaque.setdefault(word, rng.choice(("x", "css", "c", "jsx", "sc", "u")) + rng.choice(("", "-", "_")) + "".join(rng.choice("abcdefghkmnpqrstvwxyz0123456789") for _ in range(rng.randint(1, 6))))
 
-def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[list[Block], list[int]]]:
-    """Blocks and labels of ``n`` pages in varied layouts: semantic or plain tags, menus, adverts, notices, forms, comments, sloppy markup."""
+    page = re.sub(r'(class|id)="([^"]*)"', lambda m: f'{m[1]}="{" ".join("-".join(name(part) for part in re.split("[-_]", w)) for w in m[2].split())}"', page)
+    page = re.sub(r' role="[^"]*"', "", page)
+    for tag in sorted(SEMANTIC - {"form", "noscript"}):
+        if rng.random() < 0.6:
+            page = re.sub(rf"<(/?){tag}\b", r"<\1div", page)
+    return page
+
+
+def labelled_pages(n: int = PAGES, seed: int = SEED, disguised: float = 0.0) -> list[tuple[list[Block], list[int]]]:
+    """Blocks and labels of ``n`` pages in varied layouts: semantic or plain tags, menus, adverts, notices, forms, comments, sloppy markup.
+
+    A share of ``disguised`` has names that don't tell what a part is for.
+    """
     rng = random.Random(seed)
 
     def words(low: int, high: int) -> str:
@@ -297,7 +421,7 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[list[Block],
     def notice() -> str:
         name = named("cookie", "cookies", "consent", "notice", "gdpr", "alert", "popup", "modal", "newsletter", "subscribe", "paywall", "disclaimer", "message", "warning", "banner")
         text = rng.choice((sentence(), f"We use cookies. {sentence()}", f"{words(2, 5)} cookie {sentence()}"))
-        return rng.choice((f"<div {name}><p>{text}</p><button>{words(1, 2)}</button></div>", f"<div {name}>{text}</div>", f'<div role="{rng.choice(("dialog", "alert", "banner"))}"><p>{text}</p></div>', f"<dialog>{text}</dialog>", f"<p {name}>{text}</p>"))
+        return rng.choice((f"<div {name}><p>{text}</p><button>{words(1, 2)}</button></div>", f"<div {name}>{text}</div>", f'<div role="{rng.choice(("dialog", "alert", "banner"))}"><p>{text}</p></div>', f"<dialog>{text}</dialog>", f"<p {name}>{text}</p>", f"<noscript>{text}</noscript>", f"<noscript><p>{text}</p></noscript>"))
 
     def form() -> str:
         inner = f"<label>{words(1, 3)}</label><input name=q><button>{words(1, 2)}</button>"
@@ -315,12 +439,13 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[list[Block],
 
     def paragraphs() -> str:
         out = []
-        for i in range(rng.randint(1, 12)):
-            text = main(" ".join(sentence() for _ in range(rng.choice((1, 1, 2, 3, 6)))))
+        brief = rng.random() < 0.15
+        for i in range(rng.randint(1, 3 if brief else 12)):
+            text = main(sentence(1, 4) if brief or rng.random() < 0.06 else " ".join(sentence() for _ in range(rng.choice((1, 1, 2, 3, 6)))))
             out.append(rng.choices((
                 f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<p>{text} <a href=/y>{words(1, 4)}</a> {words(1, 9)}</p>", f"<h2>{main(words(1, 6))}</h2>", f"<ul><li>{text}</li><li>{main(words(1, 9))}</li></ul>",
-                f"<blockquote>{text}</blockquote>", f"<blockquote><p>{text}</p></blockquote>", f"<table><tr><td>{main(words(1, 3))}</td><td>{text}</td></tr></table>", f"<pre>{text}</pre>", f"<div>{text}</div>", f"<section><h3>{main(words(1, 4))}</h3><p>{text}</p></section>", f"<figure><img src=a><figcaption>{text}</figcaption></figure>", f"<p>{main(words(1, 4))}</p>", f"<ol><li>{text}<li>{text}</ol>", f"<p><i>{text}</i><br>{words(3, 9)}</p>",
-            ), (40, 12, 12, 6, 5, 3, 2, 2, 2, 1, 4, 3, 1, 4, 2, 3))[0])
+                f"<blockquote>{text}</blockquote>", f"<blockquote><p>{text}</p></blockquote>", f"<table><tr><td>{main(words(1, 3))}</td><td>{text}</td></tr></table>", f"<pre>{text}</pre>", f"<div>{text}</div>", f"<section><h3>{main(words(1, 4))}</h3><p>{text}</p></section>", f"<figure><img src=a><figcaption>{text}</figcaption></figure>", f"<p>{main(words(1, 4))}</p>", f"<p>{text} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {words(1, 9)}</p>", f"<ol><li>{text}<li>{text}</ol>", f"<p><i>{text}</i><br>{words(3, 9)}</p>",
+            ), (40, 12, 12, 6, 5, 3, 2, 2, 2, 1, 4, 3, 1, 4, 1, 2, 3))[0])
             if rng.random() < 0.13:
                 out.append(rng.choice((advert, notice, form, sidebar))())
         if rng.random() < 0.12:
@@ -345,7 +470,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[list[Block],
 
     out = []
     for _ in range(n):
-        blocks = leaf_blocks(page())
+        text = page()
+        blocks = leaf_blocks(_disguised(text, rng) if rng.random() < disguised else text)
         labels = [int(MARK in b.text) for b in blocks]
         for b in blocks:
             b.text = b.text.replace(MARK, "").strip() or "x"
@@ -354,8 +480,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[list[Block],
 
 
 def trained(pages: list[tuple[list[Block], list[int]]] | None = None) -> ChainField:
-    """A chain field fitted to ``pages``; by default to those of labelled_pages."""
-    return ChainField().fit(labelled_pages() if pages is None else pages)
+    """A chain field fitted to ``pages``; by default to those of labelled_pages, a part of them disguised."""
+    return ChainField().fit(labelled_pages(disguised=DISGUISED) if pages is None else pages)
 
 
 def main_text(page: str, field: ChainField) -> str:
@@ -368,7 +494,8 @@ def extract_main_text(pages: DataFrame, field: ChainField | None = None) -> Data
     """page_id, url, text and n_chars (code points) of every row of ``pages`` (page_id, url, html).
 
     Null or empty html gives an empty text; ids and urls pass as they are, so
-    null or repeated ones do no harm. Whole pages are read, of any length. Further columns are not read.
+    null or repeated ones do no harm. Whole pages are read, of any length and depth. An
+    empty table gives no rows. Further columns are not read.
     """
     model = broadcast_object(pages.sparkSession, field or trained())
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ def op1_topk_search(spark, sf_dir):
 
 
 def op2_license_scan(spark, sf_dir):
-    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("places")
 
 
 def op3_stupid_backoff(spark, sf_dir):
@@ -106,17 +108,20 @@ r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, p.b F
 SELECT r.doc_id, any_value(len(s.g))::BIGINT AS n_shingles, min(reached) AS component_id, r.doc_id = min(reached) AS kept FROM r JOIN s USING (doc_id) GROUP BY r.doc_id
 """,
     "op2_license_scan": r"""
-WITH t(label, words) AS (SELECT label, list_distinct(string_split(text, ' ')) FROM (VALUES %s) v(label, text)),
+WITH t(template, label, words) AS (SELECT template, label, string_split(text, ' ') FROM (VALUES %s) v(template, label, text)),
+k AS (SELECT template, label, len(words) + len(words) // 4 AS span, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS tokens FROM t),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w, row_number() OVER () AS r FROM documents),
-b AS (SELECT r, unnest(list_transform(range(0, greatest(len(w), 1), 24), lambda i: list_distinct(w[i + 1:i + 48]))) AS x FROM d),
-h AS (SELECT r, list_distinct(list(label)) AS labels, max(len(list_intersect(x, words)) / len(words)) AS score FROM b, t WHERE len(list_intersect(x, words)) >= ceil(0.8 * len(words) - 1e-9) GROUP BY r),
+g AS (SELECT r, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS token FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)),
+o AS (SELECT r, template, label, span, n, pos, token FROM g JOIN (SELECT template, label, span, len(tokens) AS n, unnest(tokens) AS token FROM k) USING (token)),
+b AS (SELECT a.r, a.label, a.template, a.pos, a.n, count(DISTINCT b.token) AS shared FROM o a JOIN o b ON a.r = b.r AND a.template = b.template AND b.pos BETWEEN a.pos AND a.pos + a.span - 2 GROUP BY ALL HAVING shared >= ceil(0.8 * a.n - 1e-9)),
+h AS (SELECT r, list_distinct(list(label)) AS labels, max(shared / n) AS score FROM b GROUP BY r),
 p AS (SELECT *, list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i:i + 3] = ['under', 'the', 'mit', 'license'] THEN {'i': i - 1, 'l': 'mit'}
         WHEN w[i:i + 3] = ['apache', 'license', 'version', '2'] THEN {'i': i - 1, 'l': 'apache-2'} WHEN w[i:i + 2] = ['cc', 'by', 'nc'] THEN {'i': i - 1, 'l': 'cc-by-nc'} END), lambda z: z IS NOT NULL) AS z FROM d),
 q AS (SELECT *, list_sort(list_distinct(list_transform(z, lambda y: y.l))) AS base FROM p)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(z)::BIGINT AS n_base, list_min(list_transform(z, lambda y: y.i))::BIGINT AS first_word, list_max(list_transform(z, lambda y: y.i))::BIGINT AS last_word,
        coalesce(array_to_string(base, ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM q LEFT JOIN h USING (r)
-""" % ", ".join(f"('{label}', '{text}')" for label, text in licenses.TEMPLATES),
+""" % ", ".join(f"({i}, '{label}', '{' '.join(re.findall('[a-z0-9]+', text.lower()))}')" for i, (label, text) in enumerate(licenses.TEMPLATES)),
     "op3_stupid_backoff": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 t AS (SELECT r, i, w[i] AS w3, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS w23, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS w123, CASE WHEN i > 1 THEN w[i - 1] END AS w2, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS w12

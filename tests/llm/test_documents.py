@@ -170,22 +170,47 @@ def test_minhash_finds_chains_in_a_hot_group(spark):
     assert found == {i: least[r] for (i, _), r in zip(rows, roots)}
 
 
+def license_row(i, t):
+    """The licence columns of a row, by looking through every block of every template's length."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    places = sorted((k, label) for label, p in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+    best, labels = 0.0, {label for _, label in places}
+    for label, template in licenses.TEMPLATES:
+        x = re.findall("[a-z0-9]+", template.lower())
+        pairs = set(zip(x, x[1:]))
+        span = len(x) + len(x) // licenses.SLACK
+        for at in [k for k in range(len(w) - 1) if (w[k], w[k + 1]) in pairs]:
+            share = len(pairs & set(zip(w[at : at + span], w[at + 1 : at + span]))) / len(pairs)
+            if share >= licenses.CONTAINED - 1e-9:
+                best = max(best, share)
+                labels.add(label)
+    base = {label for _, label in places}
+    return i, len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(labels)), best
+
+
 def test_license_scan(spark, edge_dir):
-    want = []
-    for i, t in ROWS:
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
-        places = sorted((k, label) for label, p in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
-        best, labels = 0.0, {label for _, label in places}
-        for label, template in licenses.TEMPLATES:
-            s = set(template.split())
-            for at in range(0, max(1, len(w)), licenses.STEP):
-                share = len(s & set(w[at : at + licenses.BLOCK])) / len(s)
-                if share >= licenses.CONTAINED - 1e-9:
-                    best = max(best, share)
-                    labels.add(label)
-        base = {label for _, label in places}
-        want.append((i, len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(labels)), best))
-    assert collected(queries.op2_license_scan(spark, edge_dir)) == sorted(want, key=repr)
+    assert collected(queries.op2_license_scan(spark, edge_dir)) == sorted((license_row(i, t) for i, t in ROWS), key=repr)
+
+
+def test_license_blocks(spark):
+    """Whole texts, texts with gaps and changes, words in another order, many copies of one notice, long documents."""
+    texts = dict(enumerate([
+        "no reserved seats here and all rights to refunds lapse", "All  RIGHTS\nreserved!", "reserved rights all", "all rights are reserved",
+        *[text for _, text in licenses.TEMPLATES], *[" ".join(text.split()[:-3]) for _, text in licenses.TEMPLATES], *[" ".join(reversed(text.split())) for _, text in licenses.TEMPLATES],
+        *["start of it " + text.replace(" of ", " of some ").replace("software", "program") + " and its end" for _, text in licenses.TEMPLATES],
+        "x " * 30000 + "All rights reserved. " + "of the software and this permission " * 2000 + licenses.TEMPLATES[3][1],
+    ]))
+    rows = list(texts.items()) + [(1000 + k, texts[5]) for k in range(3000)] + [(None, "")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = licenses.scan_licenses(docs)
+    found = {r["doc_id"]: r for r in out.filter("doc_id < 2000").collect()}
+    for i, t in rows[: len(texts) + 1]:
+        if i is not None:
+            assert tuple(found[i])[:8] == license_row(i, t)
+    assert found[0]["labels"] == "" and found[1]["labels"] == "all-rights-reserved" and found[2]["labels"] == ""
+    places = found[len(texts) - 1]["places"]
+    assert [(p["first_word"], p["last_word"]) for p in places if p["label"] == "all-rights-reserved"] == [(30000, 30002)] and any(p["label"] == "mit" and p["share"] == 1 for p in places)
+    assert out.count() == len(rows) and out.filter("doc_id IS NULL AND labels = ''").count() == 3000
 
 
 def test_stupid_backoff(spark, edge_dir):

@@ -4,7 +4,7 @@ A source's target is min(cap, level * weight); the one level at which all
 targets add up to what is asked for is what clamping sources at their cap and
 sharing the excess among the others by weight comes to. The whole part of
 target / size repeats each document; the rest is a seeded sample: documents in
-the order of a hash of seed and doc_id, until the words are met.
+the order of a hash of seed, doc_id and text, until the words are met.
 """
 
 from __future__ import annotations
@@ -31,9 +31,15 @@ def n_words(text: Column) -> Column:
     return F.when(words == "", F.lit(0)).otherwise(gaps + 1).cast("bigint")
 
 
+def text_mark(text: Column) -> Column:
+    """A digest of a text; null: that of the empty one."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def ticket(seed: int) -> Column:
-    """A document's place in the sampling order, from 0 to 2^60 - 1."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    """A document's place in the sampling order, from 0 to 2^60 - 1, by its doc_id and mark."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("mark"))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def water_fill(sources: DataFrame, total: Column, max_epochs: float) -> DataFrame:
@@ -109,18 +115,18 @@ def join_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """``docs`` (doc_id, text, source) with size, source_size, target, and copies: how often the mix takes each row.
 
-    Rows that share source and doc_id have one ticket and are taken alike. A
-    null doc_id has a ticket too; a null or empty text has size 0; a source
+    Rows that share source, doc_id and text have one ticket and are taken alike; rows
+    without doc_id are told apart by their texts. A null or empty text has size 0; a source
     without words gets target 0. An empty table gives no rows. Columns of
     ``docs`` that clash with the new ones are replaced.
     """
-    own = [c for c in docs.columns if c not in ("size", "ticket", "source_size", "target", "copies")]
-    rows = docs.select(*own, n_words(F.col("text")).alias("size"))
-    return mix_sized(rows, weights, share, max_epochs, seed).select(*own, "size", "source_size", "target", "copies")
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), text_mark(F.col("text")).alias("mark"), F.struct(*own).alias("row"))
+    return mix_sized(rows, weights, share, max_epochs, seed).select("row.*", "size", "source_size", "target", "copies")
 
 
 def mix_sized(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """``rows`` (doc_id, source, size) with ticket, source_size, target and copies; see mix."""
+    """``rows`` (doc_id, source, size, mark) with ticket, source_size, target and copies; see mix."""
     rows = rows.withColumn("ticket", ticket(seed))
     sizes = checkpointed(rows.groupBy("source", "ticket").agg(F.sum("size").alias("size")))
     sources = checkpointed(source_targets(sizes, weights, share, max_epochs))
@@ -131,6 +137,6 @@ def mix_sized(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs
 
 def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:
     """The mix itself: each row of ``docs``, with all columns, as often as it is taken."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), text_mark(F.col("text")).alias("mark"), F.struct(*docs.columns).alias("row"))
     out = mix_sized(rows, **parameters).filter("copies > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")

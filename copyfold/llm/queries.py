@@ -27,7 +27,7 @@ def op3_stupid_backoff(spark, sf_dir):
 
 def op4_source_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    out = mixing.mix_sized(checkpointed(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))))
+    out = mixing.mix_sized(checkpointed(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), mixing.text_mark(F.col("text")).alias("mark"))))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -64,7 +64,7 @@ QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_stupid
 ORACLES: dict[str, str] = {
     "op4_source_mixing": r"""
 WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-             ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS ticket FROM documents),
+             ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS ticket FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source),
 t AS (SELECT *, 1.5 * sum(source_size) OVER () AS asked FROM s),
 -- the level: of all candidate levels, one for each set of the k sources that are full first, the one that is consistent

@@ -3,18 +3,17 @@
 Texts are equal when their normalised bytes are. Each input partition first
 inserts its byte strings into a compressed radix trie, which folds local
 copies into one terminal node with the smallest identifier and a count. What
-is left is dealt by length and content hash to owner partitions; these insert
+is left is dealt by length and content hash to owner partitions, where Spark sorts it by the two; the owners insert
 the full byte strings into tries of their own. A hot text thus costs an owner
-at most a row for each input partition. When a trie outgrows its budget, an
-owner writes the largest subtree to a scratch file of its task and finishes it
-later, by itself, under the same budget; the combiner hands it on at once.
+at most a row for each input partition. When a trie outgrows its budget, its
+largest subtrees are let go: the combiner hands their strings on to the owners, and an
+owner returns them as finished, which they are once the next length and hash
+begin. So tries stay in their budget, and what must wait on disk waits in Spark's own sort.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,17 +28,17 @@ TRIE_BUDGET = 32 << 20
 BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 
 
-#: A string, its smallest id (null: no row has one), the rows that have this id, and all its rows.
-Item = tuple[bytes, int | None, int, int]
+#: A string, its digest (null: not taken yet), its smallest id (null: no row has one), the rows that have this id, and all its rows.
+Item = tuple[bytes, bytes | None, int | None, int, int]
 
 
 class Node:
-    """An edge label, the nodes below by first byte, and at terminals the smallest id, its rows and all rows."""
+    """An edge label, the nodes below by first byte, and at terminals the digest, the smallest id, its rows and all rows."""
 
-    __slots__ = ("label", "below", "best", "best_rows", "rows")
+    __slots__ = ("label", "below", "digest", "best", "best_rows", "rows")
 
     def __init__(self, label: bytes):
-        self.label, self.below, self.best, self.best_rows, self.rows = label, None, None, 0, 0
+        self.label, self.below, self.digest, self.best, self.best_rows, self.rows = label, None, None, None, 0, 0
 
 
 def _shared(a: bytes, b: bytes, at: int) -> int:
@@ -60,7 +59,7 @@ class PatriciaTrie:
     def __init__(self):
         self.root, self.held = Node(b""), 0
 
-    def insert(self, key: bytes, best: int | None, best_rows: int = 1, rows: int = 1) -> None:
+    def insert(self, key: bytes, digest: bytes | None, best: int | None, best_rows: int = 1, rows: int = 1) -> None:
         node, at = self.root, 0
         while at < len(key):
             below = node.below
@@ -87,6 +86,7 @@ class PatriciaTrie:
             node.best_rows += best_rows
         elif node.rows == 0 or node.best is None or best is not None and best < node.best:
             node.best, node.best_rows = best, best_rows
+        node.digest = digest
         node.rows += rows
 
     def items(self, prefix: bytes = b"", node: Node | None = None) -> Iterator[Item]:
@@ -96,7 +96,7 @@ class PatriciaTrie:
             head, node = stack.pop()
             key = head + node.label
             if node.rows:
-                yield key, node.best, node.best_rows, node.rows
+                yield key, node.digest, node.best, node.best_rows, node.rows
             if node.below:
                 stack.extend((key, child) for child in node.below.values())
 
@@ -127,36 +127,22 @@ class PatriciaTrie:
 def own(strings: Iterator[Item], budget: int = TRIE_BUDGET) -> Iterator[Item]:
     """Each distinct string with its smallest id and number of rows, in memory of about ``budget`` bytes.
 
-    A subtree that is cut goes to a scratch file, and so does each later string
-    below the same path; every file is then owned in turn in the same way. Its
-    strings share a longer prefix than those of the trie that it came from, so this ends.
+    Strings come in the order of length and digest, so that equal ones follow
+    each other. Where length or digest change, all that the trie holds is
+    finished, and a trie over its budget lets go of its largest subtrees.
     """
-    trie, files = PatriciaTrie(), {}
-
-    def spill(head: bytes, top: Node) -> None:
-        name = head + top.label[:1]
-        if name not in files:
-            files[name] = tempfile.TemporaryFile()
-        for item in trie.items(head, top):
-            pickle.dump(item, files[name], protocol=5)
-
-    longest: list[int] = []
+    trie, last = PatriciaTrie(), None
     for item in strings:
-        for n in longest:
-            if (file := files.get(item[0][:n])) is not None:
-                pickle.dump(item, file, protocol=5)
-                break
-        else:
-            trie.insert(*item)
-            if trie.held > budget and trie.root.below and _forks(trie.root):
-                spill(*trie.cut())
-                longest = sorted({len(name) for name in files}, reverse=True)
+        mark = len(item[0]), item[1]
+        if mark != last:
+            last = mark
+            while trie.held > budget and _forks(trie.root):
+                yield from trie.items(*trie.cut())
+            if trie.held > budget:
+                yield from trie.items()
+                trie = PatriciaTrie()
+        trie.insert(*item)
     yield from trie.items()
-    del trie
-    trie = PatriciaTrie()
-    for name in list(files):
-        with files.pop(name) as file:
-            yield from own(_read(file), budget)
 
 
 def _forks(root: Node) -> bool:
@@ -167,17 +153,6 @@ def _forks(root: Node) -> bool:
     return bool(node.below)
 
 
-def _read(file) -> Iterator[Item]:
-    file.seek(0)
-    unpickler = pickle.Unpickler(file)
-    while True:
-        try:
-            yield unpickler.load()
-        except EOFError:
-            return
-        unpickler.memo = {}
-
-
 PARTIAL = pa.schema([("length", pa.int64()), ("digest", pa.binary()), ("content", pa.binary()), ("keep_id", pa.int64()), ("keep_rows", pa.int64()), ("group_size", pa.int64())])
 OWNED = pa.schema([("digest", pa.string()), ("keep_id", pa.int64()), ("keep_rows", pa.int64()), ("group_size", pa.int64())])
 
@@ -201,12 +176,12 @@ def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie()
 
         def out(items):
-            for key, *rest in items:
+            for key, _, *rest in items:
                 yield len(key), hashlib.sha256(key).digest(), key, *rest
 
         for batch in batches:
             for key, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                trie.insert(key, doc_id)
+                trie.insert(key, None, doc_id)
                 while trie.held > TRIE_BUDGET and _forks(trie.root):
                     yield from out(trie.items(*trie.cut()))
                 if trie.held > TRIE_BUDGET:
@@ -218,13 +193,23 @@ def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def own_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Own the byte strings of one length-and-hash partition; the columns of PARTIAL in."""
+    """Own the byte strings of one length-and-hash partition; the columns of PARTIAL in, sorted by length and digest."""
 
     def strings():
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in PARTIAL.names[2:]))
-
-    rows = ((hashlib.sha256(key).hexdigest(), *rest) for key, *rest in own(strings()))
+            at = 0
+            while at < batch.num_rows:
+                # whole rows, some megabytes of them at a time
+                lengths = batch.column(0).slice(at, BATCH_ROWS).to_pylist()
+                n = total = 0
+                while n < len(lengths) and total < BATCH_BYTES:
+                    total += lengths[n]
+                    n += 1
+                part = batch.slice(at, n)
+                yield from zip(*(part.column(c).to_pylist() for c in ("content", "digest", "keep_id", "keep_rows", "group_size")))
+                at += n
+
+    rows = ((digest.hex(), *rest) for _, digest, *rest in own(strings()))
     return _batches(rows, OWNED, lambda row: 100)
 
 
@@ -237,7 +222,8 @@ def owners(docs: DataFrame) -> DataFrame:
     """One row for each distinct normalised text: digest (hex SHA-256), keep_id, group_size."""
     content = docs.select(normalised(F.col("text")).cast("binary").alias("content"), F.col("doc_id").cast("bigint"))
     partial = content.mapInArrow(combine, "length bigint, digest binary, content binary, keep_id bigint, keep_rows bigint, group_size bigint")
-    return partial.repartition("length", "digest").mapInArrow(own_partition, "digest string, keep_id bigint, keep_rows bigint, group_size bigint")
+    dealt = partial.repartition("length", "digest").sortWithinPartitions("length", "digest")
+    return dealt.mapInArrow(own_partition, "digest string, keep_id bigint, keep_rows bigint, group_size bigint")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -251,16 +237,18 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("digest"))
     groups = checkpointed(owners(docs))
-    out = join_groups(ids, groups, "digest", "group_size", F.col("doc_id"))
+    out = join_groups(ids, groups, "digest", "group_size", F.coalesce("doc_id", F.monotonically_increasing_id()))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, that exact_dedup keeps; of rows that repeat a text and its smallest id, one."""
-    groups = checkpointed(owners(docs)).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("keep_rows").alias("_rows"))
-    digest = F.sha2(normalised(docs["text"]).cast("binary"), 256)
-    out = docs.join(groups, (digest == groups["_digest"]) & docs["doc_id"].eqNullSafe(groups["_keep"]))
+    """The rows of ``docs``, with all columns, that exact_dedup keeps; of rows that repeat a text and its smallest id, the one with the smallest hash of all columns."""
+    groups = checkpointed(owners(docs))
+    groups = groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("keep_rows").alias("_rows"))
+    digest = F.sha2(normalised(F.col("text")).cast("binary"), 256)
+    rows = docs.select(digest.alias("digest"), F.col("doc_id").cast("bigint").alias("id"), F.struct(*docs.columns).alias("row"))
+    out = rows.join(groups, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_keep")))
     if groups.filter("_rows > 1").isEmpty():
-        return out.select(*[docs[c] for c in docs.columns])
-    once = out.filter("_rows = 1").unionByName(out.filter("_rows > 1").dropDuplicates(["_digest"]))
-    return once.select(*docs.columns)
+        return out.select("row.*")
+    tied = out.filter("_rows > 1").groupBy("digest").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return out.filter("_rows = 1").select("row.*").unionByName(tied.select("row.*"))

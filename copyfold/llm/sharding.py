@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from copyfold.llm.common import checkpointed
+
 #: Fixed values of the published algorithm.
 MULTIPLIER = 2862933555777941757
-#: Ids of a block of slots share all but so many low bits.
-BLOCK_BITS = 16
 #: Repeated rows are told apart in runs of so many.
 RUN = 1 << 16
 
@@ -74,6 +74,10 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     and CRC. grown_shard is the shard among one more. Rows that are alike in
     all three get slots in a row; they are counted before the shuffle and told apart
     after it, so any number of them costs no task more than RUN rows at once.
+
+    Ids are dealt to ranges of about equal numbers of rows, however they lie; slots are
+    counted within a range and shard, after the rows of the ranges before. A null text has no bytes; texts
+    of any length do no harm. An empty table gives no rows. Further columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -82,14 +86,16 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     alike = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
-    alike = alike.withColumn("shard", jump_hash(F.col("doc_id"), shards)).withColumn("block", F.shiftright("doc_id", BLOCK_BITS))
-    blocks = alike.groupBy("shard", "block").agg(F.sum("n").alias("in_block"))
-    before = Window.partitionBy("shard").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("shard", "block", F.coalesce(F.sum("in_block").over(before), F.lit(0)).alias("block_start"))
-    within = Window.partitionBy("shard", "block").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    alike = alike.withColumn("shard", jump_hash(F.col("doc_id"), shards))
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").asc_nulls_first(), "size", "text_crc32"]
+    alike = checkpointed(alike.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = alike.groupBy("shard", "range").agg(F.sum("n").alias("rows"))
+    starts = starts.select("shard", "range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("range_start"))
+    within = Window.partitionBy("shard", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = alike.withColumn("start", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    same = (placed["shard"] == blocks["shard"]) & placed["block"].eqNullSafe(blocks["block"])
-    placed = placed.join(blocks, same).select(placed["doc_id"], "size", "text_crc32", placed["shard"], "n", (F.col("start") + F.col("block_start")).alias("start"))
+    placed = placed.join(starts, ["shard", "range"]).withColumn("start", F.col("start") + F.col("range_start"))
     runs = placed.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(RUN).cast("bigint"))))
     each = runs.withColumn("i", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN, F.col("n")) - 1)))
     return each.select(

@@ -20,8 +20,8 @@ from copyfold.llm.common import broadcast_object
 
 #: Shape of the network: bytes of a chunk, bytes between chunks, filters, hidden units.
 CHUNK, STRIDE, FILTERS, HIDDEN = 24, 8, 24, 16
-#: Training: labelled rows of each class at most, chunks of a text drawn at a time, steps, texts of a step, step size, seed.
-SAMPLE_PER_CLASS, TRAIN_CHUNKS, STEPS, STEP_TEXTS, RATE, SEED = 700, 400, 640, 32, 0.004, 7
+#: Training: labelled rows of each class at most, steps, texts of a step, step size, seed.
+SAMPLE_PER_CLASS, STEPS, STEP_TEXTS, RATE, SEED = 700, 640, 32, 0.004, 7
 #: Rows whose crc32(doc_id) mod 4 is HELD_OUT are never trained on.
 FOLDS, HELD_OUT = 4, 2
 #: A text is accepted from this score on.
@@ -61,6 +61,20 @@ class Network:
             out += self.tables[offset][data[starts + offset]]
         return out
 
+    def best(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's largest response over all chunks, and the start of the chunk that has it."""
+        most, where = None, None
+        for i in range(0, len(starts), SLICE):
+            part = self.responses(data, starts[i : i + SLICE])
+            top = part.argmax(axis=0)
+            here = part[top, np.arange(FILTERS)]
+            if most is None:
+                most, where = here, starts[i + top]
+            else:
+                where = np.where(here > most, starts[i + top], where)
+                most = np.maximum(most, here)
+        return most, where
+
     def pooled(self, text: bytes) -> np.ndarray:
         """Each filter's largest response over the whole text."""
         data, starts = padded(text), chunk_starts(len(text))
@@ -99,9 +113,8 @@ class Adam:
 def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Network:
     """Fit a network to labelled texts.
 
-    Classes weigh alike. Every pass draws up to TRAIN_CHUNKS chunks of a text,
-    anew; scoring always takes all of them. Without texts of both classes the
-    network scores all texts by the share of label 1 (none: 0.5).
+    Classes weigh alike. Every step looks at all chunks of its texts, as scoring
+    does. Without texts of both classes the network scores all texts by the share of label 1 (none: 0.5).
     """
     rng = np.random.default_rng(seed)
     net = Network(rng)
@@ -120,11 +133,9 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Network:
             rows = order[at : at + STEP_TEXTS]
             windows, best = [], []
             for r in rows:
-                s = starts[r] if len(starts[r]) <= TRAIN_CHUNKS else np.sort(rng.choice(starts[r], TRAIN_CHUNKS, replace=False))
-                response = net.responses(data[r], s)
-                top = response.argmax(axis=0)
-                best.append(response[top, np.arange(FILTERS)])
-                windows.append(data[r][s[top][:, None] + np.arange(CHUNK)])
+                most, where = net.best(data[r], starts[r])
+                best.append(most)
+                windows.append(data[r][where[:, None] + np.arange(CHUNK)])
             pooled = np.array(best, np.float32)
             squashed = np.tanh(pooled)
             hidden, logit = net.head(pooled)
@@ -148,14 +159,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     """Train on at most ``per_class`` labelled rows of each class, those with the smallest hash of doc_id, outside the held-out fold.
 
     The sample is bounded, so it may go to the driver and its ids may be
-    broadcast. Texts are whole. Labels other than 0 and 1, and ids that aren't in ``docs``, don't count.
+    broadcast. Texts are whole. Labels other than 0 and 1, ids with both labels, and ids that aren't in
+    ``docs`` don't count; of rows that repeat an id, the smallest text stands for it.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter((fold() != HELD_OUT) & F.col("quality").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most").drop("most")
     order = F.xxhash64(F.col("doc_id"), F.lit(SEED))
     chosen = [known.filter(F.col("quality") == q).orderBy(order, "doc_id").limit(per_class) for q in (0, 1)]
-    sample = chosen[0].unionByName(chosen[1]).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    sample = chosen[0].unionByName(chosen[1])
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return train([(r["text"] or "").encode() for r in rows], [r["quality"] for r in rows])
 
 
@@ -183,7 +196,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``, by a network fitted to ``labels``.
 
     held_out is whether the row is in the fold that training leaves out (null
-    ids: false). Rows that repeat are scored alike. An empty table gives no rows.
+    ids: false). Null texts score as empty ones, texts of any length as a whole; rows that repeat are scored
+    alike. An empty table gives no rows. Further columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     scored = score(rows, fit(rows, labels))

@@ -44,16 +44,49 @@ def test_drop_copies_keeps_one_row_of_each_text(spark, edge_dir):
     assert Counter(normal(r["text"]) for r in out.collect()) == Counter({normal(t) for _, t in ROWS})
 
 
-def test_trie_spills_by_subtree():
+def test_trie_lets_go_of_subtrees():
     strings = [(b"%06d" % (i * 7919 % 1000) + b"x" * (i % 50), i, 1, 1) for i in range(3000)]
     strings += [(b"", 5, 1, 1), (b"", 3, 2, 2)]
     want = {}
     for key, best, best_rows, rows in strings:
         b, br, n = want.get(key, (best, 0, 0))
         want[key] = (min(b, best), best_rows if best < b or n == 0 else br + (best_rows if best == b else 0), n + rows)
+    dealt = sorted(((key, hashlib.sha256(key).digest(), *rest) for key, *rest in strings), key=lambda r: (len(r[0]), r[1]))
     for budget in (1 << 30, 50_000, 3_000, 100):
-        found = list(trie_dedup.own(iter(strings), budget))
-        assert {key: tuple(rest) for key, *rest in found} == want and len(found) == len(want)
+        found = list(trie_dedup.own(iter(dealt), budget))
+        assert {key: tuple(rest) for key, _, *rest in found} == want and len(found) == len(want)
+        assert all(digest == hashlib.sha256(key).digest() for key, digest, *_ in found)
+
+
+def test_drop_copies_of_tied_rows_with_clashing_names(spark):
+    rows = [(1, "same  text", f"r{k}", k) for k in range(50)] + [(2, "same text", "x", 0), (None, "no id", "a", 1), (None, "no  id", "b", 2), (3, "alone", "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _rows string, digest int")
+    kept = [sorted(map(repr, trie_dedup.drop_copies(d).collect())) for d in (docs, docs.repartition(5), docs.coalesce(1).orderBy("_rows"))]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 3 and trie_dedup.drop_copies(docs).columns == docs.columns
+
+
+def test_sharding_of_sparse_ids(spark):
+    from copyfold.llm import sharding
+
+    ids = [(i * 0x9E3779B97F4A7C15) % (1 << 63) for i in range(4000)] + [None] * 5
+    docs = spark.createDataFrame([(i, "t") for i in ids], "doc_id bigint, text string")
+    out = sharding.shard_documents(docs).collect()
+    for shard in range(24):
+        own = sorted((r["slot"], r["doc_id"]) for r in out if r["shard"] == shard and r["doc_id"] is not None)
+        assert own == sorted(own, key=lambda x: x[1])
+        slots = sorted(r["slot"] for r in out if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_mixing_of_rows_without_ids(spark):
+    """Rows without id of one source, far more of them than the mix takes: their texts tell them apart."""
+    rows = [(None, f"{'w ' * (5 + k % 40)}{k}", "a") for k in range(400)] + [(k, f"{'w ' * (5 + k % 40)}{k}", "b") for k in range(400)] + [(7, f"again {k} times", "c") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken, target = Counter(), {}
+    for r in mixing.mix(docs).collect():
+        taken[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+    assert len(target) == 3 and all(abs(taken[s] - target[s]) <= 46 for s in target)
 
 
 def test_sharding(spark, edge_dir):

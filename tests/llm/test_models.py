@@ -110,6 +110,25 @@ def test_labels_of_the_held_out_fold_change_nothing(spark, edge_dir):
     assert np.array_equal(nets[0].tables, nets[1].tables)
 
 
+def test_clashing_labels_and_repeated_ids(spark):
+    docs = [(i, f"text {i} " * 5) for i in range(40)]
+    labels = [(i, i % 2) for i in range(40)]
+    plain = quality_cnn.fit(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    more = spark.createDataFrame(docs + [(i, f"text {i} " * 5 + "z") for i in range(40)] * 3 + [(99, "both")], "doc_id bigint, text string")
+    known = spark.createDataFrame(labels + labels[::-1] + [(99, 0), (99, 1), (98, 1)], "doc_id bigint, quality int")
+    for frame in (more, more.repartition(7)):
+        assert np.array_equal(quality_cnn.fit(frame, known).tables, plain.tables)
+
+
+def test_training_looks_at_all_chunks():
+    net = quality_cnn.Network(np.random.default_rng(1))
+    data = quality_cnn.padded(bytes(random.Random(2).randrange(256) for _ in range(40000)))
+    starts = quality_cnn.chunk_starts(40000)
+    most, where = net.best(data, starts)
+    whole = net.responses(data, starts)
+    assert np.array_equal(most, whole.max(axis=0)) and np.array_equal(where, starts[whole.argmax(axis=0)])
+
+
 def test_quality_of_odd_rows(spark, edge_dir):
     out = queries.op8_quality_cnn(spark, edge_dir).collect()
     assert len(out) == len(edge_rows()) and all(0 <= r["score"] <= 1 for r in out)

@@ -6,30 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyfold.checkpoints import checkpointed
+from copyfold.skew import HOT_FLOOR, join_groups
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _link(pairs: DataFrame, least: DataFrame) -> DataFrame:
-    """Edges (b, least of a) for the pairs (a, b), the larger end first, each once."""
-    linked = pairs.join(least, "a").select(F.col("b").alias("_b"), "m").filter("_b <> m")
+def _link(pairs: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Edges (b, least of a) for the pairs (a, b), the larger end first, each once; ``least`` (a, m, n) counts the pairs of a in n."""
+    if total > HOT_FLOOR and dict(pairs.dtypes)["a"] in ("string", "binary", "bigint"):
+        linked = join_groups(pairs, least, "a", "n", F.col("b"), total)
+    else:
+        linked = pairs.join(least, "a")
+    linked = linked.select(F.col("b").alias("_b"), "m").filter("_b <> m")
     return linked.select(F.greatest("_b", "m").alias("a"), F.least("_b", "m").alias("b")).distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Link each larger neighbour of a node to the least of the node and its neighbours."""
     both = _both_ways(edges)
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _link(both.filter("b > a"), least)
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return _link(both.filter("b > a"), least, 2 * total)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Link a node and its smaller neighbours to the least of these; edges come with the larger end first."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
     own = least.select("a", F.col("a").alias("b"))
-    return _link(edges.select("a", "b").unionByName(own), least)
+    return _link(edges.select("a", "b").unionByName(own), least, 2 * total)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,11 +43,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Both steps keep the components; they are alternated until every edge leads
     to a root, which takes about log n turns. Each turn is checkpointed. No
     neighbourhood is gathered: a node's neighbours stay rows, and only their
-    minimum is taken. Loops and repeated edges do no harm.
+    minimum is taken, which comes back to them by ``join_groups``. Loops and repeated edges do no harm.
     """
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        following = checkpointed(_small_star(_large_star(now)))
+        total = now.count()
+        large = checkpointed(_large_star(now, total)) if total > HOT_FLOOR else _large_star(now, total)
+        following = checkpointed(_small_star(large, total))
         unsettled = following.join(following.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
         doubled = following.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         if unsettled.isEmpty() and doubled.isEmpty():

@@ -1,7 +1,8 @@
 """Exact groups: size, prefix, digest, bytes, inodes.
 
-Content is digested where it is read, so only digests move. Singletons of a
-size are dropped by a semi-join on the sizes that repeat, whose counts combine before the shuffle.
+Content is digested where it is read, so only digests move, and is read once: digests are
+checkpointed. Counts of sizes and digests combine before the shuffle and come back
+to the rows by ``join_groups``, so a size or digest that very many files have is in no single task.
 """
 
 from __future__ import annotations
@@ -9,6 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from copyfold.checkpoints import checkpointed
+from copyfold.skew import join_groups
+
+
+#: Groups of one digest and different bytes that are broadcast, at most.
+DIFFERING = 10_000
+
 
 def size_buckets(files: DataFrame) -> DataFrame:
     """Sizes that more than one file has, with the number of files."""
@@ -16,8 +24,9 @@ def size_buckets(files: DataFrame) -> DataFrame:
 
 
 def candidates(files: DataFrame) -> DataFrame:
-    """Files that share their size with another."""
-    return files.join(size_buckets(files).select("size"), "size", "left_semi")
+    """Files that share their size with another; content had better not be a column yet."""
+    sizes = size_buckets(files).withColumnRenamed("files", "_files")
+    return join_groups(files, sizes, "size", "_files", F.col("path")).filter("_files IS NOT NULL").drop("_files")
 
 
 def with_digests(files: DataFrame, prefix_bytes: int = 65536) -> DataFrame:
@@ -36,20 +45,24 @@ def digest_groups(digested: DataFrame) -> DataFrame:
 
 
 def members(digested: DataFrame) -> DataFrame:
-    """The files of all digest groups, with group_id."""
-    groups = digest_groups(digested).select(F.col("group_id").alias("full_hash"), "size")
-    return digested.join(groups, ["full_hash", "size"], "left_semi").withColumn("group_id", F.col("full_hash"))
+    """The files of all digest groups, with group_id; sizes and digests are taken once and checkpointed."""
+    rows = checkpointed(digested)
+    groups = digest_groups(rows).select(F.concat_ws(":", "group_id", F.col("size")).alias("_group"), F.col("files").alias("_files"))
+    found = join_groups(rows.withColumn("_group", F.concat_ws(":", "full_hash", F.col("size"))), groups, "_group", "_files", F.col("path"))
+    return found.filter("_files IS NOT NULL").drop("_group", "_files").withColumn("group_id", F.col("full_hash"))
 
 
 def verified(found: DataFrame, files: DataFrame) -> DataFrame:
-    """``found`` (group_id, path) without the groups of which a file's bytes differ from those of the first path.
+    """``found`` (group_id, path) without the groups whose files' bytes aren't all the same.
 
-    Every file is held against one representative; a group is dropped whole.
+    The smallest and the largest content of a group are equal if and only if all are. Both combine before the
+    shuffle, so a task sends on two contents of a group at most; a group is dropped whole.
     """
-    contents = found.select("group_id", "path").join(files.select("path", "content"), "path")
-    first = found.groupBy("group_id").agg(F.min("path").alias("path"))
-    first = first.join(files.select("path", F.col("content").alias("first")), "path").select("group_id", "first")
-    differ = contents.join(first, "group_id").filter(~F.col("content").eqNullSafe(F.col("first"))).select("group_id").distinct()
+    contents = files.select("path", "content").join(found.select("group_id", "path"), "path")
+    ends = contents.groupBy("group_id").agg(F.min("content").alias("least"), F.max("content").alias("most"), F.count_if(F.col("content").isNull()).alias("unread"))
+    differ = checkpointed(ends.filter((F.col("unread") > 0) | (F.col("least") != F.col("most"))).select("group_id"))
+    if differ.count() <= DIFFERING:
+        return found.join(F.broadcast(differ), "group_id", "left_anti")
     return found.join(differ, "group_id", "left_anti")
 
 
@@ -62,9 +75,13 @@ def collapse_inodes(found: DataFrame) -> DataFrame:
     return each.join(groups, "group_id", "left_semi")
 
 
-def exact_members(files: DataFrame, verify_bytes: bool = True) -> DataFrame:
-    """The whole cascade over files with binary content."""
-    found = members(with_digests(candidates(files)))
+def exact_members(files: DataFrame, verify_bytes: bool = True, prefix_bytes: int = 65536) -> DataFrame:
+    """The whole cascade over files with binary content: size, prefix, digest, bytes, inodes.
+
+    Content is hashed in the scan that reads it, so neither screen moves content: size and prefix are checked among the digests.
+    """
+    digested = with_digests(files, prefix_bytes)
+    found = members(digested).drop("prefix")
     if verify_bytes:
         found = verified(found, files)
     return collapse_inodes(found)

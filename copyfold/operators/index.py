@@ -8,10 +8,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from copyfold.checkpoints import checkpointed
 from copyfold.operators.exact import candidates
 
-#: Most entries that the content index and the image index keep.
+#: Entries to which a content index and an image index can be cut; nothing is cut unless a cap is asked for.
 CONTENT_CAP, IMAGE_CAP = 300_000, 200_000
+#: What an image index knows of a file.
+IMAGE_VALUES = ("phash", "dhash", "width", "height")
 
 
 def lookup(files: DataFrame, index: DataFrame, values: tuple[str, ...] = ("sha256",)) -> DataFrame:
@@ -43,8 +46,19 @@ def reuse_counts(scanned: DataFrame) -> DataFrame:
     return scanned.groupBy("source").agg(F.count_if(F.col("state") == "reused").alias("reused"), F.count_if(F.col("state") == "hashed").alias("hashed"))
 
 
-def upsert(index: DataFrame, entries: DataFrame, cap: int = CONTENT_CAP) -> DataFrame:
-    """The index with ``entries`` (write_seq from 0 in the order written) put in; the last ``cap`` written stay.
+def image_prints(files: DataFrame, index: DataFrame, fingerprint) -> DataFrame:
+    """``files`` with the IMAGE_VALUES of each and reused: looked up in an image index, else ``fingerprint`` of the misses.
+
+    ``fingerprint`` makes (path, *IMAGE_VALUES) of the files that it is given; only misses are read. A file that it has no row for has nulls.
+    """
+    known = checkpointed(lookup(files, index, IMAGE_VALUES))
+    hits, misses = known.filter("phash IS NOT NULL"), known.filter("phash IS NULL").drop(*IMAGE_VALUES)
+    fresh = misses.join(fingerprint(misses).select("path", *IMAGE_VALUES), "path", "left")
+    return hits.withColumn("reused", F.lit(True)).unionByName(fresh.withColumn("reused", F.lit(False)))
+
+
+def upsert(index: DataFrame, entries: DataFrame, cap: int | None = None) -> DataFrame:
+    """The index with ``entries`` (write_seq from 0 in the order written) put in; with ``cap``, the last so many written stay.
 
     A path that is there already keeps its place in that order.
     """
@@ -54,7 +68,7 @@ def upsert(index: DataFrame, entries: DataFrame, cap: int = CONTENT_CAP) -> Data
     start = (index.agg(F.max("write_seq")).head()[0] if index.columns else None) or 0
     merged = old.join(new, "path", "full").withColumn("_row", F.coalesce("_new", "_old"))
     merged = merged.select("path", *[F.col(f"_row.{c}").alias(c) for c in columns], F.coalesce(F.col("_seq"), F.col("_new_seq") + start + 1).alias("write_seq"))
-    return merged.orderBy(F.desc("write_seq"), "path").limit(cap)
+    return merged if cap is None else merged.orderBy(F.desc("write_seq"), "path").limit(cap)
 
 
 def invalidate(index: DataFrame, acted: DataFrame) -> DataFrame:
@@ -70,8 +84,10 @@ def save(index: DataFrame, folder: str) -> str:
 
 
 def load(spark, path: str, schema) -> DataFrame:
-    """A saved version; one that is missing or can't be read is an empty index."""
+    """A saved version; one that is missing is an empty index. One that can't be read is an error, so that it isn't written over."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)

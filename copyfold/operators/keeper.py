@@ -92,6 +92,12 @@ def savings(ranked: DataFrame) -> DataFrame:
     return totals.join(groups, F.lit(True)).withColumn("freed_fraction", F.when(F.col("occupied") > 0, F.round(F.least(F.lit(1.0), F.col("reclaimable_sum") / F.col("occupied")), 6)).otherwise(0.0))
 
 
+def scan_totals(scanned: DataFrame, ranked: DataFrame) -> DataFrame:
+    """One row of a whole scan: files, hashed and reused of ``scanned`` (path, state), and savings of its groups."""
+    totals = scanned.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("state") == "hashed").alias("hashed"), F.count_if(F.col("state") == "reused").alias("reused"))
+    return savings(ranked).join(totals, F.lit(True))
+
+
 def per_source(files: DataFrame, roots: list[str]) -> DataFrame:
     """Files and bytes of every root, also of those without files."""
     spark = files.sparkSession

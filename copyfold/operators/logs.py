@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copyfold.functions.dimensions import PREVIEW_EXTENSIONS, PROTECTED
 from copyfold.functions.scalars import basename, extension, human_bytes, under
-from copyfold.schema import GLOSSARY
+from copyfold.schema import ACTIONS_LOG, GLOSSARY, RUNS
 
 #: Entries that the run log and the action log keep; a change of duration by this factor is one.
 RUNS_KEPT, ACTIONS_KEPT, CHANGED = 50, 100, 1.15
@@ -49,9 +50,42 @@ def action_log(actions: DataFrame) -> DataFrame:
     return actions.withColumn("after_bytes", F.greatest(F.lit(0), F.col("before_bytes") - F.col("freed"))).orderBy(F.desc("when"), F.desc("before_bytes")).limit(ACTIONS_KEPT)
 
 
+def append(entry: DataFrame, folder: str) -> None:
+    """Add the rows of ``entry`` to a log; each append is a file of its own, so nothing is written over."""
+    entry.coalesce(1).write.mode("append").parquet(folder)
+
+
+def load_log(spark, folder: str, schema) -> DataFrame:
+    """A log's rows in no order; one that is missing is empty."""
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def load_runs(spark, folder: str) -> DataFrame:
+    """The run log, newest first, the last RUNS_KEPT."""
+    return load_log(spark, folder, RUNS).orderBy(F.desc("seq")).limit(RUNS_KEPT)
+
+
+def load_actions(spark, folder: str) -> DataFrame:
+    """The action log with after_bytes, newest first, the last ACTIONS_KEPT."""
+    return action_log(load_log(spark, folder, ACTIONS_LOG))
+
+
+def action_entry(outcomes: DataFrame, action: str, when: float, before_bytes: int) -> DataFrame:
+    """The log row of a confirmed action from its ``outcomes`` (path, size, done, error): ok if any file was done, and the first error by path."""
+    return outcomes.agg(
+        F.lit(float(when)).alias("when"), F.lit(action).alias("action"), F.count_if("done").cast("bigint").alias("files"), F.coalesce(F.sum(F.when(F.col("done"), F.col("size"))), F.lit(0)).cast("bigint").alias("freed"),
+        F.lit(before_bytes).cast("bigint").alias("before_bytes"), (F.count_if("done") > 0).alias("ok"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("path"))).alias("error"),
+    ).select(*ACTIONS_LOG.names)
+
+
 def protected(path: Column, home: str | None = None) -> Column:
     """Whether a path is one that no action touches; what lies below it may be acted on."""
-    stripped = F.rtrim(path, F.lit("/"))
+    stripped = F.rtrim(F.regexp_replace(F.regexp_replace(path, "/(?:[.]?/)+", "/"), "/[.]$", ""), F.lit("/"))
     return (path == "/") | stripped.isin(*[p.rstrip("/") for p in (*PROTECTED, home or str(Path.home()))])
 
 
@@ -92,6 +126,17 @@ def search_glossary(entries: DataFrame, query: str) -> DataFrame:
     return entries.filter(F.contains(text, F.lit(query.strip().lower())))
 
 
+def glossary_entry(entries: DataFrame, key: str) -> DataFrame:
+    """The entry of a key: no row or one, the first listed."""
+    return entries.filter(F.col("key") == key).orderBy("pos").limit(1)
+
+
+def glossary_short(entries: DataFrame, key: str) -> str:
+    """The short text of a key; empty if there is none."""
+    found = glossary_entry(entries, key).select("short").head()
+    return (found["short"] or "") if found else ""
+
+
 def categories(entries: DataFrame) -> DataFrame:
     """Categories in the order in which they first appear, with their entries."""
     return entries.groupBy("category").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("entries")).orderBy("first")
@@ -102,7 +147,7 @@ def preview_kind(path: Column, head: Column) -> Column:
     ext = extension(basename(path))
     out = None
     for kind, names in PREVIEW_EXTENSIONS.items():
-        out = F.when(ext.isin(*names.split()), kind) if out is None else out.when(ext.isin(*names.split()), kind)
+        out = F.when(ext.isin(*names), kind) if out is None else out.when(ext.isin(*names), kind)
     first = F.substring(head, 1, 512)
     sniffed = F.when((F.length(first) > 0) & ~F.contains(first, F.lit(b"\x00")), "text").otherwise("meta")
     return out.otherwise(sniffed)

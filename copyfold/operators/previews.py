@@ -4,31 +4,37 @@ from __future__ import annotations
 
 import difflib
 import io
+import lzma
 import re
 import struct
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Members of an office file that hold its text, in the order in which they are tried; characters and entries shown.
-OFFICE_MEMBERS, OFFICE_CHARS, ARCHIVE_ENTRIES = ("word/document.xml", "content.xml", "ppt/slides/slide1.xml", "xl/sharedStrings.xml"), 6000, 200
+#: Members of an office file that hold its text, in the order in which they are tried; bytes read of one, characters and entries shown.
+OFFICE_MEMBERS, OFFICE_BYTES, OFFICE_CHARS, ARCHIVE_ENTRIES = ("word/document.xml", "content.xml", "ppt/slides/slide1.xml"), 1 << 18, 6000, 200
+#: What damaged, encrypted and unknown archives raise.
+DAMAGED = (zipfile.BadZipFile, tarfile.TarError, zlib.error, lzma.LZMAError, OSError, EOFError, KeyError, ValueError, RuntimeError, NotImplementedError, struct.error)
 _TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4}
 
 
 def office_text(content: bytes) -> str | None:
-    """Text of an office file's main member without markup; else the number of its sheets; null if it isn't a zip."""
+    """Text in the first OFFICE_BYTES of an office file's main member, without markup; else the number of its sheets; null if it has neither or is damaged."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             names = z.namelist()
             for member in OFFICE_MEMBERS:
                 if member in names:
-                    text = re.sub(r"<[^>]+>", " ", z.read(member).decode("utf-8", "replace"))
+                    with z.open(member) as f:
+                        text = re.sub(r"<[^>]+>", " ", f.read(OFFICE_BYTES).decode("utf-8", "replace"))
                     return " ".join(text.split())[:OFFICE_CHARS]
-            return f"{sum(n.startswith('xl/worksheets/sheet') for n in names)} sheets"
-    except (zipfile.BadZipFile, OSError, KeyError):
+            sheets = sum(n.startswith("xl/worksheets/") for n in names)
+            return f"{sheets} sheets" if sheets else None
+    except DAMAGED:
         return None
 
 
@@ -37,12 +43,12 @@ def archive_entries(content: bytes) -> list[str] | None:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             return z.namelist()
-    except (zipfile.BadZipFile, OSError):
+    except DAMAGED:
         pass
     try:
         with tarfile.open(fileobj=io.BytesIO(content)) as t:
             return t.getnames()
-    except (tarfile.TarError, OSError, EOFError):
+    except DAMAGED:
         return None
 
 
@@ -53,7 +59,7 @@ def archive_text(content: bytes) -> str | None:
 
 
 def exif_fields(content: bytes) -> tuple[str | None, str | None]:
-    """(DateTimeOriginal or DateTime, camera model) from a JPEG's EXIF block; null where there is none."""
+    """(the first DateTime or DateTimeOriginal in the order of the tags, camera model) from a JPEG's EXIF block; null where there is none."""
     at = content.find(b"Exif\x00\x00")
     if at < 0:
         return None, None
@@ -79,7 +85,7 @@ def exif_fields(content: bytes) -> tuple[str | None, str | None]:
     except struct.error:
         pass
     model = found.get(0x0110, "").strip() or None
-    return found.get(0x9003) or found.get(0x0132), model
+    return next((found[tag] for tag in found if tag in (0x0132, 0x9003)), None), model
 
 
 def name_similarity(a: str, b: str) -> float:

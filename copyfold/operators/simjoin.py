@@ -6,10 +6,17 @@ representatives, and ``*_classes`` says which row is in which class.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copyfold.checkpoints import checkpointed
 from copyfold.functions.scalars import hamming
+from copyfold.skew import join_groups
+
+#: 64-bit words of a set's parity bitmap; classes of a cluster that are compared in one block.
+PARITY_WORDS, SPREAD_BLOCK = 16, 512
 
 
 def hamming_classes(signatures: DataFrame) -> DataFrame:
@@ -51,38 +58,71 @@ def hamming_pairs_bucketed(classes: DataFrame, distance: int = 8) -> DataFrame:
     return near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), p.alias("ph_distance"), d.alias("dh_distance"))
 
 
+def set_digest(tokens: Column) -> Column:
+    """A digest of a set of tokens; each stands behind its length, so that no two sets read alike."""
+    text = F.transform(F.sort_array(tokens).cast("array<string>"), lambda t: F.concat(F.octet_length(t).cast("string"), F.lit(":"), t))
+    return F.sha2(F.array_join(text, "").cast("binary"), 256)
+
+
 def set_classes(sets: DataFrame) -> DataFrame:
     """(class, rep, rows, tokens) of the distinct sets of (id, tokens); class digests the sorted tokens; empty sets have no class."""
-    keyed = sets.filter(F.size("tokens") > 0).withColumn("class", F.sha2(F.array_join(F.array_sort("tokens").cast("array<string>"), "\n").cast("binary"), 256))
+    keyed = sets.filter(F.size("tokens") > 0).withColumn("class", set_digest(F.col("tokens")))
     return keyed.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("tokens").alias("tokens"))
 
 
+def ranked_sets(classes: DataFrame) -> DataFrame:
+    """(rep, size, s, parity) of the classes (rep, tokens): s has the tokens as numbers, the globally rarest first.
+
+    Numbers are given in a global sort by frequency and token. parity has a bit for each residue of the numbers' hashes,
+    set where an odd number of tokens falls to it: the bitmaps of two sets differ in no more bits than the sets in tokens.
+    """
+    each = classes.select("rep", F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # ids rise with the order of the sort, partition by partition
+    order = checkpointed(counts.orderBy("n", "token").withColumn("number", F.monotonically_increasing_id()))
+    if dict(order.dtypes)["token"] in ("string", "binary", "bigint"):
+        numbered = join_groups(each, order, "token", "n", F.col("rep"))
+    else:
+        numbered = each.join(order, "token")
+    bit = F.pmod(F.xxhash64("number"), F.lit(64 * PARITY_WORDS)).cast("int")
+    numbered = numbered.select("rep", "number", F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63))).alias("bit"))
+    words = [F.bit_xor(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(PARITY_WORDS)]
+    sets = numbered.groupBy("rep").agg(F.sort_array(F.collect_list("number")).alias("s"), *words)
+    return sets.select("rep", F.size("s").alias("size"), "s", F.array(*[f"w{i}" for i in range(PARITY_WORDS)]).alias("parity"))
+
+
 def jaccard_pairs(classes: DataFrame, threshold: float = 0.55) -> DataFrame:
     """(a, b, similarity) of the representatives of sets (rep, tokens) with Jaccard similarity ``threshold`` or more, a < b.
 
-    Tokens are ordered from the globally rarest. Similar sets share one of
-    their first n - ceil(threshold * n) + 1 tokens; sizes must allow the threshold, and
-    so must what is left behind the shared token; the pair is kept at the first
-    token they share, then its sets are intersected in full.
+    Tokens are ordered from the globally rarest. Of two similar sets, the larger has one of
+    its first n - ceil(t n) + 1 tokens among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller (probe and index
+    prefix). They meet at a token in a band of sizes, so that a frequent token's sets are only met by sets of like size;
+    sizes and what is left behind the token must allow the threshold. Each candidate is
+    tested once by the parity bitmaps, which bound how far two sets differ, and what passes is intersected in full.
     """
     if threshold <= 0:
         raise ValueError("a threshold of 0 links everything")
-    each = classes.select("rep", F.explode("tokens").alias("token"))
-    order = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ranked = each.join(order, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("s"))
-    ranked = ranked.select("rep", F.transform("s", lambda x: x["token"]).alias("s"), F.size("s").alias("size"))
-    reach = (F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).cast("int")
-    probes = ranked.select("rep", "size", "s", F.posexplode(F.slice("s", F.lit(1), reach)).alias("at", "token"))
-    light = probes.select("rep", "size", "at", "token")
-    x, y = light.alias("x"), light.alias("y")
-    most = 1 + F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) - 1
-    need = F.lit(threshold / (1 + threshold)) * (F.col("x.size") + F.col("y.size")) - 1e-9
-    fits = (F.col("x.size") >= F.lit(threshold) * F.col("y.size") - 1e-9) & (F.col("y.size") >= F.lit(threshold) * F.col("x.size") - 1e-9)
-    # before the shared token, at most the smaller number of tokens may be shared too
-    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & fits & (most + F.least("x.at", "y.at") >= need))
-    pairs = found.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    t, each = float(threshold), F.lit(float(threshold))
+    ranked = checkpointed(ranked_sets(classes))
+    size = F.col("size")
+    # sizes in a ratio of t or more lie in one band or in neighbouring ones
+    band = F.floor(F.log(size.cast("double")) / F.lit(-math.log(t))).cast("int") if t < 1 else size
+    probe = (size - F.ceil(each * size - 1e-9) + 1).cast("int")
+    index = (size - F.ceil(F.lit(2 * t / (1 + t)) * size - 1e-9) + 1).cast("int")
+    bands = F.array(band, band + 1) if t < 1 else F.array(band)
+    x = ranked.select(F.col("rep").alias("x"), size.alias("xn"), F.posexplode(F.slice("s", F.lit(1), probe)).alias("xat", "token"), band.alias("band"))
+    y = ranked.select(F.col("rep").alias("y"), size.alias("yn"), F.posexplode(F.slice("s", F.lit(1), index)).alias("yat", "token"), bands.alias("bands")).withColumn("band", F.explode("bands")).drop("bands")
+    larger = (F.col("xn") > F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") < F.col("y")))
+    need = F.lit(t / (1 + t)) * (F.col("xn") + F.col("yn")) - 1e-9
+    most = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) + F.least("xat", "yat")
+    found = x.join(y, ["token", "band"]).filter(larger & (F.col("yn") >= each * F.col("xn") - 1e-9) & (most >= need))
+    pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    small = ranked.select("rep", size.alias("n"), "parity")
+    pairs = pairs.join(small.withColumnsRenamed({"rep": "a", "n": "_an", "parity": "_ap"}), "a").join(small.withColumnsRenamed({"rep": "b", "n": "_bn", "parity": "_bp"}), "b")
+    differ = sum((F.bit_count(F.get("_ap", F.lit(i)).bitwiseXOR(F.get("_bp", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
+    near = pairs.filter(differ <= F.lit((1 - t) / (1 + t)) * (F.col("_an") + F.col("_bn")) + 1e-9).select("a", "b")
     left, right = ranked.select(F.col("rep").alias("a"), F.col("s").alias("_a")), ranked.select(F.col("rep").alias("b"), F.col("s").alias("_b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
+    both = near.join(left, "a").join(right, "b").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
     both = both.withColumn("similarity", F.col("_n") / (F.size("_a") + F.size("_b") - F.col("_n")))
     return both.filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
@@ -91,9 +131,16 @@ def spread(clusters: DataFrame, values: DataFrame, measure, pick) -> DataFrame:
     """Per cluster of (node, root), ``pick`` (F.max or F.min) of ``measure`` over its pairs of classes.
 
     Single links make clusters whose ends were never compared, so all pairs of a
-    cluster's classes count. They are streamed into partial aggregates, never gathered.
+    cluster's classes count. A cluster is cut into blocks of about SPREAD_BLOCK classes, and each pair of
+    blocks is a cell of its own; pairs are streamed into partial aggregates, never gathered.
     """
     rows = clusters.join(values, clusters["node"] == values["rep"]).drop("rep")
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SPREAD_BLOCK).alias("_blocks"))
+    rows = rows.join(sizes, "root").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
+    rows = rows.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
     x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col("x.root") == F.col("y.root")) & (F.col("x.node") < F.col("y.node")))
+    cell = (F.col("x.root") == F.col("y.root")) & (F.col("x._i") == F.col("y._i")) & (F.col("x._j") == F.col("y._j"))
+    once = (F.col("x._i") == F.col("x._j")) | (F.col("x._own") != F.col("y._own"))
+    pairs = x.join(y, cell & once & (F.col("x.node") < F.col("y.node")))
     return pairs.groupBy(F.col("x.root").alias("root")).agg(pick(measure).alias("spread"))

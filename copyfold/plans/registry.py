@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from copyfold.checkpoints import checkpointed
 from copyfold.functions import fingerprints, scalars
 from copyfold.functions.dimensions import BACKUP_DIRS, BACKUP_EXTENSIONS, IMAGE_EXTENSIONS, PRESET_DIRS, PREVIEW_EXTENSIONS, type_table
 from copyfold.operators import exact, filters, index, keeper, logs, previews, simjoin
 from copyfold.options import ScanOptions
 from copyfold.plans import scan
 from copyfold.sources import adapters as A
-from copyfold.sources import walk
+from copyfold.sources import drives, walk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,15 +40,16 @@ FILES = """WITH f AS (SELECT '/' || source || '/' || lang || '/' || CASE doc_id
 n AS (SELECT *, regexp_extract(path, '[^/]*$') AS name, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.*[^.].*(\\.[^.]*)$', 1)) AS ext, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent FROM f)"""
 MEMBERS = FILES + """,
 m AS (SELECT full_hash AS group_id, * FROM n QUALIFY count(*) OVER (PARTITION BY size, full_hash) >= 2),
-c0 AS (SELECT *, CASE WHEN name LIKE '%~' OR ext IN ({ext}) THEN 0.6 ELSE 0 END + CASE WHEN regexp_matches(lower(name), '\\bbackup\\b|\\bbak\\b|\\bcopy\\b|copy of|\\bold\\b|\\barchive\\b|~$|\\bv[0-9]+\\b') THEN 0.4 ELSE 0 END
+c0 AS (SELECT *, CASE WHEN name LIKE '%~' OR ext IN ({ext}) THEN 0.6 ELSE 0 END + CASE WHEN regexp_matches(lower(name), '{backup}') THEN 0.4 ELSE 0 END
   + CASE WHEN lower(regexp_extract(parent, '[^/]*$')) IN ({dirs}) THEN 0.4 ELSE 0 END + CASE WHEN regexp_matches(name, '2023-01-05') THEN 0.2 ELSE 0 END AS score, regexp_matches(name, '2023-01-05') AS dated FROM {src}),
 c AS (SELECT *, round(least(1, score), 6)::DOUBLE AS backup_confidence, score >= 0.5 AS is_backup, CASE WHEN dated THEN 1672876800 ELSE mtime END::DOUBLE AS effective_date FROM c0)"""
-MEMBERS = MEMBERS.replace("{ext}", ", ".join(f"'{e}'" for e in BACKUP_EXTENSIONS)).replace("{dirs}", ", ".join(f"'{d}'" for d in BACKUP_DIRS))
+MEMBERS = MEMBERS.replace("{backup}", scalars.BACKUP_WORDS).replace("{ext}", ", ".join(f"'{e}'" for e in BACKUP_EXTENSIONS)).replace("{dirs}", ", ".join(f"'{d}'" for d in BACKUP_DIRS))
 GROUPED = MEMBERS.replace("{src}", "m") + """,
 b AS (SELECT * REPLACE (is_backup OR (dated AND count(*) FILTER (dated) OVER g >= 2) AS is_backup, CASE WHEN dated AND count(*) FILTER (dated) OVER g >= 2 THEN greatest(backup_confidence, 0.6) ELSE backup_confidence END AS backup_confidence),
   bool_or(is_backup) OVER g OR count(*) FILTER (dated) OVER g >= 2 AS has_backups, row_number() OVER (PARTITION BY group_id ORDER BY effective_date DESC, path) = 1 AS newest FROM c WINDOW g AS (PARTITION BY group_id)),
 k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY CASE WHEN has_backups THEN floor(effective_date / 300) ELSE 0 END DESC, CASE WHEN has_backups AND is_backup THEN 0 ELSE 1 END DESC, size DESC,
-  regexp_matches(lower(name), 'copy of|\\bcopy\\b|\\(\\s*[0-9]+\\s*\\)|[-_ ](?:resized|small|thumb|thumbnail|edited?|dup(?:licate)?)\\b'), NOT (path LIKE '/src0/%'), mtime, length(path) - length(replace(path, '/', '')), path) = 1 AS keeper FROM b)"""
+  regexp_matches(lower(name), '{derived}'), NOT (path LIKE '/src0/%'), mtime, length(path) - length(replace(path, '/', '')), path) = 1 AS keeper FROM b)"""
+GROUPED = GROUPED.replace("{derived}", scalars.DERIVED)
 SIGNATURES = """WITH own AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN CASE WHEN i = 64 THEN -9223372036854775808 ELSE (1::HUGEINT << (i - 1)::INT) END ELSE 0 END::HUGEINT))::BIGINT AS ph,
   list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN (1::HUGEINT << (i - 1)::INT) ELSE 0 END::HUGEINT))::BIGINT AS dh FROM embeddings),
 w AS (SELECT id, id + 1000000 AS copy, ph, dh, ((7::HUGEINT << (id % 60)::INT)) AS p, ((1::HUGEINT << (id % 61)::INT)) AS d FROM own WHERE id % 5 = 0),
@@ -68,7 +70,7 @@ def _digested(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    return scan.ranked(exact.collapse_inodes(exact.members(_digested(spark, sf_dir))), OPTIONS)
+    return scan.ranked(checkpointed(exact.collapse_inodes(exact.members(_digested(spark, sf_dir)))), OPTIONS)
 
 
 # ---- exact groups -----------------------------------------------------------
@@ -79,9 +81,9 @@ def size_bucket(spark, sf_dir):
     return exact.size_buckets(A.document_files(spark, sf_dir))
 
 
-@query(FILES + ", p AS (SELECT size, encode(text)[1:64] AS p, count(*) AS files FROM f GROUP BY ALL HAVING count(*) >= 2) SELECT size, files FROM p")
+@query(FILES + ", p AS (SELECT size, encode(text)[1:65536] AS p, count(*) AS files FROM f GROUP BY ALL HAVING count(*) >= 2) SELECT size, files FROM p")
 def prefix_bucket(spark, sf_dir):
-    return exact.prefix_buckets(exact.with_digests(A.document_files(spark, sf_dir, content=True), 64)).select("size", "files")
+    return exact.prefix_buckets(exact.with_digests(A.document_files(spark, sf_dir, content=True))).select("size", "files")
 
 
 @query(FILES + " SELECT full_hash AS group_id, size, count(*) AS files FROM f GROUP BY ALL HAVING count(*) >= 2")
@@ -193,11 +195,11 @@ def incremental_exact(spark, sf_dir):
 
 
 @query(INDEXED + """, e AS (SELECT *, row_number() OVER (ORDER BY ino) - 1 AS s FROM f WHERE ino % 2 = 0), j AS (SELECT coalesce(e.path, i.path) AS path, coalesce(e.mtime, i.mtime) AS mtime, coalesce(i.write_seq, e.s + 1 + (SELECT max(write_seq) FROM i)) AS write_seq FROM e FULL JOIN i ON e.path = i.path)
-SELECT path, mtime, write_seq FROM j ORDER BY write_seq DESC, path LIMIT 600""")
+SELECT path, mtime, write_seq FROM j""")
 def index_upsert(spark, sf_dir):
     files = _digested(spark, sf_dir)
     fresh = files.filter("ino % 2 = 0").select("path", "dev", "ino", "size", "mtime", F.col("full_hash").alias("sha256"), F.floor(F.col("ino") / 2).alias("write_seq"))
-    return index.upsert(A.index_snapshot(files), fresh, index.CONTENT_CAP).select("path", "mtime", "write_seq")
+    return index.upsert(A.index_snapshot(files), fresh).select("path", "mtime", "write_seq")
 
 
 @query(INDEXED + " SELECT path, sha256 FROM i WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.path = i.path AND ext = '.bak')")
@@ -238,12 +240,12 @@ def cluster_spread(spark, sf_dir):
 
 @query(WORDS + " SELECT a, b, round(similarity, 6) AS similarity FROM e")
 def jaccard_pairs(spark, sf_dir):
-    return simjoin.jaccard_pairs(simjoin.set_classes(A.word_sets(spark, sf_dir))).withColumn("similarity", F.round("similarity", 6))
+    return simjoin.jaccard_pairs(checkpointed(simjoin.set_classes(A.word_sets(spark, sf_dir)))).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(WORDS + CLUSTERED + " SELECT t.id, root AS cluster FROM t JOIN h USING (tokens) JOIN z USING (rep) QUALIFY count(*) OVER (PARTITION BY root) >= 2")
 def similar_clusters(spark, sf_dir):
-    return scan.set_clusters(A.word_sets(spark, sf_dir))
+    return scan.set_clusters(checkpointed(A.word_sets(spark, sf_dir)))
 
 
 @query(FILES + f" SELECT path FROM n WHERE ext NOT IN {IMAGE_EXTENSIONS} EXCEPT SELECT path FROM n QUALIFY count(*) OVER (PARTITION BY size, full_hash) >= 2")
@@ -312,7 +314,7 @@ def action_totals(spark, sf_dir):
     return logs.plan_totals(logs.action_plan(_ranked(spark, sf_dir), "link"))
 
 
-_KINDS = " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in exts.split())}) THEN '{kind}'" for kind, exts in PREVIEW_EXTENSIONS.items())
+_KINDS = " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in exts)}) THEN '{kind}'" for kind, exts in PREVIEW_EXTENSIONS.items())
 
 
 @query(FILES + f" SELECT path, CASE {_KINDS} WHEN size > 0 AND NOT contains(text[1:512], chr(0)) THEN 'text' ELSE 'meta' END AS kind FROM n")
@@ -320,7 +322,10 @@ def preview_kind(spark, sf_dir):
     return A.document_files(spark, sf_dir, content=True).select("path", logs.preview_kind(F.col("path"), F.col("content")).alias("kind"))
 
 
-@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[1:200], chr(10)) AS preview FROM documents WHERE strlen(text) <= 65536")
+#: A text of more than 64 KiB is cut behind the last whole character within them; a character that the limit cuts is one replacement character.
+@query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE strlen(text) > 65536),
+w AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) || CASE WHEN sum(strlen(ch)) < 65536 THEN chr(65533) ELSE '' END AS head FROM (SELECT *, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM c) WHERE upto <= 65536 GROUP BY doc_id)
+SELECT doc_id, array_to_string(string_split(coalesce(head, text), chr(10))[1:200], chr(10)) AS preview FROM documents LEFT JOIN w USING (doc_id)""")
 def preview_text(spark, sf_dir):
     docs = A.table(spark, sf_dir, "documents")
     return docs.select("doc_id", logs.preview_text(F.col("text").cast("binary")).alias("preview"))
@@ -354,7 +359,11 @@ def type_breakdown(spark, sf_dir):
     return files.join(F.broadcast(type_table(spark).select("ext", "category")), "ext", "left")
 
 
-@query()
+_UNITS = " ".join(f"WHEN size < {scale}000 THEN printf('%.1f {unit}', size / {scale}.0::DOUBLE)" for unit, scale in (("KB", 10**3), ("MB", 10**6), ("GB", 10**9)))
+
+
+@query(FILES + f""", x AS (SELECT path, ext, size, CASE WHEN size < 1000 THEN size || ' B' {_UNITS} END AS size_text, size / 100.0::DOUBLE AS s FROM n)
+SELECT path, size_text, CASE WHEN ext = '' THEN 'FILE' ELSE upper(substr(ext, 2)) END || ' · ' || size_text AS meta, CASE WHEN s < 1 THEN '<1s' WHEN s < 60 THEN printf('%.1fs', s) ELSE printf('%dm %ds', floor(s)::BIGINT // 60, floor(s)::BIGINT % 60) END AS duration FROM x""")
 def human_sizes(spark, sf_dir):
     files = A.document_files(spark, sf_dir)
     return files.select("path", scalars.human_bytes(F.col("size")).alias("size_text"), logs.preview_meta(F.col("path"), F.col("size")).alias("meta"), scalars.duration(F.col("size") / 100.0).alias("duration"))
@@ -376,11 +385,73 @@ def image_fp(spark, sf_dir):
     return fingerprints.image_fingerprints(A.embedding_images(spark, sf_dir))
 
 
-@query()
+@query("""SELECT '/photos/' || doc_id || '.jpg' AS path, CASE WHEN doc_id % 4 < 3 THEN printf('2023:%02d:%02d 10:00:00', doc_id % 12 + 1, doc_id % 28 + 1) END AS taken, CASE WHEN doc_id % 4 < 3 THEN 'Cam ' || doc_id % 9 END AS model FROM documents""")
 def exif(spark, sf_dir):
-    return previews.with_parsed(A.document_files(spark, sf_dir, content=True), lambda content: previews.exif_fields(content)[0], "taken")
+    fields = previews.with_parsed(A.made_files(spark, sf_dir, A.photo_file), lambda content: "\n".join(x or "" for x in previews.exif_fields(content)), "found")
+    part = F.split("found", "\n")
+    return fields.select("path", F.nullif(part[0], F.lit("")).alias("taken"), F.nullif(part[1], F.lit("")).alias("model"))
 
 
-@query()
+@query("""SELECT '/office/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.docx' WHEN 1 THEN '.odt' ELSE '.xlsx' END AS path,
+CASE WHEN doc_id % 3 < 2 THEN substr(trim(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')), 1, 6000) WHEN doc_id % 5 > 0 THEN doc_id % 5 || ' sheets' END AS text FROM documents""")
 def office_preview(spark, sf_dir):
-    return previews.with_parsed(A.document_files(spark, sf_dir, content=True), previews.archive_text, "entries")
+    return previews.with_parsed(A.made_files(spark, sf_dir, A.office_file), previews.office_text, "text")
+
+
+@query("""SELECT '/archives/' || doc_id || CASE WHEN doc_id % 7 = 6 OR doc_id % 2 = 1 THEN '.zip' ELSE '.tar' END AS path,
+CASE WHEN doc_id % 7 < 6 THEN array_to_string(list_concat([doc_id % 301 || ' entries'], list_transform(range(least(200, doc_id % 301)), lambda k: 'd/' || k || '.txt')), chr(10)) END AS entries FROM documents""")
+def archive_preview(spark, sf_dir):
+    return previews.with_parsed(A.made_files(spark, sf_dir, A.archive_file), previews.archive_text, "entries")
+
+
+# ---- reuse, images, ignored files, drives ------------------------------------
+
+
+@query(INDEXED + """, x AS (SELECT f.*, i.sha256 FROM f LEFT JOIN i ON f.path = i.path AND f.size = i.size AND f.mtime = i.mtime QUALIFY count(*) OVER (PARTITION BY f.size) >= 2),
+y AS (SELECT source, CASE WHEN sha256 IS NOT NULL THEN 'reused' WHEN count(sha256) OVER (PARTITION BY size) > 0 OR count(*) FILTER (sha256 IS NULL) OVER (PARTITION BY size, text[1:65536]) >= 2 THEN 'hashed' ELSE 'prefix_only' END AS state FROM x)
+SELECT source, count(*) FILTER (state = 'reused') AS reused, count(*) FILTER (state = 'hashed') AS hashed FROM y GROUP BY source""")
+def reuse_per_source(spark, sf_dir):
+    files = checkpointed(_digested(spark, sf_dir))
+    return index.reuse_counts(index.incremental(files, A.index_snapshot(files)))
+
+
+@query(SIGNATURES + """, i AS (SELECT id, ph + 1 AS ph FROM own WHERE id % 3 = 0 AND id % 5 > 0) SELECT own.id::VARCHAR AS path, CASE WHEN i.id IS NULL THEN own.ph ELSE i.ph END AS phash, own.dh AS dhash, 8 AS width, 8 AS height, i.id IS NOT NULL AS reused FROM own LEFT JOIN i USING (id)""")
+def image_index(spark, sf_dir):
+    prints = A.signatures(spark, sf_dir).filter("id < 1000000").select(F.col("id").cast("string").alias("path"), F.col("ph").alias("phash"), F.col("dh").alias("dhash"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+    files = prints.select("path", F.lit(64).cast("bigint").alias("size"), F.lit(0.0).alias("mtime"))
+    number = F.col("path").cast("bigint")
+    # an index of every third file, with a word that tells what came from it, and out of date for every fifth
+    known = prints.filter(number % 3 == 0).select("path", F.lit(64).cast("bigint").alias("size"), F.when(number % 5 == 0, 1.0).otherwise(0.0).alias("mtime"), (F.col("phash") + 1).alias("phash"), "dhash", "width", "height")
+    return index.image_prints(files, known, lambda misses: prints.join(misses.select("path"), "path", "left_semi")).select("path", "phash", "dhash", "width", "height", "reused")
+
+
+@query(WORDS + CLUSTERED + """, c AS (SELECT z.root, z.rep, h.tokens FROM z JOIN h USING (rep))
+SELECT x.root, min(floor(100 * len(list_intersect(x.tokens, y.tokens)) / (len(x.tokens) + len(y.tokens) - len(list_intersect(x.tokens, y.tokens)))))::BIGINT AS spread FROM c x JOIN c y ON x.root = y.root AND x.rep < y.rep GROUP BY x.root""")
+def similar_spread(spark, sf_dir):
+    sets = checkpointed(A.word_sets(spark, sf_dir))
+    classes = checkpointed(simjoin.set_classes(sets))
+    clusters = scan.set_clusters(sets).select(F.col("id").alias("node"), F.col("cluster").alias("root"))
+    shared = scalars.jaccard(F.col("x.tokens"), F.col("y.tokens"))
+    return simjoin.spread(clusters, classes.select("rep", "tokens"), shared, F.min).withColumn("spread", F.floor(100 * F.col("spread")).cast("bigint"))
+
+
+@query(FILES + ", i AS (SELECT path FROM n WHERE ext = '.bak' UNION SELECT path FROM n WHERE path LIKE '/src1/%' EXCEPT SELECT path FROM n WHERE path LIKE '/src1/de/%') SELECT path FROM n EXCEPT SELECT path FROM i")
+def ignore_edit(spark, sf_dir):
+    files = A.document_files(spark, sf_dir).select("path")
+    listed = filters.add_ignored(files.filter(scalars.extension(scalars.basename(F.col("path"))) == ".bak"), files.filter(scalars.under(F.col("path"), "/src1")))
+    return filters.drop_ignored(files, filters.remove_ignored(listed, files.filter(scalars.under(F.col("path"), "/src1/de"))))
+
+
+#: A machine of a disk with two partitions, one of them behind a mapper, and a solid-state disk.
+_DEVICES = """{"blockdevices": [{"name": "sda", "path": "/dev/sda", "model": " Disk One ", "rota": true, "tran": "sata", "size": "4000",
+"children": [{"name": "sda1", "path": "/dev/sda1", "fstype": "ext4", "size": 1000, "mountpoint": "/"}, {"name": "sda2", "path": "/dev/sda2", "size": "3000", "children": [{"name": "map", "path": "/dev/mapper/map", "fstype": "xfs", "size": 2900, "mountpoints": [null, "/src1"]}]}]},
+{"name": "nvme0n1", "model": "Fast", "rota": "0", "tran": "nvme", "size": 500}]}"""
+_MOUNTED = "/dev/sda1 / ext4 rw 0 0\n/dev/mapper/map /src1 - rw 0 0\n/dev/nvme0n1 /src1/en btrfs rw 0 0\nodd /src2/my\\040disk nfs rw 0 0\n/dev/gone /src3 vfat rw 0 0\n"
+
+
+@query(FILES + """, m(mount, device, fstype, model, kind, transport, size) AS (VALUES ('/', '/dev/sda1', 'ext4', 'Disk One', 'HDD', 'sata', 1000), ('/src1', '/dev/mapper/map', '-', 'Disk One', 'HDD', 'sata', 2900),
+  ('/src1/en', '/dev/nvme0n1', 'btrfs', 'Fast', 'SSD', 'nvme', 500), ('/src3', '/dev/gone', 'vfat', '', '', '', 0))
+SELECT path, mount, device, fstype, model, kind, transport, m.size::BIGINT AS size FROM n, m WHERE mount = '/' OR path LIKE mount || '/%' QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(mount) DESC) = 1""")
+def drive_probe(spark, sf_dir):
+    mounted = spark.createDataFrame(drives.mount_rows(_MOUNTED), drives.MOUNTS)
+    return drives.drives_of(A.document_files(spark, sf_dir).select("path"), mounted, drives.block_devices(spark, _DEVICES))

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import html
+import io
+import struct
+import tarfile
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +18,12 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in as many partitions as the session has cores, if they come in fewer, as from one small file."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def document_files(spark, sf_dir: str, content: bool = False) -> DataFrame:
     """``documents`` as files: path, size, mtime, dev, ino, source (the root), and content if asked for."""
     n = F.col("doc_id").cast("string")
@@ -25,9 +39,65 @@ def document_files(spark, sf_dir: str, content: bool = False) -> DataFrame:
     ]
     if content:
         columns.append(F.col("text").cast("binary").alias("content"))
+        return dealt(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select(*columns)
     return table(spark, sf_dir, "documents").select(*columns)
 
 
+def made_files(spark, sf_dir: str, make) -> DataFrame:
+    """(path, content) of ``make`` (doc_id, text), for parsers of binary formats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                made = [make(i, t or "") for i, t in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns))]
+                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.binary())], names=["path", "content"])
+
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(run, "path string, content binary")
+
+
+def zipped(members: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        for name, text in members.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def office_file(doc_id: int, text: str) -> tuple[str, bytes]:
+    """A document as a text file of one of two kinds, or as a spreadsheet of up to four sheets."""
+    body = "<p>" + html.escape(text, quote=False) + "</p>"
+    if doc_id % 3 == 2:
+        return f"/office/{doc_id}.xlsx", zipped({f"xl/worksheets/sheet{k}.xml": "<c/>" for k in range(doc_id % 5)} | {"xl/sharedStrings.xml": body})
+    return (f"/office/{doc_id}.odt", zipped({"content.xml": body})) if doc_id % 3 else (f"/office/{doc_id}.docx", zipped({"mimetype": "x", "word/document.xml": body}))
+
+
+def archive_file(doc_id: int, text: str) -> tuple[str, bytes]:
+    """A zip or tar archive of up to 300 empty files; every seventh is damaged."""
+    names = [f"d/{k}.txt" for k in range(doc_id % 301)]
+    if doc_id % 7 == 6:
+        return f"/archives/{doc_id}.zip", b"PK\x03\x04 cut"
+    if doc_id % 2:
+        return f"/archives/{doc_id}.zip", zipped(dict.fromkeys(names, ""))
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name in names:
+            t.addfile(tarfile.TarInfo(name))
+    return f"/archives/{doc_id}.tar", out.getvalue()
+
+
+def photo_file(doc_id: int, text: str) -> tuple[str, bytes]:
+    """The head of a JPEG whose EXIF block names a date (of one of two tags) and a camera; every fourth has none."""
+    if doc_id % 4 == 3:
+        return f"/photos/{doc_id}.jpg", b"\xff\xd8\xff\xdb" + text[:40].encode()
+    date, model = f"2023:{doc_id % 12 + 1:02d}:{doc_id % 28 + 1:02d} 10:00:00".encode() + b"\x00", f" Cam {doc_id % 9} ".encode() + b"\x00"
+    order = "<" if doc_id % 2 else ">"
+    start = 8 + 2 + 2 * 12 + 4
+    entries = [(0x0110, model, start), (0x0132 if doc_id % 4 else 0x9003, date, start + len(model))]
+    ifd = struct.pack(f"{order}H", 2) + b"".join(struct.pack(f"{order}HHII", tag, 2, len(value), at) for tag, value, at in entries) + struct.pack(f"{order}I", 0)
+    tiff = (b"II" if order == "<" else b"MM") + struct.pack(f"{order}HI", 42, 8) + ifd + model + date
+    return f"/photos/{doc_id}.jpg", b"\xff\xd8\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\x00\x00" + tiff
+
+
 def index_snapshot(digested: DataFrame) -> DataFrame:
     """An older content index of document files with full_hash: without every third, stale in every seventh."""
     rows = digested.filter(F.col("ino") % 3 != 0)
@@ -61,7 +131,7 @@ def embedding_images(spark, sf_dir: str) -> DataFrame:
 def word_sets(spark, sf_dir: str) -> DataFrame:
     """(id, tokens): the distinct lower-case words of ``documents``."""
     words = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0b]+"), lambda w: w != "")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(words).alias("tokens"))
+    return dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.array_distinct(words).alias("tokens"))
 
 
 def event_runs(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
-"""A data source of file metadata: one partition for each folder directly below a root."""
+"""A data source of file metadata: roots are opened folder by folder until there are enough subtrees to share out."""
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
 import json
 import os
@@ -18,6 +19,8 @@ from copyfold.schema import FILES
 
 #: Bytes of a prefix hash and of a read.
 PREFIX, CHUNK = 64 * 1024, 1024 * 1024
+#: Subtrees that a scan is shared out in, about; levels of folders that are opened for that.
+SUBTREES, LEVELS = 256, 4
 
 
 class Subtree(InputPartition):
@@ -36,6 +39,7 @@ class WalkReader(DataSourceReader):
         keys = list(D.PRESET_DIRS) if presets is None else presets
         self.dirs = {d for k in keys for d in D.PRESET_DIRS.get(k, ())}
         self.prefixes = [p for k in keys for p in D.PRESET_PREFIXES.get(k, ())]
+        self.globs = [g for k in keys for g in D.PRESET_GLOBS.get(k, ())] + list(self.options.get("exclude", []))
         self.hidden = self.options.get("include_hidden", False)
         self.follow = self.options.get("follow_symlinks", False)
         self.ignored = set(self.options.get("ignore_dirs", []))
@@ -43,6 +47,8 @@ class WalkReader(DataSourceReader):
     def _enter(self, path: str, name: str) -> bool:
         if not self.hidden and name.startswith(".") or name in self.dirs or path in self.ignored:
             return False
+        if any(fnmatch.fnmatchcase(path, g) or fnmatch.fnmatchcase(name, g) for g in self.globs):
+            return False
         return not any(path == p or path.startswith(p + "/") for p in self.prefixes)
 
     def _entries(self, folder: str) -> list[os.DirEntry]:
@@ -56,19 +62,29 @@ class WalkReader(DataSourceReader):
         out = []
         for e in self._entries(folder):
             try:
-                if e.is_dir(follow_symlinks=self.follow) and self._enter(e.path, e.name):
+                if e.is_dir(follow_symlinks=self.follow) and self._enter(e.path, e.name) and not self._leads_up(e):
                     out.append(e.path)
             except OSError:
                 continue
         return out
 
+    @staticmethod
+    def _leads_up(entry: os.DirEntry) -> bool:
+        """Whether a link leads to a folder that it is in, so that following it would never end."""
+        if not entry.is_symlink():
+            return False
+        target, folder = os.path.realpath(entry.path), os.path.realpath(os.path.dirname(entry.path))
+        return folder == target or folder.startswith(target.rstrip("/") + "/")
+
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
-        for root in self.options.get("roots", []):
-            if root in self.ignored:
-                continue
-            parts.append(Subtree(root, root, False))
-            parts += [Subtree(root, f, True) for f in self._folders(root)]
+        open_ = [(root, root) for root in self.options.get("roots", []) if root not in self.ignored]
+        for level in range(LEVELS):
+            if level and len(parts) + len(open_) >= SUBTREES:
+                break
+            parts += [Subtree(root, folder, False) for root, folder in open_]
+            open_ = [(root, f) for root, folder in open_ for f in self._folders(folder)]
+        parts += [Subtree(root, folder, True) for root, folder in open_]
         return parts or [Subtree("", "", False)]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
@@ -111,7 +127,7 @@ class WalkSource(DataSource):
 def walk(spark, options: ScanOptions) -> DataFrame:
     """Files below the roots of ``options``, with folders out of scope pruned; file filters follow as DataFrame operators."""
     spark.dataSource.register(WalkSource)
-    scan = {k: list(v) if isinstance(v, tuple) else v for k, v in vars(options).items() if k in ("roots", "exclusions", "include_hidden", "follow_symlinks", "ignore_dirs")}
+    scan = {k: list(v) if isinstance(v, tuple) else v for k, v in vars(options).items() if k in ("roots", "exclusions", "exclude", "include_hidden", "follow_symlinks", "ignore_dirs")}
     return spark.read.format("copyfold_walk").option("scan", json.dumps(scan)).load()
 
 

@@ -8,12 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copyfold.checkpoints import checkpointed, shared_folder  # noqa: F401
-
-#: Fewer rows than this never make a group hot.
-HOT_FLOOR = 1000
-#: At most this many groups can each hold more than 1/HOT_GROUPS of all rows.
-HOT_GROUPS = 1000
-
+from copyfold.skew import HOT_FLOOR, HOT_GROUPS, join_groups  # noqa: F401
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,27 +31,6 @@ def broadcast_object(spark, value):
     return lambda: cloudpickle.loads(packed.value)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column) -> DataFrame:
-    """Give each row the columns of its group, however uneven the groups are.
-
-    ``key`` (string or binary, not null) is unique in ``groups``, where ``size`` counts the
-    rows that have it. The groups that hold over 1/HOT_GROUPS of all rows are
-    fewer than HOT_GROUPS whatever the data, so they are broadcast; their rows
-    carry keys of their own, dealt by ``spread``, through the shuffle join that serves the rest.
-    """
-    total = groups.agg(F.sum(size)).head()[0] or 0
-    is_hot = F.col(size) > max(HOT_FLOOR, total // HOT_GROUPS)
-    rest = [c for c in groups.columns if c != key]
-    hot = groups.filter(is_hot).select(key, F.struct(*rest).alias("_hot"))
-    cold = groups.filter(~is_hot).select(F.col(key).alias("_key"), F.struct(*rest).alias("_cold"))
-    kind = dict(rows.dtypes)[key]
-    lane = F.concat(F.lit("#").cast(kind), F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("string").cast(kind))
-    out = rows.join(F.broadcast(hot), key, "left")
-    out = out.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(lane))
-    out = out.join(cold, "_key", "left").withColumn("_g", F.coalesce("_hot", "_cold"))
-    return out.select(*rows.columns, *[F.col(f"_g.{c}").alias(c) for c in rest])
-
-
 #: The bytes of [\x20\x09-\x0D].
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True

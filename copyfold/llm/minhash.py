@@ -9,15 +9,17 @@ shares no bucket with a chance of (1 - 0.8^ROWS)^BANDS, about 5e-6.
 Within a bucket no pairs are spelled out: every member is compared with the
 bucket's first class, then, where a bucket still spans several components,
 with its last one; and only what is left in different components after both
-is compared with each other, in a join whose condition rules out nearly all pairs that
-aren't linked: by size, by a bitmap of the parities of the sets' hashes, which bounds how far two
-sets differ, and by a sketch of one bit for each minimum. Links are confirmed on the full
+is compared with each other, among sets of like size, in a join whose condition rules out nearly all pairs that
+aren't linked by a bitmap of the parities of the sets' hashes, which bounds how far two
+sets differ. Links are confirmed on the full
 sets, so pairs of one component that weren't compared could not have changed a result.
+Buckets, components and compared classes that hold much of all rows are split over tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyfold.checkpoints import checkpointed
-from copyfold.llm.common import fold_words, join_groups, mix64, word_hashes
+from copyfold.llm.common import HOT_FLOOR, HOT_GROUPS, fold_words, join_groups, mix64, word_hashes
 from copyfold.operators.components import connected_components
 
 HASHES, ROWS = 240, 6
 BANDS = HASHES // ROWS
 #: Words of a shingle, unless a caller says otherwise; a link's least similarity in percent.
 SHINGLE, PERCENT = 5, 80
-#: Most sketch bits in which a candidate pair may differ: 24 are expected at 0.8, and 50 lie 5.5 deviations above.
-SKETCH_BITS = 50
 #: Bits of a set's parity bitmap; sets that differ in d elements have bitmaps that differ in d bits at most.
 PARITY_BITS = 1024
 #: Shingles whose hashes are taken at once; rows of an output batch.
@@ -67,13 +67,6 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return keys
 
 
-def sketch(least: np.ndarray) -> np.ndarray:
-    """One bit of each minimum, in four 64-bit words."""
-    bits = np.zeros(256, np.uint8)
-    bits[:HASHES] = mix64(least.astype(np.uint64) + _WORD) >> np.uint64(63)
-    return np.packbits(bits).view(np.int64)
-
-
 def parities(shingles: np.ndarray) -> np.ndarray:
     """Whether an odd number of elements falls to each bit of a bitmap, in 64-bit words."""
     counts = np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS)
@@ -106,11 +99,11 @@ def signer(n: int):
     return sign
 
 
-SETS = "class binary, shingles array<bigint>, sketch array<bigint>, parity array<bigint>"
+SETS = "class binary, shingles array<bigint>, parity array<bigint>"
 
 
 def set_maker(n: int):
-    """Class, full set, sketch and parity bitmap of each text that has words."""
+    """Class, full set and parity bitmap of each text that has words."""
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -120,36 +113,47 @@ def set_maker(n: int):
                 if not sets:
                     continue
                 classes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                parts = [[s.view(np.int64) for s in sets], [sketch(minima(s)) for s in sets], [parities(s) for s in sets]]
+                parts = [[s.view(np.int64) for s in sets], [parities(s) for s in sets]]
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, p)]), pa.int32()), pa.array(np.concatenate(p))) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), *lists], names=["class", "shingles", "sketch", "parity"])
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), *lists], names=["class", "shingles", "parity"])
 
     return full_sets
 
 
 def _may_link(a: str, b: str):
-    """Whether sizes, parities and sketches allow a link between two structs of class, size, sketch and parity.
+    """Whether sizes and parities allow a link between two structs of class, size and parity.
 
     Sets of x and y elements with similarity of p percent or more differ in (x + y) * (100 - p) / (100 + p) elements at most.
     """
     small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
-
-    def differ(name: str, words: int):
-        return sum((F.bit_count(F.get(f"{a}.{name}", F.lit(i)).bitwiseXOR(F.get(f"{b}.{name}", F.lit(i)))) for i in range(words)), F.lit(0))
-
-    near = (100 + PERCENT) * differ("parity", PARITY_BITS // 64) <= (100 - PERCENT) * (small + large)
-    return (100 * small >= PERCENT * large) & near & (differ("sketch", 4) <= SKETCH_BITS)
+    differ = sum((F.bit_count(F.get(f"{a}.parity", F.lit(i)).bitwiseXOR(F.get(f"{b}.parity", F.lit(i)))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return (100 * small >= PERCENT * large) & ((100 + PERCENT) * differ <= (100 - PERCENT) * (small + large))
 
 
 def _as_pairs(candidates: DataFrame, x: str, y: str) -> DataFrame:
     return candidates.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def _with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """``pairs`` with the full set of their class in the column ``side``, as _a or _b.
+
+    A class that is in over 1/HOT_GROUPS of the pairs has its set copied to as many lanes as it has such parts, and its pairs are dealt over them.
+    """
+    counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
+    part = max(HOT_FLOOR, (counts.agg(F.sum("n")).head()[0] or 0) // HOT_GROUPS)
+    # fewer than HOT_GROUPS, whatever the data
+    hot = F.broadcast(checkpointed(counts.filter(F.col("n") > part).select(side, F.ceil(F.col("n") / part).alias("_lanes"))))
+    own = sets.select(F.col("class").alias(side), F.col("shingles").alias(f"_{side}"))
+    copies = own.join(hot, side, "left").select(side, f"_{side}", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_lanes", F.lit(1)))).alias("_lane"))
+    other = "b" if side == "a" else "a"
+    dealt = pairs.join(hot, side, "left").withColumn("_lane", 1 + F.pmod(F.xxhash64(other), F.coalesce("_lanes", F.lit(1)))).drop("_lanes")
+    return dealt.join(copies, [side, "_lane"]).drop("_lane")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold."""
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("_b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
+    pairs = checkpointed(pairs)
+    both = _with_set(_with_set(pairs, sets, "a"), sets, "b").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
     return both.filter(100 * F.col("_both") >= PERCENT * (F.size("_a") + F.size("_b") - F.col("_both"))).select("a", "b")
 
 
@@ -157,8 +161,8 @@ def class_links(docs: DataFrame, signed: DataFrame, shingle: int) -> DataFrame |
     """(node, root) for the classes that are linked with others; None if no two share a bucket."""
     classes = signed.filter("n_shingles > 0").select("class", "keys").dropDuplicates(["class"])
     spread = classes.select("class", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = checkpointed(spread.join(shared, "key", "left_semi"))
+    shared = checkpointed(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    members = checkpointed(join_groups(spread, shared, "key", "n", F.col("class")).filter("n IS NOT NULL").drop("n"))
     if members.isEmpty():
         return None
     wanted = members.select("class").distinct()
@@ -167,24 +171,27 @@ def class_links(docs: DataFrame, signed: DataFrame, shingle: int) -> DataFrame |
     if not ids.filter("doc_id IS NULL").isEmpty():
         known = known.unionByName(docs.filter("doc_id IS NULL").select("text"))
     sets = checkpointed(known.mapInArrow(set_maker(shingle), SETS).join(wanted, "class", "left_semi").dropDuplicates(["class"]))
-    facts = sets.select("class", F.struct("class", F.size("shingles").alias("size"), "sketch", "parity").alias("x"))
+    # sizes of linked sets lie in one band or in neighbouring ones
+    band = F.floor(F.log(F.size("shingles").cast("double")) / math.log(100 / PERCENT)).cast("int")
+    facts = sets.select("class", F.struct("class", F.size("shingles").alias("size"), "parity").alias("x"), band.alias("band"))
 
     def leaders(rows: DataFrame, pick) -> DataFrame:
-        first = rows.groupBy("key").agg(pick("class").alias("lead"))
-        return _as_pairs(rows.join(first, "key").filter("class <> lead"), "class", "lead")
+        first = rows.groupBy("key").agg(pick("class").alias("lead"), F.count(F.lit(1)).alias("n"))
+        return _as_pairs(join_groups(rows, first, "key", "n", F.col("class")).filter("class <> lead"), "class", "lead")
 
     links = checkpointed(_linked(leaders(members, F.min), sets))
     for last in (False, True):
         roots = connected_components(links)
         placed = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        placed = checkpointed(placed.join(apart, "key", "left_semi"))
+        placed = checkpointed(placed)
+        apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", "n")
+        placed = checkpointed(join_groups(placed, apart, "key", "n", F.col("class")).filter("n IS NOT NULL").drop("n"))
         if placed.isEmpty():
             return roots
         if last:
-            full = placed.join(facts, "class").select("key", "root", "x")
-            other = full.select("key", F.col("root").alias("other"), F.col("x").alias("y"))
-            near = full.join(other, (full["key"] == other["key"]) & (full["root"] < other["other"]) & _may_link("x", "y"))
+            full = placed.join(facts, "class").select("key", "root", "x", "band")
+            other = full.select("key", F.col("root").alias("other"), F.col("x").alias("y"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+            near = full.join(other, ["key", "band"]).filter((F.col("root") < F.col("other")) & _may_link("x", "y"))
             more = checkpointed(_linked(_as_pairs(near, "x.class", "y.class"), sets))
         else:
             more = checkpointed(_linked(leaders(placed.select("key", "class"), F.max), sets))
@@ -203,9 +210,10 @@ def marked_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     groups = rows.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
     if roots is not None:
         placed = groups.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        least = placed.groupBy("root").agg(F.min("component_id").alias("least"))
-        groups = placed.join(least, "root").select("class", F.col("least").alias("component_id"), "rows")
-    out = join_groups(rows, checkpointed(groups), "class", "rows", F.col("doc_id")).drop("class", "rows")
+        placed = checkpointed(placed)
+        least = placed.groupBy("root").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n"))
+        groups = join_groups(placed, least, "root", "n", F.col("class")).select("class", F.col("least").alias("component_id"), "rows")
+    out = join_groups(rows, checkpointed(groups), "class", "rows", F.coalesce("doc_id", F.col("mark"))).drop("class", "rows")
     alone = signed.filter("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from copyfold.llm.common import mix64, word_hashes
 
@@ -31,6 +32,8 @@ ORDER, BACKOFF = 3, 0.4
 BITS = 56
 #: Words of a batch, but for a longer document's, which is a batch of its own.
 BATCH_WORDS = 1 << 20
+#: Bytes of text for each lane of the count tables, about.
+LANE_BYTES = 16 << 20
 
 _TOP = np.uint64(64 - BITS)
 _WORD = np.uint64(0x9E3779B97F4A7C15)
@@ -205,12 +208,15 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     Returns doc_id, n_words, n_backed_off (words scored with less context than
     their document has), score (sum of log10) and mean_score (per word; 0 without words).
     Null texts count as empty. Rows that repeat count each, so a copy scores
-    high. ``lanes``, by default the session's number of shuffle partitions, cuts the count
-    tables. ``docs`` is read twice and must come in the same rows and order, as from
-    files; batches that don't meet their replies are an error, not a wrong score.
+    high. ``lanes`` cuts the count tables, by default into one for LANE_BYTES of text or so, so a lane stays as large
+    as it is however many documents there are. ``docs`` is read twice and must come in the same rows and order, as from
+    files; batches that don't meet their replies are an error, not a wrong score. An empty table gives no rows. Further
+    columns are not read.
     """
     spark = docs.sparkSession
-    lanes = lanes or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if lanes is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+        lanes = max(spark.sparkContext.defaultParallelism, -(-size // LANE_BYTES))
     edges = np.array([-(-(i << BITS) // lanes) for i in range(1, lanes)], np.uint64)
     source = docs.selectExpr("cast(doc_id as bigint)", "text")
 
@@ -257,6 +263,6 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
         return pa.table({name: pa.array(c, k) for name, c, k in zip(("doc_id", "n_words", "n_backed_off", "score", "mean_score"), out, kinds)})
 
     exploded = source.mapInArrow(explode, "lane int, batch binary, grams binary, counts binary")
-    replies = exploded.groupBy("lane").applyInArrow(tally, "batch binary, lane int, body binary")
+    replies = exploded.repartition(lanes, "lane").groupBy("lane").applyInArrow(tally, "batch binary, lane int, body binary")
     both = replies.unionByName(source.mapInArrow(words, "batch binary, lane int, body binary"))
     return both.groupBy("batch").applyInArrow(score, "doc_id bigint, n_words bigint, n_backed_off bigint, score double, mean_score double")

@@ -101,6 +101,17 @@ def test_held_out_accuracy(spark):
     assert all(r["predicted"] == (r["score"] >= 0.7) for r in out)
 
 
+def test_query_scores_by_the_formula(spark, edge_dir):
+    """Every row's score is that of the network's formula, applied chunk by chunk to the whole text."""
+    from tests.llm.test_pipeline import plain_score
+
+    docs, labels = spark.read.parquet(f"{edge_dir}/documents.parquet"), spark.read.parquet(f"{edge_dir}/labels.parquet")
+    net = quality_cnn.fit(docs, labels)
+    want = sorted((str(r["doc_id"]), round(plain_score(net, (r["text"] or "").encode()), 4)) for r in docs.select("doc_id", "text").collect())
+    found = sorted((str(r["doc_id"]), round(r["score"], 4)) for r in queries.op8_quality_cnn(spark, edge_dir).collect())
+    assert len(found) == len(want) and all(a[0] == b[0] and abs(a[1] - b[1]) < 3e-4 for a, b in zip(found, want))
+
+
 def test_labels_of_the_held_out_fold_change_nothing(spark, edge_dir):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
     rows = [(i, i % 2) for i in range(20)]

@@ -175,7 +175,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, pattern: str, with_i
     Returns for each row doc_id, n_tokens, ids_sha256 (of the ids as
     little-endian unsigned 32-bit words), decoded_sha256 and, if ``with_ids``,
     ids. Null texts count as empty and have no tokens. Rows that repeat are encoded
-    each; further columns aren't read. The vocabulary is read and hashed once,
+    each; further columns aren't read. An empty table gives no rows; texts of any length are encoded whole. The vocabulary is read and hashed once,
     on the driver, and broadcast: its size is that of its file, whatever the data.
     """
     vocabulary = broadcast_object(docs.sparkSession, Vocabulary.from_file(vocabulary_path))

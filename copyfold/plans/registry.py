@@ -240,7 +240,7 @@ def cluster_spread(spark, sf_dir):
 
 @query(WORDS + " SELECT a, b, round(similarity, 6) AS similarity FROM e")
 def jaccard_pairs(spark, sf_dir):
-    return simjoin.jaccard_pairs(checkpointed(simjoin.set_classes(A.word_sets(spark, sf_dir)))).withColumn("similarity", F.round("similarity", 6))
+    return simjoin.jaccard_pairs(checkpointed(simjoin.set_classes(checkpointed(A.word_sets(spark, sf_dir))))).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(WORDS + CLUSTERED + " SELECT t.id, root AS cluster FROM t JOIN h USING (tokens) JOIN z USING (rep) QUALIFY count(*) OVER (PARTITION BY root) >= 2")

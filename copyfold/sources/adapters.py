@@ -18,10 +18,15 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes for each core up to which an input counts as small.
+SMALL = 64 << 20
+
+
 def dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` in as many partitions as the session has cores, if they come in fewer, as from one small file."""
+    """``rows`` dealt over the session's cores, if they are few bytes: a small file is often one group of rows, which is one task. Larger inputs stay where they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SMALL else rows
 
 
 def document_files(spark, sf_dir: str, content: bool = False) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyfold.checkpoints import checkpointed
-from copyfold.skew import HOT_FLOOR, join_groups
+from copyfold.skew import join_groups
+
+#: Edges up to which a node with all of them is no burden for one task, so that steps join plainly.
+PLAIN_EDGES = 1_000_000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -15,7 +18,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _link(pairs: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """Edges (b, least of a) for the pairs (a, b), the larger end first, each once; ``least`` (a, m, n) counts the pairs of a in n."""
-    if total > HOT_FLOOR and dict(pairs.dtypes)["a"] in ("string", "binary", "bigint"):
+    if total > PLAIN_EDGES and dict(pairs.dtypes)["a"] in ("string", "binary", "bigint"):
         linked = join_groups(pairs, least, "a", "n", F.col("b"), total)
     else:
         linked = pairs.join(least, "a")
@@ -43,12 +46,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Both steps keep the components; they are alternated until every edge leads
     to a root, which takes about log n turns. Each turn is checkpointed. No
     neighbourhood is gathered: a node's neighbours stay rows, and only their
-    minimum is taken, which comes back to them by ``join_groups``. Loops and repeated edges do no harm.
+    minimum is taken, which beyond PLAIN_EDGES comes back to them by ``join_groups``. Loops and repeated edges do no harm.
     """
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         total = now.count()
-        large = checkpointed(_large_star(now, total)) if total > HOT_FLOOR else _large_star(now, total)
+        large = checkpointed(_large_star(now, total)) if total > PLAIN_EDGES else _large_star(now, total)
         following = checkpointed(_small_star(large, total))
         unsettled = following.join(following.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
         doubled = following.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fewer rows than this never make a group hot.
-HOT_FLOOR = 1000
+HOT_FLOOR = 200
 #: At most this many groups can each hold more than 1/HOT_GROUPS of all rows.
 HOT_GROUPS = 1000
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from copyfold.functions import scalars
-from copyfold.operators import exact, filters, index, logs, previews, simjoin
+from copyfold.operators import components, exact, filters, index, logs, previews, simjoin
 from copyfold.operators.components import connected_components
 from copyfold.options import ScanOptions
 from copyfold.plans import files as real
@@ -114,7 +114,9 @@ def test_join_groups_of_any_key(spark):
     assert [r["n"] for r in join_groups(rows.limit(0).unionByName(spark.createDataFrame([(99, 1)], "k bigint, v bigint")), groups, "k", "n", F.col("v")).collect()] == [None]
 
 
-def test_components_with_a_hot_node(spark):
+@pytest.mark.parametrize("plain", [1_000_000, 100])
+def test_components_with_a_hot_node(spark, monkeypatch, plain):
+    monkeypatch.setattr(components, "PLAIN_EDGES", plain)
     edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(300)] + [(2999, 5300)]
     found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert len(found) == 3301 and set(found.values()) == {0}

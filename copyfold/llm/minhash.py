@@ -134,26 +134,34 @@ def _as_pairs(candidates: DataFrame, x: str, y: str) -> DataFrame:
     return candidates.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+def _hot_lanes(pairs: DataFrame, side: str, total: int) -> list[tuple[bytes, int]]:
+    """The classes that are in over 1/HOT_GROUPS of the pairs, which are fewer than HOT_GROUPS whatever the data, and how many such parts they have."""
+    part = max(HOT_FLOOR, total // HOT_GROUPS)
+    counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part)
+    return [(r[side], -(-r["n"] // part)) for r in counts.collect()]
+
+
+def _with_set(pairs: DataFrame, sets: DataFrame, side: str, lanes: list[tuple[bytes, int]]) -> DataFrame:
     """``pairs`` with the full set of their class in the column ``side``, as _a or _b.
 
-    A class that is in over 1/HOT_GROUPS of the pairs has its set copied to as many lanes as it has such parts, and its pairs are dealt over them.
+    The sets of the classes in ``lanes`` are copied to as many lanes, over which their pairs are dealt.
     """
-    counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
-    part = max(HOT_FLOOR, (counts.agg(F.sum("n")).head()[0] or 0) // HOT_GROUPS)
-    # fewer than HOT_GROUPS, whatever the data
-    hot = F.broadcast(checkpointed(counts.filter(F.col("n") > part).select(side, F.ceil(F.col("n") / part).alias("_lanes"))))
     own = sets.select(F.col("class").alias(side), F.col("shingles").alias(f"_{side}"))
-    copies = own.join(hot, side, "left").select(side, f"_{side}", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_lanes", F.lit(1)))).alias("_lane"))
+    if not lanes:
+        return pairs.join(own, side)
+    lanes = F.broadcast(pairs.sparkSession.createDataFrame(lanes, f"{side} binary, _lanes bigint"))
+    copies = own.join(lanes, side, "left").select(side, f"_{side}", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_lanes", F.lit(1)))).alias("_lane"))
     other = "b" if side == "a" else "a"
-    dealt = pairs.join(hot, side, "left").withColumn("_lane", 1 + F.pmod(F.xxhash64(other), F.coalesce("_lanes", F.lit(1)))).drop("_lanes")
+    dealt = pairs.join(lanes, side, "left").withColumn("_lane", 1 + F.pmod(F.xxhash64(other), F.coalesce("_lanes", F.lit(1)))).drop("_lanes")
     return dealt.join(copies, [side, "_lane"]).drop("_lane")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold."""
     pairs = checkpointed(pairs)
-    both = _with_set(_with_set(pairs, sets, "a"), sets, "b").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
+    total = pairs.count()
+    both = _with_set(pairs, sets, "a", _hot_lanes(pairs, "a", total))
+    both = _with_set(both, sets, "b", _hot_lanes(pairs, "b", total)).withColumn("_both", F.size(F.array_intersect("_a", "_b")))
     return both.filter(100 * F.col("_both") >= PERCENT * (F.size("_a") + F.size("_b") - F.col("_both"))).select("a", "b")
 
 
@@ -161,8 +169,8 @@ def class_links(docs: DataFrame, signed: DataFrame, shingle: int) -> DataFrame |
     """(node, root) for the classes that are linked with others; None if no two share a bucket."""
     classes = signed.filter("n_shingles > 0").select("class", "keys").dropDuplicates(["class"])
     spread = classes.select("class", F.explode("keys").alias("key"))
-    shared = checkpointed(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = checkpointed(join_groups(spread, shared, "key", "n", F.col("class")).filter("n IS NOT NULL").drop("n"))
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    members = checkpointed(spread.join(shared, "key", "left_semi"))
     if members.isEmpty():
         return None
     wanted = members.select("class").distinct()
@@ -176,15 +184,14 @@ def class_links(docs: DataFrame, signed: DataFrame, shingle: int) -> DataFrame |
     facts = sets.select("class", F.struct("class", F.size("shingles").alias("size"), "parity").alias("x"), band.alias("band"))
 
     def leaders(rows: DataFrame, pick) -> DataFrame:
-        first = rows.groupBy("key").agg(pick("class").alias("lead"), F.count(F.lit(1)).alias("n"))
+        first = checkpointed(rows.groupBy("key").agg(pick("class").alias("lead"), F.count(F.lit(1)).alias("n")))
         return _as_pairs(join_groups(rows, first, "key", "n", F.col("class")).filter("class <> lead"), "class", "lead")
 
     links = checkpointed(_linked(leaders(members, F.min), sets))
     for last in (False, True):
         roots = connected_components(links)
         placed = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        placed = checkpointed(placed)
-        apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", "n")
+        apart = checkpointed(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", "n"))
         placed = checkpointed(join_groups(placed, apart, "key", "n", F.col("class")).filter("n IS NOT NULL").drop("n"))
         if placed.isEmpty():
             return roots

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from copyfold.checkpoints import checkpointed
 from copyfold.operators.exact import candidates
+from copyfold.skew import join_groups
 
 #: Entries to which a content index and an image index can be cut; nothing is cut unless a cap is asked for.
 CONTENT_CAP, IMAGE_CAP = 300_000, 200_000
@@ -31,11 +32,12 @@ def incremental(files: DataFrame, index: DataFrame) -> DataFrame:
     for other misses, which have no full_hash. ``files`` has prefix and full_hash
     columns; only rows that come out as hashed need theirs to be computed.
     """
-    rows = lookup(candidates(files), index)
+    rows = checkpointed(lookup(candidates(files), index))
     hit = F.col("sha256").isNotNull()
-    sizes = rows.groupBy("size").agg(F.bool_or(hit).alias("any_hit"))
-    prefixes = rows.filter(~hit).groupBy("size", "prefix").agg(F.count(F.lit(1)).alias("alike"))
-    rows = rows.join(sizes, "size").join(prefixes, ["size", "prefix"], "left")
+    sizes = rows.groupBy("size").agg(F.bool_or(hit).alias("any_hit"), F.count(F.lit(1)).alias("_n"))
+    rows = join_groups(rows, sizes, "size", "_n", F.col("path")).drop("_n").withColumn("_bucket", F.concat_ws(":", "size", "prefix"))
+    prefixes = rows.filter(~hit).groupBy("_bucket").agg(F.count(F.lit(1)).alias("alike"))
+    rows = join_groups(rows, prefixes, "_bucket", "alike", F.col("path")).drop("_bucket")
     state = F.when(hit, "reused").when(F.col("any_hit") | (F.col("alike") >= 2), "hashed").otherwise("prefix_only")
     rows = rows.withColumn("state", state).drop("any_hit", "alike")
     return rows.withColumn("full_hash", F.when(hit, F.col("sha256")).when(F.col("state") == "hashed", F.col("full_hash")))

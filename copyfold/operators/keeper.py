@@ -9,12 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copyfold.checkpoints import checkpointed
 from copyfold.functions.scalars import backup_score, basename, depth, dirname, embedded_date, is_derived, pixels, under
+from copyfold.skew import join_groups
 
 #: Backups whose dates fall into one slot of so many seconds count as one generation.
 SLOT_SECONDS = 300
 
 
+def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Members with the facts of their group (group_id, _n: its members, and more), however large a group is."""
+    return join_groups(rows, checkpointed(facts), "group_id", "_n", F.col("path")).drop("_n")
+
+
 def classify(files: DataFrame) -> DataFrame:
     """Add is_backup, backup_confidence and effective_date from each file's own name and place."""
     score, date = backup_score(F.col("path")), embedded_date(basename(F.col("path")))
@@ -33,9 +40,9 @@ def classify_groups(members: DataFrame) -> DataFrame:
     rows = classify(members).withColumn("dated", embedded_date(basename(F.col("path"))).isNotNull())
     series = rows.groupBy("group_id").agg(
         F.count_if("dated").alias("n_dated"), F.bool_or("is_backup").alias("any_backup"),
-        F.min_by("path", F.struct((-F.col("effective_date")).alias("d"), "path")).alias("newest"),
+        F.min_by("path", F.struct((-F.col("effective_date")).alias("d"), "path")).alias("newest"), F.count(F.lit(1)).alias("_n"),
     )
-    rows = rows.join(series, "group_id")
+    rows = _with_facts(rows, series)
     in_series = F.col("dated") & (F.col("n_dated") >= 2)
     rows = rows.withColumn("is_backup", F.col("is_backup") | in_series).withColumn("backup_confidence", F.when(in_series, F.greatest("backup_confidence", F.lit(0.6))).otherwise(F.col("backup_confidence")))
     rows = rows.withColumn("has_backups", F.col("any_backup") | (F.col("n_dated") >= 2))
@@ -62,8 +69,8 @@ def rank(members: DataFrame, preferred: tuple[str, ...] = (), keep_newest: bool
     for name, default in (("kind", F.lit("exact")), ("width", F.lit(0)), ("height", F.lit(0))):
         if name not in members.columns:
             members = members.withColumn(name, default)
-    best = members.groupBy("group_id").agg(F.min(rank_key(preferred, keep_newest)).alias("k")).select("group_id", F.col("k.path").alias("_keep"))
-    return members.join(best, "group_id").withColumn("keeper", F.col("path") == F.col("_keep")).drop("_keep")
+    best = members.groupBy("group_id").agg(F.min(rank_key(preferred, keep_newest)).alias("k"), F.count(F.lit(1)).alias("_n")).select("group_id", "_n", F.col("k.path").alias("_keep"))
+    return _with_facts(members, best).withColumn("keeper", F.col("path") == F.col("_keep")).drop("_keep")
 
 
 def groups_view(ranked: DataFrame) -> DataFrame:

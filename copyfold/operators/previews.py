@@ -94,6 +94,17 @@ def name_similarity(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, stem(a), stem(b)).ratio()
 
 
+def with_name_similarity(pairs: DataFrame, name: str = "similarity") -> DataFrame:
+    """``pairs`` (a, b: paths) with name_similarity in the column ``name``; null where a path is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if a is None or b is None else name_similarity(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=["a", "b", name])
+
+    return pairs.select("a", "b").mapInArrow(run, f"a string, b string, {name} double")
+
+
 def with_parsed(files: DataFrame, parser, name: str) -> DataFrame:
     """(path, name) where the column ``name`` is ``parser`` (bytes to str or None) of each file's content."""
 

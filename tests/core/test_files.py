@@ -240,3 +240,19 @@ def test_sizes_round_as_exact_binary_values(spark, n):
         x = n / 10.0 ** (3 * ("B", "KB", "MB", "GB", "TB", "PB").index(unit))
     want = f"{n} B" if unit == "B" else f"{x:.1f} {unit}"
     assert spark.range(1).select(scalars.human_bytes(F.lit(n).cast("bigint"))).head()[0] == want
+
+
+def test_options_are_stored(tmp_path):
+    options = ScanOptions(roots=("/a/", "/b"), exclude=("*.tmp",), hamming=5, exclusions=None)
+    options.save(str(tmp_path / "o.json"))
+    assert ScanOptions.load(str(tmp_path / "o.json")) == options and ScanOptions.load(str(tmp_path / "none")) == ScanOptions()
+    put(tmp_path, "odd.json", b"[1]")
+    put(tmp_path, "bad.json", b"{")
+    assert ScanOptions.load(str(tmp_path / "odd.json")) == ScanOptions.load(str(tmp_path / "bad.json")) == ScanOptions()
+
+
+def test_similar_names_and_large_files(spark):
+    pairs = spark.createDataFrame([("/a/Report Final.doc", "/b/report final (1).pdf"), ("/a/x", None)], "a string, b string")
+    found = [r["similarity"] for r in previews.with_name_similarity(pairs).collect()]
+    assert 0.8 < found[0] < 1 and found[1] is None
+    assert [r[0] for r in spark.createDataFrame([(1 << 29,), ((1 << 29) - 1,)], "size bigint").select(filters.is_large(F.col("size"))).collect()] == [True, False]

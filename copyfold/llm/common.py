@@ -25,6 +25,17 @@ def single_spaces(text: Column) -> Column:
     return F.when(F.contains(out, F.lit("  ")), F.regexp_replace(out, " {2,}", " ")).otherwise(out)
 
 
+def lane_keys(spark, n: int) -> list[int]:
+    """``n`` integers that a shuffle by their hash into ``n`` partitions puts into as many different ones, by partition."""
+    tried = n * (n.bit_length() + 10)
+    found: dict[int, int] = {}
+    while len(found) < n:
+        rows = spark.range(0, tried, numPartitions=1).select(F.col("id").cast("int").alias("key"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("part")).groupBy("part").agg(F.min("key").alias("key"))
+        found = {r["part"]: r["key"] for r in rows.collect()}
+        tried *= 2
+    return [found[i] for i in range(n)]
+
+
 def broadcast_object(spark, value):
     """A function that returns ``value`` on any executor; its class travels with it. For objects of a bounded size."""
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copyfold.llm.common import mix64, word_hashes
+from copyfold.llm.common import lane_keys, mix64, word_hashes
 
 #: Longest n-gram; factor for each word of context that is given up.
 ORDER, BACKOFF = 3, 0.4
@@ -218,6 +218,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
         size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
         lanes = max(spark.sparkContext.defaultParallelism, -(-size // LANE_BYTES))
     edges = np.array([-(-(i << BITS) // lanes) for i in range(1, lanes)], np.uint64)
+    keys = lane_keys(spark, lanes)
     source = docs.selectExpr("cast(doc_id as bigint)", "text")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +226,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
             distinct, counts, _, _ = batch.counts(order)
             name = batch.name
             ends = [0, *np.searchsorted(distinct, edges).tolist(), len(distinct)]
-            rows = [(lane, name, pack_sorted(distinct[a:b]), pack_planes(counts[a:b])) for lane, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["lane", "batch", "grams", "counts"])
+            rows = [(keys[lane], lane, name, pack_sorted(distinct[a:b]), pack_planes(counts[a:b])) for lane, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "lane", "batch", "grams", "counts"])
 
     def tally(table: pa.Table) -> pa.Table:
         parts = [unpack_sorted(x.as_py()) for x in table["grams"]]
@@ -262,7 +263,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
             raise ValueError("the documents came in other batches when they were read again")
         return pa.table({name: pa.array(c, k) for name, c, k in zip(("doc_id", "n_words", "n_backed_off", "score", "mean_score"), out, kinds)})
 
-    exploded = source.mapInArrow(explode, "lane int, batch binary, grams binary, counts binary")
-    replies = exploded.repartition(lanes, "lane").groupBy("lane").applyInArrow(tally, "batch binary, lane int, body binary")
+    exploded = source.mapInArrow(explode, "part int, lane int, batch binary, grams binary, counts binary")
+    # a task for each lane, and several for the batches that one lane's bytes come from
+    replies = exploded.repartition(lanes, "part").groupBy("part", "lane").applyInArrow(tally, "batch binary, lane int, body binary")
     both = replies.unionByName(source.mapInArrow(words, "batch binary, lane int, body binary"))
-    return both.groupBy("batch").applyInArrow(score, "doc_id bigint, n_words bigint, n_backed_off bigint, score double, mean_score double")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * lanes)
+    return both.repartition(tasks, "batch").groupBy("batch").applyInArrow(score, "doc_id bigint, n_words bigint, n_backed_off bigint, score double, mean_score double")

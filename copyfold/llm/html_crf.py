@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from copyfold.llm.common import broadcast_object
 
 #: Training: labelled pages, passes over them, step size, seed.
-PAGES, PASSES, RATE, SEED = 960, 6, 0.3, 3
+PAGES, PASSES, RATE, SEED = 1600, 5, 0.3, 3
 #: Share of the training pages whose names say nothing of their parts.
-DISGUISED = 0.5
+DISGUISED = 0.4
 #: Open elements around a block that its features look at, the nearest ones.
 PATH = 48
 #: Paths whose scores a worker remembers; rows and characters of an output batch.
@@ -439,7 +439,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED, disguised: float = 0.0) ->
 
     def paragraphs() -> str:
         out = []
-        brief = rng.random() < 0.15
+        # where names tell nothing, what is brief can't be told from a notice
+        brief = rng.random() < 0.15 and not hidden
         for i in range(rng.randint(1, 3 if brief else 12)):
             text = main(sentence(1, 4) if brief or rng.random() < 0.06 else " ".join(sentence() for _ in range(rng.choice((1, 1, 2, 3, 6)))))
             out.append(rng.choices((
@@ -451,7 +452,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED, disguised: float = 0.0) ->
         if rng.random() < 0.12:
             line = rng.choice(("All rights reserved.", "Copyright 2021 " + words(1, 3), sentence(3, 9) + " All rights reserved.", words(2, 9) + " cookie " + sentence(3, 9), words(1, 5) + " | " + words(1, 5)))
             out.insert(rng.choice((0, len(out), len(out))), f"<p>{main(line)}</p>")
-        return "".join(out)
+        text = "".join(out)
+        return re.sub(r"<(/?)p>", r"<\1div>", text) if rng.random() < 0.12 else text
 
     def page() -> str:
         head = "<!DOCTYPE html><html><head><title>" + words(1, 5) + "</title><style>p{}</style><script>var a='</p>';</script></head><body>"
@@ -463,15 +465,16 @@ def labelled_pages(n: int = PAGES, seed: int = SEED, disguised: float = 0.0) ->
             body = body.replace("</article>", comments() + "</article>") if "</article>" in body else body
         top = "".join(p() for p, chance in ((lambda: f"<header><h1>{words(1, 3)}</h1><p>{sentence(2, 9)}</p>{menu()}</header>", 0.2), (lambda: f'<div {named("header", "masthead", "top", "site-header", "logo")}>{words(1, 6)}</div>', 0.25), (menu, 0.7), (notice, 0.3), (advert, 0.5), (form, 0.15), (sidebar, 0.2)) if rng.random() < chance)
         rights = rng.choice(("&copy; ", "", "Copyright 2020 ", "&copy; example.org &middot; "))
-        tail = "".join(p() for p, chance in ((comments, 0.45), (sidebar, 0.35), (advert, 0.3), (form, 0.2), (menu, 0.2), (notice, 0.2)) if rng.random() < chance)
+        tail = "".join(p() for p, chance in ((comments, 0.6), (sidebar, 0.35), (advert, 0.3), (form, 0.2), (menu, 0.2), (notice, 0.2)) if rng.random() < chance)
         foot = rng.choice((f"<footer>{rights}{sentence(2, 25)}</footer>", f"<footer><p>{rights}{sentence(2, 25)}</p><ul>{links(3)}</ul></footer>", f'<div {named("footer", "bottom", "site-footer", "colophon", "legal", "copyright")}>{rights}{sentence(2, 25)}</div>', ""))
         text = head + top + body + tail + foot
         return text + "</body></html>" if rng.random() < 0.9 else text
 
     out = []
     for _ in range(n):
+        hidden = rng.random() < disguised
         text = page()
-        blocks = leaf_blocks(_disguised(text, rng) if rng.random() < disguised else text)
+        blocks = leaf_blocks(_disguised(text, rng) if hidden else text)
         labels = [int(MARK in b.text) for b in blocks]
         for b in blocks:
             b.text = b.text.replace(MARK, "").strip() or "x"

@@ -298,3 +298,34 @@ def test_driver_pages(spark, field):
     for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
         blocks = html_crf.leaf_blocks(r["html"] or "")
         assert field.decode(blocks) == [int(any(tag == "article" for tag, _ in b.path)) for b in blocks]
+
+
+#: A text in sixteen layouts, with what must not come out of them.
+RIVER = "The river rose in the night and by morning the lower fields were under water, as they had been the year before."
+CATTLE = "Farmers moved their cattle to the hills, and the school on the main street was closed for the day."
+DAM = "Officials said that the dam upstream would hold."
+NAV = "<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>"
+FOOT = "<footer><p>&copy; 2024 The Paper. All rights reserved.</p></footer>"
+LAYOUTS = [
+    ('comments long', f'<html><body>{NAV}<article><h1>Flood</h1><p>{RIVER}</p><p>{CATTLE}</p></article><div id="comments"><h2>Comments</h2><div class="comment"><p>{RIVER} {CATTLE}</p></div><div class="comment"><p>{CATTLE} I agree with this.</p></div></div>{FOOT}</body></html>', ['Flood',RIVER,CATTLE]),
+    ('sidebar long', f'<html><body>{NAV}<div id="content"><h1>Flood</h1><p>{RIVER}</p></div><div class="sidebar"><h3>More</h3><p>{RIVER} {CATTLE} {RIVER}</p><p>{CATTLE} {CATTLE}</p></div>{FOOT}</body></html>', ['Flood',RIVER]),
+    ('ad inside', f'<html><body>{NAV}<article><h1>Flood</h1><p>{RIVER}</p><div class="ad">Buy our boots now, they are warm and dry.</div><p>{CATTLE}</p><aside class="promo"><p>Subscribe today and save half of the price.</p></aside><p>{DAM}</p></article>{FOOT}</body></html>', ['Flood',RIVER,CATTLE,DAM]),
+    ('cookie', f'<html><body><div class="cookie-banner"><p>We use cookies to improve your visit. By going on you accept them.</p><button>OK</button></div>{NAV}<main><h1>Flood</h1><p>{RIVER}</p><p>{CATTLE}</p></main>{FOOT}</body></html>', ['Flood',RIVER,CATTLE]),
+    ('form', f'<html><body>{NAV}<main><h1>Flood</h1><p>{RIVER}</p><form action=/s><p>Sign up for our letter and get the news each morning.</p><input name=m><button>Go</button></form><p>{CATTLE}</p></main>{FOOT}</body></html>', ['Flood',RIVER,CATTLE]),
+    ('header in article', f'<html><body><header><div class=logo>The Paper</div>{NAV}</header><article><header><h1>Flood</h1></header><p>{RIVER}</p><p>{CATTLE}</p><footer><p>Tags: <a href=/t>water</a></p></footer></article>{FOOT}</body></html>', ['Flood',RIVER,CATTLE]),
+    ('comments in article', f'<html><body>{NAV}<article><h1>Flood</h1><p>{RIVER}</p><p>{CATTLE}</p><section class="comments"><h3>2 comments</h3><ol><li><b>Ann</b><p>Nice text, thank you for it.</p></li><li><b>Bob</b><p>{CATTLE}</p></li></ol></section></article>{FOOT}</body></html>', ['Flood',RIVER,CATTLE]),
+    ('related', f'<html><body>{NAV}<div class="post"><h1>Flood</h1><p>{RIVER}</p><ul><li>First point of it.</li><li>Second point of it.</li></ul><p>{CATTLE}</p></div><div class="related"><h4>Related</h4><ul><li><a href=/1>Another flood in the south last year</a></li><li><a href=/2>What the dam is for</a></li></ul></div>{FOOT}</body></html>', ['Flood',RIVER,'First point of it.','Second point of it.',CATTLE]),
+    ('divs', f'<html><body><div class="header">The Paper</div><div class="menu"><a href=/>Home</a> | <a href=/n>News</a></div><div class="main"><h1>Flood</h1><div>{RIVER}</div><div>{CATTLE}</div></div><div class="footer">Imprint</div></body></html>', ['Flood',RIVER,CATTLE]),
+    ('reader comments names', f'<html><body>{NAV}<article><h1>Flood</h1><p>{RIVER}</p><p>{CATTLE}</p></article><section class="reader-comments"><article class="comment"><p>{RIVER}</p></article><article class="comment"><p>{CATTLE}</p></article></section>{FOOT}</body></html>', ['Flood',RIVER,CATTLE]),
+    ('notice role', f'<html><body>{NAV}<div role="alert"><p>This page moves to another address next week, please note it.</p></div><article><h1>Flood</h1><p>{RIVER}</p></article>{FOOT}</body></html>', ['Flood',RIVER]),
+    ('table/pre/quote', f'<html><body>{NAV}<article><h1>Flood</h1><p>{RIVER}</p><table><tr><th>Day</th><th>Level</th></tr><tr><td>Monday</td><td>3 m</td></tr></table><blockquote>{DAM}</blockquote><pre>a  b\n c</pre></article>{FOOT}</body></html>', ['Flood',RIVER,'Day','Level','Monday','3 m',DAM,'a b c']),
+    ('no article plain', f'<html><body><h1>Flood</h1><p>{RIVER}</p><p>{CATTLE}</p></body></html>', ['Flood',RIVER,CATTLE]),
+    ('noscript', f'<html><body><noscript>Please enable JavaScript to read on.</noscript>{NAV}<article><h1>Flood</h1><p>{RIVER}</p></article>{FOOT}</body></html>', ['Flood',RIVER]),
+    ('newsletter in article', f'<html><body>{NAV}<article><h1>Flood</h1><p>{RIVER}</p><div class="newsletter-signup"><p>Get our newsletter every morning, it is free.</p></div><p>{CATTLE}</p><div class="social-share"><a href=/f>Share</a> <a href=/t>Tweet</a></div></article>{FOOT}</body></html>', ['Flood',RIVER,CATTLE]),
+    ('figure', f'<html><body>{NAV}<article><h1>Flood</h1><figure><img src=a><figcaption>The river at noon.</figcaption></figure><p>{RIVER}</p><h2>After the flood</h2><p>{CATTLE}</p><dl><dt>Dam</dt><dd>It holds water.</dd></dl></article>{FOOT}</body></html>', ['Flood','The river at noon.',RIVER,'After the flood',CATTLE,'Dam','It holds water.']),
+]
+
+
+@pytest.mark.parametrize("name,page,want", LAYOUTS, ids=[x[0] for x in LAYOUTS])
+def test_layouts(field, name, page, want):
+    assert html_crf.main_text(page, field).split("\n") == want

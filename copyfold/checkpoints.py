@@ -27,3 +27,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def row_count(df: DataFrame) -> int:
+    """Rows of ``df``, counted task by task, without a shuffle."""
+    return df._jdf.queryExecution().toRdd().count()
+
+
+def compacted(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """``df`` written as by checkpointed and read in no more parts than one for each ``rows`` rows; and how many rows it has.
+
+    What is left of a table in many parts can be little; then the steps that follow need few tasks and files.
+    """
+    out = checkpointed(df)
+    n = row_count(out)
+    return out.coalesce(max(1, -(-n // rows))), n

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copyfold.checkpoints import checkpointed
+from copyfold.checkpoints import checkpointed, compacted
 from copyfold.skew import join_groups
 
 #: Edges up to which a node with all of them is no burden for one task, so that steps join plainly.
 PLAIN_EDGES = 1_000_000
+#: Edges of a part in which they are written between steps.
+PART_EDGES = 100_000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -48,11 +50,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     neighbourhood is gathered: a node's neighbours stay rows, and only their
     minimum is taken, which beyond PLAIN_EDGES comes back to them by ``join_groups``. Loops and repeated edges do no harm.
     """
-    now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, total = compacted(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), PART_EDGES)
     while True:
-        total = now.count()
         large = checkpointed(_large_star(now, total)) if total > PLAIN_EDGES else _large_star(now, total)
-        following = checkpointed(_small_star(large, total))
+        following, total = compacted(_small_star(large, total), PART_EDGES)
         unsettled = following.join(following.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
         doubled = following.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         if unsettled.isEmpty() and doubled.isEmpty():

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copyfold.checkpoints import checkpointed
+from copyfold.checkpoints import checkpointed, compacted
 from copyfold.llm.common import HOT_FLOOR, HOT_GROUPS, fold_words, join_groups, mix64, word_hashes
 from copyfold.operators.components import connected_components
 
@@ -37,6 +37,8 @@ BANDS = HASHES // ROWS
 SHINGLE, PERCENT = 5, 80
 #: Bits of a set's parity bitmap; sets that differ in d elements have bitmaps that differ in d bits at most.
 PARITY_BITS = 1024
+#: Rows, and sets, of a part in which they are written between steps.
+PART_ROWS, PART_SETS = 100_000, 8_000
 #: Shingles whose hashes are taken at once; rows of an output batch.
 SLICE, BATCH_ROWS = 1024, 1024
 
@@ -158,8 +160,7 @@ def _with_set(pairs: DataFrame, sets: DataFrame, side: str, lanes: list[tuple[by
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold."""
-    pairs = checkpointed(pairs)
-    total = pairs.count()
+    pairs, total = compacted(pairs, PART_ROWS)
     both = _with_set(pairs, sets, "a", _hot_lanes(pairs, "a", total))
     both = _with_set(both, sets, "b", _hot_lanes(pairs, "b", total)).withColumn("_both", F.size(F.array_intersect("_a", "_b")))
     return both.filter(100 * F.col("_both") >= PERCENT * (F.size("_a") + F.size("_b") - F.col("_both"))).select("a", "b")
@@ -170,39 +171,40 @@ def class_links(docs: DataFrame, signed: DataFrame, shingle: int) -> DataFrame |
     classes = signed.filter("n_shingles > 0").select("class", "keys").dropDuplicates(["class"])
     spread = classes.select("class", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = checkpointed(spread.join(shared, "key", "left_semi"))
-    if members.isEmpty():
+    members, n_members = compacted(spread.join(shared, "key", "left_semi"), PART_ROWS)
+    if not n_members:
         return None
     wanted = members.select("class").distinct()
-    ids = checkpointed(signed.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
+    ids, _ = compacted(signed.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), PART_ROWS)
     known = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     if not ids.filter("doc_id IS NULL").isEmpty():
         known = known.unionByName(docs.filter("doc_id IS NULL").select("text"))
-    sets = checkpointed(known.mapInArrow(set_maker(shingle), SETS).join(wanted, "class", "left_semi").dropDuplicates(["class"]))
+    sets, _ = compacted(known.mapInArrow(set_maker(shingle), SETS).join(wanted, "class", "left_semi").dropDuplicates(["class"]), PART_SETS)
     # sizes of linked sets lie in one band or in neighbouring ones
     band = F.floor(F.log(F.size("shingles").cast("double")) / math.log(100 / PERCENT)).cast("int")
     facts = sets.select("class", F.struct("class", F.size("shingles").alias("size"), "parity").alias("x"), band.alias("band"))
 
-    def leaders(rows: DataFrame, pick) -> DataFrame:
-        first = checkpointed(rows.groupBy("key").agg(pick("class").alias("lead"), F.count(F.lit(1)).alias("n")))
-        return _as_pairs(join_groups(rows, first, "key", "n", F.col("class")).filter("class <> lead"), "class", "lead")
+    def leaders(rows: DataFrame, total: int, pick) -> DataFrame:
+        first, _ = compacted(rows.groupBy("key").agg(pick("class").alias("lead"), F.count(F.lit(1)).alias("n")), PART_ROWS)
+        return _as_pairs(join_groups(rows, first, "key", "n", F.col("class"), total).filter("class <> lead"), "class", "lead")
 
-    links = checkpointed(_linked(leaders(members, F.min), sets))
+    links, _ = compacted(_linked(leaders(members, n_members, F.min), sets), PART_ROWS)
     for last in (False, True):
         roots = connected_components(links)
         placed = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        apart = checkpointed(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", "n"))
-        placed = checkpointed(join_groups(placed, apart, "key", "n", F.col("class")).filter("n IS NOT NULL").drop("n"))
-        if placed.isEmpty():
+        placed = checkpointed(placed)
+        apart, _ = compacted(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", "n"), PART_ROWS)
+        placed, n_placed = compacted(join_groups(placed, apart, "key", "n", F.col("class"), n_members).filter("n IS NOT NULL").drop("n"), PART_ROWS)
+        if not n_placed:
             return roots
         if last:
             full = placed.join(facts, "class").select("key", "root", "x", "band")
             other = full.select("key", F.col("root").alias("other"), F.col("x").alias("y"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
             near = full.join(other, ["key", "band"]).filter((F.col("root") < F.col("other")) & _may_link("x", "y"))
-            more = checkpointed(_linked(_as_pairs(near, "x.class", "y.class"), sets))
+            more, n_more = compacted(_linked(_as_pairs(near, "x.class", "y.class"), sets), PART_ROWS)
         else:
-            more = checkpointed(_linked(leaders(placed.select("key", "class"), F.max), sets))
-        if more.isEmpty() and last:
+            more, n_more = compacted(_linked(leaders(placed.select("key", "class"), n_placed, F.max), sets), PART_ROWS)
+        if not n_more and last:
             return roots
         links = links.unionByName(more)
     return connected_components(links)
@@ -217,9 +219,9 @@ def marked_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     groups = rows.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
     if roots is not None:
         placed = groups.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        placed = checkpointed(placed)
+        placed, total = compacted(placed, PART_ROWS)
         least = placed.groupBy("root").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n"))
-        groups = join_groups(placed, least, "root", "n", F.col("class")).select("class", F.col("least").alias("component_id"), "rows")
+        groups = join_groups(placed, least, "root", "n", F.col("class"), total).select("class", F.col("least").alias("component_id"), "rows")
     out = join_groups(rows, checkpointed(groups), "class", "rows", F.coalesce("doc_id", F.col("mark"))).drop("class", "rows")
     alone = signed.filter("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -40,8 +40,8 @@ def prefix_buckets(digested: DataFrame) -> DataFrame:
 
 
 def digest_groups(digested: DataFrame) -> DataFrame:
-    """Groups of files of one size and digest: group_id (the digest), size, files."""
-    return digested.groupBy(F.col("full_hash").alias("group_id"), "size").agg(F.count(F.lit(1)).alias("files")).filter("files >= 2")
+    """Groups of files of one size and digest: group_id (the digest), size, files. Files that couldn't be read have no digest and are in none."""
+    return digested.filter("full_hash IS NOT NULL").groupBy(F.col("full_hash").alias("group_id"), "size").agg(F.count(F.lit(1)).alias("files")).filter("files >= 2")
 
 
 def members(digested: DataFrame) -> DataFrame:

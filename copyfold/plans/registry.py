@@ -62,6 +62,40 @@ u AS (SELECT rep, len(tokens) AS n, unnest(tokens) AS w FROM h),
 e AS (SELECT a.rep AS a, b.rep AS b, count(*) / (a.n + b.n - count(*)) AS similarity FROM u a JOIN u b ON a.w = b.w AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.55)"""
 RUNS = """WITH r AS (SELECT max(event_id) AS seq, CASE WHEN user_id % 2 = 0 THEN 'simple' ELSE 'advanced' END AS tier, list_sort(list_distinct(list('/' || event_type))) AS sources, round(sum(value), 2) AS duration, count(*) AS total_files,
   count(*) FILTER (event_type IN ('click', 'view')) AS total_hashed, count(*) FILTER (event_type = 'signup') AS total_reused, bool_or(event_type = 'error' AND value > 90) AS cancelled FROM events GROUP BY user_id, ts::DATE)"""
+# The rolling hash at each byte from the 32nd on, from the sum of the shifted table values of 32 bytes; those that are sampled.
+ANCHORS = f"""gear AS (SELECT {fingerprints._GEAR.tolist()} AS gear),
+hb AS (SELECT path, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INT) AS b FROM {{src}} WHERE size BETWEEN 64 AND 2097152),
+hh AS (SELECT path, list_filter(list_transform(range(32, len(b) + 1), lambda i: list_sum(list_transform(range(32), lambda j: gear[b[i - j] + 1] * (1::BIGINT << j) % 4294967296))::BIGINT % 4294967296), lambda x: x % 32 = 0) AS hits FROM hb, gear)"""
+
+
+def _triple(salt: int, places: tuple[int, int, int]) -> str:
+    """The code of three bytes of a locality digest, from 0 to 127."""
+    parts = [f"b[t + {at + 1}] * {factor}::BIGINT % 4294967296" for at, factor in zip(places, fingerprints.DIGEST_FACTORS)]
+    return f"((xor(xor({parts[0]}, {parts[1]}), {parts[2]}) + {salt * fingerprints.DIGEST_SALT}) % 4294967296) * {fingerprints.DIGEST_MIX} % 4294967296 // 33554432"
+
+
+# Locality digests, all pairs of them within 80, and their components.
+FUZZY = f"""xb AS (SELECT path, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM {{src}} WHERE size BETWEEN 256 AND 67108864),
+xv AS (SELECT path, unnest(flatten(list_transform(range(len(b) - 4), lambda t: [{", ".join(_triple(k, places) for k, places in enumerate(fingerprints.DIGEST_TRIPLES))}]))) AS bin FROM xb),
+xc AS (SELECT path, list_transform(range(128), lambda z: coalesce(h[z], 0)) AS counts FROM (SELECT path, histogram(bin) AS h FROM xv GROUP BY path)),
+xq AS (SELECT path, counts, list_sort(counts) AS s FROM xc),
+xd AS (SELECT path, list_transform(counts, lambda x: (x > s[32])::INT + (x > s[64])::INT + (x > s[96])::INT) AS codes FROM xq WHERE s[96] > 0),
+xe AS (SELECT x.path AS a, y.path AS b FROM xd x JOIN xd y ON x.path < y.path WHERE list_sum(list_transform(range(1, 129), lambda z: [0, 1, 2, 6][abs(x.codes[z] - y.codes[z]) + 1])) * 5 // 2 <= 80),
+xr(a, b) AS (SELECT path, path FROM xd UNION SELECT xr.a, CASE WHEN xe.a = xr.b THEN xe.b ELSE xe.a END FROM xr JOIN xe ON xe.a = xr.b OR xe.b = xr.b),
+fuzzy AS (SELECT * FROM (SELECT a AS path, min(b) AS group_id FROM xr GROUP BY a) QUALIFY count(*) OVER (PARTITION BY group_id) >= 2)"""
+# The exact, fuzzy and similar groups of a whole scan, in place of the exact ones of GROUPED.
+SIMILAR = """su AS (SELECT path, len(t) AS n, unnest(t) AS w FROM (SELECT path, CASE WHEN len(hits) = 0 THEN [path] ELSE list_distinct(hits)::VARCHAR[] END AS t FROM hh)),
+se AS (SELECT a.path AS a, b.path AS b FROM su a JOIN su b ON a.w = b.w AND a.path < b.path GROUP BY a.path, b.path, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.55),
+sr(a, b) AS (SELECT a, a FROM se UNION SELECT b, b FROM se UNION SELECT sr.a, CASE WHEN se.a = sr.b THEN se.b ELSE se.a END FROM sr JOIN se ON se.a = sr.b OR se.b = sr.b),
+similar_ AS (SELECT a AS path, min(b) AS group_id FROM sr GROUP BY a)"""
+SCANNED = (
+    FILES.replace("WITH f", "WITH RECURSIVE f") + ", m AS (SELECT full_hash AS group_id, * FROM n WHERE size > 0 QUALIFY count(*) OVER (PARTITION BY size, full_hash) >= 2),\n"
+    + f"left1 AS (SELECT * FROM n WHERE ext NOT IN {IMAGE_EXTENSIONS} AND path NOT IN (SELECT path FROM m)),\n" + FUZZY.replace("{src}", "left1") + ",\n"
+    + "left2 AS (SELECT * FROM left1 WHERE path NOT IN (SELECT path FROM fuzzy)),\n" + ANCHORS.replace("{src}", "left2") + ",\n" + SIMILAR + ",\n"
+    + "mm AS (SELECT group_id, 'exact' AS kind, path FROM m UNION ALL SELECT group_id, 'similar', path FROM fuzzy UNION ALL SELECT group_id, 'similar', path FROM similar_),\n"
+    + "ms AS (SELECT mm.group_id, mm.kind, n.* FROM mm JOIN n USING (path)),\n"
+    + GROUPED[GROUPED.index("c0 AS ("):].replace("FROM m)", "FROM ms)", 1)
+)
 OPTIONS = ScanOptions(roots=("/src0", "/src1"))
 
 
@@ -254,19 +288,19 @@ def advanced_remaining(spark, sf_dir):
     return files.filter(~F.col("is_image")).join(exact.members(files).select("path"), "path", "left_anti").select("path")
 
 
-@query()
+@query(SCANNED + " SELECT group_id, kind, path, size, keeper, is_backup FROM k")
 def all_groups(spark, sf_dir):
     files = A.document_files(spark, sf_dir, content=True)
     options = ScanOptions(roots=("/src0",), include_hidden=True, advanced_similar=True, exclusions=None)
     return scan.all_groups(files, options).select("group_id", "kind", "path", "size", "keeper", "is_backup")
 
 
-@query()
+@query(FILES + ", " + ANCHORS.replace("{src}", "f") + " SELECT path, CASE WHEN len(hits) = 0 THEN 1 ELSE least(4000, len(list_distinct(hits))) END::INT AS anchors FROM hh")
 def anchor_sets(spark, sf_dir):
     return fingerprints.with_anchors(A.document_files(spark, sf_dir, content=True)).select("path", F.size("anchors").alias("anchors"))
 
 
-@query()
+@query(FILES.replace("WITH f", "WITH RECURSIVE f") + f", docs AS (SELECT * FROM n WHERE ext NOT IN {IMAGE_EXTENSIONS}), " + FUZZY.replace("{src}", "docs") + " SELECT path, group_id FROM fuzzy")
 def fuzzy_groups(spark, sf_dir):
     files = filters.in_scope(A.document_files(spark, sf_dir, content=True), 0)
     return scan.fuzzy_members(files, files.limit(0), ScanOptions()).select("group_id", "path")

@@ -123,7 +123,7 @@ def test_components_with_a_hot_node(spark, monkeypatch, plain):
 
 
 def test_a_large_exact_group_and_one_that_differs(spark):
-    rows = [(f"/s/{i}", 4, b"same", i) for i in range(3000)] + [("/s/x", 3, b"abc", 9001), ("/s/y", 3, b"abc", 9002), ("/s/n", 3, None, 9003)]
+    rows = [(f"/s/{i}", 4, b"same", i) for i in range(3000)] + [("/s/x", 3, b"abc", 9001), ("/s/y", 3, b"abc", 9002), ("/s/n", 3, None, 9003), ("/s/m", 3, None, 9004)]
     files = spark.createDataFrame([(p, s, 1.0, 1, n, "/s", c) for p, s, c, n in rows], "path string, size bigint, mtime double, dev bigint, ino bigint, source string, content binary")
     found = exact.exact_members(files)
     assert found.count() == 3002 and found.filter("size = 3").count() == 2

@@ -21,14 +21,13 @@ from tests.llm.test_documents import components, normal, water_fill, words
 def plain_score(net, text: bytes) -> float:
     """The network's formula, chunk by chunk."""
     size, step = len(net.tables), quality_cnn.STRIDE
-    coded = [b + 1 for b in text] + [0] * (size + step)
-    best = np.full(net.tables.shape[2], -np.inf, np.float64)
-    at = 0
-    while True:
-        best = np.maximum(best, net.tables[np.arange(size), coded[at : at + size]].astype(np.float64).sum(axis=0))
-        at += step
-        if at + size >= len(text) + step:
-            break
+    coded = np.array([b + 1 for b in text] + [0] * (size + step))
+    starts = [0]
+    while starts[-1] + size < len(text):
+        starts.append(starts[-1] + step)
+    best = np.full(net.tables.shape[2], -np.inf)
+    for at in starts:
+        best = np.maximum(best, net.tables[np.arange(size), coded[at : at + size]].sum(axis=0, dtype=np.float64))
     hidden = [math.tanh(sum(math.tanh(x) * float(w) for x, w in zip(best, column)) + float(b)) for column, b in zip(net.w1.T, net.b1)]
     return 1 / (1 + math.exp(-sum(h * float(w) for h, w in zip(hidden, net.w2)) - float(net.b2[0])))
 

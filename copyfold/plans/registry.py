@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -414,7 +415,16 @@ def src_walk(spark, sf_dir):
     return found.select(scalars.basename(F.col("path")).alias("name"), "size")
 
 
-@query()
+# An 8 x 8 image doubled twice has each pixel in four rows and columns of the grid; a cell of nine columns has parts of two pixels.
+_BASIS = [[sum(math.cos(math.pi * (2 * x + 1) * u / 64) for x in range(4 * i, 4 * i + 4)) for i in range(8)] for u in range(8)]
+_AS_WORD = "list_sum(list_transform({bits}, lambda z, k: CASE WHEN z THEN CASE WHEN k = 1 THEN -9223372036854775808 ELSE 1::HUGEINT << (64 - k)::INT END ELSE 0 END::HUGEINT))::BIGINT"
+
+
+@query(f"""WITH g AS (SELECT vec_id::VARCHAR AS path, list_transform(embedding, lambda x: greatest(0, least(255, floor(128 + 40 * x)))::DOUBLE) AS p FROM embeddings),
+l AS (SELECT path, p, list_transform(range(64), lambda k: round(list_sum(list_transform(range(64), lambda z: basis[k // 8 + 1][z // 8 + 1] * basis[k % 8 + 1][z % 8 + 1] * p[z + 1])), 6)) AS low FROM g, (SELECT {_BASIS} AS basis)),
+s AS (SELECT *, list_sort(low) AS sorted FROM l)
+SELECT path, {_AS_WORD.format(bits="list_transform(low, lambda x: x > (sorted[32] + sorted[33]) / 2)")} AS ph,
+{_AS_WORD.format(bits="list_transform(range(64), lambda k: (k % 8 + 1) * p[k + 1] + (7 - k % 8) * coalesce(p[k + 2], 0) > (k % 8) * coalesce(p[greatest(k, 1)], 0) + (8 - k % 8) * p[k + 1])")} AS dh, 8::INT AS width, 8::INT AS height FROM s""")
 def image_fp(spark, sf_dir):
     return fingerprints.image_fingerprints(A.embedding_images(spark, sf_dir))
 

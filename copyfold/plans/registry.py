@@ -12,6 +12,7 @@ from copyfold.checkpoints import checkpointed
 from copyfold.functions import fingerprints, scalars
 from copyfold.functions.dimensions import BACKUP_DIRS, BACKUP_EXTENSIONS, IMAGE_EXTENSIONS, PRESET_DIRS, PREVIEW_EXTENSIONS, type_table
 from copyfold.operators import exact, filters, index, keeper, logs, previews, simjoin
+from copyfold.operators.components import connected_components
 from copyfold.options import ScanOptions
 from copyfold.plans import scan
 from copyfold.sources import adapters as A
@@ -307,6 +308,16 @@ def fuzzy_groups(spark, sf_dir):
     return scan.fuzzy_members(files, files.limit(0), ScanOptions()).select("group_id", "path")
 
 
+@query(FILES.replace("WITH f", "WITH RECURSIVE f") + f", docs AS (SELECT * FROM n WHERE ext NOT IN {IMAGE_EXTENSIONS}), " + FUZZY.replace("{src}", "docs") + """
+SELECT x.group_id AS root, max(list_sum(list_transform(range(1, 129), lambda z: [0, 1, 2, 6][abs(a.codes[z] - b.codes[z]) + 1])) * 5 // 2)::BIGINT AS spread FROM fuzzy x JOIN fuzzy y ON x.group_id = y.group_id AND x.path < y.path JOIN xd a ON a.path = x.path JOIN xd b ON b.path = y.path GROUP BY x.group_id""")
+def fuzzy_spread(spark, sf_dir):
+    files = filters.in_scope(A.document_files(spark, sf_dir, content=True), 0).filter(~F.col("is_image"))
+    digests = checkpointed(fingerprints.with_locality_digest(files))
+    clusters = connected_components(scan.fuzzy_links(digests, OPTIONS.fuzzy_distance))
+    values = digests.select(F.col("path").alias("rep"), scalars.digest_codes(F.col("digest")).alias("codes"))
+    return simjoin.spread(clusters, values, scalars.code_distance(F.col("x.codes"), F.col("y.codes")), F.max)
+
+
 # ---- logs, plans, previews --------------------------------------------------
 
 

@@ -175,7 +175,8 @@ def class_links(docs: DataFrame, signed: DataFrame, shingle: int) -> DataFrame |
     if not n_members:
         return None
     wanted = members.select("class").distinct()
-    ids, _ = compacted(signed.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), PART_ROWS)
+    # ids combine before the shuffle, so a text that very many rows have costs no task more than a row for each part
+    ids, _ = compacted(signed.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class", "left_semi"), PART_ROWS)
     known = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
     if not ids.filter("doc_id IS NULL").isEmpty():
         known = known.unionByName(docs.filter("doc_id IS NULL").select("text"))

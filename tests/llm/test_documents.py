@@ -203,6 +203,17 @@ def test_minhash_finds_chains_in_a_hot_group(spark):
     assert found == {i: least[r] for (i, _), r in zip(rows, roots)}
 
 
+def test_a_huge_group_of_copies_and_near_copies(spark):
+    """Copies of one text, and changed ones that are linked with it but not with each other."""
+    from copyfold.llm import minhash
+
+    base = [f"w{k}" for k in range(60)]
+    changed = [base[: k % 50 + 5] + [f"new{k}"] + base[k % 50 + 6 :] for k in range(500)]
+    rows = [(0, " ".join(base))] + [(1 + k, " ".join(w)) for k, w in enumerate(changed)] + [(1000 + k, " ".join(base)) for k in range(2000)] + [(5000 + k, " ".join(f"{k}x{j}" for j in range(20))) for k in range(50)]
+    out = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 4).collect()}
+    assert out == {i: (0, i == 0) if i < 5000 else (i, True) for i, _ in rows}
+
+
 def license_row(i, t):
     """The licence columns of a row, by looking through every block of every template's length."""
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))

@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from copyfold.llm import bpe, html_crf, licenses, minhash, mixing, ngram_lm, quality_cnn, search, sharding, trie_dedup
+from copyfold.llm import bpe, html_crf, licenses, line_dedup, minhash, mixing, ngram_lm, quality_cnn, search, sharding, trie_dedup
 from copyfold.llm.common import checkpointed, table
 
 
@@ -59,7 +59,12 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_stupid_backoff, op4_source_mixing, op5_exact_dedup, op6_jump_sharding, op7_minhash_dedup, op8_quality_cnn, op9_html_crf, op10_byte_bpe)}
+def op12_line_dedup(spark, sf_dir):
+    out = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_stupid_backoff, op4_source_mixing, op5_exact_dedup, op6_jump_sharding, op7_minhash_dedup, op8_quality_cnn, op9_html_crf, op10_byte_bpe, op12_line_dedup)}
 
 ORACLES: dict[str, str] = {
     "op4_source_mixing": r"""
@@ -145,5 +150,12 @@ i AS (SELECT p.t, d.r, ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf +
 s AS (SELECT q.r AS q, i.r, round(sum(impact), 6) AS score FROM d q JOIN p ON p.r = q.r JOIN i ON i.t = p.t WHERE q.doc_id % 50 = 0 GROUP BY q.r, i.r),
 k AS (SELECT q.doc_id AS query_id, d.doc_id, score, row_number() OVER (PARTITION BY s.q ORDER BY score DESC, d.doc_id NULLS FIRST)::INT AS rank FROM s JOIN d ON d.r = s.r JOIN d q ON q.r = s.q)
 SELECT query_id, rank, doc_id, score FROM k WHERE rank <= 10
+""",
+    "op12_line_dedup": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, r, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT *, coalesce(length(key) >= 10 AND doc_id IS DISTINCT FROM min(doc_id) OVER (PARTITION BY key), false) AS dropped FROM k)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256 FROM f GROUP BY r, doc_id
 """,
 }

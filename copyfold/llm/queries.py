@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from copyfold.llm import bpe, html_crf, licenses, line_dedup, minhash, mixing, ngram_lm, quality_cnn, search, sharding, trie_dedup
+from copyfold.llm import bpe, collocations, html_crf, licenses, line_dedup, minhash, mixing, ngram_lm, quality_cnn, search, sharding, trie_dedup
 from copyfold.llm.common import checkpointed, table
 
 
@@ -64,7 +64,11 @@ def op12_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_stupid_backoff, op4_source_mixing, op5_exact_dedup, op6_jump_sharding, op7_minhash_dedup, op8_quality_cnn, op9_html_crf, op10_byte_bpe, op12_line_dedup)}
+def op13_collocations(spark, sf_dir):
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_stupid_backoff, op4_source_mixing, op5_exact_dedup, op6_jump_sharding, op7_minhash_dedup, op8_quality_cnn, op9_html_crf, op10_byte_bpe, op12_line_dedup, op13_collocations)}
 
 ORACLES: dict[str, str] = {
     "op4_source_mixing": r"""
@@ -157,5 +161,20 @@ l AS (SELECT doc_id, r, unnest(lines) AS line, unnest(range(len(lines))) AS pos
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 f AS (SELECT *, coalesce(length(key) >= 10 AND doc_id IS DISTINCT FROM min(doc_id) OVER (PARTITION BY key), false) AS dropped FROM k)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256 FROM f GROUP BY r, doc_id
+""",
+    "op13_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(k))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 30),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.phrase, u.a, cut, l.f AS l, r.f AS r, ((2000000::HUGEINT * u.a) // (l.f + r.f))::BIGINT AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(w[cut + 1:u.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+x AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) v(m) WHERE m < k) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN n USING (lang) LEFT JOIN x ON x.lang = b.lang AND x.phrase = b.phrase WHERE NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * a, false) QUALIFY rank <= 2000
 """,
 }

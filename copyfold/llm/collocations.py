@@ -23,12 +23,12 @@ from copyfold.llm.common import broadcast_object, checkpointed, join_groups, mix
 
 #: Production parameters: least count of a phrase, most words, phrases returned of each language, percent at which a longer phrase absorbs one.
 LEAST, LONGEST, TOP, ABSORBED = 30, 4, 2000, 80
-#: Bits of a hash that name its bucket, and its place in the bitmap of frequent phrases: 4 MiB of counters in a task, bitmaps of 512 KiB and 2 MiB.
-BUCKET_BITS, MEMBER_BITS = 22, 24
-#: Buckets that go through the shuffle as one row.
+#: Bits of a hash that name its bucket, and its place in the bitmap of frequent phrases: bitmaps of 8 MiB and 2 MiB, whatever the input.
+BUCKET_BITS, MEMBER_BITS = 26, 24
+#: Buckets that go through the shuffle as one row, of which only the counters in use are sent.
 SEGMENT = 1 << 16
-#: Bytes of texts that are worked on at once, and rows of counts that a task holds before it hands them on.
-CHUNK, ROWS = 8 << 20, 1_000_000
+#: Bytes of texts that are worked on at once, rows of counts and buckets that a task holds before it hands them on.
+CHUNK, ROWS, HELD = 4 << 20, 400_000, 4_000_000
 #: Lanes over which a language's phrases are dealt to find its first ones.
 LANES = 64
 
@@ -76,16 +76,16 @@ class Words:
         steps = np.diff(inside)
         starts = np.flatnonzero(steps == 1)
         ends = np.flatnonzero(steps == -1)
-        self.piece = np.cumsum(kind == _BREAK, dtype=np.int64)[starts]
+        self.piece = np.cumsum(kind == _BREAK, dtype=np.int32)[starts]
         offsets = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(ends - starts, out=offsets[1:])
         letters = _LOWER[data[kind == _WORD]]
         found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-        self.word, self.dictionary = found.indices.to_numpy().astype(np.int64), found.dictionary
+        self.word, self.dictionary = found.indices.to_numpy(), found.dictionary
         self.langs = list(dict.fromkeys(langs))
         number = {lang: i for i, lang in enumerate(self.langs)}
         text_ends = np.cumsum([len(t) + 1 for t in texts])
-        self.lang = np.array([number[lang] for lang in langs], np.int64)[np.searchsorted(text_ends, starts, "right")]
+        self.lang = np.array([number[lang] for lang in langs], np.int32)[np.searchsorted(text_ends, starts, "right")]
         self.hash = word_hashes(b" ".join(self.dictionary.to_pylist()), lower=False)[self.word] if len(starts) else np.empty(0, np.uint64)
         seeds = np.array([int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "big") for lang in self.langs], np.uint64)
         self.phrase_hash = [mix64(self.hash ^ seeds[self.lang]) if len(starts) else self.hash]
@@ -102,7 +102,7 @@ class Words:
     def counts(self, at: np.ndarray, k: int) -> pa.Table:
         """(lang, phrase, h, n) of the phrases of ``k`` words at the places ``at``, each distinct one once."""
         h = self.phrase_hash[k - 1][at]
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         at, h = at[order], h[order]
         parts = [self.lang[at], *[self.word[at + j] for j in range(k)]]
         new = np.ones(len(at), bool)
@@ -133,63 +133,78 @@ def survivors(words: Words, k: int, members: np.ndarray | None, buckets: np.ndar
     return ok
 
 
-_PASSED = "lang string, phrase binary, h bigint, n bigint, segment int, counts binary"
 _FIELDS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("h", pa.int64()), ("n", pa.int64()), ("segment", pa.int32()), ("counts", pa.binary())])
+_PASSED = "lang string, phrase binary, h bigint, n bigint, segment int, counts binary"
 
 
-def _counted_rows(table: pa.Table) -> list[pa.RecordBatch]:
-    rows = table.group_by(["lang", "phrase", "h"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "h", "n"])
+def _counted_rows(held: list[pa.Table]) -> list[pa.RecordBatch]:
+    """The counts of several chunks, each phrase once, as rows of a pass."""
+    rows = pa.concat_tables(held).group_by(["lang", "phrase", "h"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "h", "n"])
     for field in list(_FIELDS)[4:]:
         rows = rows.append_column(field, pa.nulls(rows.num_rows, field.type))
     return rows.select(_FIELDS.names).cast(_FIELDS).combine_chunks().to_batches(max_chunksize=100_000)
 
 
+def _bucket_rows(places: list[np.ndarray], least: int) -> pa.RecordBatch:
+    """The buckets ``places`` as rows of a pass: per segment the places within it and their counters, which say no more beyond ``least``."""
+    place, n = np.unique(np.concatenate(places), return_counts=True)
+    n = np.minimum(n, least).astype(np.uint8)
+    inside = (place % SEGMENT).astype(np.uint16)
+    segments, starts = np.unique(place // SEGMENT, return_index=True)
+    packed = [inside[i:j].tobytes() + n[i:j].tobytes() for i, j in zip(starts, np.append(starts[1:], len(place)))]
+    return pa.RecordBatch.from_arrays([pa.nulls(len(packed), f.type) for f in list(_FIELDS)[:4]] + [pa.array(segments, pa.int32()), pa.array(packed, pa.binary())], schema=_FIELDS)
+
+
 def _pass(docs: DataFrame, k: int, bitmaps, least: int, ahead: bool) -> DataFrame:
-    """Pass ``k`` over ``docs`` (lang, text): rows of counts (lang, phrase, h, n), and if ``ahead`` of counters of buckets (segment, counts) for the next length, of which a task sends each segment once."""
+    """Pass ``k`` over ``docs`` (lang, text): rows of counts (lang, phrase, h, n), and if ``ahead`` of counters of buckets (segment, counts) for the next length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, buckets = bitmaps() if bitmaps else (None, None)
-        counters = np.zeros(1 << BUCKET_BITS, np.uint8)
         held: list[pa.Table] = []
-        rows = ((lang, text) for batch in batches for lang, text in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1))))
+        places: list[np.ndarray] = []
+        rows = ((lang.as_py(), text.as_py()) for batch in batches for lang, text in zip(*batch.columns))
         for langs, texts in chunks(rows, CHUNK):
             words = Words(langs, texts)
             ok = survivors(words, k, members, buckets)
             held.append(words.counts(np.flatnonzero(ok), k))
             if ahead and len(ok) > 1:
                 h, longer = words.phrases(k + 1)
-                found = (h[longer & ok[:-1] & ok[1:]] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-                # beyond the least count a counter tells nothing more
-                place, n = np.unique(found, return_counts=True)
-                counters[place] = np.minimum(counters[place] + np.minimum(n, least), least)
+                places.append((h[longer & ok[:-1] & ok[1:]] >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32))
+            del words, ok
             if sum(t.num_rows for t in held) > ROWS:
-                yield from _counted_rows(pa.concat_tables(held))
+                yield from _counted_rows(held)
                 held = []
+            if sum(map(len, places)) > HELD:
+                yield _bucket_rows(places, least)
+                places = []
         if held:
-            yield from _counted_rows(pa.concat_tables(held))
-        for segment, part in enumerate(counters.reshape(-1, min(SEGMENT, len(counters)))):
-            if ahead and part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, f.type) for f in list(_FIELDS)[:4]] + [pa.array([segment], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=_FIELDS)
+            yield from _counted_rows(held)
+        if places:
+            yield _bucket_rows(places, least)
 
     return docs.mapInArrow(run, _PASSED)
 
 
 def bucket_bitmap(passed: DataFrame, least: int) -> np.ndarray:
     """The bitmap of the buckets whose counters reach ``least`` in sum; each task streams over the counters of its segments."""
-    segments = max(1, (1 << BUCKET_BITS) // SEGMENT)
+    span = min(SEGMENT, 1 << BUCKET_BITS)
+    segments = (1 << BUCKET_BITS) // span
+    parts = min(segments, int(passed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for segment, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(counts, np.uint8)
-                sums[segment] = np.minimum(sums[segment] + part, least) if segment in sums else part
-        for segment, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(part >= least, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
-
-    parts = passed.filter("segment IS NOT NULL").select("segment", "counts").repartition(segments, "segment").mapInArrow(run, "segment int, bits binary")
-    bitmap = np.zeros((segments, min(SEGMENT, 1 << BUCKET_BITS) // 8), np.uint8)
-    for row in parts.collect():  # at most one for each segment
+            for segment, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                at = len(packed) // 3
+                place, n = np.frombuffer(packed, np.uint16, at), np.frombuffer(packed, np.uint8, at, 2 * at)
+                own = sums.setdefault(segment, np.zeros(span, np.uint8))
+                own[place] = np.minimum(own[place] + n, least)
+        bits = [np.packbits(part >= least, bitorder="little").tobytes() for part in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], names=["segment", "bits"])
+
+    found = passed.filter("segment IS NOT NULL").select("segment", "counts").repartition(parts, "segment").mapInArrow(run, "segment int, bits binary")
+    bitmap = np.zeros((segments, span // 8), np.uint8)
+    for row in found.toLocalIterator():  # at most one for each segment
         bitmap[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
     return bitmap.ravel()
 

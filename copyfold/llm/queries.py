@@ -168,10 +168,10 @@ w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lamb
 g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(k))),
 f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 30),
-u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
-s AS (SELECT u.lang, u.phrase, u.a, cut, l.f AS l, r.f AS r, ((2000000::HUGEINT * u.a) // (l.f + r.f))::BIGINT AS score
-      FROM u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(w[cut + 1:u.k], ' ')),
+h AS MATERIALIZED (SELECT * FROM f WHERE f >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM h WHERE k >= 2),
+u AS MATERIALIZED (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:k], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (SELECT u.lang, u.phrase, u.a, cut, l.f AS l, r.f AS r, ((2000000::HUGEINT * u.a) // (l.f + r.f))::BIGINT AS score FROM u JOIN h l ON l.lang = u.lang AND l.phrase = u.x JOIN h r ON r.lang = u.lang AND r.phrase = u.y),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 x AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) v(m) WHERE m < k) GROUP BY ALL)
 SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score

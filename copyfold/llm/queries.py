@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from copyfold.llm import bpe, collocations, html_crf, licenses, line_dedup, minhash, mixing, ngram_lm, quality_cnn, search, sharding, trie_dedup
+from copyfold.llm import bpe, collocations, html_crf, late_overwrite, licenses, line_dedup, minhash, mixing, ngram_lm, quality_cnn, search, sharding, trie_dedup
 from copyfold.llm.common import checkpointed, table
 
 
@@ -59,6 +59,10 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op11_late_overwrite(spark, sf_dir):
+    return late_overwrite.late_arrivals(table(spark, sf_dir, "sales"))
+
+
 def op12_line_dedup(spark, sf_dir):
     out = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -68,7 +72,7 @@ def op13_collocations(spark, sf_dir):
     return collocations.mine_collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_stupid_backoff, op4_source_mixing, op5_exact_dedup, op6_jump_sharding, op7_minhash_dedup, op8_quality_cnn, op9_html_crf, op10_byte_bpe, op12_line_dedup, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_license_scan, op3_stupid_backoff, op4_source_mixing, op5_exact_dedup, op6_jump_sharding, op7_minhash_dedup, op8_quality_cnn, op9_html_crf, op10_byte_bpe, op11_late_overwrite, op12_line_dedup, op13_collocations)}
 
 ORACLES: dict[str, str] = {
     "op4_source_mixing": r"""

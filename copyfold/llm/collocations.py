@@ -10,6 +10,7 @@ what can't be frequent; what is counted is counted by its whole text, so the res
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from copyfold.llm.common import broadcast_object, checkpointed, join_groups, mix64, word_hashes
+from copyfold.llm.common import broadcast_object, checkpointed, join_groups, mix64, shared_folder, word_hashes
 
 #: Production parameters: least count of a phrase, most words, phrases returned of each language, percent at which a longer phrase absorbs one.
 LEAST, LONGEST, TOP, ABSORBED = 30, 4, 2000, 80
@@ -100,10 +101,10 @@ class Words:
         return self.phrase_hash[k - 1], self.piece[:n] == self.piece[k - 1 : k - 1 + n]
 
     def counts(self, at: np.ndarray, k: int) -> pa.Table:
-        """(lang, phrase, h, n) of the phrases of ``k`` words at the places ``at``, each distinct one once."""
+        """(lang, phrase, n) of the phrases of ``k`` words at the places ``at``, each distinct one once."""
         h = self.phrase_hash[k - 1][at]
         order = np.argsort(h)
-        at, h = at[order], h[order]
+        at = at[order]
         parts = [self.lang[at], *[self.word[at + j] for j in range(k)]]
         new = np.ones(len(at), bool)
         new[1:] = reduce(np.logical_or, [p[1:] != p[:-1] for p in parts])
@@ -112,7 +113,7 @@ class Words:
         columns = [self.dictionary.take(pa.array(p[first])) for p in parts[1:]]
         phrase = columns[0] if k == 1 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary()))
         lang = pa.array(self.langs, pa.string()).take(pa.array(parts[0][first]))
-        return pa.table({"lang": lang, "phrase": phrase.cast(pa.binary()), "h": pa.array(h[first].view(np.int64)), "n": pa.array(np.diff(np.append(first, len(at))))})
+        return pa.table({"lang": lang, "phrase": phrase.cast(pa.binary()), "n": pa.array(np.diff(np.append(first, len(at))))})
 
 
 def _set(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
@@ -133,30 +134,32 @@ def survivors(words: Words, k: int, members: np.ndarray | None, buckets: np.ndar
     return ok
 
 
-_FIELDS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("h", pa.int64()), ("n", pa.int64()), ("segment", pa.int32()), ("counts", pa.binary())])
-_PASSED = "lang string, phrase binary, h bigint, n bigint, segment int, counts binary"
+_FIELDS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64()), ("segment", pa.int32()), ("counts", pa.binary())])
+_PASSED = "lang string, phrase binary, n bigint, segment int, counts binary"
 
 
 def _counted_rows(held: list[pa.Table]) -> list[pa.RecordBatch]:
     """The counts of several chunks, each phrase once, as rows of a pass."""
-    rows = pa.concat_tables(held).group_by(["lang", "phrase", "h"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "h", "n"])
-    for field in list(_FIELDS)[4:]:
+    rows = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+    for field in list(_FIELDS)[3:]:
         rows = rows.append_column(field, pa.nulls(rows.num_rows, field.type))
     return rows.select(_FIELDS.names).cast(_FIELDS).combine_chunks().to_batches(max_chunksize=100_000)
 
 
 def _bucket_rows(places: list[np.ndarray], least: int) -> pa.RecordBatch:
-    """The buckets ``places`` as rows of a pass: per segment the places within it and their counters, which say no more beyond ``least``."""
+    """The buckets ``places`` as rows of a pass: per segment the steps from one place in use to the next and the counters, which say no more beyond ``least``. Bytes of one kind stand together, as they compress best."""
     place, n = np.unique(np.concatenate(places), return_counts=True)
     n = np.minimum(n, least).astype(np.uint8)
-    inside = (place % SEGMENT).astype(np.uint16)
     segments, starts = np.unique(place // SEGMENT, return_index=True)
-    packed = [inside[i:j].tobytes() + n[i:j].tobytes() for i, j in zip(starts, np.append(starts[1:], len(place)))]
-    return pa.RecordBatch.from_arrays([pa.nulls(len(packed), f.type) for f in list(_FIELDS)[:4]] + [pa.array(segments, pa.int32()), pa.array(packed, pa.binary())], schema=_FIELDS)
+    steps = np.diff(place, prepend=place[:1])
+    steps[starts] = place[starts] % SEGMENT
+    low, high = (steps & 255).astype(np.uint8), (steps >> 8).astype(np.uint8)
+    packed = [low[i:j].tobytes() + high[i:j].tobytes() + n[i:j].tobytes() for i, j in zip(starts, np.append(starts[1:], len(place)))]
+    return pa.RecordBatch.from_arrays([pa.nulls(len(packed), f.type) for f in list(_FIELDS)[:3]] + [pa.array(segments, pa.int32()), pa.array(packed, pa.binary())], schema=_FIELDS)
 
 
 def _pass(docs: DataFrame, k: int, bitmaps, least: int, ahead: bool) -> DataFrame:
-    """Pass ``k`` over ``docs`` (lang, text): rows of counts (lang, phrase, h, n), and if ``ahead`` of counters of buckets (segment, counts) for the next length."""
+    """Pass ``k`` over ``docs`` (lang, text): rows of counts (lang, phrase, n), and if ``ahead`` of counters of buckets (segment, counts) for the next length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, buckets = bitmaps() if bitmaps else (None, None)
@@ -195,8 +198,8 @@ def bucket_bitmap(passed: DataFrame, least: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for segment, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                at = len(packed) // 3
-                place, n = np.frombuffer(packed, np.uint16, at), np.frombuffer(packed, np.uint8, at, 2 * at)
+                low, high, n = np.frombuffer(packed, np.uint8).reshape(3, -1)
+                place = np.cumsum(low + (high.astype(np.int64) << 8))
                 own = sums.setdefault(segment, np.zeros(span, np.uint8))
                 own[place] = np.minimum(own[place] + n, least)
         bits = [np.packbits(part >= least, bitorder="little").tobytes() for part in sums.values()]
@@ -209,9 +212,18 @@ def bucket_bitmap(passed: DataFrame, least: int) -> np.ndarray:
     return bitmap.ravel()
 
 
-def member_bitmap(frequent: DataFrame) -> np.ndarray:
-    """The bitmap of the hashes ``h`` of ``frequent``."""
+def member_bitmap(frequent: DataFrame, k: int) -> np.ndarray:
+    """The bitmap of the hashes of ``frequent`` (lang, phrase), phrases of ``k`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                words = Words(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                h, _ = words.phrases(k)
+                yield pa.RecordBatch.from_arrays([pa.array(h[::k].view(np.int64))], names=["h"])
+
     place = F.shiftrightunsigned("h", 64 - MEMBER_BITS)
+    frequent = frequent.select("lang", F.col("phrase").cast("binary")).mapInArrow(run, "h bigint")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
     words = frequent.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bitmap = np.zeros((1 << MEMBER_BITS) // 64, np.int64)
@@ -228,16 +240,21 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     found, bitmaps, sizes = [], None, None
     for k in range(1, longest + 1):
         ahead = k < longest
-        passed = checkpointed(_pass(rows, k, bitmaps, least, ahead))
+        folder = f"{shared_folder(spark)}/pass-{uuid.uuid4().hex}"
+        _pass(rows, k, bitmaps, least, ahead).write.option("compression", "zstd").parquet(folder)
+        passed = spark.read.schema(_PASSED).parquet(folder)
         counts = passed.filter("segment IS NULL")
-        sums = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("h").alias("h")).filter(F.col("f") >= least)
-        frequent = checkpointed(sums.select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(k).alias("k"), "f", "h"))
-        found.append(frequent.drop("h"))
+        sums = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        frequent = checkpointed(sums.select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(k).alias("k"), "f"))
+        found.append(frequent)
         if k == 1:
-            sizes = counts.groupBy("lang").agg(F.sum("n").alias("n"))
+            sizes = checkpointed(counts.groupBy("lang").agg(F.sum("n").alias("n")))
         if ahead:
-            bitmaps = broadcast_object(spark, (member_bitmap(frequent), bucket_bitmap(passed, least)))
-    return reduce(DataFrame.unionByName, found), checkpointed(sizes)
+            bitmaps = broadcast_object(spark, (member_bitmap(frequent, k), bucket_bitmap(passed, least)))
+        # all that is taken from the pass is written down, so nothing reads it again
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return reduce(DataFrame.unionByName, found), sizes
 
 
 def _key(lang: str, phrase: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyfold.checkpoints import checkpointed
-from copyfold.functions import fingerprints, scalars
+from copyfold.functions import ctph, fingerprints, scalars
 from copyfold.functions.dimensions import BACKUP_DIRS, BACKUP_EXTENSIONS, IMAGE_EXTENSIONS, PRESET_DIRS, PREVIEW_EXTENSIONS, type_table
 from copyfold.operators import exact, filters, index, keeper, logs, previews, simjoin
 from copyfold.operators.components import connected_components
@@ -85,6 +85,42 @@ xd AS (SELECT path, list_transform(counts, lambda x: (x > s[32])::INT + (x > s[6
 xe AS (SELECT x.path AS a, y.path AS b FROM xd x JOIN xd y ON x.path < y.path WHERE list_sum(list_transform(range(1, 129), lambda z: [0, 1, 2, 6][abs(x.codes[z] - y.codes[z]) + 1])) * 5 // 2 <= 80),
 xr(a, b) AS (SELECT path, path FROM xd UNION SELECT xr.a, CASE WHEN xe.a = xr.b THEN xe.b ELSE xe.a END FROM xr JOIN xe ON xe.a = xr.b OR xe.b = xr.b),
 fuzzy AS (SELECT * FROM (SELECT a AS path, min(b) AS group_id FROM xr GROUP BY a) QUALIFY count(*) OVER (PARTITION BY group_id) >= 2)"""
+def _rolling() -> str:
+    """The rolling hash of the seven bytes of b up to the one at i."""
+    terms = [f"b[i - {j}]" for j in range(7)]
+    bits = terms[0]
+    for j in range(1, 7):
+        bits = f"xor({bits}, {terms[j]} * {32 ** j} % 4294967296)"
+    return f"({' + '.join(f'{7 + 1 - j} * {t}' for j, t in enumerate(terms))} + {bits}) % 4294967296"
+
+
+def _piece_letters(block: str, most: int) -> str:
+    """The letters of the pieces that end where z is divisible by a block size; no more than so many, and what is left."""
+    stops = f"list_concat(list_filter(p, lambda i: z[i] % ({block}) = 0)[1:{most - 1}], CASE WHEN z[n] > 1 THEN [n] ELSE [] END)"
+    starts = f"list_concat([1], list_transform({stops}, lambda i: i + 1))"
+    piece = "list_reduce(list_concat([39::BIGINT], list_transform(b[s + 6:e + 6], lambda c: c % 64)), lambda h, c: xor(h * 19 % 64, c))"
+    return f"array_to_string(list_transform(list_zip({starts}[1:len({stops})], {stops}), lambda v: substr('{ctph.LETTERS}', ({piece.replace('[s + 6:e + 6]', '[v[1] + 6:v[2] + 6]')} + 1)::INT, 1)), '')"
+
+
+_ALIKE = "array_to_string(list_filter(string_split({0}, ''), lambda c, i: NOT (i > 3 AND c = substr({0}, i - 1, 1) AND c = substr({0}, i - 2, 1) AND c = substr({0}, i - 3, 1))), '')"
+# Piecewise digests; their classes; pairs that share seven letters; those within 80, by the longest common subsequence in the bits of a word; components.
+DIGESTS = f"""pb AS (SELECT path, list_concat([0, 0, 0, 0, 0, 0]::BIGINT[], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)) AS b FROM {{src}} WHERE size BETWEEN 256 AND 67108864),
+pz AS (SELECT path, b, (len(b) - 6)::BIGINT AS n, list_transform(range(7, len(b) + 1), lambda i: {_rolling()} + 1) AS z FROM pb),
+pc AS (SELECT *, list_filter(range(1, n + 1), lambda i: z[i] % 3 = 0) AS p, list_filter(range(40), lambda k: 192 * (1::BIGINT << k::INT) >= n)[1] AS most FROM pz),
+pk AS (SELECT *, 3 * (1::BIGINT << list_max(list_filter(range(most + 1), lambda k: k = 0 OR len(list_filter(p, lambda i: z[i] % (3 * (1::BIGINT << k::INT)) = 0)) >= 32))::INT) AS block FROM pc),
+pd AS (SELECT path, block, {_piece_letters("block", 64)} AS s, {_piece_letters("2 * block", 32)} AS t FROM pk)"""
+PIECEWISE = DIGESTS + f""",
+pl AS (SELECT path, block, {_ALIKE.format("s")} AS x, {_ALIKE.format("t")} AS y FROM pd),
+pe AS (SELECT min(path) AS rep, block, x, y FROM pl GROUP BY block, x, y),
+pt AS (SELECT rep, bs, letters, unnest(list_distinct(list_transform(range(1, len(letters) - 5), lambda i: substr(letters, i, 7)))) AS gram FROM (SELECT rep, block AS bs, x AS letters FROM pe UNION ALL SELECT rep, 2 * block, y FROM pe)),
+pp AS (SELECT DISTINCT a.rep AS a, b.rep AS b, a.bs, a.letters AS l, b.letters AS r FROM pt a JOIN pt b ON a.bs = b.bs AND a.gram = b.gram AND a.rep < b.rep),
+pv AS (SELECT a, b, bs, len(l) AS ll, len(r) AS lr, list_reduce(list_concat([18446744073709551615::HUGEINT], list_transform(string_split(r, ''), lambda c: coalesce(list_sum(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN substr(l, i, 1) = c THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END)), 0)::HUGEINT)),
+  lambda v, m: ((v + (v & m)) | (v - (v & m))) & 18446744073709551615::HUGEINT) AS v FROM pp),
+ps AS (SELECT a, b, bs, ll, lr, ll + lr - 2 * (ll - bit_count(v & ((1::HUGEINT << ll::INT) - 1))) AS apart FROM pv),
+xe AS (SELECT DISTINCT a, b FROM ps WHERE least(100 - 100 * (apart * 64 // (ll + lr)) // 64, CASE WHEN bs < 45 THEN bs // 3 * least(ll, lr) ELSE 100 END) >= 20),
+xr(a, b) AS (SELECT rep, rep FROM pe UNION SELECT xr.a, CASE WHEN xe.a = xr.b THEN xe.b ELSE xe.a END FROM xr JOIN xe ON xe.a = xr.b OR xe.b = xr.b),
+xg AS (SELECT a AS rep, min(b) AS group_id FROM xr GROUP BY a),
+fuzzy AS (SELECT path, group_id FROM pl JOIN pe USING (block, x, y) JOIN xg USING (rep) QUALIFY count(*) OVER (PARTITION BY group_id) >= 2)"""
 # The exact, fuzzy and similar groups of a whole scan, in place of the exact ones of GROUPED.
 SIMILAR = """su AS (SELECT path, len(t) AS n, unnest(t) AS w FROM (SELECT path, CASE WHEN len(hits) = 0 THEN [path] ELSE list_distinct(hits)::VARCHAR[] END AS t FROM hh)),
 se AS (SELECT a.path AS a, b.path AS b FROM su a JOIN su b ON a.w = b.w AND a.path < b.path GROUP BY a.path, b.path, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.55),
@@ -92,7 +128,7 @@ sr(a, b) AS (SELECT a, a FROM se UNION SELECT b, b FROM se UNION SELECT sr.a, CA
 similar_ AS (SELECT a AS path, min(b) AS group_id FROM sr GROUP BY a)"""
 SCANNED = (
     FILES.replace("WITH f", "WITH RECURSIVE f") + ", m AS (SELECT full_hash AS group_id, * FROM n WHERE size > 0 QUALIFY count(*) OVER (PARTITION BY size, full_hash) >= 2),\n"
-    + f"left1 AS (SELECT * FROM n WHERE ext NOT IN {IMAGE_EXTENSIONS} AND path NOT IN (SELECT path FROM m)),\n" + FUZZY.replace("{src}", "left1") + ",\n"
+    + f"left1 AS (SELECT * FROM n WHERE ext NOT IN {IMAGE_EXTENSIONS} AND path NOT IN (SELECT path FROM m)),\n" + PIECEWISE.replace("{src}", "left1") + ",\n"
     + "left2 AS (SELECT * FROM left1 WHERE path NOT IN (SELECT path FROM fuzzy)),\n" + ANCHORS.replace("{src}", "left2") + ",\n" + SIMILAR + ",\n"
     + "mm AS (SELECT group_id, 'exact' AS kind, path FROM m UNION ALL SELECT group_id, 'similar', path FROM fuzzy UNION ALL SELECT group_id, 'similar', path FROM similar_),\n"
     + "ms AS (SELECT mm.group_id, mm.kind, n.* FROM mm JOIN n USING (path)),\n"
@@ -305,7 +341,7 @@ def anchor_sets(spark, sf_dir):
 @query(FILES.replace("WITH f", "WITH RECURSIVE f") + f", docs AS (SELECT * FROM n WHERE ext NOT IN {IMAGE_EXTENSIONS}), " + FUZZY.replace("{src}", "docs") + " SELECT path, group_id FROM fuzzy")
 def fuzzy_groups(spark, sf_dir):
     files = filters.in_scope(A.document_files(spark, sf_dir, content=True), 0)
-    return scan.fuzzy_members(files, files.limit(0), ScanOptions()).select("group_id", "path")
+    return scan.fuzzy_members(files, files.limit(0), ScanOptions(fuzzy_digest="locality")).select("group_id", "path")
 
 
 @query(FILES.replace("WITH f", "WITH RECURSIVE f") + f", docs AS (SELECT * FROM n WHERE ext NOT IN {IMAGE_EXTENSIONS}), " + FUZZY.replace("{src}", "docs") + """
@@ -318,6 +354,17 @@ def fuzzy_spread(spark, sf_dir):
     return simjoin.spread(clusters, values, scalars.code_distance(F.col("x.codes"), F.col("y.codes")), F.max)
 
 
+@query(FILES + ", " + DIGESTS.replace("{src}", "f") + " SELECT path, block || ':' || s || ':' || t AS digest FROM pd")
+def piecewise_digest(spark, sf_dir):
+    return ctph.with_piecewise_digest(A.document_files(spark, sf_dir, content=True))
+
+
+@query(FILES.replace("WITH f", "WITH RECURSIVE f") + f", docs AS (SELECT * FROM n WHERE ext NOT IN {IMAGE_EXTENSIONS}), " + PIECEWISE.replace("{src}", "docs") + " SELECT path, group_id FROM fuzzy")
+def piecewise_groups(spark, sf_dir):
+    files = filters.in_scope(A.document_files(spark, sf_dir, content=True), 0)
+    return scan.fuzzy_members(files, files.limit(0), ScanOptions()).select("path", "group_id")
+
+
 # ---- logs, plans, previews --------------------------------------------------
 
 

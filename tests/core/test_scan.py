@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from copyfold.functions import ctph
 from copyfold.functions import fingerprints as prints
 from copyfold.operators import exact, filters, index, keeper, logs, simjoin
 from copyfold.operators.components import connected_components
@@ -116,7 +117,8 @@ def test_all_groups_query_is_brute_force(spark, tmp_path):
     hashes = {p: hashlib.sha256(c).hexdigest() for p, c in content.items() if c}
     want = {("exact", p, h) for p, h in hashes.items() if list(hashes.values()).count(h) > 1}
     rest = {p: content[p] for p in hashes if not any(p == w[1] for w in want)}
-    fuzzy = fuzzy_roots({p: d for p, c in rest.items() if (d := prints.locality_digest(c))}, 80)
+    digests = {p: ctph.digests([c])[0] for p, c in rest.items() if prints.DIGEST_SIZES[0] <= len(c) <= prints.DIGEST_SIZES[1]}
+    fuzzy = fuzzy_roots(digests, 80, lambda a, b: 100 - ctph.compare(a, b))
     sets = {p: set(prints.anchors(c)) for p, c in rest.items() if p not in fuzzy and 64 <= len(c) <= 2 << 20}
     for a, b in combinations(sorted(sets), 2):
         if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.55:
@@ -137,11 +139,11 @@ def test_locality_digest():
     assert prints.locality_digest(b"x" * 100) is None and prints.locality_digest(b"x" * 1000) is None
 
 
-def fuzzy_roots(digests, distance):
+def fuzzy_roots(digests, distance, apart=prints.digest_distance):
     """Least name of the component of each of the named digests, by comparing all pairs; single ones are left out."""
     root = {n: n for n in digests}
     for a, b in combinations(sorted(digests), 2):
-        if prints.digest_distance(digests[a], digests[b]) <= distance and root[a] != root[b]:
+        if apart(digests[a], digests[b]) <= distance and root[a] != root[b]:
             low, high = sorted((root[a], root[b]))
             root = {n: low if r == high else r for n, r in root.items()}
     return {n: r for n, r in root.items() if list(root.values()).count(r) > 1}

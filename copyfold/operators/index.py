@@ -85,6 +85,12 @@ def save(index: DataFrame, folder: str) -> str:
     return path
 
 
+def beside(version: str, name: str) -> str:
+    """Where what is called ``name`` is kept with a version of the index."""
+    folder, _, own = version.rstrip("/").rpartition("/")
+    return f"{folder}/{name}/{own}"
+
+
 def load(spark, path: str, schema) -> DataFrame:
     """A saved version; one that is missing is an empty index. One that can't be read is an error, so that it isn't written over."""
     try:

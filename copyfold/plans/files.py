@@ -15,9 +15,9 @@ from copyfold.checkpoints import checkpointed
 from copyfold.operators import exact, filters, index, keeper, logs
 from copyfold.options import ScanOptions
 from copyfold.plans import scan
-from copyfold.schema import CONTENT_INDEX, RUNS
+from copyfold.schema import CONTENT_INDEX, IMAGE_INDEX, RUNS
 from copyfold.skew import join_groups
-from copyfold.sources import walk
+from copyfold.sources import images, walk
 
 
 @dataclass
@@ -67,6 +67,28 @@ def exact_files(files: DataFrame, known: DataFrame, options: ScanOptions, prefix
     return Screened(exact.collapse_inodes(found.drop("full_hash", "state")), checkpointed(states), checkpointed(entries), errors, reads)
 
 
+@dataclass
+class Pictures:
+    """What the image pass knows: prints (path, ph, dh, width, height) of images that can be read; state of each image; entries for the image index; files that are no images; how many were decoded."""
+
+    prints: DataFrame
+    states: DataFrame
+    entries: DataFrame
+    errors: DataFrame
+    decoded: int
+
+
+def image_files(files: DataFrame, known: DataFrame, options: ScanOptions, prints: Callable[[DataFrame], DataFrame] = images.file_prints) -> Pictures:
+    """The fingerprints of the image files among ``files``, of which only those are decoded that ``known`` (an image index) doesn't have; a file that can't be decoded counts as hashed."""
+    rows = index.image_prints(files.filter("is_image"), known if options.use_hash_cache else known.limit(0), prints)
+    rows = checkpointed(rows.withColumn("state", F.when(F.col("reused"), "reused").otherwise("hashed")))
+    good = rows.filter("phash IS NOT NULL")
+    found = good.select("path", F.col("phash").alias("ph"), F.col("dhash").alias("dh"), "width", "height")
+    fresh = good.filter("NOT reused").select("path", "size", "mtime", *index.IMAGE_VALUES, F.monotonically_increasing_id().alias("write_seq"))
+    errors = rows.filter("phash IS NULL").select("path", F.lit("image").alias("read"))
+    return Pictures(found, rows.select("path", "source", "size", "state"), fresh, errors, rows.filter("NOT reused").count())
+
+
 @dataclass
 class Scanned:
     """A scan's ranked members, the state of each candidate, unreadable files, the run's log row, and whether it was stopped."""
@@ -79,21 +101,24 @@ class Scanned:
 
 
 def scan_files(
-    spark, options: ScanOptions, index_folder: str | None = None, log_folder: str | None = None, prints: Callable[[DataFrame], DataFrame] | None = None, index_version: str | None = None,
+    spark, options: ScanOptions, index_folder: str | None = None, log_folder: str | None = None, prints: Callable[[DataFrame], DataFrame] = images.file_prints, index_version: str | None = None,
     on_groups: Callable[[str, DataFrame], None] | None = None, stop: Callable[[], bool] = lambda: False,
 ) -> Scanned:
     """Walk the roots of ``options``, group what is alike, rank it, save the index and log the run.
 
     ``on_groups`` gets each pass's name and members as soon as they are final. ``stop`` is asked before each pass;
     a stopped scan returns the groups it has, saves what it hashed and is logged as cancelled. ``index_version`` is the version of the index to start
-    from; the new one is written below ``index_folder``. ``prints`` makes the fingerprints of image files.
+    from; the new one is written below ``index_folder``, with that of images beside it. ``prints`` makes the fingerprints of image files, if ``options.find_images``.
     """
     began = time.time()
     files = checkpointed(scan.scoped(filters.distinct_files(walk.walk(spark, options)), options))
     known = index.load(spark, index_version, CONTENT_INDEX) if index_version else spark.createDataFrame([], CONTENT_INDEX)
     screened = exact_files(files, known, options)
-    images = files.filter("is_image")
-    passes = scan.group_passes(files, screened.members, options, prints(images) if prints and options.find_images else None)
+    pictures = None
+    if options.find_images:
+        known_images = index.load(spark, index.beside(index_version, "images"), IMAGE_INDEX) if index_version else spark.createDataFrame([], IMAGE_INDEX)
+        pictures = image_files(files, known_images, options, prints)
+    passes = scan.group_passes(files, screened.members, options, pictures.prints if pictures else None)
     parts, cancelled = [], False
     for name, rows in passes:
         parts.append(rows)
@@ -105,8 +130,13 @@ def scan_files(
             break
     ranked = checkpointed(scan.ranked(reduce(DataFrame.unionByName, parts), options))
     saved = index.save(index.upsert(known, screened.entries), index_folder) if index_folder else None
-    totals = keeper.scan_totals(screened.states, ranked).head()
-    counts = {r["source"]: r for r in index.reuse_counts(screened.states).collect()}
+    states, errors, reads = screened.states, screened.errors, dict(screened.reads)
+    if pictures:
+        states, errors, reads["image"] = states.unionByName(pictures.states), errors.unionByName(pictures.errors), pictures.decoded
+        if saved:
+            index.upsert(known_images, pictures.entries).write.parquet(index.beside(saved, "images"))
+    totals = keeper.scan_totals(states, ranked).head()
+    counts = {r["source"]: r for r in index.reuse_counts(states).collect()}
     sources = [
         {"path": r["source"], "files": r["files"], "bytes_scanned": r["bytes_scanned"], "hashed": counts[r["source"]]["hashed"] if r["source"] in counts else 0, "reused": counts[r["source"]]["reused"] if r["source"] in counts else 0, "drive": None}
         for r in keeper.per_source(files, list(options.roots)).collect()
@@ -117,7 +147,7 @@ def scan_files(
     }
     if log_folder:
         logs.append(spark.createDataFrame([run], RUNS), log_folder)
-    return Scanned(ranked, screened.states, screened.errors, run | {"reads": screened.reads}, saved)
+    return Scanned(ranked, states, errors, run | {"reads": reads}, saved)
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -136,9 +166,10 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--hidden", action="store_true", help="take hidden files too")
     parser.add_argument("--exclude", action="append", default=[], help="a pattern of files or folders to leave out")
     parser.add_argument("--similar", action="store_true", help="group similar contents as well")
+    parser.add_argument("--no-images", action="store_true", help="don't group images that look alike")
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("copyfold").getOrCreate()
-    options = ScanOptions(roots=tuple(given.roots), min_size=given.min_size, include_hidden=given.hidden, exclude=tuple(given.exclude), advanced_similar=given.similar, find_images=False)
+    options = ScanOptions(roots=tuple(given.roots), min_size=given.min_size, include_hidden=given.hidden, exclude=tuple(given.exclude), advanced_similar=given.similar, find_images=not given.no_images)
     result = scan_files(spark, options, given.index, given.log, index_version=given.index_version)
     if given.out:
         result.members.write.mode("overwrite").parquet(given.out)

@@ -121,7 +121,21 @@ xe AS (SELECT DISTINCT a, b FROM ps WHERE least(100 - 100 * (apart * 64 // (ll +
 xr(a, b) AS (SELECT rep, rep FROM pe UNION SELECT xr.a, CASE WHEN xe.a = xr.b THEN xe.b ELSE xe.a END FROM xr JOIN xe ON xe.a = xr.b OR xe.b = xr.b),
 xg AS (SELECT a AS rep, min(b) AS group_id FROM xr GROUP BY a),
 fuzzy AS (SELECT path, group_id FROM pl JOIN pe USING (block, x, y) JOIN xg USING (rep) QUALIFY count(*) OVER (PARTITION BY group_id) >= 2)"""
-# The exact, fuzzy and similar groups of a whole scan, in place of the exact ones of GROUPED.
+# An 8 x 8 image doubled twice has each pixel in four rows and columns of the grid; a cell of nine columns has parts of two pixels.
+_BASIS = [[sum(math.cos(math.pi * (2 * x + 1) * u / 64) for x in range(4 * i, 4 * i + 4)) for i in range(8)] for u in range(8)]
+_AS_WORD = "list_sum(list_transform({bits}, lambda z, k: CASE WHEN z THEN CASE WHEN k = 1 THEN -9223372036854775808 ELSE 1::HUGEINT << (64 - k)::INT END ELSE 0 END::HUGEINT))::BIGINT"
+# The hashes ip of the images g.
+PRINTS = f"""il AS (SELECT path, p, list_transform(range(64), lambda k: round(list_sum(list_transform(range(64), lambda z: basis[k // 8 + 1][z // 8 + 1] * basis[k % 8 + 1][z % 8 + 1] * p[z + 1])), 6)) AS low FROM g, (SELECT {_BASIS} AS basis)),
+iz AS (SELECT *, list_sort(low) AS sorted FROM il),
+ip AS (SELECT path, {_AS_WORD.format(bits="list_transform(low, lambda x: x > (sorted[32] + sorted[33]) / 2)")} AS ph,
+{_AS_WORD.format(bits="list_transform(range(64), lambda k: (k % 8 + 1) * p[k + 1] + (7 - k % 8) * coalesce(p[k + 2], 0) > (k % 8) * coalesce(p[greatest(k, 1)], 0) + (8 - k % 8) * p[k + 1])")} AS dh FROM iz)"""
+# The images of the files n, and their groups.
+IMAGES = f"""g AS (SELECT path, list_transform(embedding, lambda x, i: greatest(0, least(255, floor(128 + 40 * x) + CASE WHEN i = 1 AND ino % 12 = 11 THEN 16 ELSE 0 END))::DOUBLE) AS p FROM n JOIN embeddings ON ino % 6 = 5 AND vec_id = ino // 12),
+{PRINTS},
+ie AS (SELECT x.path AS a, y.path AS b FROM ip x JOIN ip y ON x.path < y.path AND bit_count(xor(x.ph, y.ph)) <= 8 AND bit_count(xor(x.dh, y.dh)) <= 8),
+ir(a, b) AS (SELECT path, path FROM ip UNION SELECT ir.a, CASE WHEN ie.a = ir.b THEN ie.b ELSE ie.a END FROM ir JOIN ie ON ie.a = ir.b OR ie.b = ir.b),
+image_ AS (SELECT * FROM (SELECT a AS path, min(b) AS group_id FROM ir GROUP BY a) QUALIFY count(*) OVER (PARTITION BY group_id) >= 2)"""
+# The exact, image, fuzzy and similar groups of a whole scan, in place of the exact ones of GROUPED.
 SIMILAR = """su AS (SELECT path, len(t) AS n, unnest(t) AS w FROM (SELECT path, CASE WHEN len(hits) = 0 THEN [path] ELSE list_distinct(hits)::VARCHAR[] END AS t FROM hh)),
 se AS (SELECT a.path AS a, b.path AS b FROM su a JOIN su b ON a.w = b.w AND a.path < b.path GROUP BY a.path, b.path, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.55),
 sr(a, b) AS (SELECT a, a FROM se UNION SELECT b, b FROM se UNION SELECT sr.a, CASE WHEN se.a = sr.b THEN se.b ELSE se.a END FROM sr JOIN se ON se.a = sr.b OR se.b = sr.b),
@@ -130,7 +144,8 @@ SCANNED = (
     FILES.replace("WITH f", "WITH RECURSIVE f") + ", m AS (SELECT full_hash AS group_id, * FROM n WHERE size > 0 QUALIFY count(*) OVER (PARTITION BY size, full_hash) >= 2),\n"
     + f"left1 AS (SELECT * FROM n WHERE ext NOT IN {IMAGE_EXTENSIONS} AND path NOT IN (SELECT path FROM m)),\n" + PIECEWISE.replace("{src}", "left1") + ",\n"
     + "left2 AS (SELECT * FROM left1 WHERE path NOT IN (SELECT path FROM fuzzy)),\n" + ANCHORS.replace("{src}", "left2") + ",\n" + SIMILAR + ",\n"
-    + "mm AS (SELECT group_id, 'exact' AS kind, path FROM m UNION ALL SELECT group_id, 'similar', path FROM fuzzy UNION ALL SELECT group_id, 'similar', path FROM similar_),\n"
+    + IMAGES + ",\n"
+    + "mm AS (SELECT group_id, 'exact' AS kind, path FROM m UNION ALL SELECT group_id, 'image', path FROM image_ UNION ALL SELECT group_id, 'similar', path FROM fuzzy UNION ALL SELECT group_id, 'similar', path FROM similar_),\n"
     + "ms AS (SELECT mm.group_id, mm.kind, n.* FROM mm JOIN n USING (path)),\n"
     + GROUPED[GROUPED.index("c0 AS ("):].replace("FROM m)", "FROM ms)", 1)
 )
@@ -330,7 +345,7 @@ def advanced_remaining(spark, sf_dir):
 def all_groups(spark, sf_dir):
     files = A.document_files(spark, sf_dir, content=True)
     options = ScanOptions(roots=("/src0",), include_hidden=True, advanced_similar=True, exclusions=None)
-    return scan.all_groups(files, options).select("group_id", "kind", "path", "size", "keeper", "is_backup")
+    return scan.all_groups(files, options, fingerprints.image_fingerprints(A.document_images(spark, sf_dir))).select("group_id", "kind", "path", "size", "keeper", "is_backup")
 
 
 @query(FILES + ", " + ANCHORS.replace("{src}", "f") + " SELECT path, CASE WHEN len(hits) = 0 THEN 1 ELSE least(4000, len(list_distinct(hits))) END::INT AS anchors FROM hh")
@@ -473,16 +488,7 @@ def src_walk(spark, sf_dir):
     return found.select(scalars.basename(F.col("path")).alias("name"), "size")
 
 
-# An 8 x 8 image doubled twice has each pixel in four rows and columns of the grid; a cell of nine columns has parts of two pixels.
-_BASIS = [[sum(math.cos(math.pi * (2 * x + 1) * u / 64) for x in range(4 * i, 4 * i + 4)) for i in range(8)] for u in range(8)]
-_AS_WORD = "list_sum(list_transform({bits}, lambda z, k: CASE WHEN z THEN CASE WHEN k = 1 THEN -9223372036854775808 ELSE 1::HUGEINT << (64 - k)::INT END ELSE 0 END::HUGEINT))::BIGINT"
-
-
-@query(f"""WITH g AS (SELECT vec_id::VARCHAR AS path, list_transform(embedding, lambda x: greatest(0, least(255, floor(128 + 40 * x)))::DOUBLE) AS p FROM embeddings),
-l AS (SELECT path, p, list_transform(range(64), lambda k: round(list_sum(list_transform(range(64), lambda z: basis[k // 8 + 1][z // 8 + 1] * basis[k % 8 + 1][z % 8 + 1] * p[z + 1])), 6)) AS low FROM g, (SELECT {_BASIS} AS basis)),
-s AS (SELECT *, list_sort(low) AS sorted FROM l)
-SELECT path, {_AS_WORD.format(bits="list_transform(low, lambda x: x > (sorted[32] + sorted[33]) / 2)")} AS ph,
-{_AS_WORD.format(bits="list_transform(range(64), lambda k: (k % 8 + 1) * p[k + 1] + (7 - k % 8) * coalesce(p[k + 2], 0) > (k % 8) * coalesce(p[greatest(k, 1)], 0) + (8 - k % 8) * p[k + 1])")} AS dh, 8::INT AS width, 8::INT AS height FROM s""")
+@query("WITH g AS (SELECT vec_id::VARCHAR AS path, list_transform(embedding, lambda x: greatest(0, least(255, floor(128 + 40 * x)))::DOUBLE) AS p FROM embeddings), " + PRINTS + " SELECT path, ph, dh, 8::INT AS width, 8::INT AS height FROM ip")
 def image_fp(spark, sf_dir):
     return fingerprints.image_fingerprints(A.embedding_images(spark, sf_dir))
 

@@ -126,11 +126,22 @@ def signatures(spark, sf_dir: str) -> DataFrame:
     return own.unionByName(copies)
 
 
+def _grey_image(name, embedding, more=0):
+    """64 numbers as a grey image of 8 x 8 pixels in the shape of Spark's image source; ``more`` is added to the first pixel."""
+    grey = F.transform(embedding, lambda x, i: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 40 * x) + F.when(i == 0, F.lit(more)).otherwise(0))).cast("bigint")), 2, "0"))
+    return F.struct(name.alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.array_join(grey, "")).alias("data")).alias("image")
+
+
 def embedding_images(spark, sf_dir: str) -> DataFrame:
-    """``embeddings`` as grey images of 8 x 8 pixels in the shape of Spark's image source."""
-    grey = F.transform("embedding", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 40 * x))).cast("bigint")), 2, "0"))
-    image = F.struct(F.col("vec_id").cast("string").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.array_join(grey, "")).alias("data"))
-    return table(spark, sf_dir, "embeddings").select(image.alias("image"))
+    """``embeddings`` as images."""
+    return table(spark, sf_dir, "embeddings").select(_grey_image(F.col("vec_id").cast("string"), F.col("embedding")))
+
+
+def document_images(spark, sf_dir: str) -> DataFrame:
+    """The pictures of those document files that are named as images: each twelve documents have two of them, which show one embedding, the second a little brighter in a corner. Files without an embedding have none."""
+    files = document_files(spark, sf_dir).filter(F.col("ino") % 6 == 5).select("path", "ino", F.floor(F.col("ino") / 12).alias("vec_id"))
+    both = files.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    return both.select(_grey_image(F.col("path"), F.col("embedding"), F.when(F.col("ino") % 12 == 11, 16).otherwise(0)))
 
 
 def word_sets(spark, sf_dir: str) -> DataFrame:

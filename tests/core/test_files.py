@@ -6,6 +6,7 @@ import random
 import zipfile
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,9 +18,9 @@ from copyfold.plans import files as real
 from copyfold.plans import scan
 from copyfold.schema import CONTENT_INDEX, IMAGE_INDEX
 from copyfold.skew import join_groups
-from copyfold.sources import drives, walk
+from copyfold.sources import drives, images, walk
 from copyfold.streaming.arrivals import IndexStream
-from tests.core.test_scan import contents, put
+from tests.core.test_scan import contents, png, put
 
 
 def test_globs_prune_folders(spark, tmp_path):
@@ -58,12 +59,12 @@ def test_a_repeat_scan_reads_nothing(spark, tmp_path):
     options = ScanOptions(roots=(str(tmp_path / "r"),))
     passes = []
     first = real.scan_files(spark, options, str(tmp_path / "index"), str(tmp_path / "log"), on_groups=lambda name, rows: passes.append((name, rows.count())))
-    assert first.run["reads"] == {"prefix": 5, "full": 4, "verify": 2} and passes == [("exact", 2)]
+    assert first.run["reads"] == {"prefix": 5, "full": 4, "verify": 2, "image": 0} and passes == [("exact", 2), ("image", 0)]
     assert {r["path"]: r["keeper"] for r in first.members.collect()}.keys() == {a, b} and first.run["groups"] == 1 and first.run["reclaimable"] == 90_000
     second = real.scan_files(spark, options, str(tmp_path / "index"), str(tmp_path / "log"), index_version=first.index)
-    assert second.run["reads"] == {"prefix": 0, "full": 1, "verify": 0}  # a size with a hit: the file that only had a prefix is hashed whole
+    assert second.run["reads"] == {"prefix": 0, "full": 1, "verify": 0, "image": 0}  # a size with a hit: the file that only had a prefix is hashed whole
     third = real.scan_files(spark, options, str(tmp_path / "index"), str(tmp_path / "log"), index_version=second.index)
-    assert third.run["reads"] == {"prefix": 0, "full": 0, "verify": 0} and {r["path"] for r in third.members.collect()} == {a, b}
+    assert third.run["reads"] == {"prefix": 0, "full": 0, "verify": 0, "image": 0} and {r["path"] for r in third.members.collect()} == {a, b}
     assert third.run["total_reused"] == 5 and third.run["total_hashed"] == 0
     log = logs.load_runs(spark, str(tmp_path / "log")).collect()
     assert [r["total_hashed"] for r in log] == [0, 1, 4] and all(r["sources"][0]["files"] == 6 and not r["cancelled"] for r in log)
@@ -98,7 +99,7 @@ def test_hard_links_alone_are_not_similar(spark, tmp_path, fuzzy):
     words = " ".join(f"word{i * 7919 % 997}" for i in range(6000)).encode()
     a = put(tmp_path, "r/a.dat", words)
     os.link(a, tmp_path / "r/b.dat")
-    options = ScanOptions(roots=(str(tmp_path / "r"),), advanced_similar=True, fuzzy=fuzzy)
+    options = ScanOptions(roots=(str(tmp_path / "r"),), advanced_similar=True, fuzzy=fuzzy, find_images=False)
     assert scan.all_groups(contents(spark, walk.walk(spark, options)), options).count() == 0
     rows = spark.createDataFrame([("/r/p", len(words), None, None, words), ("/r/q", len(words), None, None, words)], "path string, size bigint, dev bigint, ino bigint, content binary")
     assert scan.first_links(rows).count() == 2  # files without an inode stand for themselves
@@ -256,3 +257,31 @@ def test_similar_names_and_large_files(spark):
     found = [r["similarity"] for r in previews.with_name_similarity(pairs).collect()]
     assert 0.8 < found[0] < 1 and found[1] is None
     assert [r[0] for r in spark.createDataFrame([(1 << 29,), ((1 << 29) - 1,)], "size bigint").select(filters.is_large(F.col("size"))).collect()] == [True, False]
+
+
+def test_images_from_paths_are_decoded_once(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(images, "FILES", 2)
+    y, x = np.mgrid[0:96, 0:128]
+    picture = (x + 60 * np.sin(x / 9) * np.cos(y / 11) + 60).clip(0, 255)
+    put(tmp_path, "r/a.png", png(picture))
+    put(tmp_path, "r/x [1] {copy}*.png", png((picture + 3).clip(0, 255)))
+    put(tmp_path, "r/pic ture%20?.png", png(picture[::2, ::2]))
+    put(tmp_path, "r/other.png", png((255 * ((x // 16 + y // 12) % 2)).clip(0, 255)))
+    broken = put(tmp_path, "r/broken.png", b"no image")
+    options = ScanOptions(roots=(str(tmp_path / "r"),))
+    first = real.scan_files(spark, options, str(tmp_path / "index"))
+    found = {(r["kind"], os.path.basename(r["path"])) for r in first.members.collect()}
+    assert found == {("image", "a.png"), ("image", "x [1] {copy}*.png"), ("image", "pic ture%20?.png")}
+    assert {(r["width"], r["height"]) for r in first.members.collect()} == {(128, 96), (64, 48)}
+    assert [(r["path"], r["read"]) for r in first.errors.collect()] == [(broken, "image")]
+    assert first.run["reads"]["image"] == 5 and first.run["sources"][0]["hashed"] == 5
+    second = real.scan_files(spark, options, str(tmp_path / "index"), index_version=first.index)
+    assert second.run["reads"]["image"] == 1  # the one that can't be decoded is tried again
+    assert second.run["sources"][0]["reused"] == 4 and {(r["kind"], os.path.basename(r["path"])) for r in second.members.collect()} == found
+    put(tmp_path, "r/new.png", png(picture))
+    third = real.scan_files(spark, options, str(tmp_path / "index"), index_version=second.index)
+    assert third.run["reads"]["image"] == 2 and index.load(spark, index.beside(third.index, "images"), IMAGE_INDEX).count() == 5
+    assert real.main([str(tmp_path / "r")]) == 0 and "image\t4" in capsys.readouterr().out
+    assert real.main([str(tmp_path / "r"), "--no-images"]) == 0 and "image\t" not in capsys.readouterr().out
+    with pytest.raises(ValueError):
+        scan.all_groups(spark.createDataFrame([], "path string, size bigint, mtime double, dev bigint, ino bigint, source string, content binary"), options)

@@ -52,7 +52,7 @@ def test_exact_scan(spark, tmp_path):
     a, b = put(tmp_path, "one/a.dat", data), put(tmp_path, "two/b.dat", data)
     put(tmp_path, "one/unique.dat", b"different" * 2000)
     os.link(a, tmp_path / "one/c.dat")
-    options = ScanOptions(roots=(str(tmp_path / "one"), str(tmp_path / "two")))
+    options = ScanOptions(roots=(str(tmp_path / "one"), str(tmp_path / "two")), find_images=False)
     files = contents(spark, walk.walk(spark, options))
     ranked = scan.all_groups(files, options)
     view = keeper.groups_view(ranked).collect()
@@ -99,7 +99,7 @@ def test_advanced_scan(spark, tmp_path):
     data = random.Random(4).randbytes(40_000)
     for name, content in (("doc1", data), ("doc2", data + b"tail" * 125), ("other", random.Random(5).randbytes(40_000))):
         put(tmp_path, f"r/{name}.dat", content)
-    options = ScanOptions(roots=(str(tmp_path / "r"),), advanced_similar=True, similar_threshold=0.5, fuzzy=False)
+    options = ScanOptions(roots=(str(tmp_path / "r"),), advanced_similar=True, similar_threshold=0.5, fuzzy=False, find_images=False)
     out = scan.all_groups(contents(spark, walk.walk(spark, options)), options).collect()
     assert {os.path.basename(r["path"]) for r in out} == {"doc1.dat", "doc2.dat"} and {r["kind"] for r in out} == {"similar"}
 
@@ -110,13 +110,16 @@ def test_all_groups_query_is_brute_force(spark, tmp_path):
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     big, near, part = text(340_000), text(3000), text(3000)
     texts = ["same " * 100, "same " * 100, big, big[:9000] + "an edit" + big[9000:], near, near[:500] + "edited" + near[540:], part, part + text(1500), text(3000), "short", ""]
-    rows = [(i + i // 5, t, "en", "src0") for i, t in enumerate(texts)]  # no ids of images
+    rows = [(i + i // 5, t, "en", "src0") for i, t in enumerate(texts)]  # no ids of images among these
+    rows += [(i, f"picture {i}", "en", "src0") for i in (5, 11, 41, 47, 53)]  # the last shows nothing
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    seen = [float(np.sin(k * k)) for k in range(64)]
+    spark.createDataFrame([(0, seen), (3, seen)], "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
     content = {r["path"]: bytes(r["content"]) for r in adapters.document_files(spark, str(tmp_path), content=True).collect()}
     assert max(map(len, content.values())) > prints.ANCHOR_SIZES[1]
     hashes = {p: hashlib.sha256(c).hexdigest() for p, c in content.items() if c}
     want = {("exact", p, h) for p, h in hashes.items() if list(hashes.values()).count(h) > 1}
-    rest = {p: content[p] for p in hashes if not any(p == w[1] for w in want)}
+    rest = {p: content[p] for p in hashes if not any(p == w[1] for w in want) and "IMG_" not in p}
     digests = {p: ctph.digests([c])[0] for p, c in rest.items() if prints.DIGEST_SIZES[0] <= len(c) <= prints.DIGEST_SIZES[1]}
     fuzzy = fuzzy_roots(digests, 80, lambda a, b: 100 - ctph.compare(a, b))
     sets = {p: set(prints.anchors(c)) for p, c in rest.items() if p not in fuzzy and 64 <= len(c) <= 2 << 20}
@@ -124,6 +127,8 @@ def test_all_groups_query_is_brute_force(spark, tmp_path):
         if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.55:
             want |= {("similar", a, a), ("similar", b, a)}
     want |= {("similar", p, r) for p, r in fuzzy.items()}
+    pictures = sorted(p for p in content if "IMG_" in p and "IMG_53" not in p)  # the two embeddings are alike
+    want |= {("image", p, pictures[0]) for p in pictures}
     out = registry.QUERIES["all_groups"](spark, str(tmp_path)).collect()
     assert {(r["kind"], r["path"], r["group_id"]) for r in out} == want and len(out) == len(want)
     assert any(len(content[p]) > 2 << 20 for _, p, _ in want) and sum(r["keeper"] for r in out) == len({w[2] for w in want})

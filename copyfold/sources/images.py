@@ -43,8 +43,9 @@ def file_prints(files: DataFrame) -> DataFrame:
     for paths in _batches((r["path"] for r in files.select("path").toLocalIterator()), FILES):
         images = spark.read.format("image").option("dropInvalid", False).option("ignoreMissingFiles", True).load([_literal(p) for p in paths])
         made = fingerprints.image_fingerprints(images.filter("image.height > 0"))
-        # the source names a file by its URI, in which nothing but the scheme is added
-        made = made.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).withColumnsRenamed({"ph": "phash", "dh": "dhash"})
+        # the source names a file by its URI, in which a plus sign is itself
+        path = F.url_decode(F.replace(F.regexp_replace("path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+        made = made.withColumn("path", path).withColumnsRenamed({"ph": "phash", "dh": "dhash"})
         found.append(checkpointed(made))
     if not found:
         return files.select("path", F.lit(None).cast("bigint").alias("phash"), F.lit(None).cast("bigint").alias("dhash"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))

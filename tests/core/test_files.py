@@ -265,13 +265,13 @@ def test_images_from_paths_are_decoded_once(spark, tmp_path, monkeypatch, capsys
     picture = (x + 60 * np.sin(x / 9) * np.cos(y / 11) + 60).clip(0, 255)
     put(tmp_path, "r/a.png", png(picture))
     put(tmp_path, "r/x [1] {copy}*.png", png((picture + 3).clip(0, 255)))
-    put(tmp_path, "r/pic ture%20?.png", png(picture[::2, ::2]))
+    put(tmp_path, "r/pic+ture%20?.png", png(picture[::2, ::2]))
     put(tmp_path, "r/other.png", png((255 * ((x // 16 + y // 12) % 2)).clip(0, 255)))
     broken = put(tmp_path, "r/broken.png", b"no image")
     options = ScanOptions(roots=(str(tmp_path / "r"),))
     first = real.scan_files(spark, options, str(tmp_path / "index"))
     found = {(r["kind"], os.path.basename(r["path"])) for r in first.members.collect()}
-    assert found == {("image", "a.png"), ("image", "x [1] {copy}*.png"), ("image", "pic ture%20?.png")}
+    assert found == {("image", "a.png"), ("image", "x [1] {copy}*.png"), ("image", "pic+ture%20?.png")}
     assert {(r["width"], r["height"]) for r in first.members.collect()} == {(128, 96), (64, 48)}
     assert [(r["path"], r["read"]) for r in first.errors.collect()] == [(broken, "image")]
     assert first.run["reads"]["image"] == 5 and first.run["sources"][0]["hashed"] == 5

@@ -4,7 +4,8 @@ A source's target is min(cap, level * weight); the one level at which all
 targets add up to what is asked for is what clamping sources at their cap and
 sharing the excess among the others by weight comes to. The whole part of
 target / size repeats each document; the rest is a seeded sample: documents in
-the order of a hash of seed, doc_id and text, until the words are met.
+the order of a hash of seed, doc_id and text, until the words are met. Documents that are alike
+in all of these are counted and taken one by one.
 """
 
 from __future__ import annotations
@@ -75,13 +76,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
 
 
 def sample_ends(sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per source: ``last``, the highest ticket in its sample (-1: none).
+    """Per source: last_ticket and last_size of the last rows that are in its sample as a whole (-1: none), and edge_ticket, edge_size and edge_rows of those of which only some are.
 
-    A ticket is in the sample if its words end nearer to the part asked for than
-    they begin. ``sizes`` has one row for each source and ticket; words are summed
+    A row is in the sample if its words end nearer to the part asked for than
+    they begin. ``sizes`` counts in n the rows of each source, ticket and size, which are alike; words are summed
     by bucket of tickets, and only the bucket in which a part ends is gone through by ticket.
     """
-    tickets = sizes.withColumnRenamed("size", "words").withColumn("bucket", F.shiftright("ticket", HASH_BITS - BUCKET_BITS))
+    tickets = sizes.withColumn("words", F.col("size") * F.col("n")).withColumn("bucket", F.shiftright("ticket", HASH_BITS - BUCKET_BITS))
     buckets = tickets.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0)))
@@ -89,12 +90,35 @@ def sample_ends(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     ends = buckets.join(small, F.col("source").eqNullSafe(F.col("_source"))).filter("start < part AND part <= start + words")
     ends = ends.select("_source", F.col("bucket").alias("_bucket"), "start", "part")
     inside = tickets.join(ends, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
-    before = Window.partitionBy("source").orderBy("ticket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source").orderBy("ticket", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("start", F.col("start") + F.coalesce(F.sum("words").over(before), F.lit(0)))
+    part, start, size = 2 * F.col("part"), F.col("start"), F.col("size")
+    fits = lambda k: 2 * start + (2 * k + 1) * size <= part  # noqa: E731  the row k, from 0, of those alike
+    guess = F.greatest(F.lit(0), F.least(F.col("n"), F.floor((part - 2 * start + size) / F.nullif(2 * size, F.lit(0)))))
+    near = F.when(fits(guess), guess + 1).when((guess > 0) & ~fits(guess - 1), guess - 1).otherwise(guess)
+    inside = inside.withColumn("_in", F.when(size == 0, F.when(fits(F.lit(0)), F.col("n")).otherwise(0)).otherwise(F.least(F.col("n"), near)).cast("bigint"))
     lowest = F.shiftleft(F.min("bucket"), HASH_BITS - BUCKET_BITS) - 1
-    last = inside.groupBy("source").agg(F.coalesce(F.max(F.when(2 * F.col("start") + F.col("words") <= 2 * F.col("part"), F.col("ticket"))), lowest).alias("last"))
-    out = sources.join(last.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
-    return out.drop("_source").withColumn("last", F.coalesce("last", F.lit(-1)).cast("bigint"))
+    last = F.coalesce(F.max(F.when(F.col("_in") == F.col("n"), F.struct("ticket", "size"))), F.struct(lowest.alias("ticket"), F.lit(0).cast("bigint").alias("size")))
+    edge = F.max(F.when((F.col("_in") > 0) & (F.col("_in") < F.col("n")), F.struct("ticket", "size", "_in")))
+    found = inside.groupBy("source").agg(last.alias("last"), edge.alias("edge"))
+    found = found.select(F.col("source").alias("_source"), F.col("last.ticket").alias("last_ticket"), F.col("last.size").alias("last_size"), F.col("edge.ticket").alias("edge_ticket"), F.col("edge.size").alias("edge_size"), F.col("edge._in").alias("edge_rows"))
+    out = sources.join(found, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return out.drop("_source").withColumn("last_ticket", F.coalesce("last_ticket", F.lit(-1)).cast("bigint")).withColumn("last_size", F.coalesce("last_size", F.lit(0)).cast("bigint"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with place: their number, from 0, among those of their source.
+
+    Rows are counted within the part of the table in which they stand, after the rows of the parts before, so however many
+    a source has, a task orders those of one part.
+    """
+    rows = checkpointed(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("source", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.select(F.col("source").alias("_source"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = rows.withColumn("_k", F.row_number().over(Window.partitionBy("source", "_part").orderBy("_at")) - 1)
+    out = within.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_p")))
+    return out.withColumn("place", F.col("_start") + F.col("_k")).drop("_part", "_at", "_source", "_p", "_start", "_k")
 
 
 def join_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -115,8 +139,8 @@ def join_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """``docs`` (doc_id, text, source) with size, source_size, target, and copies: how often the mix takes each row.
 
-    Rows that share source, doc_id and text have one ticket and are taken alike; rows
-    without doc_id are told apart by their texts. A null or empty text has size 0; a source
+    Rows that share source, doc_id and text have one ticket; where the sample ends among them, as many of them as fit are
+    in it, whichever these are. Rows without doc_id are told apart by their texts. A null or empty text has size 0; a source
     without words gets target 0. An empty table gives no rows. Columns of
     ``docs`` that clash with the new ones are replaced.
     """
@@ -128,11 +152,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: floa
 def mix_sized(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """``rows`` (doc_id, source, size, mark) with ticket, source_size, target and copies; see mix."""
     rows = rows.withColumn("ticket", ticket(seed))
-    sizes = checkpointed(rows.groupBy("source", "ticket").agg(F.sum("size").alias("size")))
-    sources = checkpointed(source_targets(sizes, weights, share, max_epochs))
+    sizes = checkpointed(rows.groupBy("source", "ticket", "size").agg(F.count(F.lit(1)).alias("n")))
+    sources = checkpointed(source_targets(sizes.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, max_epochs))
     sources = checkpointed(sample_ends(sizes, sources).drop("weight", "asked", "part"))
     out = join_sources(rows, sources)
-    return out.withColumn("copies", F.col("whole") + (F.col("ticket") <= F.col("last")).cast("bigint"))
+    own = [*rows.columns, "source_size", "target"]
+    below = (F.col("ticket") < F.col("last_ticket")) | ((F.col("ticket") == F.col("last_ticket")) & (F.col("size") <= F.col("last_size")))
+    whole = out.select(*own, (F.col("whole") + below.cast("bigint")).alias("copies"), "whole", "edge_rows", ((F.col("ticket") == F.col("edge_ticket")) & (F.col("size") == F.col("edge_size"))).alias("_edge"))
+    if sources.filter("edge_rows IS NOT NULL").isEmpty():
+        return whole.select(*own, "copies")
+    edge = numbered(whole.filter("_edge"))
+    edge = edge.select(*own, (F.col("whole") + (F.col("place") < F.col("edge_rows")).cast("bigint")).alias("copies"))
+    return whole.filter("_edge IS NULL OR NOT _edge").select(*own, "copies").unionByName(edge)
 
 
 def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:

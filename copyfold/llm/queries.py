@@ -86,10 +86,11 @@ f AS (SELECT a.source, (a.asked - coalesce(sum(2.0 * b.source_size) FILTER (2.0
       FROM t a, t b GROUP BY a.source, a.asked, a.source_size, a.weight),
 v AS (SELECT arg_min(level, full_at) AS level FROM f WHERE level < full_at),
 g AS (SELECT source, source_size, least(2.0 * source_size, coalesce(v.level * weight, 2.0 * source_size)) AS target FROM t, v),
+-- rows that are alike come one after the other
 r AS (SELECT d.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS whole,
-             sum(size) OVER (PARTITION BY d.source ORDER BY ticket) AS upto, sum(size) OVER (PARTITION BY d.source, ticket) AS same
+             sum(size) OVER (PARTITION BY d.source ORDER BY ticket, size ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN 2 * upto - same <= 2 * (target - whole * source_size) AND target > whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN 2 * upto - size <= 2 * (target - whole * source_size) AND target > whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """,
     "op5_exact_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)

@@ -151,6 +151,19 @@ def test_mix_meets_targets_to_half_a_document(spark):
     assert Counter(r["doc_id"] for r in mixing.mixed_rows(docs).collect()) == Counter({r["doc_id"]: r["copies"] for r in out if r["copies"]})
 
 
+def test_alike_rows_are_taken_one_by_one(spark):
+    rows = [(7, "one two three", "b")] * 1000 + [(i, f"{'w ' * (i % 9)}x", "a") for i in range(1200)] + [(9, "again and again", "b")] * 40 + [(None, "", None)] * 5 + [(None, "no id", None)] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7)
+    for frame in (docs, docs.coalesce(1)):
+        taken, target, copies = Counter(), {}, defaultdict(Counter)
+        for r in mixing.mix(frame).collect():
+            taken[r["source"]] += r["size"] * r["copies"]
+            target[r["source"]] = r["target"]
+            copies[r["source"]][r["copies"]] += 1
+        assert all(abs(taken[s] - target[s]) <= 5 for s in target) and all(max(c) - min(c) <= 1 for c in copies.values())
+    assert len(copies["b"]) == 2
+
+
 def test_sources_join_in_lanes_beyond_the_broadcast_bound(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "w " * (i % 5), "abc"[i % 3] if i % 7 else None) for i in range(60)], "doc_id bigint, text string, source string")
     want = collected(mixing.mix(docs))

@@ -48,11 +48,11 @@ def plain_mix(rows):
         whole = math.floor(targets[source] / size + 1e-12) if size else 0
         part, start, ended = targets[source] - whole * size, 0, False
         for key in sorted(k for k in tickets if k[0] == source):
-            here = sum(len(words(t)) for _, t, _ in tickets[key])
-            ended = ended or 2 * start + here > 2 * part + 1e-6 or part <= 0
-            for row in tickets[key]:
+            for row in tickets[key]:  # alike rows one by one
+                here = len(words(row[1]))
+                ended = ended or 2 * start + here > 2 * part + 1e-6 or part <= 0
                 out[row] += whole + (not ended)
-            start += here
+                start += here
     return +out
 
 

@@ -47,13 +47,13 @@ def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: each document none, one or two times.
 
-    A null source is one of its own, a null text has no words; rows that share source, id and text are taken alike.
+    A null source is one of its own, a null text has no words; of rows that share source, id and text as many are taken as fit.
     """
     return mixing.mixed_rows(docs)
 
 
 def byte_bpe(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix, with the digests of ids and decoded bytes; a null text is an empty one."""
+    """Token ids of each document of the mix, with the digests of ids and decoded bytes; a null text is an empty one, repeated rows each have theirs."""
     return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 

@@ -26,18 +26,20 @@ from copyfold.llm.common import broadcast_object
 PAGES, PASSES, RATE, SEED = 1600, 5, 0.3, 3
 #: Share of the training pages whose names say nothing of their parts.
 DISGUISED = 0.4
-#: Open elements around a block that its features look at, the nearest ones.
-PATH = 48
-#: Paths whose scores a worker remembers; rows and characters of an output batch.
-MEMO_PATHS, BATCH_ROWS, BATCH_CHARS = 50_000, 1024, 4 << 20
+#: Rows and characters of an output batch.
+BATCH_ROWS, BATCH_CHARS = 1024, 4 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without markup inside, or with none of the page's text.
 RAW = ("script", "style", "template", "iframe", "svg", "textarea", "title")
+#: Form controls, in a form or not; what they say is no text of the page.
+CONTROLS = ("button", "datalist", "label", "legend", "optgroup", "option", "select")
 INLINE = frozenset(
-    "a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label map mark math merror mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder"
+    "a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd map mark math merror mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder"
     " munderover nobr object output picture q rb rp rt ruby s samp semantics slot small span strike strong sub sup time tt u var video wbr".split()
 )
+#: Elements that say what their content is for.
+SEMANTIC = frozenset("article main nav aside header footer form section dialog noscript".split())
 #: Tags that don't end the head; elements whose names say something of the page, not of its parts.
 HEAD, WHOLE = frozenset("html head base link meta title style script noscript template".split()), frozenset(("html", "body"))
 #: Open elements that a start tag ends, up to the nearest of the second set.
@@ -57,29 +59,59 @@ _WORD = re.compile(r"[^\W\d_]+")
 _ENDS_RAW = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 # a drawing that is left open ends where the page's own markup goes on
 _ENDS_RAW["svg"] = re.compile(r"</svg\b[^>]*(?:>|\Z)|(?=<(?:article|aside|blockquote|body|div|d[dlt]|footer|h[1-6]|header|img|li|main|menu|nav|ol|p|pre|section|table|ul)[\s/>])", re.I)
+_NEXT_CONTROL = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.I) for name in CONTROLS}
 _TAG_START = re.compile(r"<[a-zA-Z/!]")
 
 
 class Node:
-    """An open element, linked to the one around it, with the text in its blocks."""
+    """An open element, linked to the one around it, with the text in its blocks.
+
+    fresh and below are the features that it adds to those of the elements around it: to all of them, and to those up to the
+    nearest semantic element, ``around``.
+    """
 
-    __slots__ = ("tag", "names", "parent", "in_head", "words", "linked", "chars", "blocks")
+    __slots__ = ("tag", "names", "parent", "in_head", "words", "linked", "chars", "blocks", "around", "fresh", "below", "score")
 
     def __init__(self, tag: str, names: str, parent: Node | None):
         self.tag, self.names, self.parent = tag, names, parent
         self.in_head = tag == "head" or (parent is not None and parent.in_head)
         self.words = self.linked = self.chars = self.blocks = 0
+        self.around = "none" if parent is None else tag if tag in SEMANTIC else parent.around
+        self.fresh, self.below, self.score = (), (), None
 
     def path(self) -> tuple:
-        """(tag, names) of the nearest PATH open elements, this one last."""
+        """(tag, names) of the open elements, this one last."""
         out, node = [], self
-        while node is not None and len(out) < PATH:
-            if node.parent is not None:
-                out.append((node.tag, node.names))
+        while node.parent is not None:
+            out.append((node.tag, node.names))
             node = node.parent
         return tuple(reversed(out))
 
 
+class Known:
+    """Which features the open elements have, so that each is named where it comes first. Elements come and go as on a stack."""
+
+    def __init__(self):
+        self.all: set[str] = set()
+        self.frames: list[set[str]] = [set()]
+
+    def enter(self, node: Node) -> None:
+        words = node.names.split()
+        node.fresh = tuple(f for f in dict.fromkeys((f"tag={node.tag}", *(f"name={w}" for w in words))) if f not in self.all)
+        self.all.update(node.fresh)
+        if node.tag in SEMANTIC:
+            self.frames.append(set())
+        node.below = tuple(f for w in dict.fromkeys(words) for f in (f"below={w}", f"{node.around}>{w}") if f not in self.frames[-1])
+        self.frames[-1].update(node.below)
+
+    def leave(self, node: Node) -> None:
+        self.all.difference_update(node.fresh)
+        if node.tag in SEMANTIC:
+            self.frames.pop()
+        else:
+            self.frames[-1].difference_update(node.below)
+
+
 class Block:
     """A leaf block: its text, the characters of it inside links, its words and the element around it."""
 
@@ -96,7 +128,7 @@ class Block:
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order, in time linear in the page's length and depth.
 
-    Scripts, styles and other raw elements have none. Raw elements that close
+    Scripts, styles and other raw elements have none, nor have form controls, up to their end tags. Raw elements that close
     themselves are empty; of one that is never closed only the tag is passed over, and of a
     script or style what stands before the next tag. Tags that are left open
     end with an ancestor or the page; end tags without a start are passed over, and so is a tag that the page's end cuts.
@@ -108,6 +140,8 @@ def leaf_blocks(page: str) -> list[Block]:
     pieces: list[str] = []
     state = [0, 0]  # open links, characters inside links
     unclosed: set[str] = set()
+    known = Known()
+    silent = 0  # where the last form control ends
 
     def flush() -> None:
         if pieces:
@@ -126,8 +160,9 @@ def leaf_blocks(page: str) -> list[Block]:
         i = nearest(tags)
         if i >= 0 and i > nearest(until):
             flush()
-            for node in path[i:]:
+            for node in reversed(path[i:]):
                 open_at[node.tag].pop()
+                known.leave(node)
             del path[i:]
 
     def say(raw: str) -> None:
@@ -145,7 +180,8 @@ def leaf_blocks(page: str) -> list[Block]:
             cut = tail.rfind("<")
             say(tail[:cut] if cut >= 0 and re.match(r"</?[a-zA-Z]*\Z", tail[cut:]) else tail)
             break
-        say(page[at : m.start()])
+        if at >= silent:
+            say(page[at : m.start()])
         at = m.end()
         name = m[2]
         if name is None:
@@ -154,7 +190,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if m[1]:
             if name == "a":
                 state[0] = 0
-            elif name not in INLINE:
+            elif name not in INLINE and name not in CONTROLS:
                 if name == "p" and not open_at.get("p"):
                     flush()
                 close((name,))
@@ -171,6 +207,14 @@ def leaf_blocks(page: str) -> list[Block]:
                     following = _TAG_START.search(page, at)
                     at = following.start() if following else n
             continue
+        if name in CONTROLS:
+            if at >= silent and name not in unclosed and not m[3].endswith("/"):
+                following = _NEXT_CONTROL[name].search(page, at)
+                if following is None:
+                    unclosed.add(name)
+                elif following[1] or name in ("optgroup", "option"):
+                    silent = following.start()
+            continue
         if name == "a":
             state[0] = 1
         if name in INLINE:
@@ -188,6 +232,7 @@ def leaf_blocks(page: str) -> list[Block]:
             names = " ".join(dict.fromkeys(_WORD.findall(" ".join(_NAMED.findall(m[3])).lower()))) if m[3] and name not in WHOLE else ""
             open_at.setdefault(name, []).append(len(path))
             path.append(Node(name, names, path[-1] if path else top))
+            known.enter(path[-1])
     flush()
     for block in blocks:
         box = block.node
@@ -199,10 +244,6 @@ def leaf_blocks(page: str) -> list[Block]:
     return blocks
 
 
-#: Elements that say what their content is for.
-SEMANTIC = frozenset("article main nav aside header footer form section dialog noscript".split())
-
-
 def path_features(path: tuple) -> list[str]:
     """Tags and names on the way to a block, the nearest tag and semantic element, and the names below the latter."""
     out = {f"tag={tag}" for tag, _ in path}
@@ -264,19 +305,28 @@ class ChainField:
     def __init__(self):
         self.weights: dict[str, np.ndarray] = {}
         self.move = np.zeros((2, 2))
-        self._memo: dict[tuple, float] = {}
+
+    def _score(self, node: Node) -> tuple[float, float]:
+        """What all features of the elements around a block sum up to, and those up to the nearest semantic element; found from the nearest element whose sums are known."""
+        get, above, at = self.weights.get, [], node
+        while at is not None and at.score is None:
+            above.append(at)
+            at = at.parent
+        whole, below = at.score if at is not None else (0.0, 0.0)
+        for at in reversed(above):
+            if at.tag in SEMANTIC:
+                below = 0.0
+            whole += sum(get(f, 0.0) for f in at.fresh)
+            below += sum(get(f, 0.0) for f in at.below)
+            at.score = whole, below
+        return node.score
 
     def emissions(self, blocks: list[Block]) -> list[float]:
         """For each block, how much more label 1 scores than label 0."""
         out, get, words = [], self.weights.get, sum(b.words for b in blocks)
         for i, block in enumerate(blocks):
-            path = block.path
-            score = self._memo.get(path)
-            if score is None:
-                score = sum(get(f, 0.0) for f in path_features(path))
-                if len(self._memo) >= MEMO_PATHS:
-                    self._memo.clear()
-                self._memo[path] = score
+            node = block.node
+            score = sum(self._score(node)) + get(f"nearest={node.around}", 0.0) + (get(f"own={node.tag}", 0.0) if node.parent is not None else 0.0)
             out.append(score + sum(get(f, 0.0) for f in text_features(blocks, i, words)))
         return out
 
@@ -427,6 +477,10 @@ def labelled_pages(n: int = PAGES, seed: int = SEED, disguised: float = 0.0) ->
         inner = f"<label>{words(1, 3)}</label><input name=q><button>{words(1, 2)}</button>"
         return rng.choice((f"<form>{inner}</form>", f"<form {named('search', 'login', 'newsletter', 'contact', 'signup')}><p>{sentence(3, 20)}</p>{inner}</form>", f"<form><select><option>{words(1, 2)}<option>{words(1, 2)}</select><p>{sentence(3, 12)}</form>"))
 
+    def share() -> str:
+        name = named("share", "social", "sharing", "share-bar", "social-links", "toolbar", "actions", "sharebuttons", "share-buttons")
+        return rng.choice((f"<p {name}><a href=/s>{words(1, 2)}</a></p>", f"<div {name}>{''.join(f'<a href=/s>{words(1, 1)}</a> ' for _ in range(rng.randint(1, 4)))}</div>", f"<ul {name}>{links(rng.randint(1, 4))}</ul>"))
+
     def sidebar() -> str:
         inner = "".join(rng.choice((f"<h3>{words(1, 4)}</h3>", f"<p>{sentence()}</p>", f"<ul>{links(rng.randint(1, 5))}</ul>")) for _ in range(rng.randint(1, 4)))
         return rng.choice((f"<aside>{inner}</aside>", f'<div {named("sidebar", "side", "widget", "related", "recommended", "trending", "popular", "share", "social", "tags", "rail")}>{inner}</div>', f'<section {named("related", "sidebar", "more", "recommended")}>{inner}</section>'))
@@ -448,7 +502,7 @@ def labelled_pages(n: int = PAGES, seed: int = SEED, disguised: float = 0.0) ->
                 f"<blockquote>{text}</blockquote>", f"<blockquote><p>{text}</p></blockquote>", f"<table><tr><td>{main(words(1, 3))}</td><td>{text}</td></tr></table>", f"<pre>{text}</pre>", f"<div>{text}</div>", f"<section><h3>{main(words(1, 4))}</h3><p>{text}</p></section>", f"<figure><img src=a><figcaption>{text}</figcaption></figure>", f"<p>{main(words(1, 4))}</p>", f"<p>{text} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {words(1, 9)}</p>", f"<ol><li>{text}<li>{text}</ol>", f"<p><i>{text}</i><br>{words(3, 9)}</p>",
             ), (40, 12, 12, 6, 5, 3, 2, 2, 2, 1, 4, 3, 1, 4, 1, 2, 3))[0])
             if rng.random() < 0.13:
-                out.append(rng.choice((advert, notice, form, sidebar))())
+                out.append(rng.choice((advert, notice, form, sidebar, share))())
         if rng.random() < 0.12:
             line = rng.choice(("All rights reserved.", "Copyright 2021 " + words(1, 3), sentence(3, 9) + " All rights reserved.", words(2, 9) + " cookie " + sentence(3, 9), words(1, 5) + " | " + words(1, 5)))
             out.insert(rng.choice((0, len(out), len(out))), f"<p>{main(line)}</p>")

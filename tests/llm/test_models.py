@@ -244,14 +244,40 @@ def test_deep_pages_take_linear_time():
     def seconds(page):
         start = time.process_time()
         blocks = html_crf.leaf_blocks(page)
-        paths = [b.path for b in blocks]
-        return time.process_time() - start, len(paths)
+        return time.process_time() - start, len(html_crf.ChainField().emissions(blocks))
 
     for piece in ("<div><p>text", "<ul><li>text", "<p><ul><span>text", "<svg><p>text", "<iframe>text<p>"):
         few, many = seconds(piece * 4000), seconds(piece * 32000)
         assert many[1] == 8 * few[1] and many[0] < 24 * few[0] + 0.5
 
 
+@pytest.mark.parametrize("box", ["<aside class=sidebar>", "<section class=comments>", "<div class=advert>"])
+def test_what_a_box_is_for_holds_at_any_depth(field, box):
+    tag = box[1:].split()[0]
+    for deep in (1, 44, 47, 48, 60, 1000):
+        page = f"<article>{''.join(f'<p>{t}</p>' for t in KEPT * 2)}</article>{box}{'<div>' * deep}{'<p>Buy two of these and get a third one for nothing at all today.</p>' * 4}{'</div>' * deep}</{tag}>"
+        assert html_crf.main_text(page, field) == "\n".join(KEPT * 2)
+
+
+def test_scores_of_elements_are_those_of_whole_paths(field):
+    page = "<div class='a menu'><section class='menu b'><div class='b a'><p class=a>one<div class=c>two<nav class=a><div class='c menu'><p>three</div></nav>four</div></div>five</section><article id=b>six<aside>seven</aside>eight</article></div>nine"
+    for text in (page, page * 3, "<p class=x>" * 5 + "deep"):
+        blocks = html_crf.leaf_blocks(text)
+        words = sum(b.words for b in blocks)
+        want = [sum(field.weights.get(f, 0.0) for f in html_crf.path_features(b.path) + html_crf.text_features(blocks, i, words)) for i, b in enumerate(blocks)]
+        assert np.allclose(field.emissions(blocks), want)
+
+
+def test_form_controls_and_share_bars_say_nothing(field):
+    first, *rest = KEPT * 2
+    inside = "<button>Subscribe now</button><label>Mail <input></label><select><option>One<option selected>Two</select><p class=share><a href=/s>Share</a></p><button type=button><div>Send <b>it</b></div></button>"
+    page = f"<nav><a href=/>Home</a></nav><article><h1>A title of the article</h1><p>{first}</p><p>{first}</p>{inside}{''.join(f'<p>{t}</p>' for t in rest)}</article>"
+    assert html_crf.main_text(page, field) == "\n".join(["A title of the article", first, first, *rest])
+    texts = lambda page: [b.text for b in html_crf.leaf_blocks(page)]
+    assert texts("<p>one <label>x</label>two<p><button>never closed<p>three") == ["one two", "never closed", "three"]
+    assert texts("<p>one <button/>two <label>a<label>b</label> c</p><option>x<p>y") == ["one two a c", "x", "y"]
+
+
 #: Pages labelled by hand: plain or foreign names, several languages and layouts.
 BY_HAND = [
     ("<html><body><div class=menu><a href=/>Home</a> <a href=/b>News</a></div><div><div class=x1><p>An article in plain boxes, with a first sentence of some length.</p><p>It has a second paragraph as well, longer than the menu.</p></div></div></body></html>",

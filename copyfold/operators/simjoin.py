@@ -7,11 +7,14 @@ representatives, and ``*_classes`` says which row is in which class.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copyfold.checkpoints import checkpointed
+from copyfold.checkpoints import checkpointed, written
 from copyfold.functions.scalars import hamming
 from copyfold.skew import join_groups
 
@@ -84,11 +87,29 @@ def ranked_sets(classes: DataFrame) -> DataFrame:
         numbered = join_groups(each, order, "token", "n", F.col("rep"))
     else:
         numbered = each.join(order, "token")
-    bit = F.pmod(F.xxhash64("number"), F.lit(64 * PARITY_WORDS)).cast("int")
-    numbered = numbered.select("rep", "number", F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63))).alias("bit"))
-    words = [F.bit_xor(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(PARITY_WORDS)]
-    sets = numbered.groupBy("rep").agg(F.sort_array(F.collect_list("number")).alias("s"), *words)
-    return sets.select("rep", F.size("s").alias("size"), "s", F.array(*[f"w{i}" for i in range(PARITY_WORDS)]).alias("parity"))
+    sets = numbered.groupBy("rep").agg(F.sort_array(F.collect_list("number")).alias("s"))
+    return _with_parity(sets)
+
+
+def _with_parity(sets: DataFrame) -> DataFrame:
+    """(rep, size, s, parity) of the sets (rep, s) of numbers. Bitmaps are made of whole sets, so they don't move with each number."""
+    bits = 64 * PARITY_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                lists = batch.column(1)
+                numbers, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+                mixed = (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits.bit_length() + 1)
+                place = np.repeat(np.arange(len(sizes)) * bits, sizes) + mixed.astype(np.int64)
+                odd = np.bincount(place, minlength=len(sizes) * bits) & 1
+                words = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.int64).ravel()
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(words))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists, parity], names=["rep", "size", "s", "parity"])
+
+    kind = dict(sets.dtypes)["rep"]
+    return sets.select("rep", "s").mapInArrow(run, f"rep {kind}, size int, s array<bigint>, parity array<bigint>")
 
 
 def jaccard_pairs(classes: DataFrame, threshold: float = 0.55) -> DataFrame:
@@ -103,7 +124,7 @@ def jaccard_pairs(classes: DataFrame, threshold: float = 0.55) -> DataFrame:
     if threshold <= 0:
         raise ValueError("a threshold of 0 links everything")
     t, each = float(threshold), F.lit(float(threshold))
-    ranked = checkpointed(ranked_sets(classes))
+    ranked = written(ranked_sets(classes))
     size = F.col("size")
     # sizes in a ratio of t or more lie in one band or in neighbouring ones
     band = F.floor(F.log(size.cast("double")) / F.lit(-math.log(t))).cast("int") if t < 1 else size

@@ -82,6 +82,11 @@ def backup_score(path: Column) -> Column:
     )
 
 
+def parsed_extensions(text: Column) -> Column:
+    """The extensions of a list as it is typed, with commas or white space between them."""
+    return normalized_extensions(F.split(text, r"(?U)[,\s]+"))
+
+
 def normalized_extensions(exts: Column) -> Column:
     """An array of extensions trimmed, lower-case, dotted, distinct and sorted; empty ones go."""
     cleaned = F.filter(F.transform(exts, lambda e: F.lower(F.trim(e))), lambda e: e != "")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from copyfold.functions.dimensions import PREVIEW_EXTENSIONS, PROTECTED
 from copyfold.functions.scalars import basename, extension, human_bytes, under
+from copyfold.operators.folders import deepest_folder
 from copyfold.schema import ACTIONS_LOG, GLOSSARY, RUNS
 
 #: Entries that the run log and the action log keep; a change of duration by this factor is one.
@@ -153,10 +154,17 @@ def preview_kind(path: Column, head: Column) -> Column:
     return out.otherwise(sniffed)
 
 
+# What ends a line of a text.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+
 def preview_text(content: Column, lines: int = 200, limit: int = 65536) -> Column:
     """The first lines of the first bytes of a text; bytes that are no UTF-8, as a character cut at the limit, are replaced."""
     text = F.make_valid_utf8(F.substring(content, 1, limit).cast("string"))
-    return F.array_join(F.slice(F.split(text, "\n", -1), 1, lines), "\n")
+    found = F.split(text, LINE_END, -1)
+    # a line end at the end begins no line
+    found = F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+    return F.array_join(F.slice(found, 1, lines), "\n")
 
 
 def preview_meta(path: Column, size: Column) -> Column:
@@ -165,10 +173,11 @@ def preview_meta(path: Column, size: Column) -> Column:
 
 
 def mount_of(paths: DataFrame, mounts: DataFrame) -> DataFrame:
-    """Each path with its mount: the longest mount point at or above it, the last listed of equals.
+    """Each path, once, with its mount: the longest mount point at or above it, the last listed of equals.
 
-    ``mounts`` has mount, line and further columns; it is a machine's mount table, so it is broadcast.
+    ``mounts`` has mount, line and further columns.
     """
-    joined = paths.join(F.broadcast(mounts), (F.col("mount") == "/") | (F.col("path") == F.col("mount")) | F.startswith(F.col("path"), F.concat(F.col("mount"), F.lit("/"))), "left")
-    rest = [c for c in mounts.columns if c != "line"]
-    return joined.groupBy("path").agg(F.max_by(F.struct(*rest), F.struct(F.length("mount"), "line")).alias("m")).select("path", "m.*")
+    rest = [c for c in mounts.columns if c not in ("mount", "line")]
+    listed = mounts.groupBy("mount").agg(F.max_by(F.struct("mount", *rest), "line").alias("m"))
+    found = deepest_folder(paths.select("path").distinct(), listed.select(F.col("mount").alias("folder")))
+    return found.join(listed.withColumnRenamed("mount", "folder"), "folder", "left").select("path", "m.*")

@@ -17,7 +17,7 @@ from copyfold.options import ScanOptions
 from copyfold.plans import scan
 from copyfold.schema import CONTENT_INDEX, IMAGE_INDEX, RUNS
 from copyfold.skew import join_groups
-from copyfold.sources import images, walk
+from copyfold.sources import drives, images, walk
 
 
 @dataclass
@@ -100,6 +100,14 @@ class Scanned:
     index: str | None
 
 
+def _drives(spark, roots: tuple[str, ...]) -> dict[str, dict]:
+    """The drive of each root, as the run log has it, by the driver's mounts and block devices; a root without a mount has none."""
+    if not roots:
+        return {}
+    found = drives.drives_of(spark.createDataFrame([(r,) for r in roots], "path string"), drives.mounts(spark), drives.block_devices(spark))
+    return {r["path"]: {k: r[k] for k in ("model", "kind", "transport", "fstype")} | {"total": drives.capacity(r["path"])} for r in found.filter("mount IS NOT NULL").collect()}
+
+
 def scan_files(
     spark, options: ScanOptions, index_folder: str | None = None, log_folder: str | None = None, prints: Callable[[DataFrame], DataFrame] = images.file_prints, index_version: str | None = None,
     on_groups: Callable[[str, DataFrame], None] | None = None, stop: Callable[[], bool] = lambda: False,
@@ -137,8 +145,9 @@ def scan_files(
             index.upsert(known_images, pictures.entries).write.parquet(index.beside(saved, "images"))
     totals = keeper.scan_totals(states, ranked).head()
     counts = {r["source"]: r for r in index.reuse_counts(states).collect()}
+    drive_of = _drives(spark, options.roots)
     sources = [
-        {"path": r["source"], "files": r["files"], "bytes_scanned": r["bytes_scanned"], "hashed": counts[r["source"]]["hashed"] if r["source"] in counts else 0, "reused": counts[r["source"]]["reused"] if r["source"] in counts else 0, "drive": None}
+        {"path": r["source"], "files": r["files"], "bytes_scanned": r["bytes_scanned"], "hashed": counts[r["source"]]["hashed"] if r["source"] in counts else 0, "reused": counts[r["source"]]["reused"] if r["source"] in counts else 0, "drive": drive_of.get(r["source"])}
         for r in keeper.per_source(files, list(options.roots)).collect()
     ]
     run = {

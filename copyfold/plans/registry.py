@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from copyfold.checkpoints import checkpointed
 from copyfold.functions import ctph, fingerprints, scalars
 from copyfold.functions.dimensions import BACKUP_DIRS, BACKUP_EXTENSIONS, IMAGE_EXTENSIONS, PRESET_DIRS, PREVIEW_EXTENSIONS, type_table
-from copyfold.operators import exact, filters, index, keeper, logs, previews, simjoin
+from copyfold.operators import exact, filters, folders, index, keeper, logs, previews, simjoin
 from copyfold.operators.components import connected_components
 from copyfold.options import ScanOptions
 from copyfold.plans import scan
@@ -239,6 +239,27 @@ def ext_normalize(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", F.array_join(scalars.normalized_extensions(raw), ",").alias("exts"))
 
 
+@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(lang || ',.TXT ' || upper(source) || chr(9) || ' jpg,, .md', '[,\s]+'), lambda e: e <> ''), lambda e: CASE WHEN e LIKE '.%' THEN lower(e) ELSE '.' || lower(e) END))), ',') AS exts FROM documents")
+def ext_parse(spark, sf_dir):
+    typed = F.concat("lang", F.lit(",.TXT "), F.upper("source"), F.lit("\t jpg,, .md"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.array_join(scalars.parsed_extensions(typed), ",").alias("exts"))
+
+
+#: Files in deeper folders, and a table of such folders that grows with the files.
+_DEEP = """WITH p AS (SELECT doc_id, '/' || source || '/' || lang AS top, '/' || source || '/' || lang || '/' || doc_id % 100 AS low, '/' || source || '/' || lang || '/' || doc_id % 100 || '/' || doc_id // 100 AS inner_, '/' || source || '/' || lang || '/' || doc_id % 100 || '/' || doc_id // 100 || '/doc-' || doc_id AS path FROM documents),
+d AS (SELECT DISTINCT unnest([CASE WHEN doc_id % 3 = 0 THEN inner_ END, CASE WHEN doc_id % 7 = 0 THEN low END, CASE WHEN doc_id % 501 = 0 THEN top END, CASE WHEN doc_id % 17 = 0 THEN path END]) AS folder FROM p)"""
+
+
+@query(_DEEP + """, a AS (SELECT path, unnest(['/', '/' || split_part(path, '/', 2), top, low, inner_, path]) AS folder, unnest(range(6)) AS depth FROM p)
+SELECT p.path, f.folder FROM p LEFT JOIN (SELECT path, arg_max(folder, depth) AS folder FROM a JOIN d USING (folder) GROUP BY path) f USING (path)""")
+def folder_cover(spark, sf_dir):
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/"), "source", F.lit("/"), "lang").alias("top"))
+    docs = docs.withColumn("low", F.concat("top", F.lit("/"), F.col("doc_id") % 100)).withColumn("inner", F.concat("low", F.lit("/"), F.expr("doc_id div 100"))).withColumn("path", F.concat("inner", F.lit("/doc-"), "doc_id"))
+    some = lambda n, name: F.when(F.col("doc_id") % n == 0, F.col(name))
+    named = docs.select(F.explode(F.array(some(3, "inner"), some(7, "low"), some(501, "top"), some(17, "path"))).alias("folder")).filter("folder IS NOT NULL")
+    return folders.deepest_folder(docs.select("path"), named)
+
+
 @query(FILES + " SELECT path, CASE WHEN path LIKE '/src1/en/%' THEN '/src1/en' WHEN path LIKE '/src1/%' THEN '/src1' WHEN path LIKE '/src2/%' THEN '/src2' ELSE '/src0' END AS source FROM n")
 def source_of(spark, sf_dir):
     return filters.with_source(A.document_files(spark, sf_dir).select("path"), ["/src0", "/src1", "/src1/en", "/src2"])
@@ -431,9 +452,10 @@ def preview_kind(spark, sf_dir):
 
 
 #: A text of more than 64 KiB is cut behind the last whole character within them; a character that the limit cuts is one replacement character.
-@query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE strlen(text) > 65536),
-w AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) || CASE WHEN sum(strlen(ch)) < 65536 THEN chr(65533) ELSE '' END AS head FROM (SELECT *, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM c) WHERE upto <= 65536 GROUP BY doc_id)
-SELECT doc_id, array_to_string(string_split(coalesce(head, text), chr(10))[1:200], chr(10)) AS preview FROM documents LEFT JOIN w USING (doc_id)""")
+@query(r"""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE strlen(text) > 65536),
+w AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) || CASE WHEN sum(strlen(ch)) < 65536 THEN chr(65533) ELSE '' END AS head FROM (SELECT *, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM c) WHERE upto <= 65536 GROUP BY doc_id),
+s AS (SELECT doc_id, regexp_split_to_array(coalesce(head, text), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS lines FROM documents LEFT JOIN w USING (doc_id))
+SELECT doc_id, array_to_string((CASE WHEN lines[-1] = '' THEN lines[1:len(lines) - 1] ELSE lines END)[1:200], chr(10)) AS preview FROM s""")
 def preview_text(spark, sf_dir):
     docs = A.table(spark, sf_dir, "documents")
     return docs.select("doc_id", logs.preview_text(F.col("text").cast("binary")).alias("preview"))

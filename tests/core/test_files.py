@@ -67,7 +67,7 @@ def test_a_repeat_scan_reads_nothing(spark, tmp_path):
     assert third.run["reads"] == {"prefix": 0, "full": 0, "verify": 0, "image": 0} and {r["path"] for r in third.members.collect()} == {a, b}
     assert third.run["total_reused"] == 5 and third.run["total_hashed"] == 0
     log = logs.load_runs(spark, str(tmp_path / "log")).collect()
-    assert [r["total_hashed"] for r in log] == [0, 1, 4] and all(r["sources"][0]["files"] == 6 and not r["cancelled"] for r in log)
+    assert [r["total_hashed"] for r in log] == [0, 1, 4] and all(r["sources"][0]["files"] == 6 and r["sources"][0]["drive"]["total"] > 0 and not r["cancelled"] for r in log)
     assert [r["verdict"] for r in logs.compare_runs(logs.load_runs(spark, str(tmp_path / "log")).withColumn("sources", F.transform("sources", lambda s: s["path"]))).collect()].count(None) == 1
 
 
@@ -285,3 +285,20 @@ def test_images_from_paths_are_decoded_once(spark, tmp_path, monkeypatch, capsys
     assert real.main([str(tmp_path / "r"), "--no-images"]) == 0 and "image\t" not in capsys.readouterr().out
     with pytest.raises(ValueError):
         scan.all_groups(spark.createDataFrame([], "path string, size bigint, mtime double, dev bigint, ino bigint, source string, content binary"), options)
+
+
+def test_deepest_folders(spark, monkeypatch):
+    from copyfold import skew
+    from copyfold.operators import folders
+
+    monkeypatch.setattr(skew, "HOT_FLOOR", 10)
+    rng = random.Random(8)
+    paths = ["/" + "/".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(400)] + ["/hot/x/f%d" % i for i in range(300)] + ["rel/a/b", "rel", "/a b/c", "/", "/a/"]
+    named = ["/a", "/a/b", "/b/c/a", "/c/c/c/c", "/hot", "rel/a", "/a b", "/a/b", "/nowhere", "/b/b/b/b/b/b"]
+    rows = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, n int")
+    table = spark.createDataFrame([(f,) for f in named], "folder string")
+    want = {i: max((f for f in named if p == f or p.startswith(f.rstrip("/") + "/")), key=len, default=None) for i, p in enumerate(paths)}
+    assert {r["n"]: r["folder"] for r in folders.deepest_folder(rows, table).collect()} == want
+    assert {r["n"] for r in folders.drop_below(rows, table).collect()} == {i for i, f in want.items() if f is None}
+    top = folders.deepest_folder(rows, spark.createDataFrame([("/",)], "folder string")).collect()
+    assert all(r["folder"] == ("/" if r["path"].startswith("/") else None) for r in top)

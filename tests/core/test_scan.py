@@ -310,10 +310,10 @@ def test_plans_and_logs(spark, tmp_path):
 
 
 def test_text_preview_of_every_document(spark, tmp_path):
-    texts = ["", "one\ntwo", "\n".join(map(str, range(300))), "x" * 70_000, "x" * 65_535 + "é" * 9, "x" * 65_534 + "€\nrest", "x" * 65_533 + "😀", "ab\n" * 40_000, "é" * 32_768]
+    texts = ["", "one\ntwo", "\n".join(map(str, range(300))), "x" * 70_000, "x" * 65_535 + "é" * 9, "x" * 65_534 + "€\nrest", "x" * 65_533 + "😀", "ab\n" * 40_000, "é" * 32_768, "a\r\nb\rc\n\rd\x0be\x0cf\x85g\u2028h\u2029i\x1cj\x1dk\x1el\r\n", "\n", "\r\n\r\n", "x\r" * 300]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r["doc_id"]: r["preview"] for r in registry.QUERIES["preview_text"](spark, str(tmp_path)).collect()}
-    assert found == {i: "\n".join(t.encode()[:65536].decode("utf-8", "replace").split("\n")[:200]) for i, t in enumerate(texts)}
+    assert found == {i: "\n".join(t.encode()[:65536].decode("utf-8", "replace").splitlines()[:200]) for i, t in enumerate(texts)}
 
 
 def test_the_rest_does_not_need_the_llm_part():

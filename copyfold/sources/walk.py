@@ -6,12 +6,13 @@ import fnmatch
 import hashlib
 import json
 import os
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from copyfold.functions import dimensions as D
 from copyfold.options import ScanOptions
@@ -24,10 +25,10 @@ SUBTREES, LEVELS = 256, 4
 
 
 class Subtree(InputPartition):
-    """A folder of a root; ``deep`` is whether the folders below it belong to it."""
+    """A folder of a root; ``deep`` is whether the folders below it belong to it. ``span`` are the times, in nanoseconds, between which its files changed."""
 
-    def __init__(self, root: str, folder: str, deep: bool):
-        self.root, self.folder, self.deep = root, folder, deep
+    def __init__(self, root: str, folder: str, deep: bool, span: tuple[int, int] | None = None):
+        self.root, self.folder, self.deep, self.span = root, folder, deep, span
 
 
 class WalkReader(DataSourceReader):
@@ -100,6 +101,8 @@ class WalkReader(DataSourceReader):
                     s = e.stat(follow_symlinks=self.follow)
                 except OSError:
                     continue
+                if partition.span and not partition.span[0] <= s.st_ctime_ns < partition.span[1]:
+                    continue
                 yield e.path, s.st_size, s.st_mtime, _signed(s.st_dev), _signed(s.st_ino), partition.root
             if partition.deep:
                 stack += self._folders(folder)[::-1]
@@ -110,8 +113,35 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
+class ArrivalReader(DataSourceStreamReader):
+    """Files that came or changed since the last batch, by the time at which the file system says so: a file that is moved in with an old modification time counts too.
+
+    An offset is a time; every batch walks the roots in subtrees, as the batch reader does. What changed within the last ``settle`` seconds
+    waits for the next batch, as its clock may be behind.
+    """
+
+    def __init__(self, options: dict):
+        self.walk, self.settle = WalkReader(options), float(options.get("settle", 1.0))
+
+    def initialOffset(self) -> dict:
+        return {"before": 0}
+
+    def latestOffset(self) -> dict:
+        return {"before": time.time_ns() - int(self.settle * 1e9)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        span = (start["before"], end["before"])
+        return [Subtree(p.root, p.folder, p.deep, span) for p in self.walk.partitions()]
+
+    def read(self, partition: Subtree) -> Iterator[tuple]:
+        return self.walk.read(partition)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept that a batch could free."""
+
+
 class WalkSource(DataSource):
-    """``spark.read.format("copyfold_walk").option("scan", json)``."""
+    """``spark.read.format("copyfold_walk").option("scan", json)``, and the same with ``readStream`` for arrivals."""
 
     @classmethod
     def name(cls) -> str:
@@ -123,12 +153,25 @@ class WalkSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return WalkReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return ArrivalReader(self.options)
+
 
 def walk(spark, options: ScanOptions) -> DataFrame:
     """Files below the roots of ``options``, with folders out of scope pruned; file filters follow as DataFrame operators."""
     spark.dataSource.register(WalkSource)
-    scan = {k: list(v) if isinstance(v, tuple) else v for k, v in vars(options).items() if k in ("roots", "exclusions", "exclude", "include_hidden", "follow_symlinks", "ignore_dirs")}
-    return spark.read.format("copyfold_walk").option("scan", json.dumps(scan)).load()
+    return spark.read.format("copyfold_walk").option("scan", _scan(options)).load()
+
+
+def arrivals(spark, options: ScanOptions, settle: float = 1.0) -> DataFrame:
+    """A stream of the files below the roots of ``options`` as they come or change; its first batch has all that are there."""
+    spark.dataSource.register(WalkSource)
+    return spark.readStream.format("copyfold_walk").option("scan", _scan(options)).option("settle", str(settle)).load()
+
+
+def _scan(options: ScanOptions) -> str:
+    """What the walk has to know of ``options``."""
+    return json.dumps({k: list(v) if isinstance(v, tuple) else v for k, v in vars(options).items() if k in ("roots", "exclusions", "exclude", "include_hidden", "follow_symlinks", "ignore_dirs")})
 
 
 def file_digest(path: str, limit: int | None = None) -> str | None:

@@ -7,14 +7,17 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from copyfold.checkpoints import checkpointed
 from copyfold.operators import index as fingerprints
+from copyfold.operators.filters import distinct_files
 from copyfold.schema import CONTENT_INDEX
+from copyfold.sources.walk import with_file_digest
 
 
 class IndexStream:
     """Keeps the newest version of the content index while batches of digested files arrive.
 
-    Each micro-batch is looked up, its misses are put in, and a new version is
+    Each micro-batch is looked up, its misses are put in (and read, if their digests don't come with them), and a new version is
     written beside the old ones, named by the checkpoint that it belongs to and its epoch. All state is in ``folder``: after a
     restart the newest whole version goes on, and an epoch that is played again starts from the version before it and replaces its own.
     """
@@ -72,15 +75,20 @@ class IndexStream:
         return self.counts()[1]
 
     def take(self, batch: DataFrame, epoch: int) -> None:
-        """Merge one batch (path, dev, ino, size, mtime, full_hash)."""
+        """Merge one batch (path, dev, ino, size, mtime). With a column full_hash, that is the files' digest; without it, files that the index doesn't know are read, each once, and those that can't be read are passed over."""
         known = self._read(self._before(epoch))
-        rows = fingerprints.lookup(batch, known).withColumn("hit", F.col("sha256").isNotNull())
+        digested = "full_hash" in batch.columns
+        rows = fingerprints.lookup(batch if digested else distinct_files(batch), known).withColumn("hit", F.col("sha256").isNotNull())
+        if not digested:
+            rows = checkpointed(rows)
+            read = checkpointed(with_file_digest(rows.filter(~F.col("hit")), "full_hash").filter("full_hash IS NOT NULL"))
+            rows = rows.filter("hit").withColumn("full_hash", F.lit(None).cast("string")).unionByName(read)
         found = rows.agg(F.count_if("hit").alias("reused"), F.count_if(~F.col("hit")).alias("hashed"))
         found.write.mode("overwrite").parquet(f"{self.folder}/counts/run={self.run}/epoch={epoch}")
         fresh = rows.filter(~F.col("hit")).select("path", "dev", "ino", "size", "mtime", F.col("full_hash").alias("sha256"), F.lit(epoch).cast("bigint").alias("write_seq"))
         fingerprints.upsert(known, fresh, self.cap).write.mode("overwrite").parquet(f"{self.folder}/run={self.run}/epoch={epoch}")
 
     def start(self, arrivals: DataFrame, checkpoint: str):
-        """Begin to merge a streaming DataFrame of digested files; whatever has arrived is taken, then the query ends."""
+        """Begin to merge a streaming DataFrame of files, as of ``walk.arrivals``; whatever has arrived is taken, then the query ends."""
         self.run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]
         return arrivals.writeStream.foreachBatch(self.take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -302,3 +302,30 @@ def test_deepest_folders(spark, monkeypatch):
     assert {r["n"] for r in folders.drop_below(rows, table).collect()} == {i for i, f in want.items() if f is None}
     top = folders.deepest_folder(rows, spark.createDataFrame([("/",)], "folder string")).collect()
     assert all(r["folder"] == ("/" if r["path"].startswith("/") else None) for r in top)
+
+
+def test_arrivals_as_a_stream(spark, tmp_path):
+    import time
+
+    root, stream = tmp_path / "r", IndexStream(spark, str(tmp_path / "index"))
+    options = ScanOptions(roots=(str(root), str(root / "sub")), exclude=("*.tmp",))
+
+    def run():
+        time.sleep(0.3)
+        stream.start(scan.scoped(walk.arrivals(spark, options, settle=0.1), options), str(tmp_path / "checkpoint")).awaitTermination()
+        return {os.path.relpath(r["path"], root) for r in stream.current().collect()}, stream.counts()
+
+    a, b = put(tmp_path, "r/a.txt", b"one"), put(tmp_path, "r/sub/b.txt", b"two")
+    put(tmp_path, "r/c.tmp", b"no")
+    assert run() == ({"a.txt", "sub/b.txt"}, (0, 2))
+    put(tmp_path, "r/sub/new.txt", b"three")
+    old = put(tmp_path, "old.txt", b"four")
+    os.utime(old, (1, 1))
+    os.rename(old, root / "moved.txt")  # an old file that comes now
+    assert run() == ({"a.txt", "sub/b.txt", "sub/new.txt", "moved.txt"}, (0, 4))
+    assert run()[1] == (0, 4)  # nothing new: nothing is read
+    put(tmp_path, "r/a.txt", b"one and more")
+    os.chmod(b, 0o600)  # looks changed, has the same size and time
+    assert run()[1] == (1, 5)
+    found = {os.path.basename(r["path"]): r["sha256"] for r in stream.current().collect()}
+    assert found["a.txt"] == walk.file_digest(a) and len(found) == 4

@@ -14,6 +14,8 @@ from copyfold.checkpoints import checkpointed
 from copyfold.skew import join_groups
 
 
+#: Bytes of a content that are compared as one.
+CHUNK = 1 << 20
 #: Groups of one digest and different bytes that are broadcast, at most.
 DIFFERING = 10_000
 
@@ -52,15 +54,21 @@ def members(digested: DataFrame) -> DataFrame:
     return found.filter("_files IS NOT NULL").drop("_group", "_files").withColumn("group_id", F.col("full_hash"))
 
 
-def verified(found: DataFrame, files: DataFrame) -> DataFrame:
+def verified(found: DataFrame, files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``found`` (group_id, path) without the groups whose files' bytes aren't all the same.
 
-    The smallest and the largest content of a group are equal if and only if all are. Both combine before the
-    shuffle, so a task sends on two contents of a group at most; a group is dropped whole.
+    Contents are taken apart where they are read: what moves are digests of chunks, of another kind than the one
+    that made the groups. The smallest and the largest digest of a group's chunk are equal if and only if all are, and each chunk must be in all
+    files; all these combine before the shuffle. A group is dropped whole, also for a content that is null.
     """
-    contents = files.select("path", "content").join(found.select("group_id", "path"), "path")
-    ends = contents.groupBy("group_id").agg(F.min("content").alias("least"), F.max("content").alias("most"), F.count_if(F.col("content").isNull()).alias("unread"))
-    differ = checkpointed(ends.filter((F.col("unread") > 0) | (F.col("least") != F.col("most"))).select("group_id"))
+    last = F.greatest(F.ceil(F.length("content") / chunk).cast("int") - 1, F.lit(0))
+    digests = F.transform(F.sequence(F.lit(0), last), lambda i: F.sha2(F.substring("content", i * chunk + 1, chunk), 512))
+    parts = files.select("path", F.posexplode(F.when(F.col("content").isNull(), F.array(F.lit(None).cast("string"))).otherwise(digests)).alias("chunk", "part"))
+    rows = parts.join(found.select("group_id", "path"), "path")
+    ends = rows.groupBy("group_id", "chunk").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("part").alias("read"), F.count(F.lit(1)).alias("n"))
+    unlike = (F.col("read") < F.col("n")) | (F.col("least") != F.col("most"))
+    groups = ends.groupBy("group_id").agg(F.bool_or(F.coalesce(unlike, F.lit(True))).alias("unlike"), F.min("n").alias("low"), F.max("n").alias("high"))
+    differ = checkpointed(groups.filter("unlike OR low <> high").select("group_id"))
     if differ.count() <= DIFFERING:
         return found.join(F.broadcast(differ), "group_id", "left_anti")
     return found.join(differ, "group_id", "left_anti")

@@ -329,3 +329,14 @@ def test_arrivals_as_a_stream(spark, tmp_path):
     assert run()[1] == (1, 5)
     found = {os.path.basename(r["path"]): r["sha256"] for r in stream.current().collect()}
     assert found["a.txt"] == walk.file_digest(a) and len(found) == 4
+
+
+def test_contents_are_compared_chunk_by_chunk(spark):
+    rng = random.Random(2)
+    base = rng.randbytes(1000)
+    groups = {"same": [base, base, base], "end": [base, base[:-1] + b"x"], "middle": [base, base[:500] + b"?" + base[501:]], "shorter": [base, base[:999]], "less": [base, base[:128]], "none": [base, None], "empty": [b"", b""], "hollow": [b"", b"a"], "swapped": [base[:64] + base[64:128], base[64:128] + base[:64]]}
+    rows = [(g, f"{g}{i}", c) for g, contents in groups.items() for i, c in enumerate(contents)] + [("many", f"m{i}", base) for i in range(500)]
+    files = spark.createDataFrame([(p, c) for _, p, c in rows], "path string, content binary")
+    found = spark.createDataFrame([(g, p) for g, p, _ in rows], "group_id string, path string")
+    kept = {r["group_id"] for r in exact.verified(found, files, 64).collect()}
+    assert kept == {"same", "empty", "many"} == {r["group_id"] for r in exact.verified(found, files).collect()}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 
@@ -30,13 +29,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as compressed Parquet and read from there, for tables that are too large for a checkpoint, which isn't compressed. The files stay."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_count(df: DataFrame) -> int:
     """Rows of ``df``, counted task by task, without a shuffle."""
     return df._jdf.queryExecution().toRdd().count()

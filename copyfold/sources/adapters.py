@@ -23,8 +23,10 @@ SMALL = 64 << 20
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt over the session's cores, if they are few bytes: a small file is often one group of rows, which is one task. Larger inputs stay where they are."""
+    """``rows`` dealt over the session's cores, if they are few bytes in fewer files than cores: a small file is often one group of rows, which is one task. All other inputs stay where they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) >= cores:
+        return rows
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(cores) if size < cores * SMALL else rows
 

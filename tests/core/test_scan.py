@@ -199,6 +199,13 @@ def test_images(spark, tmp_path):
     assert next(os.path.basename(r["path"]) for r in out if r["keeper"]) in ("a.png", "noisy.png")
 
 
+def test_grey_of_floats_is_computed_in_floats(spark, tmp_path):
+    numbers = np.array([-2.95] * 64, np.float32)  # on the edge of a pixel: 10 in floats, 9 in doubles
+    spark.createDataFrame([(1, numbers.tolist())], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    row = adapters.embedding_images(spark, str(tmp_path)).select("image.data").head()
+    assert list(row["data"]) == np.floor(np.float32(128) + np.float32(40) * numbers).astype(int).tolist() == [10] * 64
+
+
 def test_hamming_join_is_brute_force(spark):
     rng = random.Random(7)
     words = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(60)]

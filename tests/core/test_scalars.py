@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from copyfold.functions import dimensions, scalars
 from copyfold.operators import filters, keeper, logs, previews
+from copyfold.sources import adapters
 
 NAMES = ["a.txt", ".hidden", ".hidden.txt", "noext", "A.JPG", "x.tar.gz", "..a", "...", "a.", "copy of b.txt", "b copy.txt", "b (2).txt", "IMG_2381.jpg", "photo-edited.png", "x_small.jpg", "xcopy.txt", "report.docx.bak", "n~", "v2 notes.md", "db-2023-01-05.sql", "db-20230230.sql", "album (1999)", "d20240131x", "2023-13-01.txt"]
 
@@ -135,3 +136,53 @@ def test_names_and_archives():
         z.writestr("other", "x")
     assert previews.office_text(data.getvalue()) == "Hello there" and previews.archive_text(data.getvalue()).startswith("2 entries\n")
     assert previews.office_text(b"no") is None and previews.archive_entries(b"no") is None and previews.exif_fields(b"no") == (None, None)
+
+
+def test_plain_archives_are_read_by_their_headers(monkeypatch):
+    import io
+    import tarfile
+    import zipfile
+
+    def packed(names, **options):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w", **options) as t:
+            for i, name in enumerate(names):
+                entry = tarfile.TarInfo(name)
+                entry.size = 511 * i
+                t.addfile(entry, io.BytesIO(b"x" * entry.size))
+        return out.getvalue()
+
+    def empty(n):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as t:
+            for k in range(n):
+                t.addfile(tarfile.TarInfo(f"d/{k}.txt"))
+        return out.getvalue()
+
+    names = ["a.txt", "d/b", "d/" + "c" * 90, "a.txt"]
+    tar, zipped = packed(names), adapters.zipped(dict.fromkeys(names, "text"))
+    other = [packed(["é", "x" * 150]), packed(["é", "x" * 150], format=tarfile.GNU_FORMAT), adapters.zipped({"é": "x"}), b"head" + zipped, zipped + b"tail"]
+    want = []
+    for content in other:
+        try:
+            want.append(zipfile.ZipFile(io.BytesIO(content)).namelist())
+        except zipfile.BadZipFile:
+            want.append(tarfile.open(fileobj=io.BytesIO(content)).getnames())
+    assert [previews.archive_entries(content) for content in other] == want
+    broken = tar[:3] + b"?" + tar[4:]  # the check sum is wrong
+    assert previews.archive_entries(broken) is None and previews.archive_entries(tar[:700]) == tarfile.open(fileobj=io.BytesIO(tar[:700])).getnames()
+    inner = packed(["x"])[:512] + zipped
+    assert previews._tar_names(inner + bytes(2048)) is None
+
+    def slow(*args, **options):
+        raise AssertionError("the standard library was asked")
+
+    monkeypatch.setattr(previews.tarfile, "open", slow)
+    monkeypatch.setattr(previews.zipfile, "ZipFile", slow)
+    assert previews.archive_entries(tar) == names and previews.archive_entries(zipped) == sorted(set(names), key=names.index)
+    monkeypatch.undo()
+    made = adapters.archive_maker()
+    assert made(4, "")[1] == empty(4) and made(298, "")[1] == empty(298) and made(602, "")[1] == empty(0)
+    for n in (1, 3, 299, 301):
+        with zipfile.ZipFile(io.BytesIO(made(n, "")[1])) as z:
+            assert z.testzip() is None and z.namelist() == [f"d/{k}.txt" for k in range(n % 301)]

@@ -45,10 +45,12 @@ def hamming_pairs(classes: DataFrame, distance: int = 8) -> DataFrame:
         raise ValueError("bands would be too short to tell pairs apart")
     n = distance + 1
     cells = classes.select("rep", "ph", "dh", F.posexplode(_bands("ph", n)).alias("i", "p")).select("*", F.posexplode(_bands("dh", n)).alias("j", "d"))
+    cells = cells.select("rep", "ph", "dh", (F.col("i") * n + F.col("j")).alias("cell"), "p", "d")
     x, y = cells.alias("x"), cells.alias("y")
-    same = (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.d") == F.col("y.d"))
+    same = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.d") == F.col("y.d"))
     p, d = hamming(F.col("x.ph"), F.col("y.ph")), hamming(F.col("x.dh"), F.col("y.dh"))
-    near = x.join(y, same & (F.col("x.rep") < F.col("y.rep")) & (p <= distance) & (d <= distance))
+    # sizes are estimated before the rows are exploded, so without the hint n * n times what is estimated is broadcast
+    near = x.hint("merge").join(y, same & (F.col("x.rep") < F.col("y.rep")) & (p <= distance) & (d <= distance))
     return near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), p.alias("ph_distance"), d.alias("dh_distance")).distinct()
 
 

@@ -224,6 +224,13 @@ def test_hamming_join_is_brute_force(spark):
         assert found == want
 
 
+def test_hamming_cells_are_not_broadcast(spark):
+    # 81 rows of each class, which the size that Spark estimates doesn't count
+    pairs = simjoin.hamming_pairs(simjoin.hamming_classes(spark.range(50).selectExpr("id", "id * 3 AS ph", "id AS dh")))
+    assert pairs.count() > 0
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.55, 0.8, 1.0])
 def test_jaccard_join_is_brute_force(spark, threshold):
     rng = random.Random(8)

@@ -244,6 +244,27 @@ def test_jaccard_join_is_brute_force(spark, threshold):
     assert found == {k: v for k, v in want.items() if v >= threshold}
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_fuzzy_spread_is_brute_force(spark, block):
+    rng = random.Random(3)
+    digests = {f"p{i}": bytes(rng.choice((0, 0, 1, 2, 3, 3)) for _ in range(128)) for i in range(20)}
+    digests |= {"q0": b"\x00" * 128, "q1": b"\x03" * 128, "r0": b"\x01" * 128, "r1": b"\x01" * 128}
+    clusters = spark.createDataFrame([(p, p[0]) for p in digests], "node string, root string")
+    found = {r["root"]: r["spread"] for r in scan.fuzzy_spread(spark.createDataFrame(list(digests.items()), "path string, digest binary"), clusters, block).collect()}
+    assert found == {c: max(prints.digest_distance(a, b) for a, b in combinations([d for p, d in digests.items() if p[0] == c], 2)) for c in "pqr"}
+
+
+def test_digests_far_from_a_box_are_not_compared(monkeypatch):
+    rng = np.random.default_rng(4)
+    near = lambda base: [np.where(rng.random(128) < 0.02, 1, base).astype(np.uint8).tobytes() for _ in range(300)]
+    digests = near(0) + near(3)
+    counted, whole = [], np.flatnonzero  # asked once for each block of pairs
+    monkeypatch.setattr(prints.np, "flatnonzero", lambda pairs: counted.append(pairs.size) or whole(pairs))
+    forest = prints.digest_forest(digests, None, 80)
+    assert len(forest) == len(digests) - 2 and sum(counted) < 130_000 < 600 * 600 // 2
+    assert prints.digest_forest([], digests[:1], 80) == []
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)] + [(7, 7), (3, 2)]

@@ -20,6 +20,8 @@ from copyfold.skew import join_groups
 
 #: 64-bit words of a set's parity bitmap; classes of a cluster that are compared in one block.
 PARITY_WORDS, SPREAD_BLOCK = 16, 512
+#: Candidates must meet in one of so many tokens that similar sets share.
+SHARE = 32
 
 
 def hamming_classes(signatures: DataFrame) -> DataFrame:
@@ -114,33 +116,44 @@ def _with_parity(sets: DataFrame) -> DataFrame:
     return sets.select("rep", "s").mapInArrow(run, f"rep {kind}, size int, s array<bigint>, parity array<bigint>")
 
 
+def candidate_pairs(ranked: DataFrame, t: float) -> DataFrame:
+    """(a, b) of the sets (rep, size, s) that meet in as many tokens of their prefixes as sets with Jaccard similarity ``t`` or more do; see jaccard_pairs."""
+    each, size = F.lit(t), F.col("size")
+    # sizes in a ratio of t or more lie in one band or in neighbouring ones
+    band = F.floor(F.log(size.cast("double")) / F.lit(-math.log(t))).cast("int") if t < 1 else size
+    # no more than all that two similar sets of this size, or of a larger and this one, have in common
+    share = 1 + F.floor(F.lit(min(1.0, t)) * size / SHARE)
+    probe = (size - F.ceil(each * size - 1e-9) + share).cast("int")
+    index = (size - F.ceil(F.lit(2 * t / (1 + t)) * size - 1e-9) + share).cast("int")
+    bands = F.array(band, band + 1) if t < 1 else F.array(band)
+    x = ranked.select(F.col("rep").alias("x"), size.alias("xn"), F.posexplode(F.slice("s", F.lit(1), probe)).alias("xat", "token"), band.alias("band"))
+    y = ranked.select(F.col("rep").alias("y"), size.alias("yn"), F.posexplode(F.slice("s", F.lit(1), index)).alias("yat", "token"), bands.alias("bands")).withColumn("band", F.explode("bands")).drop("bands")
+    larger = (F.col("xn") > F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") < F.col("y")))
+    need = F.lit(t / (1 + t)) * (F.col("xn") + F.col("yn")) - 1e-9
+    # the smaller set says how many tokens a pair must share; behind the last of the first so many, what is left must still allow the threshold
+    least = F.floor(F.lit(min(1.0, t)) * F.col("yn") / SHARE)
+    most = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) + least
+    found = x.hint("merge").join(y, ["token", "band"]).filter(larger & (F.col("yn") >= each * F.col("xn") - 1e-9) & (most >= need))
+    met = found.groupBy("x", "y", "yn").agg(F.count(F.lit(1)).alias("_met")).filter(F.col("_met") > least)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def jaccard_pairs(classes: DataFrame, threshold: float = 0.55) -> DataFrame:
     """(a, b, similarity) of the representatives of sets (rep, tokens) with Jaccard similarity ``threshold`` or more, a < b.
 
     Tokens are ordered from the globally rarest. Of two similar sets, the larger has one of
     its first n - ceil(t n) + 1 tokens among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller (probe and index
-    prefix). They meet at a token in a band of sizes, so that a frequent token's sets are only met by sets of like size;
+    prefix). With m more tokens in both prefixes they have 1 + m of them in common, so large sets, whose prefixes are long, must
+    meet in one of SHARE of their tokens. They meet at a token in a band of sizes, so that a frequent token's sets are only met by sets of like size;
     sizes and what is left behind the token must allow the threshold. Each candidate is
     tested once by the parity bitmaps, which bound how far two sets differ, and what passes is intersected in full.
     """
     if threshold <= 0:
         raise ValueError("a threshold of 0 links everything")
-    t, each = float(threshold), F.lit(float(threshold))
+    t = float(threshold)
     ranked = checkpointed(ranked_sets(classes))
-    size = F.col("size")
-    # sizes in a ratio of t or more lie in one band or in neighbouring ones
-    band = F.floor(F.log(size.cast("double")) / F.lit(-math.log(t))).cast("int") if t < 1 else size
-    probe = (size - F.ceil(each * size - 1e-9) + 1).cast("int")
-    index = (size - F.ceil(F.lit(2 * t / (1 + t)) * size - 1e-9) + 1).cast("int")
-    bands = F.array(band, band + 1) if t < 1 else F.array(band)
-    x = ranked.select(F.col("rep").alias("x"), size.alias("xn"), F.posexplode(F.slice("s", F.lit(1), probe)).alias("xat", "token"), band.alias("band"))
-    y = ranked.select(F.col("rep").alias("y"), size.alias("yn"), F.posexplode(F.slice("s", F.lit(1), index)).alias("yat", "token"), bands.alias("bands")).withColumn("band", F.explode("bands")).drop("bands")
-    larger = (F.col("xn") > F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") < F.col("y")))
-    need = F.lit(t / (1 + t)) * (F.col("xn") + F.col("yn")) - 1e-9
-    most = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) + F.least("xat", "yat")
-    found = x.join(y, ["token", "band"]).filter(larger & (F.col("yn") >= each * F.col("xn") - 1e-9) & (most >= need))
-    pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    small = ranked.select("rep", size.alias("n"), "parity")
+    small = ranked.select("rep", F.col("size").alias("n"), "parity")
+    pairs = candidate_pairs(ranked, t)
     pairs = pairs.join(small.withColumnsRenamed({"rep": "a", "n": "_an", "parity": "_ap"}), "a").join(small.withColumnsRenamed({"rep": "b", "n": "_bn", "parity": "_bp"}), "b")
     differ = sum((F.bit_count(F.get("_ap", F.lit(i)).bitwiseXOR(F.get("_bp", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
     near = pairs.filter(differ <= F.lit((1 - t) / (1 + t)) * (F.col("_an") + F.col("_bn")) + 1e-9).select("a", "b")

@@ -231,6 +231,27 @@ def test_hamming_cells_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 0.8, 1.0])
+def test_jaccard_join_by_many_tokens_is_brute_force(spark, monkeypatch, threshold):
+    monkeypatch.setattr(simjoin, "SHARE", 2)
+    rng = random.Random(18)
+    sets = [set(range(60)) - set(rng.sample(range(60), rng.randint(0, 35))) for _ in range(40)]
+    sets += [{rng.randrange(60) for _ in range(rng.randint(1, 60))} for _ in range(40)]
+    classes = simjoin.set_classes(spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id bigint, tokens array<bigint>"))
+    found = {(r["a"], r["b"]) for r in simjoin.jaccard_pairs(classes, threshold).collect()}
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(frozenset(s), i)
+    assert found == {(i, j) for i, j in combinations(sorted(first.values()), 2) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])}
+
+
+def test_large_sets_need_more_than_one_token(spark):
+    # neighbours share a token and no more
+    sets = [(i, [1000 * i + k for k in range(200)] + [-1 - j for j in range(2 * i, 2 * i + 3)]) for i in range(20)]
+    classes = spark.createDataFrame(sets, "rep bigint, tokens array<bigint>")
+    assert simjoin.candidate_pairs(simjoin.ranked_sets(classes), 0.55).count() == 0
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.55, 0.8, 1.0])
 def test_jaccard_join_is_brute_force(spark, threshold):
     rng = random.Random(8)

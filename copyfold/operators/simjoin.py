@@ -6,20 +6,24 @@ representatives, and ``*_classes`` says which row is in which class.
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copyfold.checkpoints import checkpointed
 from copyfold.functions.scalars import hamming
+from copyfold.operators.packed import BATCH_TOKENS, blob, numbered_sets, unblob, unpack
 from copyfold.skew import join_groups
 
 #: 64-bit words of a set's parity bitmap; classes of a cluster that are compared in one block.
 PARITY_WORDS, SPREAD_BLOCK = 16, 512
+#: Sets of a cluster that are compared in one block; pairs that are spelled out at once; tokens of the sets for each task of the join.
+SET_BLOCK, LOT, PART_TOKENS = 2048, 1 << 21, 1 << 22
 #: Candidates must meet in one of so many tokens that similar sets share.
 SHARE = 32
 
@@ -78,89 +82,225 @@ def set_classes(sets: DataFrame) -> DataFrame:
 
 
 def ranked_sets(classes: DataFrame) -> DataFrame:
-    """(rep, size, s, parity) of the classes (rep, tokens): s has the tokens as numbers, the globally rarest first.
+    """(rep, size, shared, s) of the classes (rep, tokens), as of numbered_sets: s has the tokens that other sets have too as numbers, the globally rarest first."""
+    return numbered_sets(classes.select(F.col("rep").alias("id"), "tokens")).select(F.col("id").alias("rep"), "size", "shared", "s")
 
-    Numbers are given in a global sort by frequency and token. parity has a bit for each residue of the numbers' hashes,
-    set where an odd number of tokens falls to it: the bitmaps of two sets differ in no more bits than the sets in tokens.
-    """
-    each = classes.select("rep", F.explode("tokens").alias("token"))
-    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    # ids rise with the order of the sort, partition by partition
-    order = checkpointed(counts.orderBy("n", "token").withColumn("number", F.monotonically_increasing_id()))
-    if dict(order.dtypes)["token"] in ("string", "binary", "bigint"):
-        numbered = join_groups(each, order, "token", "n", F.col("rep"))
-    else:
-        numbered = each.join(order, "token")
-    sets = numbered.groupBy("rep").agg(F.sort_array(F.collect_list("number")).alias("s"))
-    return _with_parity(sets)
-
-
-def _with_parity(sets: DataFrame) -> DataFrame:
-    """(rep, size, s, parity) of the sets (rep, s) of numbers. Bitmaps are made of whole sets, so they don't move with each number."""
+
+def _parities(ranked: DataFrame) -> DataFrame:
+    """(rep, n, hidden, parity) of the sets: hidden counts the tokens that no other set has. parity has a bit for each residue of the numbers' hashes,
+    set where an odd number of tokens falls to it: the bitmaps of two sets differ in no more bits than the sets in numbered tokens."""
     bits = 64 * PARITY_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                lists = batch.column(1)
-                numbers, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-                mixed = (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits.bit_length() + 1)
+                numbers, sizes = unpack(batch.column(3))
+                mixed = _mixed(numbers) >> np.uint64(64 - bits.bit_length() + 1)
                 place = np.repeat(np.arange(len(sizes)) * bits, sizes) + mixed.astype(np.int64)
                 odd = np.bincount(place, minlength=len(sizes) * bits) & 1
                 words = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.int64).ravel()
                 parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(words))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists, parity], names=["rep", "size", "s", "parity"])
+                hidden = pa.array(batch.column(1).to_numpy() - batch.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hidden, parity], names=["rep", "n", "hidden", "parity"])
+
+    return ranked.select("rep", "size", "shared", "s").mapInArrow(run, "rep bigint, n int, hidden int, parity array<bigint>")
+
+
+def _mixed(numbers: np.ndarray) -> np.ndarray:
+    return numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _least(sizes: np.ndarray, t: float) -> np.ndarray:
+    """The tokens in which a pair whose smaller set has such a size must meet, less one."""
+    return np.floor(min(1.0, t) * sizes / SHARE).astype(np.int64)
+
+
+def _prefix(sizes: np.ndarray, overlap: float, t: float) -> np.ndarray:
+    """Length of the prefix of sets that share ``overlap`` of their tokens at least, with the further tokens in which they must meet."""
+    return sizes - np.ceil(overlap * sizes - 1e-9).astype(np.int64) + 1 + _least(sizes, t)
+
 
-    kind = dict(sets.dtypes)["rep"]
-    return sets.select("rep", "s").mapInArrow(run, f"rep {kind}, size int, s array<bigint>, parity array<bigint>")
+def _met(number: np.ndarray, rep: np.ndarray, n: np.ndarray, at: np.ndarray, t: float) -> Iterator[pa.RecordBatch]:
+    """Partial counts (x, y, yn, met) of the pairs that meet at a token: x is the larger set, at is the token's place in its set.
+
+    A token's sets are sorted by size, so that the smaller ones within the threshold's ratio are a range behind each; ranges are spelled out in lots.
+    """
+    order = np.lexsort((rep, -n, number))
+    number, rep, n, at = (v[order] for v in (number, rep, n, at))
+    group = np.cumsum(np.diff(number, prepend=number[:1]) != 0)
+    base = int(n.max(initial=0)) + 1
+    stop = np.searchsorted(group * base - n, group * base - np.ceil(t * n - 1e-9).astype(np.int64), side="right")
+    indexed = at < _prefix(n, 2 * t / (1 + t), t)
+    ys, before = np.flatnonzero(indexed), np.concatenate([[0], np.cumsum(indexed)])
+    first = before[1:]
+    counts = np.maximum(before[stop] - first, 0)
+    total = np.cumsum(counts)
+    least = _least(n, t)
+    names, own = np.unique(rep, return_inverse=True)
+    lots = np.concatenate([[0], np.searchsorted(total, np.arange(LOT, int(total[-1]) if len(total) else 0, LOT)), [len(n)]])
+    for i, j in zip(lots.tolist(), lots[1:].tolist()):
+        if i == j:
+            continue
+        many = counts[i:j]
+        x = np.repeat(np.arange(i, j), many)
+        y = ys[np.arange(len(x)) + np.repeat(first[i:j] - (np.cumsum(many) - many), many)]
+        # behind the last of the tokens in which they must meet, what is left must still allow the threshold
+        most = np.minimum(n[x] - at[x], n[y] - at[y]) + least[y]
+        kept = most >= t / (1 + t) * (n[x] + n[y]) - 1e-9
+        pairs, met = np.unique(own[x[kept]] * len(names) + own[y[kept]], return_counts=True)
+        size = np.zeros(len(names), np.int32)
+        size[own[i:]] = n[i:]
+        a, b = pairs // len(names), pairs % len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b]), pa.array(size[b]), pa.array(met.astype(np.int32))], names=["x", "y", "yn", "met"])
 
 
 def candidate_pairs(ranked: DataFrame, t: float) -> DataFrame:
-    """(a, b) of the sets (rep, size, s) that meet in as many tokens of their prefixes as sets with Jaccard similarity ``t`` or more do; see jaccard_pairs."""
-    each, size = F.lit(t), F.col("size")
-    # sizes in a ratio of t or more lie in one band or in neighbouring ones
-    band = F.floor(F.log(size.cast("double")) / F.lit(-math.log(t))).cast("int") if t < 1 else size
-    # no more than all that two similar sets of this size, or of a larger and this one, have in common
-    share = 1 + F.floor(F.lit(min(1.0, t)) * size / SHARE)
-    probe = (size - F.ceil(each * size - 1e-9) + share).cast("int")
-    index = (size - F.ceil(F.lit(2 * t / (1 + t)) * size - 1e-9) + share).cast("int")
-    bands = F.array(band, band + 1) if t < 1 else F.array(band)
-    x = ranked.select(F.col("rep").alias("x"), size.alias("xn"), F.posexplode(F.slice("s", F.lit(1), probe)).alias("xat", "token"), band.alias("band"))
-    y = ranked.select(F.col("rep").alias("y"), size.alias("yn"), F.posexplode(F.slice("s", F.lit(1), index)).alias("yat", "token"), bands.alias("bands")).withColumn("band", F.explode("bands")).drop("bands")
-    larger = (F.col("xn") > F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") < F.col("y")))
-    need = F.lit(t / (1 + t)) * (F.col("xn") + F.col("yn")) - 1e-9
-    # the smaller set says how many tokens a pair must share; behind the last of the first so many, what is left must still allow the threshold
-    least = F.floor(F.lit(min(1.0, t)) * F.col("yn") / SHARE)
-    most = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) + least
-    found = x.hint("merge").join(y, ["token", "band"]).filter(larger & (F.col("yn") >= each * F.col("xn") - 1e-9) & (most >= need))
-    met = found.groupBy("x", "y", "yn").agg(F.count(F.lit(1)).alias("_met")).filter(F.col("_met") > least)
+    """(a, b) of the sets (rep, size, shared, s) that meet in as many tokens of their prefixes as sets with Jaccard similarity ``t`` or more do; see jaccard_pairs.
+
+    The tokens of prefixes are dealt to lanes. A row has those of a batch of sets in one lane, packed; each lane is joined with itself in numpy.
+    """
+    spark = ranked.sparkSession
+    total = ranked.agg(F.sum("shared")).head()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-total // PART_TOKENS))
+    lanes = 4 * parts
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            lots = np.cumsum(whole.column(2).to_numpy().astype(np.int64)) // BATCH_TOKENS
+            bounds = [0, *(np.flatnonzero(np.diff(lots)) + 1).tolist(), whole.num_rows]
+            for i, j in zip(bounds, bounds[1:]):
+                batch = whole.slice(i, j - i)
+                number, shared = unpack(batch.column(3))
+                size = batch.column(1).to_numpy().astype(np.int64)
+                own = np.repeat(np.arange(len(size)), shared)
+                at = np.arange(len(number)) - np.repeat(np.cumsum(shared) - shared - (size - shared), shared)
+                kept = at < _prefix(size, t, t)[own]
+                number, own, at = number[kept], own[kept], at[kept]
+                lane = (_mixed(number) >> np.uint64(32)).astype(np.int64) % lanes
+                order = np.lexsort((own, number, lane))
+                number, own, at, lane = number[order], own[order], at[order], lane[order]
+                ends = np.searchsorted(lane, np.arange(lanes + 1))
+                rep, n = batch.column(0).to_numpy()[own], size[own].astype(np.int32)
+                found = [k for k in range(lanes) if ends[k] < ends[k + 1]]
+                packed = [blob(number=pa.array(np.diff(number[p:q], prepend=0)), rep=pa.array(rep[p:q]), n=pa.array(n[p:q]), at=pa.array(at[p:q].astype(np.int32))) for p, q in ((ends[k], ends[k + 1]) for k in found)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(packed, pa.binary())], names=["lane", "tokens"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((k, tokens) for batch in batches for k, tokens in zip(batch.column(0).to_pylist(), batch.column(1)))
+        for _, own in itertools.groupby(rows, lambda row: row[0]):
+            parts = [unblob(tokens.as_py()) for _, tokens in own]
+            number = np.concatenate([np.cumsum(p.column(0).to_numpy()) for p in parts])
+            rep, n, at = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in (1, 2, 3))
+            yield from _met(number, rep, n.astype(np.int64), at, t)
+
+    dealt = ranked.select("rep", "size", "shared", "s").mapInArrow(deal, "lane int, tokens binary")
+    met = dealt.repartition(parts, "lane").sortWithinPartitions("lane").mapInArrow(join, "x bigint, y bigint, yn int, met int")
+    met = met.groupBy("x", "y", "yn").agg(F.sum("met").alias("met")).filter(F.col("met") > F.floor(F.lit(min(1.0, t)) * F.col("yn") / SHARE))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _shared_tokens(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """How many numbers each two packed sets have in common."""
+    (x, m), (y, k) = unpack(left), unpack(right)
+    own = np.concatenate([np.repeat(np.arange(len(m)), m), np.repeat(np.arange(len(k)), k)])
+    numbers = np.concatenate([x, y])
+    order = np.lexsort((numbers, own))
+    own, numbers = own[order], numbers[order]
+    twice = (own[1:] == own[:-1]) & (numbers[1:] == numbers[:-1])
+    return np.bincount(own[1:][twice], minlength=len(m))
+
+
+def packed_pairs(ranked: DataFrame, threshold: float) -> DataFrame:
+    """jaccard_pairs of the sets (rep bigint, size, shared, s) of numbered_sets, which are read several times."""
+    if threshold <= 0:
+        raise ValueError("a threshold of 0 links everything")
+    t = float(threshold)
+    small = _parities(ranked)
+    pairs = candidate_pairs(ranked, t)
+    pairs = pairs.join(small.withColumnsRenamed({"rep": "a", "n": "_an", "hidden": "_ah", "parity": "_ap"}), "a").join(small.withColumnsRenamed({"rep": "b", "n": "_bn", "hidden": "_bh", "parity": "_bp"}), "b")
+    differ = sum((F.bit_count(F.get("_ap", F.lit(i)).bitwiseXOR(F.get("_bp", F.lit(i)))) for i in range(PARITY_WORDS)), F.col("_ah") + F.col("_bh"))
+    near = pairs.filter(differ <= F.lit((1 - t) / (1 + t)) * (F.col("_an") + F.col("_bn")) + 1e-9).select("a", "b")
+    sets = ranked.select("rep", "size", "s")
+    both = near.join(sets.withColumnsRenamed({"rep": "a", "size": "_an", "s": "_a"}), "a").join(sets.withColumnsRenamed({"rep": "b", "size": "_bn", "s": "_b"}), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                common = _shared_tokens(batch.column(3), batch.column(5))
+                similarity = common / (batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy() - common)
+                out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity)], names=["a", "b", "similarity"])
+                yield out.filter(pa.array(similarity >= threshold))
+
+    return both.select("a", "b", "_an", "_a", "_bn", "_b").mapInArrow(run, "a bigint, b bigint, similarity double")
+
+
 def jaccard_pairs(classes: DataFrame, threshold: float = 0.55) -> DataFrame:
     """(a, b, similarity) of the representatives of sets (rep, tokens) with Jaccard similarity ``threshold`` or more, a < b.
 
     Tokens are ordered from the globally rarest. Of two similar sets, the larger has one of
     its first n - ceil(t n) + 1 tokens among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller (probe and index
     prefix). With m more tokens in both prefixes they have 1 + m of them in common, so large sets, whose prefixes are long, must
-    meet in one of SHARE of their tokens. They meet at a token in a band of sizes, so that a frequent token's sets are only met by sets of like size;
+    meet in one of SHARE of their tokens. At a token, a set meets those of like size only;
     sizes and what is left behind the token must allow the threshold. Each candidate is
     tested once by the parity bitmaps, which bound how far two sets differ, and what passes is intersected in full.
     """
-    if threshold <= 0:
-        raise ValueError("a threshold of 0 links everything")
-    t = float(threshold)
-    ranked = checkpointed(ranked_sets(classes))
-    small = ranked.select("rep", F.col("size").alias("n"), "parity")
-    pairs = candidate_pairs(ranked, t)
-    pairs = pairs.join(small.withColumnsRenamed({"rep": "a", "n": "_an", "parity": "_ap"}), "a").join(small.withColumnsRenamed({"rep": "b", "n": "_bn", "parity": "_bp"}), "b")
-    differ = sum((F.bit_count(F.get("_ap", F.lit(i)).bitwiseXOR(F.get("_bp", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
-    near = pairs.filter(differ <= F.lit((1 - t) / (1 + t)) * (F.col("_an") + F.col("_bn")) + 1e-9).select("a", "b")
-    left, right = ranked.select(F.col("rep").alias("a"), F.col("s").alias("_a")), ranked.select(F.col("rep").alias("b"), F.col("s").alias("_b"))
-    both = near.join(left, "a").join(right, "b").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
-    both = both.withColumn("similarity", F.col("_n") / (F.size("_a") + F.size("_b") - F.col("_n")))
-    return both.filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    if dict(classes.dtypes)["rep"] == "bigint":
+        return packed_pairs(checkpointed(ranked_sets(classes)), threshold)
+    named = checkpointed(classes.select("rep", "tokens", F.monotonically_increasing_id().alias("node")))
+    found = jaccard_pairs(named.select(F.col("node").alias("rep"), "tokens"), threshold)
+    names = named.select("node", "rep")
+    found = found.join(names.withColumnsRenamed({"node": "a", "rep": "_x"}), "a").join(names.withColumnsRenamed({"node": "b", "rep": "_y"}), "b")
+    return found.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "similarity")
+
+
+def least_alike(left: tuple[np.ndarray, pa.Array], right: tuple[np.ndarray, pa.Array] | None, columns: int = 2048) -> int | None:
+    """The smallest Jaccard similarity, in whole hundredths, of a set (size, s) of ``left`` with one of ``right``, or of two of ``left``; none without a pair.
+
+    Tokens of two sets or more are columns of ones and zeros; a few columns at a time, products count what sets have in common.
+    """
+    sizes = np.concatenate([side[0] for side in (left, right) if side]).astype(np.int64)
+    unpacked = [unpack(side[1]) for side in (left, right) if side]
+    own = np.repeat(np.arange(len(sizes)), np.concatenate([k for _, k in unpacked]))
+    tokens, column, many = np.unique(np.concatenate([x for x, _ in unpacked]), return_inverse=True, return_counts=True)
+    place = np.cumsum(many > 1) - 1
+    own, column = own[many[column] > 1], place[column[many[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    own, column = own[order], column[order]
+    m = len(left[0])
+    common = np.zeros((m, len(sizes) - m if right else m), np.float32)
+    for at in range(0, int(column.max(initial=-1)) + 1, columns):
+        i, j = np.searchsorted(column, (at, at + columns))
+        ones = np.zeros((len(sizes), int(column[j - 1]) - at + 1), np.float32)
+        ones[own[i:j], column[i:j] - at] = 1
+        common += ones[:m] @ (ones[m:] if right else ones).T
+    common = common.astype(np.int64)
+    alike = 100 * common // (sizes[:m, None] + (sizes[None, m:] if right else sizes) - common)
+    alike = alike if right else alike[np.triu_indices(m, 1)]
+    return int(alike.min()) if alike.size else None
+
+
+def set_spread(members: DataFrame) -> DataFrame:
+    """(root, spread) of the clusters of two classes (root bigint, class, size, s) or more: the smallest similarity of a pair, in whole hundredths.
+
+    As by spread, but cells of blocks of SET_BLOCK classes give a number each, and no pair is a row.
+    """
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    rows = join_groups(members.select("root", "class", "size", "s"), sizes, "root", "n", F.col("class")).filter("n IS NOT NULL")
+    blocks = F.ceil(F.col("n") / SET_BLOCK).cast("bigint")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "size", "s")
+
+    def run(key, table):
+        root, i, j = (k.as_py() for k in key)
+        sides = []
+        for block in (i, j)[: 1 + (i < j)]:
+            side = table.filter(pc.equal(table.column("own"), block))
+            sides.append((side.column("size").to_numpy(), pa.chunked_array(side.column("s").chunks, pa.binary()).combine_chunks()))
+        return pa.table({"root": pa.array([root], pa.int64()), "spread": pa.array([least_alike(sides[0], sides[1] if i < j else None)], pa.int64())})
+
+    return rows.groupBy("root", "i", "j").applyInArrow(run, "root bigint, spread bigint").groupBy("root").agg(F.min("spread").alias("spread"))
 
 
 def spread(clusters: DataFrame, values: DataFrame, measure, pick) -> DataFrame:

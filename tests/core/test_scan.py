@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from copyfold.functions import ctph
 from copyfold.functions import fingerprints as prints
-from copyfold.operators import exact, filters, index, keeper, logs, simjoin
+from copyfold.operators import exact, filters, index, keeper, logs, packed, simjoin
 from copyfold.operators.components import connected_components
 from copyfold.options import ScanOptions
 from copyfold.plans import registry, scan
@@ -265,6 +265,50 @@ def test_jaccard_join_is_brute_force(spark, threshold):
     assert found == {k: v for k, v in want.items() if v >= threshold}
 
 
+def test_packed_sets(spark):
+    rng = random.Random(5)
+    sets = [sorted({rng.randrange(1 << rng.randint(1, 45)) for _ in range(rng.randint(0, 30))}) for _ in range(300)]
+    whole = packed.pack(np.array([x for s in sets for x in s], np.int64), np.array([len(s) for s in sets], np.int64))
+    for at, n in ((0, 300), (100, 50), (7, 0)):
+        numbers, sizes = packed.unpack(whole.slice(at, n))
+        assert numbers.tolist() == [x for s in sets[at : at + n] for x in s] and sizes.tolist() == [len(s) for s in sets[at : at + n]]
+    # words of one set alone are only counted; the others take little more than a byte each, however long they are
+    rows = [(i, [f"{k:040d}" for k in range(0, 1000, 1 + i % 3)] + [f"only {i}"] * (i > 2)) for i in range(9)]
+    found = packed.numbered_sets(spark.createDataFrame([*rows, (9, []), (10, None)], "id bigint, tokens array<string>")).collect()
+    assert {r["id"]: (r["size"], r["shared"]) for r in found} == {i: (len(t), len(t) - (i > 2)) for i, t in rows}
+    assert all(len(r["s"]) < 2 * r["size"] for r in found) and len({r["class"] for r in found}) == 9
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_set_spreads_are_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simjoin, "SET_BLOCK", block)
+    rng = random.Random(12)
+    sets = [frozenset(range(100 * (i % 4), 100 * (i % 4) + 30)) - set(rng.sample(range(100 * (i % 4), 100 * (i % 4) + 30), rng.randint(0, 9))) for i in range(60)]
+    parent = list(range(60))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in combinations(range(60), 2):
+        if 100 * len(sets[i] & sets[j]) >= 55 * len(sets[i] | sets[j]):
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = {}
+    for i, j in combinations(range(60), 2):
+        if find(i) == find(j) and sets[i] != sets[j]:
+            want[find(i)] = min(want.get(find(i), 100), 100 * len(sets[i] & sets[j]) // len(sets[i] | sets[j]))
+    found = scan.set_spreads(spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id bigint, tokens array<bigint>"))
+    assert {r["cluster"]: r["spread"] for r in found.collect()} == want
+
+
+def test_similar_spread_query_counts_whole_hundredths(spark, tmp_path):
+    # 57 of 100 words are shared, and 100 times 0.57 is below 57 in floats
+    words = [f"w{k}" for k in range(100)]
+    spark.createDataFrame([(3, " ".join(words)), (5, " ".join(words[:57]))], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in registry.QUERIES["similar_spread"](spark, str(tmp_path)).select("root", "spread").collect()] == [(3, 57)]
+
+
 @pytest.mark.parametrize("block", [3, 4096])
 def test_fuzzy_spread_is_brute_force(spark, block):
     rng = random.Random(3)

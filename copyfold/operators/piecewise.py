@@ -8,6 +8,7 @@ Pairs within a component are never spelled out.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copyfold.checkpoints import checkpointed
+from copyfold.checkpoints import checkpointed, row_count
 from copyfold.functions import ctph
 from copyfold.operators.components import connected_components
+from copyfold.operators.packed import blob, unblob
 from copyfold.skew import join_groups
 
 #: Members of a token that are compared in one block.
 BLOCK = 512
+#: Classes for each task that joins tokens; a class has at most 84.
+PART_CLASSES = 50_000
 #: A token is the letters, six bits each, below the exponent of its block size.
 _TOKEN_BITS = 6 * ctph.COMMON
 _SIX = np.zeros(256, np.int64)
@@ -41,24 +45,61 @@ def piecewise_classes(digests: DataFrame) -> DataFrame:
     return checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
 
 
-def tokens(classes: DataFrame) -> DataFrame:
-    """(token, node): the runs of seven letters of both strings of each class, with their block sizes, as exact numbers."""
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(token, node): the runs of seven letters of both strings of each class (node, block, x, y), with their block sizes, as exact numbers; each once or more."""
+    nodes, blocks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    strings = batch.column(2).to_pylist() + batch.column(3).to_pylist()
+    lengths = np.array([len(x) for x in strings], np.int64)
+    own = np.repeat(np.arange(len(strings)), lengths)
+    six = _SIX[np.frombuffer("".join(strings).encode(), np.uint8)]
+    n = max(len(six) - ctph.COMMON + 1, 0)
+    run = sum(six[j : j + n] << 6 * (ctph.COMMON - 1 - j) for j in range(ctph.COMMON))
+    whole = own[:n] == own[len(own) - n :]
+    exponent = np.bitwise_count(blocks // ctph.LEAST_BLOCK - 1).astype(np.int64)
+    exponent = np.concatenate([exponent, exponent + 1])
+    own = own[:n][whole]
+    return run[whole] | exponent[own] << _TOKEN_BITS, np.concatenate([nodes, nodes])[own]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for node, block, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                exponent = (block // ctph.LEAST_BLOCK).bit_length() - 1
-                for letters, k in ((x, exponent), (y, exponent + 1)):
-                    six = _SIX[np.frombuffer(letters.encode(), np.uint8)]
-                    n = len(six) - ctph.COMMON + 1
-                    if n > 0:
-                        own = np.unique(sum(six[j : j + n] << 6 * (ctph.COMMON - 1 - j) for j in range(ctph.COMMON)) | k << _TOKEN_BITS)
-                        found.append(own)
-                        nodes.append(np.full(len(own), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(nodes))], names=["token", "node"])
 
-    return classes.select("node", "block", "x", "y").mapInArrow(run, "token bigint, node bigint")
+def shared_tokens(classes: DataFrame) -> DataFrame:
+    """(token, node, first) of the tokens that two classes or more have; first is the least of these.
+
+    Tokens are dealt to lanes once, packed: a row has those of a batch of classes in one lane. Most are of one class alone and go no further.
+    """
+    spark = classes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-row_count(classes) // PART_CLASSES))
+    lanes = 4 * parts
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, node = _tokens(batch)
+            lane = ((token.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % lanes
+            order = np.lexsort((node, token, lane))
+            token, node, lane = token[order], node[order], lane[order]
+            new = (np.diff(token, prepend=-1) != 0) | (np.diff(node, prepend=-1) != 0)
+            token, node, lane = token[new], node[new], lane[new]
+            ends = np.searchsorted(lane, np.arange(lanes + 1)).tolist()
+            found = [k for k in range(lanes) if ends[k] < ends[k + 1]]
+            packed = [blob(token=pa.array(np.diff(token[ends[k] : ends[k + 1]], prepend=0)), node=pa.array(node[ends[k] : ends[k + 1]])) for k in found]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(packed, pa.binary())], names=["lane", "tokens"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((k, tokens) for batch in batches for k, tokens in zip(batch.column(0).to_pylist(), batch.column(1)))
+        for _, own in itertools.groupby(rows, lambda row: row[0]):
+            lots = [unblob(tokens.as_py()) for _, tokens in own]
+            token = np.concatenate([np.cumsum(lot.column(0).to_numpy()) for lot in lots])
+            node = np.concatenate([lot.column(1).to_numpy() for lot in lots])
+            order = np.lexsort((node, token))
+            token, node = token[order], node[order]
+            starts = np.flatnonzero(np.diff(token, prepend=-1))
+            many = np.diff(np.append(starts, len(token)))
+            first, kept = np.repeat(node[starts], many), np.repeat(many > 1, many)
+            for at in range(0, len(token), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(v[part][kept[part]]) for v in (token, node, first)], names=["token", "node", "first"])
+
+    dealt = classes.select("node", "block", "x", "y").mapInArrow(deal, "lane int, tokens binary")
+    return dealt.repartition(parts, "lane").sortWithinPartitions("lane").mapInArrow(meet, "token bigint, node bigint, first bigint")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -82,9 +123,7 @@ def piecewise_components(classes: DataFrame, distance: int) -> DataFrame:
     least = 100 - distance
     if least < 1:
         raise ValueError("a distance of 100 links everything")
-    each = checkpointed(tokens(classes))
-    first = each.groupBy("token").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    each = checkpointed(join_groups(each, first, "token", "n", F.col("node")).filter("n IS NOT NULL"))
+    each = checkpointed(shared_tokens(classes))
     exponent = F.shiftright("token", _TOKEN_BITS).cast("int").alias("k")
     stars = each.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), exponent).distinct()
     links = checkpointed(_alike(stars, classes, least))

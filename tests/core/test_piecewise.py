@@ -99,3 +99,22 @@ def test_clusters_are_those_of_all_pairs(spark, monkeypatch, block):
     frame = spark.createDataFrame(list(digests.items()), "path string, digest string").repartition(5)
     assert {r["path"]: r["group_id"] for r in piecewise.piecewise_clusters(frame).collect()} == want and len(set(want.values())) > 8
     assert piecewise.piecewise_clusters(frame.filter(F.lit(False))).count() == 0
+
+
+def test_shared_tokens_are_those_of_two_classes_or_more(spark):
+    rng = random.Random(31)
+    parts = ["".join(rng.choices(ctph.LETTERS, k=9)) for _ in range(6)]
+    rows = [(i, 3 << i % 4, "".join(rng.sample(parts, i % 4)), "".join(rng.sample(parts, i % 3)) if i % 5 else "abc") for i in range(60)]
+    nodes = {}
+    for node, block, x, y in rows:
+        for letters, size in ((x, block), (y, 2 * block)):
+            for at in range(len(letters) - 6):
+                nodes.setdefault((size, letters[at : at + 7]), set()).add(node)
+    found = {}
+    for r in piecewise.shared_tokens(spark.createDataFrame(rows, "node bigint, block bigint, x string, y string").repartition(3)).collect():
+        assert r["node"] not in found.setdefault((r["token"], r["first"]), set())
+        found[r["token"], r["first"]].add(r["node"])
+    want = sorted(sorted(n) for n in nodes.values() if len(n) > 1)
+    # of ever so many tokens that one class has alone, no row comes out
+    assert sorted(sorted(n) for n in found.values()) == want and all(first == min(n) for (_, first), n in found.items())
+    assert any(len(n) == 1 for n in nodes.values())

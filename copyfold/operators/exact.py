@@ -48,7 +48,11 @@ def digest_groups(digested: DataFrame) -> DataFrame:
 
 def members(digested: DataFrame) -> DataFrame:
     """The files of all digest groups, with group_id; sizes and digests are taken once and checkpointed."""
-    rows = checkpointed(digested)
+    return members_of(checkpointed(digested))
+
+
+def members_of(rows: DataFrame) -> DataFrame:
+    """members of ``rows`` that are written down already."""
     groups = digest_groups(rows).select(F.concat_ws(":", "group_id", F.col("size")).alias("_group"), F.col("files").alias("_files"))
     found = join_groups(rows.withColumn("_group", F.concat_ws(":", "full_hash", F.col("size"))), groups, "_group", "_files", F.col("path"))
     return found.filter("_files IS NOT NULL").drop("_group", "_files").withColumn("group_id", F.col("full_hash"))
@@ -83,13 +87,13 @@ def collapse_inodes(found: DataFrame) -> DataFrame:
     return each.join(groups, "group_id", "left_semi")
 
 
-def exact_members(files: DataFrame, verify_bytes: bool = True, prefix_bytes: int = 65536) -> DataFrame:
+def exact_members(files: DataFrame, verify_bytes: bool = True, prefix_bytes: int = 65536, digested: DataFrame | None = None) -> DataFrame:
     """The whole cascade over files with binary content: size, prefix, digest, bytes, inodes.
 
     Content is hashed in the scan that reads it, so neither screen moves content: size and prefix are checked among the digests.
+    ``digested`` is with_digests of the files, if it is written down already.
     """
-    digested = with_digests(files, prefix_bytes)
-    found = members(digested).drop("prefix")
+    found = (members(with_digests(files, prefix_bytes)) if digested is None else members_of(digested)).drop("prefix")
     if verify_bytes:
         found = verified(found, files)
     return collapse_inodes(found)

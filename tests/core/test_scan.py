@@ -134,6 +134,32 @@ def test_all_groups_query_is_brute_force(spark, tmp_path):
     assert any(len(content[p]) > 2 << 20 for _, p, _ in want) and sum(r["keeper"] for r in out) == len({w[2] for w in want})
 
 
+def test_a_scan_reads_contents_once_for_each_print(spark, monkeypatch):
+    """Contents are never shuffled, joins read the files without them, and images are printed once."""
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000)).encode()
+    near, shifted = text[:900] + b"an edit" + text[910:], text[6000:] + text[:5000]
+    rows = [(f"/r/{n}", len(c), 1.0, 1, i, "/r", c) for i, (n, c) in enumerate([("a.txt", text), ("b.txt", text), ("c.txt", near), ("d.txt", shifted), ("e.txt", text[::-1]), ("f.jpg", b"f"), ("g.jpg", b"gg")])]
+    files = spark.createDataFrame(rows, FILE + ", content binary")
+    reads, printed = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    def pictured(batches):
+        for batch in batches:
+            printed.add(batch.num_rows)
+            yield batch
+
+    pictures = spark.createDataFrame([("/r/f.jpg", 1, 1, 8, 8), ("/r/g.jpg", 3, 1, 8, 8)], "path string, ph bigint, dh bigint, width int, height int")
+    out = scan.all_groups(files.mapInArrow(counted, files.schema), ScanOptions(roots=("/r",), advanced_similar=True), pictures.mapInArrow(pictured, pictures.schema)).collect()
+    assert {(r["kind"], r["path"]) for r in out} >= {("exact", "/r/a.txt"), ("exact", "/r/b.txt"), ("image", "/r/f.jpg"), ("image", "/r/g.jpg"), ("similar", "/r/c.txt"), ("similar", "/r/d.txt")}
+    # digests, the bytes of exact groups, piecewise digests and anchors
+    assert reads.value == 4 * len(rows) and printed.value == 2
+
+
 def test_locality_digest():
     rng = random.Random(6)
     text = " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randrange(50)) for _ in range(800)).encode()

@@ -333,6 +333,33 @@ def test_search_never_reads_a_skipped_block():
         assert set(found) == set(docs[scores >= threshold]) and np.isfinite(new).all() and searcher.touched < searcher.listed
 
 
+def test_a_shard_looks_a_block_of_queries_up_once(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from copyfold.llm import search
+
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 40) % 500)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    index = search.build_index(docs, str(tmp_path / "index"))
+    ours = search.Searcher.lists_of
+    asked = str(tmp_path / "asked")
+
+    def counted(self, terms):
+        with open(asked, "a") as f:
+            f.write(f"{len(terms)}\n")
+        return ours(self, terms)
+
+    monkeypatch.setattr(search.Searcher, "lists_of", counted)
+    texts = [t for i, t in rows if i % 10 == 0]
+    terms = [np.unique(search.document_words(t)) for t in texts]
+    found = search.search_block(index, [(str(q).encode(), t.tobytes()) for q, t in enumerate(terms)], 1, len(rows), 40 * len(rows), 5).collect()
+    with open(asked) as f:
+        assert [int(n) for n in f] == [len(np.unique(np.concatenate(terms)))]
+    want = bm25_top([(i, words(t)) for i, t in rows], [(q, words(t)) for q, t in enumerate(texts)], 5)
+    assert sorted((int(bytes(r["key"])), r["rank"], r["doc_id"]) for r in found) == sorted(r[:3] for r in want)
+
+
 def test_search_of_repeated_queries_and_no_rows(spark):
     from copyfold.llm import search
 

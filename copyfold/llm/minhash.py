@@ -143,6 +143,12 @@ def _hot_lanes(pairs: DataFrame, side: str, total: int) -> list[tuple[bytes, int
     return [(r[side], -(-r["n"] // part)) for r in counts.collect()]
 
 
+def _lane_rows(spark, lanes: list[tuple[bytes, int]], side: str) -> DataFrame:
+    """``lanes`` as rows (side, _lanes). They go to the JVM as an Arrow table: rows of a plain list would pass through a Python RDD, for which each executor starts a second daemon and workers of its own."""
+    classes, numbers = zip(*lanes)
+    return spark.createDataFrame(pa.table({side: pa.array(map(bytes, classes), pa.binary()), "_lanes": pa.array(numbers, pa.int64())}))
+
+
 def _with_set(pairs: DataFrame, sets: DataFrame, side: str, lanes: list[tuple[bytes, int]]) -> DataFrame:
     """``pairs`` with the full set of their class in the column ``side``, as _a or _b.
 
@@ -151,7 +157,7 @@ def _with_set(pairs: DataFrame, sets: DataFrame, side: str, lanes: list[tuple[by
     own = sets.select(F.col("class").alias(side), F.col("shingles").alias(f"_{side}"))
     if not lanes:
         return pairs.join(own, side)
-    lanes = F.broadcast(pairs.sparkSession.createDataFrame(lanes, f"{side} binary, _lanes bigint"))
+    lanes = F.broadcast(_lane_rows(pairs.sparkSession, lanes, side))
     copies = own.join(lanes, side, "left").select(side, f"_{side}", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_lanes", F.lit(1)))).alias("_lane"))
     other = "b" if side == "a" else "a"
     dealt = pairs.join(lanes, side, "left").withColumn("_lane", 1 + F.pmod(F.xxhash64(other), F.coalesce("_lanes", F.lit(1)))).drop("_lanes")

@@ -26,8 +26,8 @@ SAMPLE_PER_CLASS, STEPS, STEP_TEXTS, RATE, SEED = 700, 640, 32, 0.004, 7
 FOLDS, HELD_OUT = 4, 2
 #: A text is accepted from this score on.
 THRESHOLD = 0.7
-#: Chunks that are scored at once.
-SLICE = 1 << 15
+#: Chunks that are scored at once; rows whose texts are taken out of a batch at once.
+SLICE, BATCH_ROWS = 1 << 15, 256
 
 
 def chunk_starts(n: int) -> np.ndarray:
@@ -172,10 +172,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     return train([(r["text"] or "").encode() for r in rows], [r["quality"] for r in rows])
 
 
+def encoded(texts: pa.Array) -> list[bytes]:
+    return [(t.as_py() or "").encode() for t in texts]
+
+
 def score(docs: DataFrame, network: Network) -> DataFrame:
     """``docs`` with the further columns score (double, 0 to 1) and predicted (int); null texts score as empty ones.
 
-    Each batch of rows is scored whole text by whole text, SLICE chunks at a time.
+    Each batch of rows is scored whole text by whole text, BATCH_ROWS texts and SLICE chunks at a time.
     """
     model = broadcast_object(docs.sparkSession, network)
     own = [c for c in docs.columns if c not in ("score", "predicted")]
@@ -184,10 +188,12 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = model()
-        for batch in batches:
-            found = network.scores([(t.as_py() or "").encode() for t in batch.column(at)])
-            columns = [*batch.columns, pa.array(found, pa.float64()), pa.array((found >= THRESHOLD).astype(np.int32), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*own, "score", "predicted"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(start, BATCH_ROWS)
+                found = network.scores(encoded(batch.column(at)))
+                columns = [*batch.columns, pa.array(found, pa.float64()), pa.array((found >= THRESHOLD).astype(np.int32), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*own, "score", "predicted"])
 
     return docs.select(*own).mapInArrow(run, schema.add("score", T.DoubleType()).add("predicted", T.IntegerType()))
 
@@ -205,6 +211,18 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose text is accepted."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return score(rows, fit(docs, labels)).filter("predicted = 1").select("row.*")
+    """The rows of ``docs``, with all columns, whose text is accepted.
+
+    Rows go to the scoring tasks once, and only accepted ones come back; BATCH_ROWS texts at a time are taken out of a batch.
+    """
+    model = broadcast_object(docs.sparkSession, fit(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = model()
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(start, BATCH_ROWS)
+                yield batch.filter(pa.array(network.scores(encoded(batch.column(at))) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

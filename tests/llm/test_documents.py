@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from tests.llm.conftest_llm import bm25_top, jump, stupid_backoff
 
-from copyfold.llm import licenses, mixing, queries, trie_dedup
+from copyfold.llm import licenses, minhash, mixing, queries, trie_dedup
 from tests.llm.conftest import collected, edge_rows
 
 ROWS = [(i, t) for i, t, *_ in edge_rows()]
@@ -373,3 +373,12 @@ def test_search_of_repeated_queries_and_no_rows(spark):
 @pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES))
 def test_empty_tables_give_no_rows(spark, empty_dir, name):
     assert queries.QUERIES[name](spark, empty_dir).collect() == []
+
+
+def test_minhash_hot_classes_pass_through_no_python_rdd(spark):
+    sets = spark.range(4).selectExpr("encode(CAST(id AS STRING), 'UTF-8') AS class", "array(id, id + 1) AS shingles")
+    pairs = spark.range(40).selectExpr("encode(IF(id < 30, '0', CAST(id % 4 AS STRING)), 'UTF-8') AS a", "encode(CAST(id + 100 AS STRING), 'UTF-8') AS b")
+    found = minhash._with_set(pairs, sets, "a", [(bytearray(b"0"), 3), (bytearray(b"9"), 2)])
+    assert "RDD" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = minhash._with_set(pairs, sets, "a", [])
+    assert collected(found.select("a", "b", "_a")) == collected(want.select("a", "b", "_a")) and found.count() == 40

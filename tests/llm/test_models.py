@@ -355,3 +355,18 @@ LAYOUTS = [
 @pytest.mark.parametrize("name,page,want", LAYOUTS, ids=[x[0] for x in LAYOUTS])
 def test_layouts(field, name, page, want):
     assert html_crf.main_text(page, field).split("\n") == want
+
+
+def test_quality_takes_few_texts_at_once(spark, monkeypatch):
+    class Counted:
+        def scores(self, texts):
+            assert len(texts) <= 256
+            return np.array([len(t) % 2 for t in texts], np.float64)
+
+    monkeypatch.setattr(quality_cnn, "fit", lambda docs, labels: Counted())
+    docs = spark.range(2000, numPartitions=1).selectExpr("id AS doc_id", "IF(id % 7 = 0, NULL, repeat('x', CAST(id % 5 AS INT))) AS text", "'clash' AS score", "named_struct('a', id) AS predicted")
+    kept = quality_cnn.keep_good(docs, None)
+    assert kept.dtypes == docs.dtypes
+    assert sorted(map(tuple, kept.collect())) == [tuple(r) for r in docs.collect() if len(r["text"] or "") % 2]
+    scored = quality_cnn.score(docs.select("doc_id", "text"), Counted()).collect()
+    assert [(r["doc_id"], r["predicted"]) for r in sorted(scored)] == [(r["doc_id"], len(r["text"] or "") % 2) for r in docs.collect()]

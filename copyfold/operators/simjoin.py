@@ -6,7 +6,7 @@ representatives, and ``*_classes`` says which row is in which class.
 
 from __future__ import annotations
 
-import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 from copyfold.checkpoints import checkpointed
 from copyfold.functions.scalars import hamming
-from copyfold.operators.packed import BATCH_TOKENS, blob, numbered_sets, unblob, unpack
+from copyfold.operators.packed import blob, numbered_sets, unblob, unpack
 from copyfold.skew import join_groups
 
 #: 64-bit words of a set's parity bitmap; classes of a cluster that are compared in one block.
 PARITY_WORDS, SPREAD_BLOCK = 16, 512
-#: Sets of a cluster that are compared in one block; pairs that are spelled out at once; tokens of the sets for each task of the join.
-SET_BLOCK, LOT, PART_TOKENS = 2048, 1 << 21, 1 << 22
+#: Sets of a cluster that are compared in one block; places where two sets meet that are spelled out at once.
+SET_BLOCK, LOT = 2048, 1 << 19
+#: Tokens and sets of a block of the join, about; bands of sizes in a doubling, of which a block has a quarter at most; blocks of a part of many.
+BLOCK_TOKENS, BLOCK_SETS, BANDS, PART_BLOCKS = 1 << 22, 1 << 15, 16, 4
 #: Candidates must meet in one of so many tokens that similar sets share.
 SHARE = 32
 
@@ -86,25 +88,19 @@ def ranked_sets(classes: DataFrame) -> DataFrame:
     return numbered_sets(classes.select(F.col("rep").alias("id"), "tokens")).select(F.col("id").alias("rep"), "size", "shared", "s")
 
 
-def _parities(ranked: DataFrame) -> DataFrame:
-    """(rep, n, hidden, parity) of the sets: hidden counts the tokens that no other set has. parity has a bit for each residue of the numbers' hashes,
-    set where an odd number of tokens falls to it: the bitmaps of two sets differ in no more bits than the sets in numbered tokens."""
+def _parity(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A bitmap for each of the sets of so many numbers: a bit for each residue of the numbers' hashes, set where an odd number of tokens falls to it.
+    The bitmaps of two sets differ in no more bits than the sets in numbered tokens."""
     bits = 64 * PARITY_WORDS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                numbers, sizes = unpack(batch.column(3))
-                mixed = _mixed(numbers) >> np.uint64(64 - bits.bit_length() + 1)
-                place = np.repeat(np.arange(len(sizes)) * bits, sizes) + mixed.astype(np.int64)
-                odd = np.bincount(place, minlength=len(sizes) * bits) & 1
-                words = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.int64).ravel()
-                parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(words))
-                hidden = pa.array(batch.column(1).to_numpy() - batch.column(2).to_numpy())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hidden, parity], names=["rep", "n", "hidden", "parity"])
-
-    return ranked.select("rep", "size", "shared", "s").mapInArrow(run, "rep bigint, n int, hidden int, parity array<bigint>")
+    out = np.empty((len(sizes), PARITY_WORDS), np.uint64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for i in range(0, len(sizes), 1024):
+        own = sizes[i : i + 1024]
+        mixed = _mixed(numbers[ends[i] : ends[i + len(own)]]) >> np.uint64(64 - bits.bit_length() + 1)
+        place = np.repeat(np.arange(len(own)) * bits, own) + mixed.astype(np.int64)
+        odd = np.bincount(place, minlength=len(own) * bits) & 1
+        out[i : i + len(own)] = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).reshape(-1, PARITY_WORDS)
+    return out
 
 
 def _mixed(numbers: np.ndarray) -> np.ndarray:
@@ -116,134 +112,258 @@ def _least(sizes: np.ndarray, t: float) -> np.ndarray:
     return np.floor(min(1.0, t) * sizes / SHARE).astype(np.int64)
 
 
-def _prefix(sizes: np.ndarray, overlap: float, t: float) -> np.ndarray:
-    """Length of the prefix of sets that share ``overlap`` of their tokens at least, with the further tokens in which they must meet."""
-    return sizes - np.ceil(overlap * sizes - 1e-9).astype(np.int64) + 1 + _least(sizes, t)
-
-
-def _met(number: np.ndarray, rep: np.ndarray, n: np.ndarray, at: np.ndarray, t: float) -> Iterator[pa.RecordBatch]:
-    """Partial counts (x, y, yn, met) of the pairs that meet at a token: x is the larger set, at is the token's place in its set.
-
-    A token's sets are sorted by size, so that the smaller ones within the threshold's ratio are a range behind each; ranges are spelled out in lots.
+def _prefix(sizes: np.ndarray, low: int, high: int, t: float) -> np.ndarray:
+    """Length of the prefix in which a set of such a size meets a similar one of ``low`` to ``high`` tokens as often as it must; 0 where none is similar by its size."""
+    other = np.maximum(low, np.ceil(t * sizes - 1e-9).astype(np.int64))
+    overlap = np.ceil(t / (1 + t) * (sizes + other) - 1e-9).astype(np.int64)
+    out = sizes - overlap + 1 + _least(np.minimum(sizes, high), t)
+    return np.where((other <= high) & (sizes >= t * other - 1e-9), out, 0)
+
+
+class SetBlock:
+    """Some of the sets, by size, and the tokens of their prefixes, by token."""
+
+    def __init__(self, sets: pa.RecordBatch, postings: pa.RecordBatch):
+        self.rep, self.size, self.shared = (sets.column(c).to_numpy().astype(np.int64) for c in range(3))
+        self.parity = np.frombuffer(sets.column(3).buffers()[1], np.uint64, len(self.rep) * PARITY_WORDS, sets.column(3).offset * 8 * PARITY_WORDS).reshape(-1, PARITY_WORDS)
+        self.s = sets.column(4)
+        self.token, self.own, self.at = np.cumsum(postings.column(0).to_numpy(), dtype=np.int64), postings.column(1).to_numpy(), postings.column(2).to_numpy()
+        self.low, self.high = int(self.size.min()), int(self.size.max())
+
+    @staticmethod
+    def pack(sets: pa.Table, t: float) -> tuple[int, int, bytes, bytes]:
+        """The smallest and the largest size of the sets (rep, size, shared, s), and the two parts of their block."""
+        sets = sets.combine_chunks().sort_by([("size", "ascending"), ("rep", "ascending")])
+        s = pa.concat_arrays([c.cast(pa.binary()) for c in sets.column("s").chunks])
+        size, shared = (sets.column(c).to_numpy().astype(np.int64) for c in ("size", "shared"))
+        numbers, _ = unpack(s)
+        parity = pa.Array.from_buffers(pa.binary(8 * PARITY_WORDS), len(size), [None, pa.py_buffer(_parity(numbers, shared).tobytes())])
+        own = np.repeat(np.arange(len(size), dtype=np.int32), shared)
+        at = (np.arange(len(numbers)) - np.repeat(np.cumsum(shared) - size, shared)).astype(np.int32)
+        kept = np.flatnonzero(at < _prefix(size, 1, int(size.max()) * 2 + 1, t)[own])
+        kept = kept[np.argsort(numbers[kept], kind="stable")]
+        parts = dict(rep=sets.column("rep").combine_chunks(), size=pa.array(size.astype(np.int32)), shared=pa.array(shared.astype(np.int32)), parity=parity, s=s)
+        postings = dict(token=pa.array(np.diff(numbers[kept], prepend=0)), own=pa.array(own[kept]), at=pa.array(at[kept]))
+        return int(size[0]), int(size[-1]), blob(**parts), blob(**postings)
+
+    def met_by(self, other: SetBlock, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """Token and set of the postings in prefixes in which sets can meet similar ones of ``other``, by token and set."""
+        prefix = _prefix(self.size, other.low, other.high, t)
+        kept = np.flatnonzero(self.at < prefix[self.own])
+        return self.token[kept], self.own[kept]
+
+
+def block_candidates(x: SetBlock, y: SetBlock, t: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the sets of ``x`` and ``y`` that meet in as many tokens of their prefixes as similar ones must; each pair once if both are the ``same`` block.
+
+    The places where they meet are spelled out in lots. Where these are few beside the pairs, they are counted for groups of sets of y first, and
+    only those in groups that meet often enough are sorted and counted by pairs.
     """
-    order = np.lexsort((rep, -n, number))
-    number, rep, n, at = (v[order] for v in (number, rep, n, at))
-    group = np.cumsum(np.diff(number, prepend=number[:1]) != 0)
-    base = int(n.max(initial=0)) + 1
-    stop = np.searchsorted(group * base - n, group * base - np.ceil(t * n - 1e-9).astype(np.int64), side="right")
-    indexed = at < _prefix(n, 2 * t / (1 + t), t)
-    ys, before = np.flatnonzero(indexed), np.concatenate([[0], np.cumsum(indexed)])
-    first = before[1:]
-    counts = np.maximum(before[stop] - first, 0)
-    total = np.cumsum(counts)
-    least = _least(n, t)
-    names, own = np.unique(rep, return_inverse=True)
-    lots = np.concatenate([[0], np.searchsorted(total, np.arange(LOT, int(total[-1]) if len(total) else 0, LOT)), [len(n)]])
-    for i, j in zip(lots.tolist(), lots[1:].tolist()):
-        if i == j:
+    token, own = y.met_by(x, t)
+    if not len(token):
+        return
+    first = np.flatnonzero(np.diff(token, prepend=token[0] - 1))
+    distinct, sizes = token[first], np.diff(np.append(first, len(token)))
+    asked, by = x.met_by(y, t)
+    place = np.minimum(np.searchsorted(distinct, asked), len(distinct) - 1)
+    found = distinct[place] == asked
+    place, by = place[found], by[found]
+    order = np.argsort(by.astype(np.uint16) if len(x.rep) < 1 << 16 else by, kind="stable")
+    by, place = by[order].astype(np.int64), place[order]
+    start, many = first[place], sizes[place]
+    total = np.concatenate([[0], np.cumsum(many)])
+    ends = np.searchsorted(by, np.arange(len(x.rep) + 1))
+    least, before, n, low = _least(np.minimum(x.size, y.low), t), total[ends], len(y.rep), 0
+    while low < len(x.rep):
+        high = max(low + 1, int(np.searchsorted(before, before[low] + LOT, side="right")) - 1)
+        meets, rows = int(before[high] - before[low]), high - low
+        if not meets:
+            low = high
             continue
-        many = counts[i:j]
-        x = np.repeat(np.arange(i, j), many)
-        y = ys[np.arange(len(x)) + np.repeat(first[i:j] - (np.cumsum(many) - many), many)]
-        # behind the last of the tokens in which they must meet, what is left must still allow the threshold
-        most = np.minimum(n[x] - at[x], n[y] - at[y]) + least[y]
-        kept = most >= t / (1 + t) * (n[x] + n[y]) - 1e-9
-        pairs, met = np.unique(own[x[kept]] * len(names) + own[y[kept]], return_counts=True)
-        size = np.zeros(len(names), np.int32)
-        size[own[i:]] = n[i:]
-        a, b = pairs // len(names), pairs % len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b]), pa.array(size[b]), pa.array(met.astype(np.int32))], names=["x", "y", "yn", "met"])
+        cuts = [ends[low], *np.searchsorted(total, np.arange(before[low], before[high], LOT)[1:]).tolist(), ends[high]]
+        shift = max(0, (rows * n // (2 * meets)).bit_length() - 1) if len(cuts) == 2 else 0
+        width = (n - 1 >> shift) + 1
+        enough, counts = least[low:high], None
+        for i, j in zip(cuts, cuts[1:]):
+            lot = many[i:j]
+            at = np.repeat(start[i:j] - (total[i:j] - total[i]), lot)
+            at += np.arange(len(at))
+            row, at = np.repeat(by[i:j] - low, lot), own[at]
+            key = row * width + (at >> shift)
+            met = np.bincount(key, minlength=rows * width)
+            counts = met if counts is None else np.add(counts, met, out=counts)
+        often = counts.reshape(rows, width) > enough[:, None]
+        if shift:
+            kept = often.ravel()[key]
+            pairs, met = np.unique(row[kept] * n + at[kept], return_counts=True)
+        else:
+            pairs = np.flatnonzero(often)
+            met = counts[pairs]
+        a, b = np.divmod(pairs, n)
+        a += low
+        small, large = np.minimum(x.size[a], y.size[b]), np.maximum(x.size[a], y.size[b])
+        kept = (met > _least(small, t)) & (small >= t * large - 1e-9)
+        if same:
+            kept &= a < b
+        yield a[kept], b[kept]
+        low = high
+
+
+def _joined_blocks(ranked: DataFrame, t: float, run, kind: str) -> DataFrame:
+    """``run`` (a block, another or the same one, whether it is the same) of all two blocks of sets (rep, size, shared, s) that can be similar by their sizes.
+
+    Sets are dealt by size to blocks of about BLOCK_TOKENS tokens and BLOCK_SETS sets, which are written down. Pairs of blocks are read together from there, so nothing
+    that grows faster than the sets is shuffled or kept.
+    """
+    spark = ranked.sparkSession
+    band = F.floor(F.log2("size") * BANDS).cast("int")
+    weight = F.greatest(F.sum("shared") / F.lit(BLOCK_TOKENS), F.count(F.lit(1)) / F.lit(BLOCK_SETS))
+    weights = dict(ranked.groupBy(band).agg(weight).collect())
+    first, many, held, since, blocks = [0] * (max(weights, default=0) + 1), [1] * (max(weights, default=0) + 1), 0.0, 0, -1
+    for k in sorted(weights):
+        # a band is cut into blocks of its own, or shares one with those next to it
+        parts = math.ceil(weights[k])
+        if blocks < 0 or parts > 1 or held + weights[k] > 1 or k - since >= BANDS // 4:
+            blocks, held, since = blocks + 1, 0.0, k
+        first[k], many[k], held = blocks, parts, held + weights[k]
+        blocks += parts - 1
+    dealt = F.get(F.lit(first), band) + F.pmod(F.xxhash64("rep"), F.get(F.lit(many), band)).cast("int")
+
+    def pack(key, sets):
+        low, high, parts, postings = SetBlock.pack(sets.select(["rep", "size", "shared", "s"]), t)
+        return pa.table({"block": pa.array([key[1].as_py()], pa.int32()), "low": pa.array([low], pa.int32()), "high": pa.array([high], pa.int32()), "sets": pa.array([parts], pa.binary()), "postings": pa.array([postings], pa.binary())})
+
+    blocks += 1
+    parts = max(1, min(blocks, max(-(-blocks // PART_BLOCKS), 2 * math.isqrt(spark.sparkContext.defaultParallelism) + 2)))
+    rows = ranked.select("rep", "size", "shared", "s", dealt.alias("block")).withColumn("part", F.col("block") % parts).repartitionById(parts, F.col("part"))
+    packed = checkpointed(rows.groupBy("part", "block").applyInArrow(pack, "block int, low int, high int, sets binary, postings binary"))
+    other = packed.select(*(F.col(c).alias(f"other_{c}") for c in packed.columns)).hint("shuffle_replicate_nl")
+    pairs = packed.join(other, (F.col("block") <= F.col("other_block")) & (F.col("high") >= t * F.col("other_low") - 1e-9))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = [(None, None), (None, None)]
+        for batch in batches:
+            for row in range(batch.num_rows):
+                for side in (0, 1):
+                    block = batch.column(3 * side)[row].as_py()
+                    if held[side][0] != block:
+                        held[side] = block, SetBlock(*(unblob(batch.column(3 * side + c)[row].as_py()) for c in (1, 2)))
+                yield from run(held[0][1], held[1][1], held[0][0] == held[1][0])
+
+    return pairs.select(*(side + c for side in ("", "other_") for c in ("block", "sets", "postings"))).mapInArrow(cells, kind)
 
 
 def candidate_pairs(ranked: DataFrame, t: float) -> DataFrame:
-    """(a, b) of the sets (rep, size, shared, s) that meet in as many tokens of their prefixes as sets with Jaccard similarity ``t`` or more do; see jaccard_pairs.
+    """(a, b) of the sets (rep, size, shared, s) that meet in as many tokens of their prefixes as sets with Jaccard similarity ``t`` or more do; see jaccard_pairs."""
+
+    def run(x: SetBlock, y: SetBlock, same: bool) -> Iterator[pa.RecordBatch]:
+        for a, b in block_candidates(x, y, t, same):
+            yield _pairs(x.rep[a], y.rep[b])
+
+    return _joined_blocks(ranked, t, run, "a bigint, b bigint")
 
-    The tokens of prefixes are dealt to lanes. A row has those of a batch of sets in one lane, packed; each lane is joined with itself in numpy.
-    """
-    spark = ranked.sparkSession
-    total = ranked.agg(F.sum("shared")).head()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-total // PART_TOKENS))
-    lanes = 4 * parts
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            lots = np.cumsum(whole.column(2).to_numpy().astype(np.int64)) // BATCH_TOKENS
-            bounds = [0, *(np.flatnonzero(np.diff(lots)) + 1).tolist(), whole.num_rows]
-            for i, j in zip(bounds, bounds[1:]):
-                batch = whole.slice(i, j - i)
-                number, shared = unpack(batch.column(3))
-                size = batch.column(1).to_numpy().astype(np.int64)
-                own = np.repeat(np.arange(len(size)), shared)
-                at = np.arange(len(number)) - np.repeat(np.cumsum(shared) - shared - (size - shared), shared)
-                kept = at < _prefix(size, t, t)[own]
-                number, own, at = number[kept], own[kept], at[kept]
-                lane = (_mixed(number) >> np.uint64(32)).astype(np.int64) % lanes
-                order = np.lexsort((own, number, lane))
-                number, own, at, lane = number[order], own[order], at[order], lane[order]
-                ends = np.searchsorted(lane, np.arange(lanes + 1))
-                rep, n = batch.column(0).to_numpy()[own], size[own].astype(np.int32)
-                found = [k for k in range(lanes) if ends[k] < ends[k + 1]]
-                packed = [blob(number=pa.array(np.diff(number[p:q], prepend=0)), rep=pa.array(rep[p:q]), n=pa.array(n[p:q]), at=pa.array(at[p:q].astype(np.int32))) for p, q in ((ends[k], ends[k + 1]) for k in found)]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(packed, pa.binary())], names=["lane", "tokens"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((k, tokens) for batch in batches for k, tokens in zip(batch.column(0).to_pylist(), batch.column(1)))
-        for _, own in itertools.groupby(rows, lambda row: row[0]):
-            parts = [unblob(tokens.as_py()) for _, tokens in own]
-            number = np.concatenate([np.cumsum(p.column(0).to_numpy()) for p in parts])
-            rep, n, at = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in (1, 2, 3))
-            yield from _met(number, rep, n.astype(np.int64), at, t)
-
-    dealt = ranked.select("rep", "size", "shared", "s").mapInArrow(deal, "lane int, tokens binary")
-    met = dealt.repartition(parts, "lane").sortWithinPartitions("lane").mapInArrow(join, "x bigint, y bigint, yn int, met int")
-    met = met.groupBy("x", "y", "yn").agg(F.sum("met").alias("met")).filter(F.col("met") > F.floor(F.lit(min(1.0, t)) * F.col("yn") / SHARE))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def _shared_tokens(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """How many numbers each two packed sets have in common."""
-    (x, m), (y, k) = unpack(left), unpack(right)
-    own = np.concatenate([np.repeat(np.arange(len(m)), m), np.repeat(np.arange(len(k)), k)])
-    numbers = np.concatenate([x, y])
-    order = np.lexsort((numbers, own))
-    own, numbers = own[order], numbers[order]
-    twice = (own[1:] == own[:-1]) & (numbers[1:] == numbers[:-1])
-    return np.bincount(own[1:][twice], minlength=len(m))
 
+def _pairs(left: np.ndarray, right: np.ndarray, **more) -> pa.RecordBatch:
+    return pa.record_batch({"a": pa.array(np.minimum(left, right)), "b": pa.array(np.maximum(left, right)), **{k: pa.array(v) for k, v in more.items()}})
 
-def packed_pairs(ranked: DataFrame, threshold: float) -> DataFrame:
-    """jaccard_pairs of the sets (rep bigint, size, shared, s) of numbered_sets, which are read several times."""
+
+def _shared_tokens(left: pa.Array, right: pa.Array, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many numbers each two packed sets have in common: those at ``own`` of ``left``, which ascend, and at ``other`` of ``right``."""
+    (x, m), (y, k) = unpack(left), unpack(right)
+    starts, places = np.concatenate([[0], np.cumsum(m)]).tolist(), np.cumsum(k) - k
+    runs = [*np.flatnonzero(np.diff(own, prepend=-1)).tolist(), len(own)]
+    out = np.zeros(len(own), np.int64)
+    for p, q in zip(runs, runs[1:]):
+        at = own[p]
+        numbers, sizes = x[starts[at] : starts[at + 1]], k[other[p:q]]
+        ends = np.cumsum(sizes)
+        asked = y[np.arange(int(ends[-1])) + np.repeat(places[other[p:q]] - (ends - sizes), sizes)]
+        if len(numbers) and len(asked):
+            found = np.cumsum(numbers[np.minimum(np.searchsorted(numbers, asked), len(numbers) - 1)] == asked)
+            out[p:q] = np.diff(np.concatenate([[0], found])[ends], prepend=0)
+    return out
+
+
+def _similar(x: SetBlock, y: SetBlock, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The similarities of the sets at ``a`` of x, in ascending order, and at ``b`` of y."""
+    (sets, own), (others, other) = (np.unique(places, return_inverse=True) for places in (a, b))
+    common = _shared_tokens(x.s.take(pa.array(sets)), y.s.take(pa.array(others)), own, other)
+    return common / (x.size[a] + y.size[b] - common)
+
+
+class _Forest:
+    """Which of so many places are joined by the links so far."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.root[a] != self.root[b]
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The links, in turn, that join what was apart."""
+        root, out = self.root, np.zeros(len(a), bool)
+
+        def find(place: int) -> int:
+            while root[place] != place:
+                place = int(root[place])
+            return place
+
+        for i, (p, q) in enumerate(zip(a.tolist(), b.tolist())):
+            u, v = find(p), find(q)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                out[i] = True
+        while (root[root] != root).any():
+            root[:] = root[root]
+        return out
+
+
+def packed_pairs(ranked: DataFrame, threshold: float, forest: bool = False) -> DataFrame:
+    """jaccard_pairs of the sets (rep bigint, size, shared, s) of numbered_sets, which are read several times.
+
+    With ``forest``, of the pairs of two blocks only as many as join all that they join: a group of m sets alike gives m - 1 of them, not all m * m / 2.
+    """
     if threshold <= 0:
         raise ValueError("a threshold of 0 links everything")
     t = float(threshold)
-    small = _parities(ranked)
-    pairs = candidate_pairs(ranked, t)
-    pairs = pairs.join(small.withColumnsRenamed({"rep": "a", "n": "_an", "hidden": "_ah", "parity": "_ap"}), "a").join(small.withColumnsRenamed({"rep": "b", "n": "_bn", "hidden": "_bh", "parity": "_bp"}), "b")
-    differ = sum((F.bit_count(F.get("_ap", F.lit(i)).bitwiseXOR(F.get("_bp", F.lit(i)))) for i in range(PARITY_WORDS)), F.col("_ah") + F.col("_bh"))
-    near = pairs.filter(differ <= F.lit((1 - t) / (1 + t)) * (F.col("_an") + F.col("_bn")) + 1e-9).select("a", "b")
-    sets = ranked.select("rep", "size", "s")
-    both = near.join(sets.withColumnsRenamed({"rep": "a", "size": "_an", "s": "_a"}), "a").join(sets.withColumnsRenamed({"rep": "b", "size": "_bn", "s": "_b"}), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                common = _shared_tokens(batch.column(3), batch.column(5))
-                similarity = common / (batch.column(2).to_numpy().astype(np.int64) + batch.column(4).to_numpy() - common)
-                out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity)], names=["a", "b", "similarity"])
-                yield out.filter(pa.array(similarity >= threshold))
-
-    return both.select("a", "b", "_an", "_a", "_bn", "_b").mapInArrow(run, "a bigint, b bigint, similarity double")
+
+    def run(x: SetBlock, y: SetBlock, same: bool) -> Iterator[pa.RecordBatch]:
+        shift = 0 if same else len(x.rep)
+        linked = _Forest(shift + len(y.rep)) if forest else None
+        for a, b in block_candidates(x, y, t, same):
+            # the sets of a lot are spelled out
+            lots = np.cumsum(x.shared[a] + y.shared[b]) // (2 * LOT)
+            cuts = [0, *(np.flatnonzero(np.diff(lots)) + 1).tolist(), len(a)]
+            for i, j in zip(cuts, cuts[1:]):
+                p, q = a[i:j], b[i:j]
+                if linked:
+                    apart = linked.apart(p, q + shift)
+                    p, q = p[apart], q[apart]
+                # parity bitmaps bound how far two sets differ
+                differ = np.bitwise_count(x.parity[p] ^ y.parity[q]).sum(axis=1, dtype=np.int64) + x.size[p] - x.shared[p] + y.size[q] - y.shared[q]
+                near = differ <= (1 - t) / (1 + t) * (x.size[p] + y.size[q]) + 1e-9
+                p, q = p[near], q[near]
+                if not len(p):
+                    continue
+                similarity = _similar(x, y, p, q)
+                kept = similarity >= threshold
+                p, q, similarity = p[kept], q[kept], similarity[kept]
+                if linked:
+                    new = linked.link(p, q + shift)
+                    p, q, similarity = p[new], q[new], similarity[new]
+                yield _pairs(x.rep[p], y.rep[q], similarity=similarity)
+
+    return _joined_blocks(ranked, t, run, "a bigint, b bigint, similarity double")
 
 
 def jaccard_pairs(classes: DataFrame, threshold: float = 0.55) -> DataFrame:
     """(a, b, similarity) of the representatives of sets (rep, tokens) with Jaccard similarity ``threshold`` or more, a < b.
 
-    Tokens are ordered from the globally rarest. Of two similar sets, the larger has one of
-    its first n - ceil(t n) + 1 tokens among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller (probe and index
-    prefix). With m more tokens in both prefixes they have 1 + m of them in common, so large sets, whose prefixes are long, must
-    meet in one of SHARE of their tokens. At a token, a set meets those of like size only;
-    sizes and what is left behind the token must allow the threshold. Each candidate is
+    Tokens are ordered from the globally rarest. Sets of n and k tokens that are similar share o = t / (1 + t) (n + k) of them, so one of
+    these is among the first n - o + 1 of the one and the first k - o + 1 of the other. With m more tokens in both prefixes they have 1 + m of
+    them in common, so large sets, whose prefixes are long, must meet in one of SHARE of their tokens. Sets are dealt by size to blocks,
+    and each two blocks that can have similar sets are joined in one place. Each candidate is
     tested once by the parity bitmaps, which bound how far two sets differ, and what passes is intersected in full.
     """
     if dict(classes.dtypes)["rep"] == "bigint":

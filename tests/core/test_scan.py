@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from copyfold.checkpoints import checkpointed
 from copyfold.functions import ctph
 from copyfold.functions import fingerprints as prints
 from copyfold.operators import exact, filters, index, keeper, logs, packed, simjoin
@@ -291,6 +292,36 @@ def test_jaccard_join_is_brute_force(spark, threshold):
     assert found == {k: v for k, v in want.items() if v >= threshold}
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 1.0])
+def test_jaccard_join_of_many_blocks_is_brute_force(spark, monkeypatch, threshold):
+    # bands are cut into blocks, places are spelled out in many lots, and counted by groups of sets and by pairs
+    for name, value in (("BLOCK_TOKENS", 400), ("BLOCK_SETS", 16), ("LOT", 40), ("PART_BLOCKS", 3)):
+        monkeypatch.setattr(simjoin, name, value)
+    rng = random.Random(21)
+    base = [set(rng.sample(range(300), 30)) for _ in range(6)]
+    sets = [base[i % 6] - set(rng.sample(sorted(base[i % 6]), rng.randint(0, 9))) | {rng.randrange(300) for _ in range(rng.randint(0, 6))} for i in range(90)]
+    sets += [{rng.randrange(300) for _ in range(rng.randint(1, 40))} for _ in range(60)]
+    classes = checkpointed(simjoin.ranked_sets(simjoin.set_classes(spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id bigint, tokens array<bigint>"))))
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(frozenset(s), i)
+    want = {(i, j) for i, j in combinations(sorted(first.values()), 2) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])}
+    pairs = simjoin.packed_pairs(classes, threshold)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want
+    # pairs that meet are counted where the blocks are read: none of them is shuffled
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_of_alike_sets_are_a_forest(spark, monkeypatch):
+    seen = []
+    ours = scan.connected_components
+    monkeypatch.setattr(scan, "connected_components", lambda edges: seen.append(edges.count()) or ours(edges))
+    # all pairs of 60 sets are similar
+    sets = spark.createDataFrame([(i, [*range(100), 1000 + i, 1000 + (i + 1) % 60]) for i in range(60)], "id bigint, tokens array<bigint>")
+    assert {r["cluster"] for r in scan.set_clusters(sets).collect()} == {0}
+    assert seen == [59]
+
+
 def test_packed_sets(spark):
     rng = random.Random(5)
     sets = [sorted({rng.randrange(1 << rng.randint(1, 45)) for _ in range(rng.randint(0, 30))}) for _ in range(300)]

@@ -333,6 +333,30 @@ def test_search_never_reads_a_skipped_block():
         assert set(found) == set(docs[scores >= threshold]) and np.isfinite(new).all() and searcher.touched < searcher.listed
 
 
+def test_common_lists_are_read_for_few_documents():
+    import numpy as np
+
+    from copyfold.llm import search
+
+    # all words but the own one are common; the documents like a query are a few in the midst of a block
+    rng = np.random.default_rng(6)
+    n = 16 * search.BLOCK
+    groups = np.arange(n) // 8 % 32
+    words = [np.concatenate([1 + 6 * g + np.arange(6), rng.choice(np.arange(200, 220), 8, replace=False), [1000 + i]]).astype(np.uint64) for i, g in enumerate(groups.tolist())]
+    shard = search.Shard.of(list(range(n)), words)
+    dfs = np.diff(shard.starts).astype(float)
+    queries = [words[8 * g] for g in range(32)]
+    plain, searcher = search.Searcher(shard, dfs, n, 15.0), search.Searcher(shard, dfs, n, 15.0)
+    want = [plain.search(q, 10, 0.0) for q in queries]
+    bars = [np.sort(scores)[-10] for _, scores in want]
+    lists = [searcher.lists_of(q) for q in queries]
+    found = searcher.search_batch([places[places >= 0] for places in lists], 10, bars)
+    for (docs, scores), (all_docs, all_scores), bar in zip(found, want, bars):
+        brute = {d: s for d, s in zip(all_docs.tolist(), all_scores.tolist()) if s >= bar}
+        assert {d: s for d, s in zip(docs.tolist(), scores.tolist()) if s >= bar} == brute and len(brute) >= 10
+    assert searcher.touched < searcher.listed / 4
+
+
 def test_a_shard_looks_a_block_of_queries_up_once(spark, tmp_path, monkeypatch):
     import numpy as np
 

@@ -387,6 +387,16 @@ def test_digests_far_from_a_box_are_not_compared(monkeypatch):
     assert prints.digest_forest([], digests[:1], 80) == []
 
 
+def test_digests_of_one_component_are_not_compared(monkeypatch):
+    rng = np.random.default_rng(5)
+    digests = [np.where(rng.random(128) < 0.02, 1, 2).astype(np.uint8).tobytes() for _ in range(600)] + [bytes([0, 3] * 64), bytes([3, 0] * 64)]
+    counted, whole = [], np.flatnonzero  # asked once for each block of pairs
+    monkeypatch.setattr(prints.np, "flatnonzero", lambda pairs: counted.append(pairs.size) or whole(pairs))
+    forest = prints.digest_forest(digests, None, 80)
+    # all that are alike are joined by the first box
+    assert len(forest) == 599 and sum(counted) < 60_000 < 600 * 600 // 2
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)] + [(7, 7), (3, 2)]
